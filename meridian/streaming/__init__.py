@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this library reproduces are full recomputations over static tables: there is
+no event-time window, watermark, late-data rule or per-key state anywhere in them, so there
+is no streaming operator to build. Every analysis is a plain ``DataFrame -> DataFrame``
+function and therefore also accepts a streaming ``DataFrame`` wherever Spark's own rules
+for streaming aggregates allow it; nothing here adds to that.
+"""
