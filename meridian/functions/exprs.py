@@ -2,8 +2,10 @@
 
 Cross-engine exactness rules (the same rules are written into the oracle SQL):
 
-* money is summed as ``decimal(18,2)``, so a sum does not depend on addition order;
-  it leaves as ``double`` only at the end, and a mean is that double over a count;
+* money (``decimal(18,2)`` in the tables) is summed as integer cents in a ``long``: exact, so a
+  sum does not depend on addition order, and a primitive aggregation buffer (a
+  ``decimal(28,2)`` sum buffer is an object); it leaves as ``double`` only at the end, and a
+  mean is that double over a count;
 * rounding of a ratio is done in integer arithmetic, half away from zero;
 * division by zero gives NULL (``try_divide``), never an error or infinity.
 """
@@ -31,19 +33,24 @@ def money(c: str | Column) -> Column:
     return col(c).cast(MONEY)
 
 
+def cents(c: str | Column) -> Column:
+    """Money as exact integer cents."""
+    return (money(c) * 100).cast("long")
+
+
 def money_sum(c: str | Column) -> Column:
-    """Exact sum of a money column, as a decimal (NULL when there is no value)."""
-    return F.sum(money(c))
+    """Exact sum of a money column, in cents (NULL when there is no value)."""
+    return F.sum(cents(c))
 
 
-def usd(dec: str | Column) -> Column:
-    """Decimal money -> double, for output."""
-    return col(dec).cast("double")
+def usd(cents_col: str | Column) -> Column:
+    """Cents -> USD as double, for output (one correctly rounded division)."""
+    return col(cents_col).cast("double") / 100
 
 
-def mean(sum_dec: str | Column, n: str | Column) -> Column:
-    """Mean from an exact decimal sum and a count: NULL for an empty group."""
-    return F.try_divide(usd(sum_dec), col(n).cast("double"))
+def mean(sum_cents: str | Column, n: str | Column) -> Column:
+    """Mean USD from an exact cents sum and a count: NULL for an empty group."""
+    return F.try_divide(usd(sum_cents), col(n).cast("double"))
 
 
 def _idiv(a: Column, b: Column) -> Column:

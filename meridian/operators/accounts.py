@@ -29,7 +29,7 @@ def account_roster(star: Star, region: str | None = None, rep_prefix: str | None
     reps = rep_dim(s, "inner").filter(E.like("rep_name", rep_prefix, rep_contains, ignore_case))
     acc = s.accounts.select(F.col("sales_rep_id").alias("rep_id"),
                             F.col("name").alias("account_name"))
-    return (acc.join(small(s, f"roster.{rep_prefix}.{rep_contains}.{ignore_case}", reps), "rep_id")
+    return (acc.join(small(s, "sales_reps", reps), "rep_id")
             .select(F.col("region_name").alias("region"), "rep_name", "account_name")
             .orderBy(F.col("account_name").asc_nulls_last()))
 
@@ -41,7 +41,7 @@ def accounts_per_rep(star: Star, region: str | None = None) -> DataFrame:
     per_rep = s.accounts.groupBy(F.col("sales_rep_id").alias("rep_id")).agg(
         F.count(F.lit(1)).alias("n"))
     reps = rep_dim(s, "inner")
-    return (per_rep.join(small(s, "dim.reps.inner", reps), "rep_id")
+    return (per_rep.join(small(s, "sales_reps", reps), "rep_id")
             .groupBy("rep_name").agg(F.sum("n").alias("account_count"))
             .orderBy("rep_name"))
 

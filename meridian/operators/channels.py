@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.plans.scope import account_dim, account_ids, rollup, scope_region
+from meridian.plans.scope import account_dim, account_ids, rollup, scope_region, small
 from meridian.sources.star import Star
 
 # Channel names of the web_events table, in the reference's legend order.
@@ -28,7 +28,7 @@ def rep_channel_counts(star: Star, region: str | None = None) -> DataFrame:
     s = scope_region(star, region)
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("sales_rep_id").alias("rep_id"))
     reps = s.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("sales_rep_name"))
-    dim = acc.join(F.broadcast(reps) if s.fits("reps", reps) else reps, "rep_id").drop("rep_id")
+    dim = acc.join(small(s, "sales_reps", reps), "rep_id").drop("rep_id")
     out = rollup(s, _events(s), dim, ["sales_rep_name", "channel"],
                  {"number_of_occurrences": ("count", "one")})
     return out.orderBy(F.col("number_of_occurrences").desc(), "sales_rep_name", "channel")

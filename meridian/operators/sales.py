@@ -18,7 +18,7 @@ from meridian.sources.star import PRODUCTS, Star
 
 
 def _amounts(orders: DataFrame) -> DataFrame:
-    return orders.select("id", "account_id", "occurred_at", E.money("total_amt_usd").alias("amt"))
+    return orders.select("id", "account_id", "occurred_at", E.cents("total_amt_usd").alias("amt"))
 
 
 def _region_totals(s: Star) -> DataFrame:
@@ -128,8 +128,8 @@ def best_month(star: Star, account: str, measure: str = "gloss_amt_usd",
     s = scope_region(star, region)
     acc = s.accounts.filter(F.col("name") == F.lit(account)).select(
         F.col("id").alias("account_id"), F.col("name").alias("account_name"))
-    o = s.detailed_orders.select("account_id", "occurred_at", E.money(measure).alias("amt"))
-    j = o.join(small(s, f"best_month.{account}", acc), "account_id")
+    o = s.detailed_orders.select("account_id", "occurred_at", E.cents(measure).alias("amt"))
+    j = o.join(small(s, "accounts", acc), "account_id")
     out_col = measure.replace("_amt_usd", "") + "_total_usd"
     return (j.groupBy("account_name", E.year("occurred_at").alias("year"),
                       E.month("occurred_at").alias("month"))
@@ -150,7 +150,7 @@ def rep_contribution(star: Star, region: str | None = None) -> DataFrame:
             .select("region_name", F.col("rep_name").alias("sales_representative"),
                     "num_orders", E.usd("total").alias("total_amt_usd"),
                     E.usd("region_total").alias("region_total_amt_usd"),
-                    E.percent("total", "region_total", in_scale=2)
+                    E.percent("total", "region_total")
                     .alias("contribution_percent_of_region"))
             .orderBy(F.col("region_name").asc_nulls_last(),
                      F.col("contribution_percent_of_region").desc_nulls_last()))
@@ -211,7 +211,7 @@ def unit_prices(star: Star, region: str | None = None, min_standard: float = 100
     o = s.detailed_orders.filter(F.col("standard_qty") > min_standard)
     if min_poster is not None:
         o = o.filter(F.col("poster_qty") > min_poster)
-    o = o.select("account_id", (E.usd("total_amt_usd")
+    o = o.select("account_id", (F.col("total_amt_usd").cast("double")
                                 / (F.col("total").cast("double") + F.lit(0.01)))
                  .alias("unit_price"))
     dim = account_dim(s, "inner").select("account_id", "account_name",
@@ -226,7 +226,7 @@ def mean_product_amounts(star: Star, region: str | None = None) -> DataFrame:
     """Mean standard / gloss / poster USD per account *name* (namesakes merge; accounts
     without orders are absent)."""
     s = scope_region(star, region)
-    o = s.detailed_orders.select("account_id", *[E.money(f"{p}_amt_usd").alias(p)
+    o = s.detailed_orders.select("account_id", *[E.cents(f"{p}_amt_usd").alias(p)
                                                  for p in PRODUCTS])
     dim = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     measures = {}

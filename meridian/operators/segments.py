@@ -102,7 +102,7 @@ def _stats(s: Star, ddof: int) -> DataFrame:
     return base.select(
         "account_id", "total_orders", "spent",
         E.mean("spent", "n_amt").alias("avg_amt"),
-        E.half_up_decimal("spent", "n_amt", dp=4, in_scale=2).alias("avg4"),
+        E.half_up_decimal("spent", F.col("n_amt") * 100, dp=4).alias("avg4"),
         F.round("std", 4).cast("decimal(38,4)").alias("std4"))
 
 
@@ -114,9 +114,12 @@ def _volume(cuts: tuple[int, int]) -> Column:
 def _segment_aggs() -> list[Column]:
     # Means of per-account means / standard deviations: each taken at 4 dp and summed as
     # decimals, so the result does not depend on addition order.
+    def mean_of(c: str) -> Column:
+        return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
+
     return [F.count("account_id").alias("num_accounts"),
-            E.mean(F.sum("avg4"), F.count("avg4")).alias("avg_order_size_usd"),
-            E.mean(F.sum("std4"), F.count("std4")).alias("avg_order_std_dev_usd")]
+            mean_of("avg4").alias("avg_order_size_usd"),
+            mean_of("std4").alias("avg_order_std_dev_usd")]
 
 
 def volume_segments(star: Star, region: str | None = None, cuts: tuple[int, int] = (50, 10),

@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 from meridian.sources.star import Star
 
 
-def small(star: Star, key: str, df: DataFrame) -> DataFrame:
-    """Broadcast-hint ``df`` only when a row count proved it small; else leave it to Spark."""
-    return F.broadcast(df) if star.fits(key, df) else df
+def small(star: Star, table: str, df: DataFrame) -> DataFrame:
+    """Broadcast-hint ``df``, a subset of dimension ``table`` (or that table joined to a parent
+    on its key), only when the table is proven small; else leave the join to Spark."""
+    return F.broadcast(df) if star.fits(table) else df
 
 
 def scope_region(star: Star, region: str | None) -> Star:
     """Star limited to one region by name (bound as a literal, never spliced into SQL)."""
     if region is None:
         return star
+    star.fits("accounts")  # counted once on the full star, inherited by every scoped star
     reg = star.region.filter(F.col("name") == F.lit(region))
     reg_ids = reg.select(F.col("id").alias("region_id"))
-    reps = star.sales_reps.join(small(star, "scope.region", reg_ids), "region_id", "left_semi")
+    reps = star.sales_reps.join(small(star, "region", reg_ids), "region_id", "left_semi")
     rep_ids = reps.select(F.col("id").alias("sales_rep_id"))
-    accounts = star.accounts.join(small(star, f"scope.reps.{region}", rep_ids),
+    accounts = star.accounts.join(small(star, "sales_reps", rep_ids),
                                   "sales_rep_id", "left_semi")
     return star.narrowed(region=reg, sales_reps=reps, accounts=accounts, scope=region)
 
@@ -38,7 +40,7 @@ def rep_dim(star: Star, how: str = "inner") -> DataFrame:
     reg = star.region.select(F.col("id").alias("region_id"), F.col("name").alias("region_name"))
     reps = star.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("rep_name"),
                                   "region_id")
-    return reps.join(small(star, "dim.region", reg), "region_id", how).drop("region_id")
+    return reps.join(small(star, "region", reg), "region_id", how).drop("region_id")
 
 
 def account_dim(star: Star, how: str = "inner", *cols: str) -> DataFrame:
@@ -51,7 +53,7 @@ def account_dim(star: Star, how: str = "inner", *cols: str) -> DataFrame:
                                F.col("name").alias("account_name"),
                                F.col("sales_rep_id").alias("rep_id"), *cols)
     reps = rep_dim(star, how)
-    return acc.join(small(star, f"dim.reps.{how}", reps), "rep_id", how).drop("rep_id")
+    return acc.join(small(star, "sales_reps", reps), "rep_id", how).drop("rep_id")
 
 
 def account_ids(star: Star) -> DataFrame:
@@ -62,7 +64,7 @@ def in_scope(star: Star, facts: DataFrame) -> DataFrame:
     """Facts whose account lies in the star's scope; all facts when unscoped."""
     if star.scope is None:
         return facts
-    return facts.join(small(star, "accounts.ids", account_ids(star)), "account_id", "left_semi")
+    return facts.join(small(star, "accounts", account_ids(star)), "account_id", "left_semi")
 
 
 # ---- rolling facts up through the account dimension ---------------------------------------
@@ -74,7 +76,7 @@ _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 def accounts_fit(star: Star) -> bool:
     """Every account-keyed dimension has at most one row per account, so a proven bound on
     the accounts table bounds them all."""
-    return star.fits("accounts", star.accounts)
+    return star.fits("accounts")
 
 
 def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],

@@ -12,6 +12,9 @@ from meridian.sources import schema as S
 # Split columns of an order: quantity and amount per product.
 PRODUCTS = ("standard", "gloss", "poster")
 
+# Dimension tables whose size is checked before anything derived from them is broadcast.
+DIMS = ("region", "sales_reps", "accounts")
+
 
 @dataclass(frozen=True, eq=False)
 class Star:
@@ -41,14 +44,29 @@ class Star:
     def detailed_orders(self) -> DataFrame:
         return self.orders if self.orders_detail is None else self.orders_detail
 
-    def fits(self, key: str, df: DataFrame) -> bool:
-        """True when ``df`` has at most ``broadcast_rows`` rows (counted once per key)."""
-        if key not in self._fits:
-            self._fits[key] = df.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
-        return self._fits[key]
+    def fits(self, table: str) -> bool:
+        """True when dimension table ``table`` (region, sales_reps or accounts) has at most
+        ``broadcast_rows`` rows.
+
+        Every frame the analyses broadcast is a subset of one of these tables, or one of them
+        joined to a parent on its primary key, so this bound is the bound of what is sent.
+        The three are counted together in one job, each through a limit, so the count stops
+        at ``broadcast_rows + 1`` however big the table is; a narrowed star inherits it."""
+        if table not in self._fits:
+            cap = self.broadcast_rows + 1
+            parts = [getattr(self, t).limit(cap).select(F.lit(t).alias("t")) for t in DIMS]
+            union = parts[0]
+            for p in parts[1:]:
+                union = union.unionAll(p)
+            counts = dict(union.groupBy("t").count().collect())  # three rows at most
+            for t in DIMS:
+                self._fits.setdefault(t, counts.get(t, 0) <= self.broadcast_rows)
+        return self._fits[table]
 
     def narrowed(self, **frames) -> "Star":
-        return replace(self, _fits={}, **frames)
+        """Same star with some tables replaced by subsets of themselves; the proven bounds
+        still hold for the subsets."""
+        return replace(self, _fits=dict(self._fits), **frames)
 
     # ---- readers -------------------------------------------------------------------------
 
@@ -111,13 +129,14 @@ class Star:
         split = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
             *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).cast("long")
               .alias(f"{p}_qty") for p, f in flags.items()],
-            *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice").cast(S.MONEY)))
-              .cast(S.MONEY).alias(f"{p}_amt_usd") for p, f in flags.items()])
+            *[F.sum(F.when(F.col("l_returnflag") == f,
+                           (F.col("l_extendedprice").cast(S.MONEY) * 100).cast("long")))
+              .alias(f"{p}_cents") for p, f in flags.items()])
         detail = orders.join(split, "id", "left").select(
             "id", "account_id", "occurred_at",
             *[F.coalesce(f"{p}_qty", F.lit(0).cast("long")).alias(f"{p}_qty") for p in PRODUCTS],
-            *[F.coalesce(f"{p}_amt_usd", F.lit(0).cast(S.MONEY)).alias(f"{p}_amt_usd")
-              for p in PRODUCTS],
+            *[(F.coalesce(f"{p}_cents", F.lit(0).cast("long")).cast("decimal(20,0)") / 100)
+              .cast(S.MONEY).alias(f"{p}_amt_usd") for p in PRODUCTS],
             "total_amt_usd")
         detail = detail.withColumn(
             "total", F.col("standard_qty") + F.col("gloss_qty") + F.col("poster_qty"))
