@@ -69,11 +69,11 @@ def sales_by_year(star: Star, region: str | None = None) -> DataFrame:
 
 def sales_year_extremes(star: Star, region: str | None = None) -> DataFrame:
     """Two rows, kind 'lowest' and 'highest': the year with the least / most order USD.
-    Ties go to the earlier year."""
+    Ties go to the earlier year; an empty scope gives no rows."""
     yearly = sales_by_year(star, region).filter(F.col("total_usd").isNotNull())
     lo = F.min(F.struct("total_usd", "year"))
     hi = F.max(F.struct(F.col("total_usd"), (-F.col("year")).alias("neg_year")))
-    both = yearly.agg(lo.alias("lo"), hi.alias("hi"))
+    both = yearly.agg(lo.alias("lo"), hi.alias("hi")).filter(F.col("lo").isNotNull())
     return both.select(F.inline(F.array(
         F.struct(F.lit("lowest").alias("kind"), F.col("lo.year").alias("year"),
                  F.col("lo.total_usd").alias("total_usd")),
