@@ -34,20 +34,27 @@ def _plain_accounts(s: Star) -> DataFrame:
     return s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
 
 
-def _top_distinct(df: DataFrame, c: str, k: int) -> DataFrame:
-    """The ``k`` largest distinct values of ``c`` (NULL counts as one value, last) with their
-    dense rank: at most ``k`` rows, hence safe to broadcast."""
-    top = (df.select(F.col(c).alias("_v")).distinct()
-           .orderBy(F.col("_v").desc_nulls_last()).limit(k))
-    return top.withColumn(
-        "_rank", F.row_number().over(Window.orderBy(F.col("_v").desc_nulls_last())))
+def _top_ranks(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """(_m, _v, _rank): for each column ``cols[_m]``, its ``k`` largest distinct values ``_v``
+    with their dense rank (NULL is one value, ranked last). At most ``k`` rows per column,
+    hence a proven broadcast bound.
 
+    All columns are ranked in one branch: the values are stacked as (column index, value)
+    pairs, de-duplicated (a distributed aggregate), and ranked per column index with
+    ``dense_rank() <= k``, which Spark evaluates with a per-partition group limit before the
+    final per-column step, so no task ever holds more than k values per input partition."""
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_m"), F.col(c).cast("long").alias("_v"))
+        for i, c in enumerate(cols)])))
+    w = Window.partitionBy("_m").orderBy(F.col("_v").desc_nulls_last())
+    return (pairs.distinct().withColumn("_rank", F.dense_rank().over(w))
+            .filter(F.col("_rank") <= k))
 
-def _rank_of(df: DataFrame, c: str, k: int, out: str) -> DataFrame:
-    top = _top_distinct(df, c, k).withColumnRenamed("_v", f"_v_{out}").withColumnRenamed(
-        "_rank", out)
-    return df.join(F.broadcast(top), df[c].eqNullSafe(top[f"_v_{out}"]), "left").drop(
-        f"_v_{out}")
+
+def _attach_rank(df: DataFrame, ranks: DataFrame, i: int, c: str, out: str) -> DataFrame:
+    top = ranks.filter(F.col("_m") == i).select(F.col("_v").alias(f"_v{i}"),
+                                                F.col("_rank").alias(out))
+    return df.join(F.broadcast(top), df[c].eqNullSafe(top[f"_v{i}"]), "left").drop(f"_v{i}")
 
 
 def _rank_label(rank: str, cuts: tuple[int, int], labels: tuple[str, str, str]) -> Column:
@@ -62,11 +69,14 @@ def rank_segments(star: Star, region: str | None = None,
 
     Only ranks up to ``max(cuts)`` matter, so instead of a global window (one task holding
     every account) the top distinct values are found with a distributed top-k, numbered, and
-    broadcast back; every other account gets the last label."""
+    broadcast back; every other account gets the last label. The per-account summary feeds
+    both the ranking branch and the output through the same orders exchange, which Spark
+    reuses, so orders are scanned and shuffled once."""
     s = scope_region(star, region)
     base = _accounts_with_orders(s, _plain_accounts(s))
-    k = max(cuts)
-    ranked = _rank_of(_rank_of(base, "total_orders", k, "_order_rank"), "spent", k, "_spend_rank")
+    ranks = _top_ranks(base, ["total_orders", "spent"], max(cuts))
+    ranked = _attach_rank(_attach_rank(base, ranks, 0, "total_orders", "_order_rank"),
+                          ranks, 1, "spent", "_spend_rank")
     return (ranked.select(
         "account_name", "total_orders", E.usd("spent").alias("total_spend"),
         _rank_label("_order_rank", cuts, ORDER_ACTIVITY).alias("order_activity_segment"),
