@@ -50,11 +50,10 @@ class Star:
 
         Every frame the analyses broadcast is a subset of one of these tables, or one of them
         joined to a parent on its primary key, so this bound is the bound of what is sent.
-        The three are counted together in one job, each through a limit, so the count stops
-        at ``broadcast_rows + 1`` however big the table is; a narrowed star inherits it."""
+        The three are counted together in one job; the count projects no column, so on
+        Parquet it is answered from row-group metadata. A narrowed star inherits the result."""
         if table not in self._fits:
-            cap = self.broadcast_rows + 1
-            parts = [getattr(self, t).limit(cap).select(F.lit(t).alias("t")) for t in DIMS]
+            parts = [getattr(self, t).select(F.lit(t).alias("t")) for t in DIMS]
             union = parts[0]
             for p in parts[1:]:
                 union = union.unionAll(p)
