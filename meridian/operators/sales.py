@@ -126,10 +126,11 @@ def best_month(star: Star, account: str, measure: str = "gloss_amt_usd",
     """The (year, month) with the highest total of ``measure`` for accounts named ``account``.
     One row; ties go to the earlier month."""
     s = scope_region(star, region)
-    acc = s.accounts.filter(F.col("name") == F.lit(account)).select(
-        F.col("id").alias("account_id"), F.col("name").alias("account_name"))
+    named = s.narrowed(accounts=s.accounts.filter(F.col("name") == F.lit(account)))
+    acc = named.accounts.select(F.col("id").alias("account_id"),
+                                F.col("name").alias("account_name"))
     o = s.detailed_orders.select("account_id", "occurred_at", E.cents(measure).alias("amt"))
-    j = o.join(small(s, "accounts", acc), "account_id")
+    j = o.join(small(named, "accounts", acc), "account_id")  # a few accounts: map-side join
     out_col = measure.replace("_amt_usd", "") + "_total_usd"
     return (j.groupBy("account_name", E.year("occurred_at").alias("year"),
                       E.month("occurred_at").alias("month"))

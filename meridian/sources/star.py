@@ -51,7 +51,7 @@ class Star:
         Every frame the analyses broadcast is a subset of one of these tables, or one of them
         joined to a parent on its primary key, so this bound is the bound of what is sent.
         The three are counted together in one job; the count projects no column, so on
-        Parquet it is answered from row-group metadata. A narrowed star inherits the result."""
+        Parquet it is answered from row-group metadata."""
         if table not in self._fits:
             parts = [getattr(self, t).select(F.lit(t).alias("t")) for t in DIMS]
             union = parts[0]
@@ -63,9 +63,10 @@ class Star:
         return self._fits[table]
 
     def narrowed(self, **frames) -> "Star":
-        """Same star with some tables replaced by subsets of themselves; the proven bounds
-        still hold for the subsets."""
-        return replace(self, _fits=dict(self._fits), **frames)
+        """Same star with some tables replaced by subsets of themselves. A table proven small
+        stays proven; one that was too big is counted again, since its subset (one region's
+        accounts, one account name) may well be small."""
+        return replace(self, _fits={k: v for k, v in self._fits.items() if v}, **frames)
 
     # ---- readers -------------------------------------------------------------------------
 

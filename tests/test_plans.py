@@ -72,3 +72,18 @@ def test_without_a_size_bound_nothing_is_hinted(big_star, spark):
 def test_order_gaps_needs_no_sort(star):
     p = plan(op.order_gaps(star).drop("avg_days_between_orders"))
     assert "Window" not in p
+
+
+def test_subset_of_a_big_table_is_counted_again(spark):
+    """Accounts too big to broadcast, but one account name (or one region's accounts) is
+    small: the subset is counted on its own and joined map-side, orders are not shuffled."""
+    star = Star.from_testdata(spark, SF_DIR)
+    star._fits.update(region=True, sales_reps=True, accounts=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(op.best_month(star, "Customer#000000055"))
+        assert "BroadcastHashJoin" in p
+        p = plan(op.sales_by_year(star, "ASIA"))
+        assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
