@@ -136,7 +136,10 @@ def label_by_cuts(cuts: Sequence[tuple[Column, str]], default: str) -> Column:
 
 
 def month_name(c: str | Column) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), col(c).cast("int"))
+    """English month name; NULL for a NULL month. (``element_at`` over a literal array
+    answers a NULL index from a column with the last element, so NULL is handled first.)"""
+    names = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), col(c).cast("int"))
+    return F.when(col(c).isNotNull(), names)
 
 
 def like(c: str | Column, prefix: str | None, contains: str | None, ignore_case: bool) -> Column:

@@ -173,7 +173,9 @@ def quarterly_change(star: Star, region: str | None = None) -> DataFrame:
     q = o.groupBy("account_id", E.year("occurred_at").alias("order_year"),
                   E.quarter("occurred_at").alias("order_quarter")).agg(
         *[F.sum(f"{p}_qty").cast("long").alias(p) for p in PRODUCTS])
-    w = Window.partitionBy("account_id").orderBy("order_year", "order_quarter")
+    # an order without a time forms a NULL period, placed first
+    w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first(),
+                                                 F.col("order_quarter").asc_nulls_first())
     q = q.select("account_id", "order_year", "order_quarter", *[
         F.when(F.lag(p).over(w).isNull(), F.lit(0).cast("long"))
         .otherwise(F.col(p) - F.lag(p).over(w)).alias(f"quarterly_{p}_qty_growth")
@@ -191,7 +193,7 @@ def yearly_change(star: Star, region: str | None = None) -> DataFrame:
     o = _amounts(in_scope(s, s.orders))
     y = o.groupBy("account_id", E.year("occurred_at").alias("order_year")).agg(
         F.sum("amt").alias("total"))
-    w = Window.partitionBy("account_id").orderBy("order_year")
+    w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first())
     prev = F.lag("total").over(w)
     y = y.select("account_id", "order_year", E.usd("total").alias("total_order_amount"),
                  F.when(prev.isNull(), F.lit(0.0))

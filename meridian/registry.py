@@ -360,9 +360,11 @@ register("high_growth", lambda s: op.high_growth(s, per_year=GROWTH_PER_YEAR),
 
 register("order_gaps", op.order_gaps,
          _q(", d AS (SELECT account_id, occurred_at, LAG(occurred_at) OVER "
-            "(PARTITION BY account_id ORDER BY occurred_at) AS prev FROM st_orders), "
+            "(PARTITION BY account_id ORDER BY occurred_at) AS prev FROM st_orders "
+            "WHERE occurred_at IS NOT NULL), "
             "g AS (SELECT account_id, SUM(date_diff('day', prev, occurred_at)) AS s, "
-            "COUNT(*) AS n FROM d WHERE prev IS NOT NULL GROUP BY account_id) "
+            "COUNT(date_diff('day', prev, occurred_at)) AS n FROM d WHERE prev IS NOT NULL "
+            "GROUP BY account_id) "
             "SELECT a.name AS account_name, a.website, a.primary_poc AS primary_contact, "
             + half_up("s", "n") + " AS avg_days_between_orders "
             "FROM g JOIN st_accounts a ON g.account_id = a.id"))
@@ -391,7 +393,8 @@ register("quarterly_change", op.quarterly_change,
          _q(f", q AS (SELECT account_id, {_YEAR} AS order_year, "
             f"CAST(quarter(occurred_at) AS BIGINT) AS order_quarter, {_QCOLS} FROM st_orders_d "
             f"GROUP BY 1, 2, 3), g AS (SELECT account_id, order_year, order_quarter, {_QLAG} "
-            "FROM q WINDOW w AS (PARTITION BY account_id ORDER BY order_year, order_quarter)) "
+            "FROM q WINDOW w AS (PARTITION BY account_id ORDER BY order_year NULLS FIRST, "
+            "order_quarter NULLS FIRST)) "
             "SELECT a.name AS account_name, order_year, order_quarter, "
             + ", ".join(f"quarterly_{p}_qty_growth" for p in _SPLIT)
             + " FROM g JOIN st_accounts a ON g.account_id = a.id"))
@@ -399,7 +402,7 @@ register("quarterly_change", op.quarterly_change,
 register("yearly_change", op.yearly_change,
          _q(f", y AS (SELECT account_id, {_YEAR} AS order_year, SUM(total_amt_usd) AS total "
             "FROM st_orders GROUP BY 1, 2), g AS (SELECT account_id, order_year, total, "
-            "LAG(total) OVER (PARTITION BY account_id ORDER BY order_year) AS prev FROM y) "
+            "LAG(total) OVER (PARTITION BY account_id ORDER BY order_year NULLS FIRST) AS prev FROM y) "
             f"SELECT a.name AS account_name, order_year, {usd('total')} AS total_order_amount, "
             f"CASE WHEN prev IS NULL THEN 0.0 ELSE {usd('total - prev')} END "
             "AS year_over_year_order_amount_change FROM g JOIN st_accounts a "
