@@ -118,13 +118,21 @@ def _ts_literal(df: DataFrame, name: str, y: int) -> Column:
     return F.lit(datetime(y, 1, 1).strftime("%Y-%m-%d %H:%M:%S")).cast(df.schema[name].dataType)
 
 
-def in_years(df: DataFrame, name: str, years: Iterable[int]) -> Column:
-    """``year(name) IN years`` as OR-ed half-open ranges, which Parquet can push down."""
+def in_years(df: DataFrame, name: str, years: Iterable[int],
+             partition_col: str = "order_year") -> Column:
+    """``year(name) IN years`` as OR-ed half-open ranges, which Parquet can push down; when
+    the frame carries the year partition column, also a test on it, which prunes directories
+    (the two agree, the partition column being the year of ``name``)."""
+    years = sorted(set(years))
     cond = None
-    for y in sorted(set(years)):
+    for y in years:
         part = (F.col(name) >= _ts_literal(df, name, y)) & (F.col(name) < _ts_literal(df, name, y + 1))
         cond = part if cond is None else cond | part
-    return cond if cond is not None else F.lit(False)
+    if cond is None:
+        return F.lit(False)
+    if partition_col in df.columns:
+        cond = F.col(partition_col).isin(years) & cond
+    return cond
 
 
 def label_by_cuts(cuts: Sequence[tuple[Column, str]], default: str) -> Column:

@@ -15,6 +15,9 @@ PRODUCTS = ("standard", "gloss", "poster")
 # Dimension tables whose size is checked before anything derived from them is broadcast.
 DIMS = ("region", "sales_reps", "accounts")
 
+# Partition column of stored orders (see Star.write_tables); Spark appends it when reading.
+ORDER_YEAR = "order_year"
+
 
 @dataclass(frozen=True, eq=False)
 class Star:
@@ -68,12 +71,29 @@ class Star:
         accounts, one account name) may well be small."""
         return replace(self, _fits={k: v for k, v in self._fits.items() if v}, **frames)
 
+    # ---- sink ----------------------------------------------------------------------------
+
+    def write_tables(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+        """Write the five tables under ``path`` in the layout :meth:`from_tables` reads.
+
+        Orders (with their product split) are partitioned by ``order_year``, so a year filter
+        prunes whole directories. Each task sorts its rows by year before writing, so it writes
+        one file per year it holds: no shuffle, and no task receives a whole (possibly huge)
+        year."""
+        for name in ("region", "sales_reps", "accounts", "web_events"):
+            getattr(self, name).write.format(fmt).mode(mode).save(f"{path}/{name}.{fmt}")
+        orders = self.detailed_orders.drop(ORDER_YEAR).withColumn(
+            ORDER_YEAR, F.year("occurred_at"))
+        (orders.sortWithinPartitions(ORDER_YEAR).write.format(fmt).mode(mode)
+         .partitionBy(ORDER_YEAR).save(f"{path}/orders.{fmt}"))
+
     # ---- readers -------------------------------------------------------------------------
 
     @classmethod
     def from_tables(cls, spark: SparkSession, path: str, fmt: str = "parquet", **kw) -> "Star":
         """Read ``region``, ``sales_reps``, ``accounts``, ``orders``, ``web_events`` under ``path``
-        (one directory or file per table) with the fixed schemas."""
+        (one directory or file per table) with the fixed schemas. Orders written by
+        :meth:`write_tables` come back with their ``order_year`` partition column."""
         def read(name: str) -> DataFrame:
             reader = spark.read.schema(S.TABLES[name])
             if fmt == "csv":

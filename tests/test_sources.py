@@ -53,3 +53,21 @@ def test_parquet_star_roundtrip(spark, tmp_path):
     again = Star.from_tables(spark, str(out))
     assert sorted(op.sales_by_year(again).collect()) == sorted(op.sales_by_year(star).collect())
     assert os.path.isdir(out / "orders.parquet")
+
+
+def test_written_star_prunes_years(spark, tmp_path):
+    from tests.fixture import build
+    src = tmp_path / "src"
+    src.mkdir()
+    build(str(src))
+    star = Star.from_testdata(spark, str(src))
+    star.write_tables(str(tmp_path / "star"))
+    again = Star.from_tables(spark, str(tmp_path / "star"))
+    assert "order_year" in again.orders.columns
+    for fn in (op.sales_by_year, op.lifetime_value, op.quarterly_change, op.rank_segments):
+        assert sorted(fn(again).collect()) == sorted(fn(star).collect())
+    df = op.sales_by_month(again, years=(1995, 1999), detail=True)
+    assert sorted(df.collect()) == sorted(
+        op.sales_by_month(star, years=(1995, 1999), detail=True).collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [order_year" in plan and "IN (1995,1999)" in plan
