@@ -9,12 +9,12 @@ from meridian.sources.star import Star
 
 FILES = {
     "region.csv": ['"id","name"', '"1","Northeast"', '"2","Midwest"'],
-    "sales_reps.csv": ['"id","name","region_id"', '"10","Samuel Racine","1"',
-                       '"11","Kathleen Lalonde","2"', '"12","Sibyl Lauria","2"'],
+    "sales_reps.csv": ['"id","name","region_id"', '"10","Sam Ortiz","1"',
+                       '"11","Kira Lund","2"', '"12","Sian Bell","2"'],
     "accounts.csv": ['"id","name","website","primary_poc","sales_rep_id"',
-                     '"1001","Walmart","www.walmart.com","Tamara Tuma","10"',
-                     '"1011","Exxon Mobil","www.exxonmobil.com","Sung Shields","11"',
-                     '"1021","Apple","www.apple.com","Jodee Lupo","12"'],
+                     '"1001","Acme","www.acme.example","Ana Ruiz","10"',
+                     '"1011","Globex","www.globex.example","Bo Chen","11"',
+                     '"1021","Initech","www.initech.example","Cy Diaz","12"'],
     "orders.csv": ['"id","account_id","occurred_at","standard_qty","gloss_qty","poster_qty","total",'
                    '"standard_amt_usd","gloss_amt_usd","poster_amt_usd","total_amt_usd"',
                    '"1","1001","2015-10-06 17:31:14","123","22","24","169","613.77","164.78","194.88","973.43"',
@@ -33,14 +33,14 @@ def test_csv_star(spark, tmp_path):
     got = {r["region_name"]: r["total_sales"] for r in op.sales_by_region(star).collect()}
     assert got == {"Northeast": 973.43 + 1718.03, "Midwest": 776.18}
     roster = [r["account_name"] for r in op.account_roster(star, "Midwest", rep_prefix="S").collect()]
-    assert roster == ["Apple"]
+    assert roster == ["Initech"]
     assert [r["account_name"] for r in
-            op.account_roster(star, "Midwest", rep_contains="K").collect()] == ["Exxon Mobil"]
+            op.account_roster(star, "Midwest", rep_contains="K").collect()] == ["Globex"]
     assert [r["account_name"] for r in op.account_roster(
-        star, "Midwest", rep_contains="k", ignore_case=True).collect()] == ["Exxon Mobil"]
+        star, "Midwest", rep_contains="k", ignore_case=True).collect()] == ["Globex"]
     prices = op.unit_prices(star, min_standard=100, min_poster=50).collect()
     assert [(r["account_name"], round(r["unit_price"], 4)) for r in prices] == [
-        ("Walmart", round(1718.03 / 288.01, 4))]
+        ("Acme", round(1718.03 / 288.01, 4))]
 
 
 def test_parquet_star_roundtrip(spark, tmp_path):
