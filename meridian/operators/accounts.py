@@ -7,11 +7,12 @@ more than its map-side partial aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import exprs as E
-from meridian.plans.scope import (accounts_fit, in_scope, rep_dim, scope_region, small)
+from meridian.plans.scope import (accounts_fit, early_scope, per_account, rep_dim,
+                                  scope_region, small)
 from meridian.sources.star import Star
 
 
@@ -27,11 +28,12 @@ def account_roster(star: Star, region: str | None = None, rep_prefix: str | None
     reps whose name starts with / contains a pattern; by account name."""
     s = scope_region(star, region)
     reps = rep_dim(s, "inner").filter(E.like("rep_name", rep_prefix, rep_contains, ignore_case))
-    acc = s.accounts.select(F.col("sales_rep_id").alias("rep_id"),
+    acc = s.accounts.select("id", F.col("sales_rep_id").alias("rep_id"),
                             F.col("name").alias("account_name"))
     return (acc.join(small(s, "sales_reps", reps), "rep_id")
-            .select(F.col("region_name").alias("region"), "rep_name", "account_name")
-            .orderBy(F.col("account_name").asc_nulls_last()))
+            .select(F.col("region_name").alias("region"), "rep_name", "account_name", "id")
+            .orderBy(F.col("account_name").asc_nulls_last(), "id")  # id splits namesakes
+            .drop("id"))
 
 
 def accounts_per_rep(star: Star, region: str | None = None) -> DataFrame:
@@ -58,7 +60,7 @@ def lifetime_value(star: Star, region: str | None = None, marker: bool = False)
     accounts without orders get 0 orders and NULL amounts. ``marker`` adds marker_size =
     mean order, or 1 where there is none (the metric itself stays NULL)."""
     s = scope_region(star, region)
-    per = _per_account(in_scope(s, s.orders))
+    per = _per_account(early_scope(s, s.orders))  # the left join below restricts the rest
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     out = acc.join(per, "account_id", "left").select(
         "account_id", "account_name", E.usd("spent").alias("total_spent"),
@@ -73,7 +75,7 @@ def rep_acquisition(star: Star, region: str | None = None) -> DataFrame:
     """Per rep name: accounts held and the year of their earliest order. Reps without
     accounts stay, with 0 and NULL."""
     s = scope_region(star, region)
-    first = in_scope(s, s.orders).groupBy("account_id").agg(
+    first = early_scope(s, s.orders).groupBy("account_id").agg(
         F.min("occurred_at").alias("first_ts"))
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("sales_rep_id").alias("rep_id"))
     per_rep = (acc.join(first, "account_id", "left")
@@ -92,7 +94,7 @@ def churn(star: Star, region: str | None = None) -> DataFrame:
     s = scope_region(star, region)
     ids = s.accounts.select(F.col("id").alias("account_id")).filter(
         F.col("account_id").isNotNull()).distinct()
-    ordering = (in_scope(s, s.orders).select("account_id").distinct()
+    ordering = (early_scope(s, s.orders).select("account_id").distinct()
                 .withColumn("active", F.lit(1)))
     j = ids.join(ordering, "account_id", "left")
     return j.agg(F.count("active").alias("active_customers"),
@@ -106,7 +108,7 @@ def order_gaps(star: Star, region: str | None = None) -> DataFrame:
     Consecutive gaps telescope: their sum is last date - first date, so the mean is
     datediff(max, min) / (n - 1) and needs only a hash aggregate, no sort and no window."""
     s = scope_region(star, region)
-    per = (in_scope(s, s.orders).groupBy("account_id")
+    per = (early_scope(s, s.orders).groupBy("account_id")
            .agg(F.count("occurred_at").alias("n"), F.min("occurred_at").alias("lo"),
                 F.max("occurred_at").alias("hi"))
            .filter(F.col("n") >= 2)
@@ -116,8 +118,11 @@ def order_gaps(star: Star, region: str | None = None) -> DataFrame:
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"),
                             "website", F.col("primary_poc").alias("primary_contact"))
     return (per.join(F.broadcast(acc) if accounts_fit(s) else acc, "account_id")
-            .select("account_name", "website", "primary_contact", "avg_days_between_orders")
-            .orderBy(F.col("avg_days_between_orders").desc_nulls_last(), "account_name"))
+            .select("account_name", "website", "primary_contact", "avg_days_between_orders",
+                    "account_id")
+            .orderBy(F.col("avg_days_between_orders").desc_nulls_last(), "account_name",
+                     "account_id")
+            .drop("account_id"))
 
 
 # Growth labels.
@@ -128,7 +133,7 @@ def high_growth(star: Star, region: str | None = None, per_year: float = 10) ->
     """Accounts active in more than one year with more than ``per_year`` orders per active
     year, most orders first."""
     s = scope_region(star, region)
-    o = in_scope(s, s.orders)
+    o = early_scope(s, s.orders)  # the join with the scope's accounts restricts the rest
     per_year_rows = o.groupBy("account_id", E.year("occurred_at").alias("y")).agg(
         F.count("id").alias("n"), E.money_sum("total_amt_usd").alias("spent"),
         F.count("total_amt_usd").alias("n_amt"))
@@ -144,22 +149,25 @@ def high_growth(star: Star, region: str | None = None, per_year: float = 10) ->
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     return (per.join(F.broadcast(acc) if accounts_fit(s) else acc, "account_id")
             .select("account_name", "first_order_year", "last_order_year", "total_orders",
-                    "order_years_count", "avg_order_amt_usd", "growth_category")
-            .orderBy(F.col("total_orders").desc_nulls_last(), "account_name"))
+                    "order_years_count", "avg_order_amt_usd", "growth_category", "account_id")
+            .orderBy(F.col("total_orders").desc_nulls_last(), "account_name", "account_id")
+            .drop("account_id"))
 
 
 def top_mean_accounts(star: Star, region: str | None = None) -> DataFrame:
     """Account(s) with the highest mean order, ties kept.
 
-    ``rank() == 1`` over the per-account means: Spark prunes each partition to its local
-    ties (WindowGroupLimit) before the single-task step, and the mean is computed once from
-    an exact decimal sum, so equality with the maximum does not hang on addition order."""
+    The maximum is a global aggregate (each task sends one partial maximum), exactly one
+    row, broadcast and equi-joined back to the per-account means: tied accounts, however
+    many, stay spread over the tasks. The mean is computed from an exact cents sum, so the
+    two uses of it agree bit for bit."""
     s = scope_region(star, region)
-    per = in_scope(s, s.orders).groupBy("account_id").agg(
-        E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amount"))
-    top = (per.filter(F.col("avg_order_amount").isNotNull())
-           .withColumn("_r", F.rank().over(Window.orderBy(F.col("avg_order_amount").desc())))
-           .filter(F.col("_r") == 1).drop("_r"))
+    per = per_account(s, s.orders, [], [
+        E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amount")])
+    best = per.agg(F.max("avg_order_amount").alias("avg_order_amount"))  # one row
+    top = per.join(F.broadcast(best), "avg_order_amount")
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
-    return (top.join(acc, "account_id").select("account_name", "avg_order_amount")
-            .orderBy(F.col("avg_order_amount").desc(), "account_name"))
+    return (top.join(small(s, "accounts", acc), "account_id")
+            .select("account_name", "avg_order_amount", "account_id")
+            .orderBy(F.col("avg_order_amount").desc(), "account_name", "account_id")
+            .drop("account_id"))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import exprs as E
-from meridian.plans.scope import (account_dim, accounts_fit, in_scope, rollup, scope_region,
-                                  small)
+from meridian.plans.scope import (account_dim, account_ids, accounts_fit, aggregate,
+                                  early_scope, rollup, scope_region, small)
 from meridian.sources.star import PRODUCTS, Star
 
 
@@ -54,16 +54,23 @@ def mean_order_by_region(star: Star, region: str | None = None,
     return out.orderBy(F.col("avg_order_size").desc_nulls_last(), "region_name")
 
 
-def _scoped_orders(star: Star, region: str | None, detailed: bool = False) -> DataFrame:
+def _by_period(star: Star, region: str | None, keys: dict, measures: dict,
+               where=None) -> DataFrame:
+    """Orders aggregated per calendar period ``keys`` (name -> expression). Unscoped it counts
+    every order, also those without an account; scoped, it rolls up through the scope's
+    accounts (map-side when they are proven few, else pre-aggregated per account first)."""
     s = scope_region(star, region)
-    return in_scope(s, s.detailed_orders if detailed else s.orders)
+    o = s.orders if where is None else s.orders.filter(where(s.orders))
+    o = _amounts(o).select("*", *[c.alias(k) for k, c in keys.items()])
+    if s.scope is None:
+        return aggregate(o, list(keys), measures)
+    return rollup(s, o, account_ids(s), list(keys), measures)
 
 
 def sales_by_year(star: Star, region: str | None = None) -> DataFrame:
     """Order USD per calendar year, smallest first. Unscoped it counts every order."""
-    o = _amounts(_scoped_orders(star, region))
-    return (o.groupBy(E.year("occurred_at").alias("year"))
-            .agg(E.usd(F.sum("amt")).alias("total_usd"))
+    return (_by_period(star, region, {"year": E.year("occurred_at")}, {"total": ("sum", "amt")})
+            .select("year", E.usd("total").alias("total_usd"))
             .orderBy(F.col("total_usd").asc_nulls_last(), "year"))
 
 
@@ -85,37 +92,36 @@ def sales_by_month(star: Star, region: str | None = None,
                    years: Iterable[int] = (2013, 2017), detail: bool = False) -> DataFrame:
     """Order USD per (year, month) for the given years; ``detail`` adds mean, count, max and
     a 'yyyy-mm' label. The year filter is a range predicate, so Parquet can skip row groups."""
-    o = _scoped_orders(star, region)
-    o = _amounts(o.filter(E.in_years(o, "occurred_at", years)))
-    aggs = [E.usd(F.sum("amt")).alias("total_usd")]
+    measures = {"total": ("sum", "amt"), "n_amt": ("count", "amt"), "n": ("count", "id"),
+                "mx": ("max", "amt")}
+    per = _by_period(star, region, {"year": E.year("occurred_at"),
+                                    "month": E.month("occurred_at")}, measures,
+                     where=lambda o: E.in_years(o, "occurred_at", years))
+    cols = ["year", "month", E.usd("total").alias("total_usd")]
     if detail:
-        aggs += [E.mean(F.sum("amt"), F.count("amt")).alias("avg_order_amt"),
-                 F.count("id").alias("total_orders"),
-                 E.usd(F.max("amt")).alias("max_order_amt")]
-    out = o.groupBy(E.year("occurred_at").alias("year"),
-                    E.month("occurred_at").alias("month")).agg(*aggs)
-    if detail:
-        out = out.withColumn("year_month", F.format_string("%d-%02d", "year", "month"))
-    return out.orderBy("year", "month")
+        cols += [E.mean("total", "n_amt").alias("avg_order_amt"), F.col("n").alias("total_orders"),
+                 E.usd("mx").alias("max_order_amt"),
+                 F.format_string("%d-%02d", "year", "month").alias("year_month")]
+    return per.select(*cols).orderBy("year", "month")
 
 
 def sales_on_day(star: Star, region: str | None = None, month: int = 1,
                  day: int = 1) -> DataFrame:
     """Order USD per year on one calendar day (default 1 January), smallest first."""
-    o = _amounts(_scoped_orders(star, region))
-    o = o.filter((F.month("occurred_at") == month) & (F.dayofmonth("occurred_at") == day))
-    return (o.groupBy(E.year("occurred_at").alias("year"), E.month("occurred_at").alias("month"),
-                      E.day("occurred_at").alias("day"))
-            .agg(E.usd(F.sum("amt")).alias("total_usd"))
+    keys = {"year": E.year("occurred_at"), "month": E.month("occurred_at"),
+            "day": E.day("occurred_at")}
+    per = _by_period(star, region, keys, {"total": ("sum", "amt")},
+                     where=lambda o: (F.month("occurred_at") == month)
+                     & (F.dayofmonth("occurred_at") == day))
+    return (per.select("year", "month", "day", E.usd("total").alias("total_usd"))
             .orderBy(F.col("total_usd").asc_nulls_last(), "year"))
 
 
 def seasonality(star: Star, region: str | None = None, names: bool = False) -> DataFrame:
     """Order USD per calendar month over all years; ``names`` adds the English month name.
     Unscoped it counts every order, also those without an account."""
-    o = _amounts(_scoped_orders(star, region))
-    out = o.groupBy(E.month("occurred_at").alias("month")).agg(
-        E.usd(F.sum("amt")).alias("total_sales"))
+    out = (_by_period(star, region, {"month": E.month("occurred_at")}, {"total": ("sum", "amt")})
+           .select("month", E.usd("total").alias("total_sales")))
     if names:
         out = out.withColumn("month_name", E.month_name("month"))
     return out.orderBy(F.col("month").asc_nulls_last())
@@ -169,7 +175,7 @@ def quarterly_change(star: Star, region: str | None = None) -> DataFrame:
     """Per account and (year, quarter): change of each product quantity against the account's
     previous quarter *with orders* (gaps are not filled); 0 for its first quarter."""
     s = scope_region(star, region)
-    o = in_scope(s, s.detailed_orders)
+    o = early_scope(s, s.detailed_orders)  # the join with the scope's names restricts the rest
     q = o.groupBy("account_id", E.year("occurred_at").alias("order_year"),
                   E.quarter("occurred_at").alias("order_quarter")).agg(
         *[F.sum(f"{p}_qty").cast("long").alias(p) for p in PRODUCTS])
@@ -182,15 +188,16 @@ def quarterly_change(star: Star, region: str | None = None) -> DataFrame:
         for p in PRODUCTS])
     return (_with_names(s, q)
             .select("account_name", "order_year", "order_quarter",
-                    *[f"quarterly_{p}_qty_growth" for p in PRODUCTS])
-            .orderBy("order_year", "order_quarter", "account_name"))
+                    *[f"quarterly_{p}_qty_growth" for p in PRODUCTS], "account_id")
+            .orderBy("order_year", "order_quarter", "account_name", "account_id")
+            .drop("account_id"))
 
 
 def yearly_change(star: Star, region: str | None = None) -> DataFrame:
     """Per account and year: order USD and its change against the account's previous year
     *with orders*; 0 for its first year."""
     s = scope_region(star, region)
-    o = _amounts(in_scope(s, s.orders))
+    o = _amounts(early_scope(s, s.orders))  # the join with the scope's names restricts the rest
     y = o.groupBy("account_id", E.year("occurred_at").alias("order_year")).agg(
         F.sum("amt").alias("total"))
     w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first())
@@ -199,11 +206,15 @@ def yearly_change(star: Star, region: str | None = None) -> DataFrame:
                  F.when(prev.isNull(), F.lit(0.0))
                  .otherwise(E.usd(F.col("total") - prev))
                  .alias("year_over_year_order_amount_change"))
+    # many rows tie on (year, change) -- every account's first year has change 0 -- so the
+    # account id completes the sort key and the range partitioning splits the ties
     return (_with_names(s, y)
             .select("account_name", "order_year", "total_order_amount",
-                    "year_over_year_order_amount_change")
+                    "year_over_year_order_amount_change", "account_id")
             .orderBy(F.col("order_year").asc_nulls_last(),
-                     F.col("year_over_year_order_amount_change").desc_nulls_last()))
+                     F.col("year_over_year_order_amount_change").desc_nulls_last(),
+                     "account_name", "account_id")
+            .drop("account_id"))
 
 
 def unit_prices(star: Star, region: str | None = None, min_standard: float = 100,
@@ -214,15 +225,17 @@ def unit_prices(star: Star, region: str | None = None, min_standard: float = 100
     o = s.detailed_orders.filter(F.col("standard_qty") > min_standard)
     if min_poster is not None:
         o = o.filter(F.col("poster_qty") > min_poster)
-    o = o.select("account_id", (F.col("total_amt_usd").cast("double")
+    o = o.select("id", "account_id", (F.col("total_amt_usd").cast("double")
                                 / (F.col("total").cast("double") + F.lit(0.01)))
                  .alias("unit_price"))
     dim = account_dim(s, "inner").select("account_id", "account_name",
                                          F.col("region_name").alias("region"))
     j = o.join(F.broadcast(dim) if accounts_fit(s) else dim, "account_id")
     cols = (["region"] if with_region else []) + ["account_name", "unit_price"]
-    out = j.select(*cols)
-    return out.orderBy(F.col("unit_price").desc_nulls_last()) if min_poster is not None else out
+    if min_poster is None:
+        return j.select(*cols)
+    return (j.select(*cols, "id").orderBy(F.col("unit_price").desc_nulls_last(), "id")
+            .drop("id"))
 
 
 def mean_product_amounts(star: Star, region: str | None = None) -> DataFrame:

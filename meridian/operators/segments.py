@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import exprs as E
-from meridian.plans.scope import account_dim, in_scope, scope_region
+from meridian.plans.scope import account_dim, early_scope, per_account, scope_region
 from meridian.sources.star import Star
 
 # Segment labels.
@@ -22,8 +22,9 @@ ACTIVITY = ("High Activity", "Medium Activity", "Low Activity")
 
 
 def _accounts_with_orders(s: Star, dim: DataFrame, **extra: Column) -> DataFrame:
-    """Every account of ``dim`` LEFT JOIN its per-account order aggregate."""
-    per = in_scope(s, s.orders).groupBy("account_id").agg(
+    """Every account of ``dim`` LEFT JOIN its per-account order aggregate (the left join
+    restricts to the scope; orders are filtered earlier only where that is map-side)."""
+    per = early_scope(s, s.orders).groupBy("account_id").agg(
         F.count("id").alias("n"), E.money_sum("total_amt_usd").alias("spent"),
         F.count("total_amt_usd").alias("n_amt"), *[v.alias(k) for k, v in extra.items()])
     return dim.join(per, "account_id", "left").withColumn(
@@ -81,9 +82,10 @@ def rank_segments(star: Star, region: str | None = None,
         "account_name", "total_orders", E.usd("spent").alias("total_spend"),
         _rank_label("_order_rank", cuts, ORDER_ACTIVITY).alias("order_activity_segment"),
         _rank_label("_spend_rank", cuts, SPENDING).alias("spending_segment"),
-        "spent")
-        .orderBy(F.col("total_orders").desc(), F.col("spent").desc_nulls_last(), "account_name")
-        .drop("spent"))
+        "spent", "account_id")
+        .orderBy(F.col("total_orders").desc(), F.col("spent").desc_nulls_last(), "account_name",
+                 "account_id")
+        .drop("spent", "account_id"))
 
 
 def cohort_retention(star: Star, region: str | None = None) -> DataFrame:
@@ -93,8 +95,8 @@ def cohort_retention(star: Star, region: str | None = None) -> DataFrame:
     An account is retained iff the year of its last order is after that of its first, so one
     min/max aggregate per account replaces the join of first orders back to all orders."""
     s = scope_region(star, region)
-    per = in_scope(s, s.orders).groupBy("account_id").agg(
-        F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
+    per = per_account(s, s.orders, [], [F.min("occurred_at").alias("lo"),
+                                        F.max("occurred_at").alias("hi")])
     out = per.groupBy(E.year("lo").alias("first_order_year")).agg(
         F.count("account_id").alias("total_customers"),
         F.count(F.when(E.year("hi") > E.year("lo"), F.col("account_id")))

@@ -60,11 +60,29 @@ def account_ids(star: Star) -> DataFrame:
     return star.accounts.select(F.col("id").alias("account_id"))
 
 
-def in_scope(star: Star, facts: DataFrame) -> DataFrame:
-    """Facts whose account lies in the star's scope; all facts when unscoped."""
-    if star.scope is None:
+def early_scope(star: Star, facts: DataFrame) -> DataFrame:
+    """Drop facts outside the scope before aggregating them, when that is a map-side filter
+    (the scope's accounts are proven small). Otherwise the facts are left whole: callers use
+    this only where a later join with the scope's accounts restricts the per-account rows,
+    so raw facts never meet the accounts in a shuffle join (where a hot account would skew)."""
+    if star.scope is None or not star.fits("accounts"):
         return facts
-    return facts.join(small(star, "accounts", account_ids(star)), "account_id", "left_semi")
+    return facts.join(F.broadcast(account_ids(star)), "account_id", "left_semi")
+
+
+def per_account(star: Star, facts: DataFrame, keys: list, aggs: list) -> DataFrame:
+    """``facts`` aggregated per (account_id, *keys), restricted to the star's scope: filtered
+    map-side first when the scope's accounts are proven small, else aggregated first and the
+    per-account rows then semi-joined to the scope."""
+    if star.scope is None or star.fits("accounts"):
+        return early_scope(star, facts).groupBy("account_id", *keys).agg(*aggs)
+    return (facts.groupBy("account_id", *keys).agg(*aggs)
+            .join(account_ids(star), "account_id", "left_semi"))
+
+
+def aggregate(df: DataFrame, by: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
+    """One-level aggregate of ``measures`` (same specification as :func:`rollup`)."""
+    return df.groupBy(*by).agg(*[_FIRST[k](F.col(c)).alias(n) for n, (k, c) in measures.items()])
 
 
 # ---- rolling facts up through the account dimension ---------------------------------------
