@@ -12,7 +12,8 @@ import pyarrow.parquet as pq
 CHANNELS = ["click", "error", "purchase", "signup", "view", "other"]
 
 
-def build(out_dir: str, seed: int) -> None:
+def build(out_dir: str, seed: int, hot: bool = False) -> None:
+    """``hot``: account 1 holds a third of all orders and events."""
     rng = random.Random(seed)
     maybe = lambda v, p=0.04: None if rng.random() < p else v
 
@@ -26,15 +27,15 @@ def build(out_dir: str, seed: int) -> None:
     start = datetime(1994, 1, 1)
     orders, lines = [], []
     for oid in range(1, 401):
-        cust = maybe(rng.randrange(1, 46), 0.02)
+        cust = 1 if hot and oid % 3 == 0 else maybe(rng.randrange(1, 46), 0.02)
         day = start + timedelta(days=rng.randrange(9 * 365), seconds=rng.choice([0, 86399]))
         price = maybe(round(rng.uniform(500, 500000), 2), 0.03)
         orders.append((oid, cust, price, maybe(day, 0.03)))
         for ln in range(rng.randrange(5)):
             lines.append((oid, ln + 1, float(rng.randrange(0, 101)),
                           round(rng.uniform(1, 90000), 2), rng.choice("ANR")))
-    events = [(i, maybe(rng.randrange(1, 46), 0.03), maybe(rng.choice(CHANNELS), 0.03))
-              for i in range(1, 301)]
+    events = [(i, 1 if hot and i % 3 == 0 else maybe(rng.randrange(1, 46), 0.03),
+               maybe(rng.choice(CHANNELS), 0.03)) for i in range(1, 301)]
 
     def write(name, fields, rows):
         cols = list(zip(*rows))
