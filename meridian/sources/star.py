@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,18 @@ class Star:
         accounts, one account name) may well be small."""
         return replace(self, _fits={k: v for k, v in self._fits.items() if v}, **frames)
 
+    def cache_dimensions(self) -> "Star":
+        """Star whose dimension tables proven small are persisted (memory, spilling to disk),
+        for a session that runs many analyses on one star, as a dashboard does on every view.
+        Facts are never cached; a lost cached block is recomputed from lineage."""
+        frames = {t: getattr(self, t).persist(StorageLevel.MEMORY_AND_DISK)
+                  for t in DIMS if self.fits(t)}
+        return self.narrowed(**frames)
+
+    def unpersist(self) -> None:
+        for t in DIMS:
+            getattr(self, t).unpersist()
+
     # ---- sink ----------------------------------------------------------------------------
 
     def write_tables(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -35,3 +35,21 @@ def test_dashboard_equals_direct_calls(spark, region):
         assert sorted(ds[name].collect()) == sorted(df.collect()), name
     for name, df in ds.items():
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_cached_dimensions(spark):
+    star = Star.from_testdata(spark, SF_DIR)
+    cached = star.cache_dimensions()
+    try:
+        assert cached.region.is_cached and cached.sales_reps.is_cached
+        assert cached.accounts.is_cached  # 1,500 accounts: within the bound
+        assert not cached.orders.is_cached
+        assert sorted(op.sales_by_region(cached).collect()) == sorted(
+            op.sales_by_region(star).collect())
+    finally:
+        cached.unpersist()
+    big = Star.from_testdata(spark, SF_DIR, broadcast_rows=100).cache_dimensions()
+    try:
+        assert big.region.is_cached and not big.accounts.is_cached
+    finally:
+        big.unpersist()
