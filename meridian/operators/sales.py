@@ -1,7 +1,7 @@
 """Sales over time, region and product.
 
 Every function takes a :class:`~meridian.sources.star.Star` and an optional region name and
-returns a lazy DataFrame. Money is summed exactly (decimal) and leaves as double.
+returns a lazy DataFrame. Money is summed exactly (integer cents) and leaves as double.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ def _amounts(orders: DataFrame) -> DataFrame:
 
 
 def _region_totals(s: Star) -> DataFrame:
-    """(region_name, total, n_orders, n_amounts) over orders whose account has a rep in a region."""
+    """(region_name, total cents, number of amounts) over orders whose account has a rep in a
+    region."""
     dim = account_dim(s, "inner").select("account_id", "region_name")
     return rollup(s, _amounts(s.orders), dim, ["region_name"],
                   {"total": ("sum", "amt"), "n_amt": ("count", "amt")})

@@ -103,7 +103,7 @@ def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
     """Aggregate fact rows to the grain ``by`` through an account-keyed dimension.
 
     ``measures`` maps an output name to ``(kind, fact column)``; kinds are re-aggregable:
-    ``sum`` (money columns are already decimal), ``count`` (non-NULL), ``min``, ``max``.
+    ``sum`` (money as integer cents), ``count`` (non-NULL), ``min``, ``max``.
     ``accounts_as`` names an extra output: the number of distinct *matched* accounts;
     ``fact_accounts_as`` one more: distinct non-NULL account ids of the facts, matched or not.
 

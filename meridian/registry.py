@@ -3,8 +3,8 @@
 The oracle SQL is written the plain way (join, then aggregate; windows where the reference
 uses them) so that it checks the plan rewrites of the library: per-account
 pre-aggregation, the top-k dense rank, the telescoped order gaps, the min/max cohorts.
-It follows the same exactness rules: money summed as decimal(18,2) and output as double,
-means as that double over a count, ratios rounded half-up in integer arithmetic, years and
+It follows the same exactness rules: money summed exactly (decimal(18,2) here, integer cents
+in Spark: the same value) and output as double, means as that double over a count, ratios rounded half-up in integer arithmetic, years and
 integer sums as BIGINT.
 
 Parameters are the testdata counterparts of the reference's constants (its region,
@@ -22,6 +22,7 @@ from meridian.sources.star import Star
 
 REGION = "ASIA"
 REP_PREFIX, REP_CONTAINS = "NATION_1", "2"
+REP_CONTAINS_ANY_CASE = "nation_2"
 MIN_STANDARD, MIN_POSTER = 60, 50
 YEARS = (1995, 2001)
 BEST_MONTH_ACCOUNT = "Customer#000000055"
@@ -119,6 +120,11 @@ register("account_roster_prefix", lambda s: op.account_roster(s, REGION, rep_pre
 register("account_roster_contains",
          lambda s: op.account_roster(s, REGION, rep_contains=REP_CONTAINS),
          _q(_ROSTER.format(r=REGION) + f" AND contains(sr.name, '{REP_CONTAINS}')"))
+register("account_roster_ignore_case",
+         lambda s: op.account_roster(s, REGION, rep_contains=REP_CONTAINS_ANY_CASE,
+                                     ignore_case=True),
+         _q(_ROSTER.format(r=REGION)
+            + f" AND contains(lower(sr.name), '{REP_CONTAINS_ANY_CASE.lower()}')"))
 
 for _sc in (False, True):
     register("accounts_per_rep" + ("_scoped" if _sc else ""),
@@ -216,11 +222,13 @@ register("sales_on_day", lambda s: op.sales_on_day(s, month=1, day=1),
             f"{usd('SUM(total_amt_usd)')} AS total_usd FROM st_orders "
             "WHERE month(occurred_at) = 1 AND day(occurred_at) = 1 GROUP BY 1, 2, 3"))
 
-register("best_month", lambda s: op.best_month(s, BEST_MONTH_ACCOUNT, "gloss_amt_usd"),
-         _q(f"SELECT a.name AS account_name, {_YEAR} AS year, {_MONTH} AS month, "
-            f"{usd('SUM(o.gloss_amt_usd)')} AS gloss_total_usd FROM st_accounts a "
-            f"JOIN st_orders_d o ON a.id = o.account_id WHERE a.name = '{BEST_MONTH_ACCOUNT}' "
-            "GROUP BY 1, 2, 3 ORDER BY gloss_total_usd DESC, year, month LIMIT 1"))
+for _product, _name in (("gloss", "best_month"), ("standard", "best_month_standard")):
+    register(_name,
+             lambda s, _p=_product: op.best_month(s, BEST_MONTH_ACCOUNT, f"{_p}_amt_usd"),
+             _q(f"SELECT a.name AS account_name, {_YEAR} AS year, {_MONTH} AS month, "
+                f"{usd(f'SUM(o.{_product}_amt_usd)')} AS {_product}_total_usd FROM st_accounts a "
+                f"JOIN st_orders_d o ON a.id = o.account_id WHERE a.name = '{BEST_MONTH_ACCOUNT}' "
+                f"GROUP BY 1, 2, 3 ORDER BY {_product}_total_usd DESC, year, month LIMIT 1"))
 
 _BY_REGION = ("SELECT r.name AS region_name, {aggs} FROM st_orders o "
               "JOIN st_accounts a ON o.account_id = a.id "
@@ -330,10 +338,13 @@ _VOL = ("CASE WHEN total_orders > {hi} THEN 'High Volume' WHEN total_orders > {m
         "THEN 'Moderate Volume' ELSE 'Low Volume' END")
 _SEG_AGGS = (f"COUNT(account_id) AS num_accounts, {mean('SUM(avg4)', 'COUNT(avg4)')} "
              f"AS avg_order_size_usd, {mean('SUM(std4)', 'COUNT(std4)')} AS avg_order_std_dev_usd")
-register("volume_segments", lambda s: op.volume_segments(s, cuts=VOLUME_CUTS),
-         _q(f", st AS ({_STATS.format(chain='')}), seg AS (SELECT *, "
-            f"{_VOL.format(hi=VOLUME_CUTS[0], mid=VOLUME_CUTS[1])} AS order_volume_segment "
-            f"FROM st) SELECT order_volume_segment, {_SEG_AGGS} FROM seg GROUP BY 1"))
+for _ddof, _name, _fn in ((1, "volume_segments", "STDDEV_SAMP"),
+                          (0, "volume_segments_population", "STDDEV_POP")):
+    register(_name, lambda s, _d=_ddof: op.volume_segments(s, cuts=VOLUME_CUTS, ddof=_d),
+             _q(f", st AS ({_STATS.format(chain='').replace('STDDEV_SAMP', _fn)}), "
+                f"seg AS (SELECT *, {_VOL.format(hi=VOLUME_CUTS[0], mid=VOLUME_CUTS[1])} "
+                f"AS order_volume_segment FROM st) "
+                f"SELECT order_volume_segment, {_SEG_AGGS} FROM seg GROUP BY 1"))
 for _sc in (False, True):
     register("volume_value_segments" + ("_scoped" if _sc else ""),
              lambda s, _sc=_sc: op.volume_value_segments(s, REGION if _sc else None,
