@@ -53,43 +53,32 @@ def mean(sum_cents: str | Column, n: str | Column) -> Column:
     return F.try_divide(usd(sum_cents), col(n).cast("double"))
 
 
-def _idiv(a: Column, b: Column) -> Column:
-    """floor(a / b) for a >= 0, b > 0, exact on decimal(38,0)."""
-    a = a.cast("decimal(38,0)")
-    b = b.cast("decimal(38,0)")
-    return ((a - F.pmod(a, b)) / b).cast("long")
-
-
-def _half_up_units(num: str | Column, den: str | Column, dp: int, scale: int,
-                   in_scale: int) -> Column:
+def _half_up_units(num: str, den: str, dp: int, scale: int, in_scale: int) -> Column:
     """round(scale * num / den, dp) * 10**dp as an exact integer, half away from zero;
-    NULL when ``den`` is 0 or NULL."""
-    lift = 10 ** in_scale
-    n = (col(num) * lift).cast("decimal(38,0)")
-    d = (col(den) * lift).cast("decimal(38,0)")
-    d = F.when(d != 0, d)  # x / 0 -> NULL
-    step = 2 * scale * 10 ** dp
-    k = _idiv(F.abs(n) * step + F.abs(d), F.abs(d) * 2)
-    return F.when(F.signum(n) * F.signum(d) < 0, -k).otherwise(k)
+    NULL when ``den`` is 0 or NULL. ``num`` and ``den`` are SQL expressions (a column name
+    is one) of integers or decimals with at most ``in_scale`` fractional digits.
 
+    Built as one SQL expression: integral division (``div``) of non-negative decimals."""
+    lift = 10 ** in_scale
+    n = f"CAST(({num}) * {lift} AS DECIMAL(38,0))"
+    d = f"NULLIF(CAST(({den}) * {lift} AS DECIMAL(38,0)), 0)"
+    k = f"((abs({n}) * {2 * scale * 10 ** dp} + abs({d})) div (abs({d}) * 2))"
+    return F.expr(f"CASE WHEN sign({n}) * sign({d}) < 0 THEN -{k} ELSE {k} END")
 
-def half_up_ratio(num: str | Column, den: str | Column, dp: int = 2, scale: int = 1,
-                  in_scale: int = 0) -> Column:
-    """round(scale * num / den, dp) as a double, half away from zero, computed exactly.
 
-    ``num`` and ``den`` are integers or decimals with at most ``in_scale`` fractional digits.
-    """
+def half_up_ratio(num: str, den: str, dp: int = 2, scale: int = 1, in_scale: int = 0) -> Column:
+    """round(scale * num / den, dp) as a double, half away from zero, computed exactly."""
     return _half_up_units(num, den, dp, scale, in_scale).cast("double") / (10 ** dp)
 
 
-def half_up_decimal(num: str | Column, den: str | Column, dp: int = 4, scale: int = 1,
+def half_up_decimal(num: str, den: str, dp: int = 4, scale: int = 1,
                     in_scale: int = 0) -> Column:
     """Same rounding as :func:`half_up_ratio`, kept as an exact ``decimal(38, dp)``."""
     units = _half_up_units(num, den, dp, scale, in_scale).cast("decimal(38,0)")
     return (units / F.lit(10 ** dp).cast("decimal(38,0)")).cast(f"decimal(38,{dp})")
 
 
-def percent(num: str | Column, den: str | Column, dp: int = 2, in_scale: int = 0) -> Column:
+def percent(num: str, den: str, dp: int = 2, in_scale: int = 0) -> Column:
     """round(100 * num / den, dp), exact, half away from zero."""
     return half_up_ratio(num, den, dp=dp, scale=100, in_scale=in_scale)
 

@@ -112,8 +112,7 @@ def order_gaps(star: Star, region: str | None = None) -> DataFrame:
            .agg(F.count("occurred_at").alias("n"), F.min("occurred_at").alias("lo"),
                 F.max("occurred_at").alias("hi"))
            .filter(F.col("n") >= 2)
-           .select("account_id", E.half_up_ratio(F.datediff(F.col("hi"), F.col("lo")),
-                                                 F.col("n") - 1, dp=2)
+           .select("account_id", E.half_up_ratio("datediff(hi, lo)", "n - 1", dp=2)
                    .alias("avg_days_between_orders")))
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"),
                             "website", F.col("primary_poc").alias("primary_contact"))

@@ -114,7 +114,7 @@ def _stats(s: Star, ddof: int) -> DataFrame:
     return base.select(
         "account_id", "total_orders", "spent",
         E.mean("spent", "n_amt").alias("avg_amt"),
-        E.half_up_decimal("spent", F.col("n_amt") * 100, dp=4).alias("avg4"),
+        E.half_up_decimal("spent", "n_amt * 100", dp=4).alias("avg4"),
         F.round("std", 4).cast("decimal(38,4)").alias("std4"))
 
 

@@ -25,7 +25,11 @@ def scope_region(star: Star, region: str | None) -> Star:
     """Star limited to one region by name (bound as a literal, never spliced into SQL)."""
     if region is None:
         return star
-    star.fits("accounts")  # counted once on the full star, inherited by every scoped star
+    return star.memo(("scope", region), lambda: _scope(star, region))
+
+
+def _scope(star: Star, region: str) -> Star:
+    star.fits("accounts")  # counted once on the full star; a proven bound is inherited
     reg = star.region.filter(F.col("name") == F.lit(region))
     reg_ids = reg.select(F.col("id").alias("region_id"))
     reps = star.sales_reps.join(small(star, "region", reg_ids), "region_id", "left_semi")
@@ -37,6 +41,10 @@ def scope_region(star: Star, region: str | None) -> Star:
 
 def rep_dim(star: Star, how: str = "inner") -> DataFrame:
     """(rep_id, rep_name, region_name): reps joined to their region."""
+    return star.memo(("rep_dim", how), lambda: _rep_dim(star, how))
+
+
+def _rep_dim(star: Star, how: str) -> DataFrame:
     reg = star.region.select(F.col("id").alias("region_id"), F.col("name").alias("region_name"))
     reps = star.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("rep_name"),
                                   "region_id")
@@ -49,6 +57,10 @@ def account_dim(star: Star, how: str = "inner", *cols: str) -> DataFrame:
     ``how="inner"`` keeps accounts with a rep in a region (the reference's inner joins);
     ``how="left"`` keeps every account, with NULL rep/region where the chain breaks.
     """
+    return star.memo(("account_dim", how, cols), lambda: _account_dim(star, how, *cols))
+
+
+def _account_dim(star: Star, how: str, *cols: str) -> DataFrame:
     acc = star.accounts.select(F.col("id").alias("account_id"),
                                F.col("name").alias("account_name"),
                                F.col("sales_rep_id").alias("rep_id"), *cols)

@@ -43,6 +43,13 @@ class Star:
     scope: str | None = None
     broadcast_rows: int = 250_000
     _fits: dict = field(default_factory=dict, repr=False)
+    _memo: dict = field(default_factory=dict, repr=False)  # frames derived once per star
+
+    def memo(self, key: tuple, build):
+        """The frame ``build()`` made once for this star (DataFrames are immutable)."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     @property
     def detailed_orders(self) -> DataFrame:
@@ -70,7 +77,8 @@ class Star:
         """Same star with some tables replaced by subsets of themselves. A table proven small
         stays proven; one that was too big is counted again, since its subset (one region's
         accounts, one account name) may well be small."""
-        return replace(self, _fits={k: v for k, v in self._fits.items() if v}, **frames)
+        return replace(self, _fits={k: v for k, v in self._fits.items() if v}, _memo={},
+                       **frames)
 
     def cache_dimensions(self) -> "Star":
         """Star whose dimension tables proven small are persisted (memory, spilling to disk),
