@@ -165,8 +165,14 @@ def top_mean_accounts(star: Star, region: str | None = None) -> DataFrame:
         E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amount")])
     best = per.agg(F.max("avg_order_amount").alias("avg_order_amount"))  # one row
     top = per.join(F.broadcast(best), "avg_order_amount")
-    acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
-    return (top.join(small(s, "accounts", acc), "account_id")
+    # The maximum includes orders without an account, as the reference's does. A plain
+    # equi-join to the accounts would make Spark push "account_id IS NOT NULL" into this
+    # branch only, and the two per-account aggregates would no longer be one reusable
+    # exchange; a null-safe join to the non-NULL ids means the same and keeps them equal.
+    acc = s.accounts.select(F.col("id").alias("_aid"), F.col("name").alias("account_name")
+                            ).filter(F.col("_aid").isNotNull())
+    acc = small(s, "accounts", acc)
+    return (top.join(acc, top["account_id"].eqNullSafe(acc["_aid"]))
             .select("account_name", "avg_order_amount", "account_id")
             .orderBy(F.col("avg_order_amount").desc(), "account_name", "account_id")
             .drop("account_id"))

@@ -46,6 +46,7 @@ def test_top_mean_keeps_ties_distributed(star):
     p = executed_plan(op.top_mean_accounts(star))
     assert "Window" not in p  # no single-task ranking; a one-row maximum is broadcast instead
     assert "BroadcastHashJoin" in p
+    assert "ReusedExchange" in p  # the maximum and the join read one per-account exchange
 
 
 def test_region_scope_reaches_region_scan(star):
