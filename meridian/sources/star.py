@@ -126,6 +126,26 @@ class Star:
         return cls(read("region"), read("sales_reps"), read("accounts"), orders,
                    read("web_events"), orders_detail=orders, **kw)
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str | None = None, **kw) -> "Star":
+        """The five tables by name from the session catalog (``database.region`` ...), with
+        their columns cast to the fixed schemas."""
+        def read(name: str) -> DataFrame:
+            df = spark.table(f"{database}.{name}" if database else name)
+            return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+                               for f in S.TABLES[name].fields])
+
+        orders = read("orders")
+        return cls(read("region"), read("sales_reps"), read("accounts"), orders,
+                   read("web_events"), orders_detail=orders, **kw)
+
+    def register_views(self, prefix: str = "") -> None:
+        """Temporary views ``{prefix}region`` ... ``{prefix}web_events`` (orders with their
+        product split), so existing SQL over these names runs on Spark unchanged."""
+        for name in ("region", "sales_reps", "accounts", "web_events"):
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+        self.detailed_orders.createOrReplaceTempView(f"{prefix}orders")
+
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str, **kw) -> "Star":
         return cls.from_tables(spark, path, fmt="csv", **kw)

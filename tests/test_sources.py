@@ -71,3 +71,19 @@ def test_written_star_prunes_years(spark, tmp_path):
         op.sales_by_month(star, years=(1995, 1999), detail=True).collect())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [order_year" in plan and "IN (1995,1999)" in plan
+
+
+def test_views_and_catalog_roundtrip(spark):
+    star = Star.from_testdata(spark, "/root/testdata/sf0.001")
+    star.register_views(prefix="mer_")
+    sql = spark.sql("""
+        SELECT r.name AS region_name, CAST(SUM(o.total_amt_usd) AS DOUBLE) AS total_sales
+        FROM mer_orders o JOIN mer_accounts a ON o.account_id = a.id
+        JOIN mer_sales_reps sr ON a.sales_rep_id = sr.id JOIN mer_region r ON sr.region_id = r.id
+        GROUP BY r.name""")
+    assert sorted(sql.collect()) == sorted(op.sales_by_region(star).collect())
+    for t in ("region", "sales_reps", "accounts", "orders", "web_events"):
+        spark.table(f"mer_{t}").createOrReplaceTempView(t)
+    again = Star.from_catalog(spark)
+    assert dict(again.orders.dtypes)["total_amt_usd"] == "decimal(18,2)"
+    assert sorted(op.churn(again).collect()) == sorted(op.churn(star).collect())
