@@ -9,6 +9,10 @@ import duckdb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
+# DuckDB result types and the Spark types they correspond to
+DUCK_TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "INTEGER": "int",
+              "BOOLEAN": "boolean"}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -37,9 +41,13 @@ def compare(spark_df, con, sql: str) -> list[str]:
     rel = con.sql(sql)
     dk_cols = rel.columns
     dk_rows = [tuple(_norm(v) for v in r) for r in rel.fetchall()]
-    problems = []
+    problems: list[str] = []
     if sorted(sp_cols) != sorted(dk_cols):
         return [f"columns differ: spark={sp_cols} oracle={dk_cols}"]
+    sp_types = dict(spark_df.dtypes)
+    dk_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(dk_cols, rel.types)}
+    if sp_types != dk_types:
+        problems.append(f"types differ: spark={sp_types} oracle={dk_types}")
     order = [dk_cols.index(c) for c in sp_cols]
     dk_rows = [tuple(r[i] for i in order) for r in dk_rows]
     if len(sp_rows) != len(dk_rows):
