@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from meridian import operators as op
@@ -90,3 +92,32 @@ def test_subset_of_a_big_table_is_counted_again(spark):
         assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# Queries whose result is one global aggregate row: their last step is a single-partition
+# exchange of one partial row per task, which is bounded.
+ONE_ROW = {"headline_sales", "headline_sales_scoped", "churn", "churn_scoped",
+           "sales_year_extremes", "sales_year_extremes_scoped", "top_mean_accounts"}
+
+
+@pytest.fixture(scope="module")
+def cluster_star(spark):
+    """The 100 TB situation: region and reps proven small, accounts too big to broadcast."""
+    star = Star.from_testdata(spark, SF_DIR)
+    star._fits.update(region=True, sales_reps=True, accounts=False)
+    return star
+
+
+def test_every_query_plans_for_scale(spark, cluster_star):
+    from meridian import registry
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, (fn, _) in registry.ENTRIES.items():
+            p = plan(fn(cluster_star))
+            assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+            if name not in ONE_ROW:
+                assert "SinglePartition" not in p, name
+            # every window is partitioned (an unpartitioned one prints an empty key list)
+            assert not re.search(r"Window \[.*\], \[\], \[", p), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
