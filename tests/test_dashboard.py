@@ -53,3 +53,17 @@ def test_cached_dimensions(spark):
         assert big.region.is_cached and not big.accounts.is_cached
     finally:
         big.unpersist()
+
+
+def test_command_line_writes_every_dataset(spark, tmp_path):
+    from meridian.__main__ import main
+    from tests.fixture import build
+    src = tmp_path / "src"
+    src.mkdir()
+    build(str(src))
+    Star.from_testdata(spark, str(src)).write_tables(str(tmp_path / "star"))
+    main(["--tables", str(tmp_path / "star"), "--region", "ASIA", "--out", str(tmp_path / "out")])
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert len(names) == 20 and "headline_sales" in names
+    head = spark.read.parquet(str(tmp_path / "out" / "headline_sales")).collect()
+    assert len(head) == 1 and head[0]["total_sales"] > 0
