@@ -87,3 +87,25 @@ def test_views_and_catalog_roundtrip(spark):
     again = Star.from_catalog(spark)
     assert dict(again.orders.dtypes)["total_amt_usd"] == "decimal(18,2)"
     assert sorted(op.churn(again).collect()) == sorted(op.churn(star).collect())
+
+
+def test_star_from_frames(spark):
+    from pyspark.sql import Row
+    region = spark.createDataFrame([Row(id=1, name="North")], "id int, name string")
+    reps = spark.createDataFrame([Row(id=7, name="Ann", region_id=1)],
+                                 "id int, name string, region_id int")
+    accounts = spark.createDataFrame(
+        [Row(id=3, name="Acme", website="a", primary_poc="p", sales_rep_id=7)],
+        "id long, name string, website string, primary_poc string, sales_rep_id int")
+    orders = spark.sql("SELECT 1L AS id, 3L AS account_id, "
+                       "TIMESTAMP_NTZ'2016-05-01 00:00:00' AS occurred_at, 1L AS standard_qty, "
+                       "0L AS gloss_qty, 0L AS poster_qty, 1L AS total, "
+                       "CAST(2.50 AS DECIMAL(18,2)) AS standard_amt_usd, "
+                       "CAST(0 AS DECIMAL(18,2)) AS gloss_amt_usd, "
+                       "CAST(0 AS DECIMAL(18,2)) AS poster_amt_usd, "
+                       "CAST(2.50 AS DECIMAL(18,2)) AS total_amt_usd")
+    events = spark.createDataFrame([Row(id=1, account_id=3, channel="direct")],
+                                   "id long, account_id long, channel string")
+    star = Star.from_frames(region, reps, accounts, orders, events)
+    assert [tuple(r) for r in op.sales_by_region(star).collect()] == [("North", 2.5)]
+    assert [tuple(r) for r in op.rep_channel_counts(star).collect()] == [("Ann", "direct", 1)]
