@@ -1,6 +1,7 @@
 """Build the region dashboard's datasets from a stored star.
 
     python -m meridian --tables PATH [--format parquet|csv] [--region NAME] [--out DIR]
+                       [--channels a,b,c] [--master URL]
 
 Reads the five tables under PATH (``Star.from_tables``), builds every dashboard dataset for
 the region (all regions when omitted) and writes each one under DIR/<name> as Parquet; without
@@ -24,6 +25,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--region", default=None, help="region name; all regions when omitted")
     ap.add_argument("--out", default=None, help="write each dataset as Parquet under this path")
+    ap.add_argument("--channels", default=None,
+                    help="comma-separated channel columns of the rep x channel matrix")
     ap.add_argument("--master", default=None, help="Spark master when not set by spark-submit")
     args = ap.parse_args(argv)
 
@@ -34,7 +37,8 @@ def main(argv: list[str] | None = None) -> None:
     else:
         spark = SparkSession.builder.appName("meridian").getOrCreate()
     star = Star.from_tables(spark, args.tables, fmt=args.format)
-    for name, df in datasets(star, args.region).items():
+    extra = {"channels": args.channels.split(",")} if args.channels else {}
+    for name, df in datasets(star, args.region, **extra).items():
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
         else:
