@@ -18,6 +18,7 @@ of their text), null texts count as empty, every document ends in ``end_id``.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ BLOCK_IDS = 1 << 16
 SCHEMA = "part int, first long, bits int, n_ids long, doc_ids binary, nulls binary, offsets binary, data binary"
 #: str.split() also splits at these, the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_CACHE_WORDS = 400_000
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_CACHE_WORDS = 500_000
 
 
 def width(vocabulary: int) -> int:
@@ -65,27 +67,77 @@ def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 class WordIds(dict):
     """White-space separated chunk -> its ids as little-endian uint32 bytes, found once per chunk.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its chunks'
-    ids in order. The cache is emptied when it is full, which bounds memory only.
+    For a tokenizer that lower-cases, splits by a pattern and drops white space, a text's ids are
+    its chunks' ids in order, and a plain chunk's ids (ASCII and Latin-1 letters, where both
+    sides' rules for case and composition agree) are those of its pieces, straight from the
+    library's BPE model. Any other chunk, and any text for another kind of tokenizer, goes
+    through the library's whole ``encode``. Caches are emptied when full, which bounds memory only.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.bits = width(self.tokenizer.get_vocab_size(True))
+        self.model, self.pieces = self.tokenizer.model, {}
+        self.find = _splitter(json.loads(spec))
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if (got := self.pieces.get(piece)) is None:
+            shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            if len(self.pieces) >= _CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return got
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            out = b"".join(map(self._piece, self.find(chunk.lower())))
+        else:
+            out = self._encode(chunk)
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
     def text(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.find is None or _ODD_SPACE.search(text):
+            return self._encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def _splitter(spec: dict):
+    """The tokenizer's own splitting pattern as findall, if it works by chunks; else None."""
+    import regex
+
+    try:
+        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        drops = split["behavior"] == "Removed" and split["invert"] and not (level["use_regex"] or level["add_prefix_space"])
+        fits = kinds == ["NFC", "Replace", "Lowercase"] and drops and spec["model"]["type"] == "BPE"
+        return regex.compile(split["pattern"]["Regex"]).findall if fits else None
+    except (KeyError, TypeError, ValueError):
+        return None
+
+
+#: Of the task's process: a worker's next task goes on with what is known.
+_KNOWN: dict[str, WordIds] = {}
+
+
+def _word_ids(spec: str) -> WordIds:
+    if spec not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[spec] = WordIds(spec)
+    return _KNOWN[spec]
+
+
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encode every text with the ``tokenizers`` file ``tokenizer`` and write the packed set ``path``.
@@ -100,10 +152,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     shared = spark.sparkContext.broadcast(spec)  # the vocabulary file: its size is fixed
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(shared.value)
-        words, bits, part = WordIds(tok), width(tok.get_vocab_size(True)), TaskContext.get().partitionId()
+        words, part = _word_ids(shared.value), TaskContext.get().partitionId()
+        bits = words.bits
         end = np.array([end_id], "<u4").tobytes()
         first, keys, nulls, offsets, parts = 0, [], [], [0], []
 
