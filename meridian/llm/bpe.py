@@ -1,14 +1,12 @@
 """Byte-level BPE encoding and decoding (operator 4).
 
-Distinct words are encoded once, by Spark higher-order functions: a word's bytes are an array of
-pieces (upper-case hex), and a fold merges, round by round, every non-overlapping occurrence of
-the neighbouring pair whose joined bytes have the lowest rank. The ranks are a literal in the plan:
-an array of small maps, indexed by crc32 of the piece, so that a look-up scans a few entries.
-
-Documents are dealt into batches by a hash; the batches' shuffle is planned once and read twice
-(Spark reuses the exchange): first for the distinct words of each batch, then beside the
-encoded words of the batch, which put each document's ids together. No word table is
-broadcast, and a word travels once for each batch that holds it, however often it occurs.
+Distinct words are encoded by Spark higher-order functions: a word is the array of its bytes' ids,
+and a fold merges, step by step, the leftmost neighbouring pair whose joined bytes have the lowest
+rank, until no pair has one. The ranks are a literal in the plan, a flat perfect-hash map.
+
+Nothing is shuffled. Each task gathers documents up to a bound of text, sends their distinct words
+ahead of them through the fold, and puts the documents' ids together from the words' ids that
+come back. Words and documents stay in the order of their task; its memory is that of one batch.
 """
 
 from __future__ import annotations
@@ -16,22 +14,24 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from meridian.llm.common import next_power, shuffle_partitions, slices
+from meridian.llm.common import slices
 
 _NO_RANK = 2**31 - 1
 #: Cuts a text where no piece of the pattern can span: a word with at most one space before it, or
 #: white space. ``re`` counts \x1c-\x1f as white space, the pattern does not; such texts stay whole.
 _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_CACHE_CHUNKS = 300_000
+_SHIFT, _PRIME = 17, 2**31 - 1
+_BATCH_CHARS = 24_000_000
+_WORDS_A_ROW = 5_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,54 +44,75 @@ def chunks(text: str) -> list[str]:
     return [text] if _ODD_SPACE.search(text) else _COARSE.findall(text)
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """The ranks as a literal array of maps: piece (hex) -> rank, at crc32(piece) modulo its size, which comes second."""
-    buckets = next_power(len(ranks) / 4)
-    maps: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % buckets][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>"), buckets
-
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Callable[[Column, Column, Column], Column]]:
+    """The ranks as one literal in the plan, and the look-up in it.
 
-def _let(value: Column, body) -> Column:
+    The literal is a struct of two flat arrays, a perfect hash of every pair of ids whose joined
+    bytes have a rank: a pair's key a * 2**17 + b picks a multiplier, which with the key picks the
+    slot that holds key * 2**17 + rank. ``look(table, a, b)`` is the rank, or _NO_RANK.
+    """
+    pairs = {(ranks[p[:i]] << _SHIFT) + ranks[p[i:]]: rank for p, rank in ranks.items()
+             for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks}
+    groups, size = max(1, len(pairs) // 3), len(pairs) * 5 // 4 + 1
+    slots, multipliers = np.full(size, -1, np.int64), np.zeros(groups, np.int64)
+    keys = np.array(sorted(pairs, key=lambda k: k % groups), np.int64)
+    parts = np.split(keys, np.flatnonzero(np.diff(keys % groups)) + 1) if len(keys) else []
+    for part in sorted(parts, key=len, reverse=True):
+        for m in range(1, 1 << 16):
+            at = part * m % _PRIME % size
+            if (slots[at] < 0).all() and len(np.unique(at)) == len(at):
+                break
+        else:
+            raise ValueError("no multiplier found")
+        multipliers[part[0] % groups] = m
+        slots[at] = (part << _SHIFT) + [pairs[k] for k in part.tolist()]
+    flat = json.dumps({"m": multipliers.tolist(), "s": slots.tolist()}, separators=(",", ":"))
+    table = F.from_json(F.lit(flat), "m array<bigint>, s array<bigint>")
+
+    def look(t: Column, a: Column, b: Column) -> Column:
+        key = F.shiftleft(a.cast("long"), _SHIFT) + b
+        m = F.get(t["m"], (key % groups).cast("int"))
+        slot = F.get(t["s"], (key * m % _PRIME % size).cast("int"))
+        return F.when(F.shiftright(slot, _SHIFT) == key, slot.bitwiseAND((1 << _SHIFT) - 1).cast("int")).otherwise(_NO_RANK)
+
+    return table, look
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids (array<int>) of a binary ``word`` by ranked merges; every single byte must have a rank.
+def fold_merges(word: Column, table: Column, look: Callable[[Column, Column, Column], Column]) -> Column:
+    """The ids (array<int>) of a word given as the ids of its bytes, by ranked merges.
 
-    Null gives null, no bytes give an empty array.
+    Null gives null, an empty array an empty one. The work grows with the square of a word's length.
     """
-    table, buckets = rank_map(ranks)
-
-    def rank(piece: Column) -> Column:
-        return F.get(table, (F.crc32(piece.cast("binary")) % F.lit(buckets)).cast("int"))[piece]
-
-    def merge(parts: Column) -> Column:
-        def with_ranks(found: Column) -> Column:
-            def at_lowest(low: Column) -> Column:
-                marks = F.array_join(F.transform(found, lambda r: F.when(r == low, "1").otherwise("0")), "")
-                # a pair starts at each 1 that is left after the second of two overlapping pairs is cleared
-                starts = F.concat(F.split(F.regexp_replace(marks, "11", "10"), ""), F.array(F.lit("0")))
-                joined = F.transform(parts, lambda p, i: F.when(
-                    F.get(starts, i) == "1", F.concat(p, F.get(parts, i + 1))).when(
-                    F.get(starts, i - 1) == "1", F.lit(None)).otherwise(p))
-                return F.when(low == _NO_RANK, F.struct(parts.alias("parts"), F.lit(False).alias("more"))).otherwise(
-                    F.struct(F.filter(joined, lambda p: p.isNotNull()).alias("parts"), F.lit(True).alias("more")))
-            return _let(F.array_min(found), at_lowest)
-        pairs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p, i: F.coalesce(
-            rank(F.concat(F.get(parts, i), p)), F.lit(_NO_RANK)))
-        return _let(pairs, with_ranks)
-
-    digits = F.hex(word)
-    bytes_ = F.filter(F.split(F.regexp_replace(digits, "(..)", "$1 "), " "), lambda b: b != "")
-    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    start = F.struct(bytes_.alias("parts"), F.lit(True).alias("more"))
-    done = F.aggregate(rounds, start, lambda s, _: F.when(
-        s["more"] & (F.size(s["parts"]) > 1), merge(s["parts"])).otherwise(s))
-    return F.transform(done["parts"], rank)
+    none = F.lit(_NO_RANK)
+
+    def rank(a: Column, b: Column) -> Column:
+        return look(table, a, b)
+
+    def state(ids: Column, found: Column) -> Column:
+        return _let(found, lambda f: F.struct(ids.alias("ids"), f.alias("ranks"),
+                                              F.coalesce(F.array_min(f), none).alias("low")))
+
+    def merge(s: Column) -> Column:
+        ids, found, low = s["ids"], s["ranks"], s["low"]
+
+        def at(p: Column) -> Column:  # the pair's place, from 1; before it p - 1 ids, after it from p + 2
+            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), low))).otherwise(F.array().cast("array<int>"))
+            right = F.when(p < F.size(found), F.array(rank(low, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
+            return state(F.concat(F.slice(ids, 1, p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids))),
+                         F.concat(F.slice(found, 1, F.greatest(p - 2, F.lit(0))), left, right,
+                                  F.slice(found, p + 2, F.size(ids))))
+
+        return _let(F.array_position(found, low).cast("int"), at)
+
+    pairs = F.transform(F.slice(word, 2, F.greatest(F.size(word), F.lit(0))), lambda b, i: rank(F.get(word, i), b))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1)))
+    done = F.aggregate(steps, state(word, pairs), lambda s, _: F.when(s["low"] < none, merge(s)).otherwise(s))
+    return done["ids"]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
@@ -100,59 +121,84 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     Null texts count as empty (no ids), repeated rows come out as often as they go in, null ids are
     kept, other columns are ignored. No special tokens. Texts are never cut; a word of any length
-    is one fold.
+    is one fold. Every single byte must have a rank.
     """
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    byte_ids = [ranks[bytes([b])] for b in range(256)]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
-    rows = rows.repartition(n, "batch")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their distinct words ahead: rows of (words, their bytes' ids), then of (id, text)."""
         import regex
 
-        seen: dict[int, set[str]] = {}
+        find, ids = regex.compile(pattern).findall, np.array(byte_ids, np.int32)
+        names, empty = ["id", "text", "words", "bytes"], pa.list_(pa.int32())
+        held, chars, seen = [], 0, set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list({piece for chunk in seen for piece in find(chunk)})
+            for i in range(0, len(words), _WORDS_A_ROW):
+                raw = [w.encode() for w in words[i:i + _WORDS_A_ROW]]
+                ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
+                flat = ids[np.frombuffer(b"".join(raw), np.uint8)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                rows = pa.array([0, len(raw)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()),
+                     pa.ListArray.from_arrays(rows, pa.array(words[i:i + _WORDS_A_ROW], pa.string())),
+                     pa.ListArray.from_arrays(rows, lists)], names=names)
+            for batch in held:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.list_(pa.string())),
+                                                  pa.nulls(n, pa.list_(empty))], names=names)
+
         for batch in slices(batches):
-            for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(at, set()).update(chunks(text))
-        find = regex.compile(pattern).findall
-        for at, found in seen.items():
-            pieces = list({piece for chunk in found for piece in find(chunk)})
-            for i in range(0, len(pieces), 10_000):
-                some = pieces[i:i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(some), pa.int32()), pa.array(some, pa.string())],
-                                                 names=["batch", "word"])
-
-    vocabulary = (rows.select("text", "batch").mapInArrow(words, "batch int, word string")
-                  .groupBy("word").agg(F.collect_set("batch").alias("batches")))  # at most n batches
-    coded = vocabulary.select("batches", "word", fold_merges(F.col("word").cast("binary"), ranks).alias("ids"))
-    coded = coded.select(F.explode("batches").alias("batch"), "word", "ids").repartition(n, "batch")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        import numpy as np
+            held.append(batch)
+            for text in batch.column(1).to_pylist():
+                chars += len(text)
+                seen.update(chunks(text))
+            if chars >= _BATCH_CHARS:
+                yield from flush()
+                held, chars, seen = [], 0, set()
+        if held:
+            yield from flush()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         ids_of: dict[str, bytes] = {}
-        for batch in slices(right.to_batches(), 10_000):
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = np.cumsum([0, *(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4
-            ids_of.update(zip(batch.column("word").to_pylist(), (flat[a:b] for a, b in zip(ends, ends[1:]))))
         cache: dict[str, bytes] = {}
+        after_text = True
 
         def of(chunk: str) -> bytes:
             if (got := cache.get(chunk)) is None:
-                if len(cache) >= _CACHE_CHUNKS:
-                    cache.clear()
                 cache[chunk] = got = b"".join([ids_of[piece] for piece in find(chunk)])
             return got
 
-        out = [b"".join(map(of, chunks(text))) for batch in slices(left.to_batches()) for text in batch.column("text").to_pylist()]
-        return pa.table({"id": left.column("id"), "ids": pa.array(out, pa.binary())})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("batch").cogroup(coded.groupBy("batch")).applyInArrow(
-        assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+        for batch in slices(batches, 64):
+            keys, out = [], []
+            for i, (text, words) in enumerate(zip(batch.column("text").to_pylist(), batch.column("words"))):
+                if text is None:
+                    if after_text:  # a new batch of documents begins
+                        ids_of.clear()
+                        cache.clear()
+                    coded = batch.column("ids")[i].values
+                    flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                    ends = np.cumsum([0, *coded.value_lengths().to_numpy(zero_copy_only=False)]) * 4
+                    ids_of.update(zip(words.as_py(), [flat[a:b] for a, b in zip(ends, ends[1:])]))
+                else:
+                    keys.append(i)
+                    out.append(b"".join(map(of, chunks(text))))
+                after_text = text is not None
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keys, pa.int64())), pa.array(out, pa.binary())],
+                                             names=["id", "ids"])
+
+    sent = rows.mapInArrow(ahead, f"id {kind}, text string, words array<string>, bytes array<array<int>>")
+    table, look = rank_map(ranks)
+    folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
+    coded = sent.select("id", "text", "words", folded.alias("ids"))
+    return coded.mapInArrow(assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -165,8 +211,6 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
     schema = StructType([*tokens.schema.fields, StructField(out_col, BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         piece = pieces.value.__getitem__
         for batch in slices(batches):
             out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist()))
