@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +45,66 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Callable[..., list]]) -> DataFrame:
+    """``df`` with the columns of ``schema``, computed row by row from its columns ``inputs``.
 
+    ``fn`` is called once a task and gives the function of one row's inputs; that one returns the new
+    columns' values. ``df``'s own columns pass through as Arrow data.
+    """
+    at = [df.columns.index(c) for c in inputs]
+    new = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        row, kinds = fn(), to_arrow_schema(new)
+        for batch in slices(batches):
+            made = [row(*v) for v in zip(*(batch.column(i).to_pylist() for i in at))]
+            cols = zip(*made) if made else [[] for _ in new]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), f.type) for c, f in zip(cols, kinds))],
+                                             names=[*batch.schema.names, *kinds.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
 
-def next_power(n: float) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1, n))))
+
+def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int, seed: int) -> DataFrame:
+    """(id, label) of at most ``most`` rows of each of the labels 0 and 1, those of the least seeded hash.
+
+    A repeated id counts once, with its largest label; null ids and labels don't count. The bound is
+    a parameter, so the result may be broadcast.
+    """
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id"))
+    one = one.agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    parts = [one.where(F.col("label") == y).orderBy("h", "id").limit(most) for y in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("id", "label")
+
+
+def uniform(*keys: Column | str, seed: int) -> Column:
+    """A number in (0, 1) from a seeded hash of ``keys``: the same for the same row in every run."""
+    return (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
+    """The k-th largest value of a finite double column, exactly; None where there are fewer rows than k.
+
+    Counts by bins of a shrinking range, so that at most ``bins`` numbers reach the driver.
+    """
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if k < 1 or n < k:
+        return None
+    left = k  # the value sought is the left-th largest in [low, high]
+    while n > bins and high > low:
+        wide = (high - low) / bins
+        at = F.least(F.floor((F.col(column) - low) / wide), F.lit(bins - 1)).alias("bin")
+        inside = df.where(F.col(column).between(low, high))
+        found = inside.groupBy(at).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for row in sorted(found.collect(), key=lambda r: -r["bin"]):
+            if row["n"] >= left:
+                break
+            left -= row["n"]
+        if (row["low"], row["high"]) == (low, high):
+            break
+        low, high, n = row["low"], row["high"], row["n"]
+    if high == low:
+        return high
+    return df.where(F.col(column).between(low, high)).orderBy(F.desc(column)).select(column).limit(left).agg(F.min(column)).first()[0]

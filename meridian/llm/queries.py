@@ -5,12 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, minhash, packing
+from meridian.llm import bpe, importance, minhash, mixing, packing, toxicity
 from meridian.llm.common import new_path
 
+#: From this toxicity score on a document counts as toxic.
+TOXIC_AT = 0.7
+
+#: The mixture: two parts web to one part books; of the web half English.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {("web",): 2, ("books",): 1, ("web", "en"): 3}
+MIX_SHARE, MIX_EPOCHS = 0.8, 2
+
+
+def _crc_of_id(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def training_rows(labels: DataFrame) -> Column:
+    """Rows that toxicity may learn from."""
+    return _crc_of_id(3) != 1
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The sources' domains: the first ten sources are web, the others books."""
+    return docs.withColumn("domain", F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("books"))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +42,15 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    index = toxicity.fit(docs, labels.where(training_rows(labels)), "toxic")
+    scored = toxicity.score(docs.select("doc_id", "text"), index)
+    return scored.select("doc_id", (_crc_of_id(3) == 1).alias("held_out"), F.col("toxicity_score").alias("score"),
+                         (F.col("toxicity_score") >= TOXIC_AT).cast("int").alias("predicted"),
+                         F.col("toxicity_evidence").alias("evidence"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tokens = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -35,10 +66,27 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    keyed, least = importance.select(docs, _table(spark, sf_dir, "labels"))
+    selected = F.lit(False) if least is None else F.col("quality_key") >= least
+    return keyed.select("doc_id", F.col("quality_ngrams").alias("n_ngrams"), F.col("quality_log_weight").alias("log_weight"),
+                        F.col("quality_key").alias("sample_key"), selected.alias("selected"))
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(_table(spark, sf_dir, "documents"))
+    weights = mixing.weights_table(spark, MIX_LEVELS, MIX_WEIGHTS)
+    return mixing.mix(docs, MIX_LEVELS, weights, MIX_SHARE, MIX_EPOCHS).select("doc_id", "leaf", "tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_packed_ids": op6_packed_ids,
+    "op7_quality": op7_quality,
+    "op10_mixture": op10_mixture,
 }
 
 ORACLE_SQL: dict[str, str] = {}
