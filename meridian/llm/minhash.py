@@ -8,8 +8,9 @@ with probability 1 - (1 - 0.75**5)**44, about 1 - 7e-6.
 
 Documents with equal shingle sets are one class. In each band bucket every class is joined by a star
 edge to the bucket's centre, so candidates are at most one a class and band; links are confirmed on
-the full sets. Where a bucket still holds several components, its members are compared once
-more across components (see ``_cross_pairs``), so that no link is lost to the choice of a centre.
+the full sets. Buckets that still hold several components get further stars about other centres; what
+these leave apart is compared within the bucket (see ``_cross_links``), so that no link is lost to
+the choice of a centre.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from meridian.llm.components import components
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 44
+TURNS = 2     # further stars, about other centres, for buckets that still hold several components
 BLOCK = 1024  # classes of a bucket that are compared in one task
-#: Below this share of equal sketch cells a pair can't be expected to reach PERCENT; see _cross_pairs.
-LEAST_SHARE, LEAST_SHINGLES = 0.45, 48
+#: Below this share of equal sketch cells a pair can't be expected to reach PERCENT; see _cross_links.
+LEAST_SHARE, LEAST_SHINGLES = 0.6, 48
 _CACHE_WORDS = 300_000
 
 _rng = np.random.RandomState(20260101)
@@ -142,38 +144,75 @@ def _sized(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components, neither its centre, that may link.
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component as ``label``."""
+    label = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    label = label.select("key", "cls", "n", F.coalesce("root", "cls").alias("label"))
+    keys = label.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return label.join(keys.where("low <> high and size > 2").select("key", "size"), "key")
+
+
+def _star_again(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of a bucket's members with another centre, drawn by ``turn``, of another component."""
+    drawn = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "label")
+    centers = mixed.groupBy("key").agg(F.min(drawn).alias("c"))
+    centers = centers.select("key", F.col("c.cls").alias("u"), F.col("c.n").alias("center_n"), F.col("c.label").alias("center_label"))
+    rows = mixed.join(centers, "key").where((F.col("label") != F.col("center_label")) & _sized("n", "center_n"))
+    return rows.select("u", F.col("cls").alias("v")).distinct()
+
 
-    Only buckets that hold several components take part. Their members meet in tasks of at most
-    two blocks of BLOCK classes, where sketches are compared and only likely pairs leave: sizes
-    that allow PERCENT and, for sets of LEAST_SHINGLES and more, LEAST_SHARE of equal cells
-    (a pair of similarity 0.75 falls below that by chance only, some nine deviations off).
+def _cross_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join components in buckets that still hold several: a spanning set of them.
+
+    Members meet in tasks of at most two blocks of BLOCK classes, with their full sets. A pair is
+    looked at in the first bucket it shares; sizes must allow PERCENT, and sketches of sets of
+    LEAST_SHINGLES and more must have LEAST_SHARE of their cells equal (a pair of similarity 0.75
+    falls short by chance only, five deviations off). Pairs never leave a task; links that join do.
     """
-    label = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    label = label.select("key", "cls", "n", "center", F.coalesce("root", "cls").alias("label"))
-    mixed = label.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.where("low <> high and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = label.where("cls <> center").join(mixed, "key").join(classes.select("cls", "cells"), "cls")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = mixed.select("key", "cls", "n", "label", blocks.alias("blocks"))
+    rows = rows.join(classes.select("cls", "cells", "bands"), "cls").join(sets, "cls")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                       "block", "cls", "n", "label", "cells")
+                       "block", "cls", "n", "label", "cells", "bands", "grams")
 
     def compare(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("p", "q", "block", "cls", "n", "label")}
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(len(c["cls"]), -1)
-        left, right = np.nonzero(c["block"] == c["p"])[0], np.nonzero(c["block"] == c["q"])[0]
+        key, p, q = (table.column(k)[0].as_py() for k in ("key", "p", "q"))
+        block, cls, n, label = (table.column(k).to_numpy() for k in ("block", "cls", "n", "label"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(len(cls), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        grams = table.column("grams").combine_chunks()
+        flat, ends = grams.flatten().to_numpy(), np.cumsum([0, *grams.value_lengths().to_numpy()])
+        group = {x: x for x in set(label.tolist())}
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
         u, v = [], []
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         for i in left:
-            n = c["n"][right]
-            near = (c["label"][right] != c["label"][i]) & (100 * np.minimum(n, c["n"][i]) >= PERCENT * np.maximum(n, c["n"][i]))
-            j = right[near & (c["cls"][right] < c["cls"][i]) if c["p"][0] == c["q"][0] else near]
-            if len(j):
-                like = (cells[j] == cells[i]).mean(axis=1) >= LEAST_SHARE
-                j = j[like | (c["n"][j] < LEAST_SHINGLES)]
-                u.extend(np.minimum(c["cls"][j], c["cls"][i]))
-                v.extend(np.maximum(c["cls"][j], c["cls"][i]))
+            mine = np.array([root(x) for x in label[right].tolist()])
+            near = (mine != root(label[i])) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+            j = right[near & (cls[right] < cls[i])] if p == q else right[near]
+            if not len(j):
+                continue
+            share = (cells[j] == cells[i]).mean(axis=1)
+            order = np.argsort(-share, kind="stable")
+            j = j[order][(share[order] >= LEAST_SHARE) | (n[j[order]] < LEAST_SHINGLES)]
+            common = bands[j] == bands[i]
+            j = j[np.where(common, bands[j], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == key]
+            if not len(j):
+                continue
+            own = flat[ends[i]:ends[i + 1]]
+            both = np.array([np.isin(flat[ends[x]:ends[x + 1]], own, assume_unique=True, kind="sort").sum() for x in j])
+            for x in j[100 * both >= PERCENT * (n[i] + n[j] - both)]:
+                if root(label[x]) != root(label[i]):
+                    group[root(label[x])] = root(label[i])
+                    u.append(int(cls[i]))
+                    v.append(int(cls[x]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows.groupBy("key", "p", "q").applyInArrow(compare, "u long, v long").distinct()
@@ -205,7 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("cls <> center").where(_sized("n", "center_n"))
     links = stored(_confirmed(star.select(F.col("center").alias("u"), F.col("cls").alias("v")).distinct(), sets), "links")
     roots = stored(components(links), "roots")
-    more = stored(_confirmed(_cross_pairs(members, roots, classes), sets), "links")
+    for turn in range(TURNS):
+        links = links.unionByName(stored(_confirmed(_star_again(_mixed(members, roots), turn), sets), "links"))
+        roots = stored(components(links), "roots")
+    more = stored(_cross_links(_mixed(members, roots), classes, sets), "links")
     if not more.isEmpty():
         roots = stored(components(links.unionByName(more)), "roots")
 
