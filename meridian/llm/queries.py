@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, html_text, importance, kdtree, minhash, mixing, packing, toxicity
+from meridian.llm import bpe, cover_tree, html_text, importance, kdtree, minhash, mixing, packing, toxicity
 from meridian.llm.common import new_path
 
 #: From this toxicity score on a document counts as toxic.
@@ -82,6 +82,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("quality_key").alias("sample_key"), selected.alias("selected"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(_table(spark, sf_dir, "documents"))
     weights = mixing.weights_table(spark, MIX_LEVELS, MIX_WEIGHTS)
@@ -96,10 +100,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_page_text": op5_page_text,
     "op6_packed_ids": op6_packed_ids,
     "op7_quality": op7_quality,
+    "op9_near_vectors": op9_near_vectors,
     "op10_mixture": op10_mixture,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+                                                ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS g
+            FROM worded),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY ALL),
+        links AS (
+            SELECT u, v FROM common JOIN sizes su ON su.doc_id = u JOIN sizes sv ON sv.doc_id = v
+            WHERE 100 * both >= 75 * (su.n + sv.n - both)),
+        reach(doc_id, far) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.far)
+        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.far) AS component_id, d.doc_id = min(r.far) AS kept
+        FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r USING (doc_id)
+        GROUP BY d.doc_id
+    """,
+    "op9_near_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v
+            FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(vec_id, far) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT reach.vec_id, links.v FROM reach JOIN links ON links.u = reach.far)
+        SELECT e.vec_id, coalesce(any_value(k.n), 0) AS n_links, min(r.far) AS component_id, e.vec_id = min(r.far) AS kept
+        FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id JOIN reach r USING (vec_id)
+        GROUP BY e.vec_id
+    """,
     "op3_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
