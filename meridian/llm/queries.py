@@ -116,12 +116,12 @@ ORACLE_SQL: dict[str, str] = {
             FROM worded),
         sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
         common AS (
-            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
             FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
             GROUP BY ALL),
         links AS (
             SELECT u, v FROM common JOIN sizes su ON su.doc_id = u JOIN sizes sv ON sv.doc_id = v
-            WHERE 100 * both >= 75 * (su.n + sv.n - both)),
+            WHERE 100 * shared >= 75 * (su.n + sv.n - shared)),
         reach(doc_id, far) AS (
             SELECT doc_id, doc_id FROM documents
             UNION

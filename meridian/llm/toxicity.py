@@ -2,8 +2,8 @@
 
 A text is a TF-IDF vector over the terms that tell the labels apart. Its score comes from the ``K``
 labelled examples of highest cosine, found exactly: examples lie in blocks, an inverted index keeps
-each term's highest weight in each block, the sums of these bound every cosine in a block, and blocks
-are opened from the highest bound down until the bound falls below the K-th best cosine.
+each term's highest weight in each block, the sums of these bound every cosine in a block, the block of
+the highest bound gives a K-th best cosine, and of the others those are opened whose bound reaches it.
 Neighbours vote by distance; an isotonic fit of the examples' own leave-one-out votes makes the
 vote a probability. The nearest examples are returned as evidence.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import appended, sampled_labels, slices, stored
 
 MOST_EXAMPLES, MOST_TERMS, LEAST_GAIN, LEAST_EXAMPLES = 4096, 8192, 15.0, 3
-K, BLOCK, EVIDENCE = 15, 64, 3
+K, BLOCK, FEW, EVIDENCE = 15, 128, 4, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,21 +59,35 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The K examples of highest positive cosine (ties: smaller place), but for example ``skip``."""
-        best: list[tuple[float, int]] = []
         if not len(at):
-            return best
+            return []
         bounds = w @ self.block_max[at]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == K and bounds[b] + 1e-9 < best[-1][0]:
-                break
-            cos = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                cos[self.where[lo:hi] - b * BLOCK] += x * self.weights[lo:hi]
-            least = best[-1][0] - 1e-12 if len(best) == K else 0.0
-            best += [(float(cos[i]), int(b * BLOCK + i)) for i in np.flatnonzero(cos > least) if b * BLOCK + i != skip]
-            best = sorted(best, key=lambda p: (-round(p[0], 12), p[1]))[:K]
-        return best
+        first = int(bounds.argmax())
+        cos = self._cosines(at, w, first, first + 1)
+        if 0 <= skip - first * BLOCK < BLOCK:
+            cos[skip - first * BLOCK] = 0.0
+        least = max(0.0, np.partition(cos, -K)[-K] - 1e-9)  # the K-th best can't be worse than here
+        opened = np.flatnonzero((bounds >= least) & (bounds > 0))
+        if len(opened) <= FEW:
+            where = [b * BLOCK + np.arange(BLOCK) for b in opened]
+            parts = [self._cosines(at, w, b, b + 1) for b in opened]
+            where, cos = np.concatenate(where), np.concatenate(parts)
+        else:  # one sweep over the span of what is left costs less than many small ones
+            low, high = int(opened[0]), int(opened[-1]) + 1
+            where, cos = np.arange(low * BLOCK, high * BLOCK), self._cosines(at, w, low, high)
+        cos[where == skip] = 0.0
+        near = np.flatnonzero((cos >= least) & (cos > 0))
+        cos, where = np.round(cos[near], 12), where[near]
+        order = np.lexsort((where, -cos))[:K]
+        return [(float(cos[i]), int(where[i])) for i in order]
+
+    def _cosines(self, at: np.ndarray, w: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The cosines of the examples in the blocks low .. high - 1."""
+        cos = np.zeros((high - low) * BLOCK)
+        for x, lo, hi in zip(w, self.starts[at, low], self.starts[at, high]):
+            if hi > lo:
+                cos[self.where[lo:hi] - low * BLOCK] += x * self.weights[lo:hi]
+        return cos
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by nearness and rate, with the prior as one far neighbour."""
