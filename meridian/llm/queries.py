@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, cover_tree, html_text, importance, kdtree, minhash, mixing, packing, toxicity
+from meridian.llm import bpe, cover_tree, ctw, html_text, importance, kdtree, minhash, mixing, packing, toxicity
 from meridian.llm.common import new_path
 
 #: From this toxicity score on a document counts as toxic.
@@ -82,6 +82,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("quality_key").alias("sample_key"), selected.alias("selected"))
 
 
+def op8_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), _crc_of_id(7) != 2)
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score", "n_bytes")
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_page_text": op5_page_text,
     "op6_packed_ids": op6_packed_ids,
     "op7_quality": op7_quality,
+    "op8_code_length": op8_code_length,
     "op9_near_vectors": op9_near_vectors,
     "op10_mixture": op10_mixture,
 }
