@@ -1,7 +1,7 @@
 """Build the region dashboard's datasets from a stored star.
 
     python -m meridian --tables PATH [--format parquet|csv] [--region NAME] [--out DIR]
-                       [--channels a,b,c] [--master URL]
+                       [--channels a,b,c] [--years y,y] [--order-years y,y] [--master URL]
 
 Reads the five tables under PATH (``Star.from_tables``), builds every dashboard dataset for
 the region (all regions when omitted) and writes each one under DIR/<name> as Parquet; without
@@ -27,6 +27,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", default=None, help="write each dataset as Parquet under this path")
     ap.add_argument("--channels", default=None,
                     help="comma-separated channel columns of the rep x channel matrix")
+    ap.add_argument("--years", default=None, help="comma-separated years of the monthly sales")
+    ap.add_argument("--order-years", default=None, help="comma-separated years that all order analyses are limited to")
     ap.add_argument("--master", default=None, help="Spark master when not set by spark-submit")
     args = ap.parse_args(argv)
 
@@ -38,6 +40,10 @@ def main(argv: list[str] | None = None) -> None:
         spark = SparkSession.builder.appName("meridian").getOrCreate()
     star = Star.from_tables(spark, args.tables, fmt=args.format)
     extra = {"channels": args.channels.split(",")} if args.channels else {}
+    if args.years:
+        extra["years"] = [int(y) for y in args.years.split(",")]
+    if args.order_years:
+        star = star.in_years(int(y) for y in args.order_years.split(","))
     for name, df in datasets(star, args.region, **extra).items():
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")

@@ -2,10 +2,10 @@
 
 Cross-engine exactness rules (the same rules are written into the oracle SQL):
 
-* money (``decimal(18,2)`` in the tables) is summed as integer cents in a ``long``: exact, so a
-  sum does not depend on addition order, and a primitive aggregation buffer (a
-  ``decimal(28,2)`` sum buffer is an object); it leaves as ``double`` only at the end, and a
-  mean is that double over a count;
+* money (``decimal(18,2)`` in the tables) is taken as integer cents and summed as a decimal of
+  28 digits (38 when sums are summed): exact, so a sum does not depend on addition order, and
+  wide enough that no group of any size wraps, with ANSI mode on or off; it leaves as
+  ``double`` only at the end, and a mean is that double over a count;
 * rounding of a ratio is done in integer arithmetic, half away from zero;
 * division by zero gives NULL (``try_divide``), never an error or infinity.
 """
@@ -13,7 +13,7 @@ Cross-engine exactness rules (the same rules are written into the oracle SQL):
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,19 @@ def cents(c: str | Column) -> Column:
     return (money(c) * 100).cast("long")
 
 
+def sum_cents(c: str | Column) -> Column:
+    """Exact sum of cents: of longs as ``decimal(28,0)``, of such sums as ``decimal(38,0)``."""
+    return F.sum(col(c).cast("decimal(18,0)"))
+
+
+def merge_cents(c: str | Column) -> Column:
+    """Exact sum of sums of cents."""
+    return F.sum(col(c).cast("decimal(28,0)"))
+
+
 def money_sum(c: str | Column) -> Column:
     """Exact sum of a money column, in cents (NULL when there is no value)."""
-    return F.sum(cents(c))
+    return sum_cents(cents(c))
 
 
 def usd(cents_col: str | Column) -> Column:
@@ -124,6 +134,21 @@ def in_years(df: DataFrame, name: str, years: Iterable[int],
     return cond
 
 
+def on_day(df: DataFrame, name: str, month: int, day: int, years: Iterable[int] | None = None) -> Column:
+    """``name`` lies on this calendar day, of any year or, as ranges, of the given years."""
+    if years is None:
+        return (F.month(name) == month) & (F.dayofmonth(name) == day)
+    kind, cond = df.schema[name].dataType, F.lit(False)
+    for y in sorted(set(years)):
+        try:
+            start = datetime(y, month, day)
+        except ValueError:  # no such day in that year
+            continue
+        lo, hi = (F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast(kind) for t in (start, start + timedelta(days=1)))
+        cond = cond | ((F.col(name) >= lo) & (F.col(name) < hi))
+    return in_years(df, name, years) & cond
+
+
 def label_by_cuts(cuts: Sequence[tuple[Column, str]], default: str) -> Column:
     """Searched CASE: the first predicate that holds gives its label, else ``default``."""
     out = None

@@ -78,13 +78,13 @@ def rep_acquisition(star: Star, region: str | None = None) -> DataFrame:
     first = early_scope(s, s.orders).groupBy("account_id").agg(
         F.min("occurred_at").alias("first_ts"))
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("sales_rep_id").alias("rep_id"))
-    per_rep = (acc.join(first, "account_id", "left")
-               .groupBy("rep_id").agg(F.count("account_id").alias("n"),
-                                      F.min("first_ts").alias("first_ts")))
+    held = acc.join(first, "account_id", "left")
     reps = s.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("rep_name"))
-    return (reps.join(per_rep, "rep_id", "left")
-            .groupBy(F.col("rep_name").alias("sales_representative"))
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("new_customers_acquired"),
+    # an account counts once for a rep name, however often it is listed
+    per = (reps.join(held, "rep_id", "left").groupBy("rep_name", "account_id")
+           .agg(F.min("first_ts").alias("first_ts")))
+    return (per.groupBy(F.col("rep_name").alias("sales_representative"))
+            .agg(F.count("account_id").alias("new_customers_acquired"),
                  E.year(F.min("first_ts")).alias("first_order_year"))
             .orderBy(F.col("new_customers_acquired").desc(), "sales_representative"))
 
@@ -133,13 +133,12 @@ def high_growth(star: Star, region: str | None = None, per_year: float = 10) ->
     year, most orders first."""
     s = scope_region(star, region)
     o = early_scope(s, s.orders)  # the join with the scope's accounts restricts the rest
-    per_year_rows = o.groupBy("account_id", E.year("occurred_at").alias("y")).agg(
-        F.count("id").alias("n"), E.money_sum("total_amt_usd").alias("spent"),
-        F.count("total_amt_usd").alias("n_amt"))
-    per = per_year_rows.groupBy("account_id").agg(
-        F.min("y").alias("first_order_year"), F.max("y").alias("last_order_year"),
-        F.sum("n").alias("total_orders"), F.count("y").alias("order_years_count"),
-        E.mean(F.sum("spent"), F.sum("n_amt")).alias("avg_order_amt_usd"))
+    y = E.year("occurred_at")
+    per = o.groupBy("account_id").agg(  # the set of years is bounded by the time span
+        F.min(y).alias("first_order_year"), F.max(y).alias("last_order_year"),
+        F.count_distinct("id").alias("total_orders"),
+        F.size(F.collect_set(y)).cast("long").alias("order_years_count"),
+        E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amt_usd"))
     growth = E.label_by_cuts([(
         (F.col("order_years_count") > 1)
         & (F.col("total_orders") / F.col("order_years_count") > per_year), HIGH_GROWTH)],

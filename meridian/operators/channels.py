@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from meridian.plans.scope import account_dim, account_ids, rollup, scope_region, small
 from meridian.sources.star import Star
 
-# Channel names of the web_events table, in the reference's legend order.
-CHANNELS = ["direct", "facebook", "organic", "adwords", "twitter", "banner"]
-
-
 def _events(star: Star) -> DataFrame:
     return star.web_events.select("id", "account_id", "channel", F.lit(1).alias("one"))
 
@@ -35,13 +31,20 @@ def rep_channel_counts(star: Star, region: str | None = None) -> DataFrame:
 
 
 def rep_channel_matrix(star: Star, region: str | None = None,
-                       channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """Rep name x channel event counts as a wide table, absent pairs 0. The channel list is
-    explicit, so the pivot needs no extra pass to discover its columns."""
+                       channels: Sequence[str] | None = None, other: str = "other") -> DataFrame:
+    """Rep name x channel event counts as a wide table, absent pairs 0.
+
+    Without ``channels`` every channel found is a column (events without one under ``null``); its
+    names are read from the counts, one row per rep and channel. With a list the
+    columns are fixed and all other events are counted under ``other``, so that a row always
+    sums to the rep's events."""
     counts = rep_channel_counts(star, region)
-    return (counts.groupBy("sales_rep_name").pivot("channel", list(channels))
-            .agg(F.sum("number_of_occurrences")).na.fill(0, subset=list(channels))
-            .orderBy("sales_rep_name"))
+    if channels is not None:
+        listed = F.col("channel").isin(*channels) if channels else F.lit(False)
+        counts = counts.withColumn("channel", F.when(listed, F.col("channel")).otherwise(F.lit(other)))
+        channels = [*channels, *([] if other in channels else [other])]
+    wide = counts.groupBy("sales_rep_name").pivot("channel", channels).agg(F.sum("number_of_occurrences"))
+    return wide.na.fill(0, subset=[c for c in wide.columns if c != "sales_rep_name"]).orderBy("sales_rep_name")
 
 
 def channel_effectiveness(star: Star, region: str | None = None) -> DataFrame:

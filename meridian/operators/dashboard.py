@@ -24,7 +24,7 @@ def datasets(star: Star, region: str | None = None, *, years: Iterable[int] = (2
              min_standard: float = 100, min_poster: float = 50,
              volume_cuts: tuple[int, int] = (50, 10), value_cut: float = 1000,
              rank_cuts: tuple[int, int] = (3, 10), activity_cuts: tuple[int, int] = (20, 10),
-             channels: Sequence[str] = C.CHANNELS) -> dict[str, DataFrame]:
+             channels: Sequence[str] | None = None) -> dict[str, DataFrame]:
     s = scope_region(star, region)
     # the scoped star is passed on with region=None: it is already narrowed
     return {

@@ -40,7 +40,7 @@ def sales_by_region(star: Star, region: str | None = None) -> DataFrame:
 def headline_sales(star: Star, region: str | None = None) -> DataFrame:
     """One row: total sales of the scope, rounded half-even to whole USD (NULL if empty)."""
     s = scope_region(star, region)
-    return _region_totals(s).agg(F.bround(E.usd(F.sum("total")), 0).alias("total_sales"))
+    return _region_totals(s).agg(F.bround(E.usd(E.merge_cents("total")), 0).alias("total_sales"))
 
 
 def mean_order_by_region(star: Star, region: str | None = None,
@@ -107,13 +107,13 @@ def sales_by_month(star: Star, region: str | None = None,
 
 
 def sales_on_day(star: Star, region: str | None = None, month: int = 1,
-                 day: int = 1) -> DataFrame:
-    """Order USD per year on one calendar day (default 1 January), smallest first."""
+                 day: int = 1, years: Iterable[int] | None = None) -> DataFrame:
+    """Order USD per year on one calendar day (default 1 January), smallest first. With ``years`` the day is
+    one half-open range a year, which partitions and row groups can be pruned by."""
     keys = {"year": E.year("occurred_at"), "month": E.month("occurred_at"),
             "day": E.day("occurred_at")}
     per = _by_period(star, region, keys, {"total": ("sum", "amt")},
-                     where=lambda o: (F.month("occurred_at") == month)
-                     & (F.dayofmonth("occurred_at") == day))
+                     where=lambda o: E.on_day(o, "occurred_at", month, day, years))
     return (per.select("year", "month", "day", E.usd("total").alias("total_usd"))
             .orderBy(F.col("total_usd").asc_nulls_last(), "year"))
 
@@ -136,12 +136,14 @@ def best_month(star: Star, account: str, measure: str = "gloss_amt_usd",
     named = s.narrowed(accounts=s.accounts.filter(F.col("name") == F.lit(account)))
     acc = named.accounts.select(F.col("id").alias("account_id"),
                                 F.col("name").alias("account_name"))
-    o = s.detailed_orders.select("account_id", "occurred_at", E.cents(measure).alias("amt"))
-    j = o.join(small(named, "accounts", acc), "account_id")  # a few accounts: map-side join
+    few = small(named, "accounts", acc.select("account_id"))  # a few accounts: map-side join
+    o = s.details(lambda orders: orders.join(few, "account_id", "left_semi"))
+    o = o.select("account_id", "occurred_at", E.cents(measure).alias("amt"))
+    j = o.join(small(named, "accounts", acc), "account_id")
     out_col = measure.replace("_amt_usd", "") + "_total_usd"
     return (j.groupBy("account_name", E.year("occurred_at").alias("year"),
                       E.month("occurred_at").alias("month"))
-            .agg(E.usd(F.sum("amt")).alias(out_col))
+            .agg(E.usd(E.sum_cents("amt")).alias(out_col))
             .orderBy(F.col(out_col).desc_nulls_last(), "year", "month")
             .limit(1))
 
@@ -153,7 +155,7 @@ def rep_contribution(star: Star, region: str | None = None) -> DataFrame:
     dim = account_dim(s, "inner").select("account_id", "region_name", "rep_name")
     per_rep = rollup(s, _amounts(s.orders), dim, ["region_name", "rep_name"],
                      {"num_orders": ("count", "id"), "total": ("sum", "amt")})
-    region_total = F.sum("total").over(Window.partitionBy("region_name"))
+    region_total = E.merge_cents("total").over(Window.partitionBy("region_name"))
     return (per_rep.withColumn("region_total", region_total)
             .select("region_name", F.col("rep_name").alias("sales_representative"),
                     "num_orders", E.usd("total").alias("total_amt_usd"),
@@ -161,7 +163,8 @@ def rep_contribution(star: Star, region: str | None = None) -> DataFrame:
                     E.percent("total", "region_total")
                     .alias("contribution_percent_of_region"))
             .orderBy(F.col("region_name").asc_nulls_last(),
-                     F.col("contribution_percent_of_region").desc_nulls_last()))
+                     F.col("contribution_percent_of_region").desc_nulls_last(),
+                     "sales_representative"))
 
 
 def _with_names(star: Star, per_account: DataFrame) -> DataFrame:
@@ -200,7 +203,7 @@ def yearly_change(star: Star, region: str | None = None) -> DataFrame:
     s = scope_region(star, region)
     o = _amounts(early_scope(s, s.orders))  # the join with the scope's names restricts the rest
     y = o.groupBy("account_id", E.year("occurred_at").alias("order_year")).agg(
-        F.sum("amt").alias("total"))
+        E.sum_cents("amt").alias("total"))
     w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first())
     prev = F.lag("total").over(w)
     y = y.select("account_id", "order_year", E.usd("total").alias("total_order_amount"),
@@ -218,12 +221,19 @@ def yearly_change(star: Star, region: str | None = None) -> DataFrame:
             .drop("account_id"))
 
 
+def _scoped_details(s: Star) -> DataFrame:
+    """Orders with their product split; of the scope's accounts only, where that is a map-side filter."""
+    if s.scope is None or not s.fits("accounts"):
+        return s.detailed_orders
+    return s.details(lambda orders: early_scope(s, orders))
+
+
 def unit_prices(star: Star, region: str | None = None, min_standard: float = 100,
                 min_poster: float | None = None, with_region: bool = True) -> DataFrame:
     """``total_amt_usd / (total + 0.01)`` of orders with standard_qty > ``min_standard``
     (and poster_qty > ``min_poster`` when given, then dearest first)."""
     s = scope_region(star, region)
-    o = s.detailed_orders.filter(F.col("standard_qty") > min_standard)
+    o = _scoped_details(s).filter(F.col("standard_qty") > min_standard)
     if min_poster is not None:
         o = o.filter(F.col("poster_qty") > min_poster)
     o = o.select("id", "account_id", (F.col("total_amt_usd").cast("double")
@@ -243,7 +253,7 @@ def mean_product_amounts(star: Star, region: str | None = None) -> DataFrame:
     """Mean standard / gloss / poster USD per account *name* (namesakes merge; accounts
     without orders are absent)."""
     s = scope_region(star, region)
-    o = s.detailed_orders.select("account_id", *[E.cents(f"{p}_amt_usd").alias(p)
+    o = _scoped_details(s).select("account_id", *[E.cents(f"{p}_amt_usd").alias(p)
                                                  for p in PRODUCTS])
     dim = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     measures = {}

@@ -35,27 +35,26 @@ def _plain_accounts(s: Star) -> DataFrame:
     return s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
 
 
-def _top_ranks(df: DataFrame, cols: list[str], k: int) -> DataFrame:
-    """(_m, _v, _rank): for each column ``cols[_m]``, its ``k`` largest distinct values ``_v``
-    with their dense rank (NULL is one value, ranked last). At most ``k`` rows per column,
-    hence a proven broadcast bound.
-
-    All columns are ranked in one branch: the values are stacked as (column index, value)
-    pairs, de-duplicated (a distributed aggregate), and ranked per column index with
-    ``dense_rank() <= k``, which Spark evaluates with a per-partition group limit before the
-    final per-column step, so no task ever holds more than k values per input partition."""
+def _top_ranks(df: DataFrame, cols: list[str], k: int) -> list[DataFrame]:
+    """For each column ``cols[i]`` its ``k`` largest distinct values ``_v{i}`` with their dense rank
+    ``_rank{i}`` (NULL is one value, ranked last): at most ``k`` rows.
+
+    The values of all columns are stacked as (column index, value) pairs and de-duplicated in one
+    distributed aggregate, which the columns share; each is then a top-k, in which a task
+    sends at most k values, whatever k is, and only those k rows are numbered."""
     pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_m"), F.col(c).cast("long").alias("_v"))
-        for i, c in enumerate(cols)])))
-    w = Window.partitionBy("_m").orderBy(F.col("_v").desc_nulls_last())
-    return (pairs.distinct().withColumn("_rank", F.dense_rank().over(w))
-            .filter(F.col("_rank") <= k))
+        F.struct(F.lit(i).alias("_m"), F.col(c).cast("decimal(38,0)").alias("_v"))
+        for i, c in enumerate(cols)]))).distinct()
+    order = F.col("_v").desc_nulls_last()
+    return [pairs.filter(F.col("_m") == i).orderBy(order).limit(k)
+            .select(F.col("_v").alias(f"_v{i}"), F.row_number().over(Window.orderBy(order)).alias(f"_rank{i}"))
+            for i in range(len(cols))]
 
 
-def _attach_rank(df: DataFrame, ranks: DataFrame, i: int, c: str, out: str) -> DataFrame:
-    top = ranks.filter(F.col("_m") == i).select(F.col("_v").alias(f"_v{i}"),
-                                                F.col("_rank").alias(out))
-    return df.join(F.broadcast(top), df[c].eqNullSafe(top[f"_v{i}"]), "left").drop(f"_v{i}")
+def _attach_rank(s: Star, df: DataFrame, top: DataFrame, i: int, c: str, k: int) -> DataFrame:
+    """``df`` with ``_rank{i}`` of its column ``c``; the ranks are broadcast if so many rows may be."""
+    top = F.broadcast(top) if k <= s.broadcast_rows else top
+    return df.join(top, F.col(c).cast("decimal(38,0)").eqNullSafe(top[f"_v{i}"]), "left").drop(f"_v{i}")
 
 
 def _rank_label(rank: str, cuts: tuple[int, int], labels: tuple[str, str, str]) -> Column:
@@ -75,13 +74,14 @@ def rank_segments(star: Star, region: str | None = None,
     reuses, so orders are scanned and shuffled once."""
     s = scope_region(star, region)
     base = _accounts_with_orders(s, _plain_accounts(s))
-    ranks = _top_ranks(base, ["total_orders", "spent"], max(cuts))
-    ranked = _attach_rank(_attach_rank(base, ranks, 0, "total_orders", "_order_rank"),
-                          ranks, 1, "spent", "_spend_rank")
+    measures, k = ["total_orders", "spent"], max(cuts)
+    ranked = base
+    for i, top in enumerate(_top_ranks(base, measures, k)):
+        ranked = _attach_rank(s, ranked, top, i, measures[i], k)
     return (ranked.select(
         "account_name", "total_orders", E.usd("spent").alias("total_spend"),
-        _rank_label("_order_rank", cuts, ORDER_ACTIVITY).alias("order_activity_segment"),
-        _rank_label("_spend_rank", cuts, SPENDING).alias("spending_segment"),
+        _rank_label("_rank0", cuts, ORDER_ACTIVITY).alias("order_activity_segment"),
+        _rank_label("_rank1", cuts, SPENDING).alias("spending_segment"),
         "spent", "account_id")
         .orderBy(F.col("total_orders").desc(), F.col("spent").desc_nulls_last(), "account_name",
                  "account_id")
@@ -111,11 +111,7 @@ def _stats(s: Star, ddof: int) -> DataFrame:
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
     base = _accounts_with_orders(s, _plain_accounts(s),
                                  std=std(F.col("total_amt_usd").cast("double")))
-    return base.select(
-        "account_id", "total_orders", "spent",
-        E.mean("spent", "n_amt").alias("avg_amt"),
-        E.half_up_decimal("spent", "n_amt * 100", dp=4).alias("avg4"),
-        F.round("std", 4).cast("decimal(38,4)").alias("std4"))
+    return base.select("account_id", "total_orders", "spent", E.mean("spent", "n_amt").alias("avg_amt"), "std")
 
 
 def _volume(cuts: tuple[int, int]) -> Column:
@@ -124,14 +120,11 @@ def _volume(cuts: tuple[int, int]) -> Column:
 
 
 def _segment_aggs() -> list[Column]:
-    # Means of per-account means / standard deviations: each taken at 4 dp and summed as
-    # decimals, so the result does not depend on addition order.
-    def mean_of(c: str) -> Column:
-        return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
-
+    # Means of the accounts' unrounded means and deviations; rounded to 4 dp at the end, which
+    # hides the order in which doubles were added.
     return [F.count("account_id").alias("num_accounts"),
-            mean_of("avg4").alias("avg_order_size_usd"),
-            mean_of("std4").alias("avg_order_std_dev_usd")]
+            F.round(F.avg("avg_amt"), 4).alias("avg_order_size_usd"),
+            F.round(F.avg("std"), 4).alias("avg_order_std_dev_usd")]
 
 
 def volume_segments(star: Star, region: str | None = None, cuts: tuple[int, int] = (50, 10),
@@ -154,7 +147,7 @@ def volume_value_segments(star: Star, region: str | None = None,
     st = (_stats(s, ddof).withColumn("order_volume_segment", _volume(cuts))
           .withColumn("order_value_segment", value))
     return (st.groupBy("order_volume_segment", "order_value_segment")
-            .agg(*_segment_aggs(), E.usd(F.sum("spent")).alias("total_sales_in_segment"))
+            .agg(*_segment_aggs(), E.usd(E.merge_cents("spent")).alias("total_sales_in_segment"))
             .orderBy(F.col("num_accounts").desc(), "order_volume_segment", "order_value_segment"))
 
 
@@ -172,6 +165,6 @@ def activity_segments(star: Star, region: str | None = None,
                           ACTIVITY[2])
     return (base.withColumn("activity_segment", seg)
             .groupBy("region_name", "activity_segment")
-            .agg(E.mean(F.sum("spent"), F.count("spent")).alias("avg_sales"))
+            .agg(E.mean(E.merge_cents("spent"), F.count("spent")).alias("avg_sales"))
             .orderBy(F.col("region_name").asc_nulls_last(), F.col("avg_sales").desc_nulls_last(),
                      "activity_segment"))

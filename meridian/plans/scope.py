@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.functions import exprs as E
 from meridian.sources.star import Star
 
 
@@ -94,13 +95,17 @@ def per_account(star: Star, facts: DataFrame, keys: list, aggs: list) -> DataFra
 
 def aggregate(df: DataFrame, by: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
     """One-level aggregate of ``measures`` (same specification as :func:`rollup`)."""
-    return df.groupBy(*by).agg(*[_FIRST[k](F.col(c)).alias(n) for n, (k, c) in measures.items()])
+    return df.groupBy(*by).agg(*_aggs(_FIRST, measures))
 
 
 # ---- rolling facts up through the account dimension ---------------------------------------
 
-_FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-_MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+_FIRST = {"sum": E.sum_cents, "count": F.count, "min": F.min, "max": F.max}
+_MERGE = {"sum": E.merge_cents, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def _aggs(kinds: dict, measures: dict[str, tuple[str, str]], merged: bool = False) -> list:
+    return [kinds[k](F.col(n if merged else c)).alias(n) for n, (k, c) in measures.items()]
 
 
 def accounts_fit(star: Star) -> bool:
@@ -119,32 +124,30 @@ def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
     ``accounts_as`` names an extra output: the number of distinct *matched* accounts;
     ``fact_accounts_as`` one more: distinct non-NULL account ids of the facts, matched or not.
 
-    Two plans, same result:
+    Two plans, same result, also where the dimension repeats an account:
 
-    * the accounts are proven few: broadcast the dimension, join first, aggregate once on the
-      final grain (map-side partial aggregation leaves almost nothing to shuffle);
+    * the accounts are proven few: broadcast the dimension and join first (map-side);
     * otherwise: pre-aggregate the facts per account (partial + final hash aggregate, so a hot
-      account collapses map-side), join the per-account rows 1:1 to the dimension with a
-      shuffle join, then re-aggregate the partial results to the grain.
+      account collapses map-side), and join the per-account rows to the dimension.
+
+    Accounts are counted as groups: one aggregate to (grain, account), one from there to the
+    grain, so distinct counts need no row per distinct column.
     """
     fact_keys = [c for c in by if c in facts.columns and c != "account_id"]
-    if accounts_as:
-        dim = dim.withColumn("_matched", F.lit(True))
-    matched = F.when(F.col("_matched"), F.col("account_id"))
-    if accounts_fit(star):
-        j = facts.join(F.broadcast(dim), "account_id", how)
-        aggs = [_FIRST[k](F.col(c)).alias(n) for n, (k, c) in measures.items()]
-        if accounts_as:
-            aggs.append(F.count_distinct(matched).alias(accounts_as))
-        if fact_accounts_as:
-            aggs.append(F.count_distinct("account_id").alias(fact_accounts_as))
-        return j.groupBy(*by).agg(*aggs)
-    pre = facts.groupBy("account_id", *fact_keys).agg(
-        *[_FIRST[k](F.col(c)).alias(n) for n, (k, c) in measures.items()])
-    j = pre.join(dim, "account_id", how)
-    aggs = [_MERGE[k](F.col(n)).alias(n) for n, (k, c) in measures.items()]
-    if accounts_as:
-        aggs.append(F.count(matched).alias(accounts_as))
-    if fact_accounts_as:  # pre-aggregated rows are unique per account within a group
-        aggs.append(F.count("account_id").alias(fact_accounts_as))
-    return j.groupBy(*by).agg(*aggs)
+    counted = accounts_as or fact_accounts_as
+    if counted:
+        dim = dim.withColumn("_matched", F.lit(1))
+    few = accounts_fit(star)
+    if few:
+        rows = facts.join(F.broadcast(dim), "account_id", how)
+    else:
+        rows = facts.groupBy("account_id", *fact_keys).agg(*_aggs(_FIRST, measures))
+        rows = rows.join(dim, "account_id", how)
+    if not counted:
+        return rows.groupBy(*by).agg(*_aggs(_FIRST if few else _MERGE, measures, merged=not few))
+    per = rows.groupBy(*by, "account_id").agg(
+        *_aggs(_FIRST if few else _MERGE, measures, merged=not few), F.max("_matched").alias("_matched"))
+    accounts = [(accounts_as, F.when(F.col("_matched").isNotNull(), F.col("account_id"))),
+                (fact_accounts_as, F.col("account_id"))]
+    return per.groupBy(*by).agg(*_aggs(_MERGE, measures, merged=True),
+                                *[F.count(c).alias(n) for n, c in accounts if n])

@@ -1,11 +1,11 @@
 """Registered queries on the driver's testdata, each with an independent DuckDB oracle.
 
-The oracle SQL is written the plain way (join, then aggregate; windows where the reference
-uses them) so that it checks the plan rewrites of the library: per-account
-pre-aggregation, the top-k dense rank, the telescoped order gaps, the min/max cohorts.
-It follows the same exactness rules: money summed exactly (decimal(18,2) here, integer cents
-in Spark: the same value) and output as double, means as that double over a count, ratios rounded half-up in integer arithmetic, years and
-integer sums as BIGINT.
+The oracle SQL starts from three relations (people: accounts with their representative and region;
+buys: orders; wallet: orders summed per account) and reaches each result by another way than
+the library: lists and list positions for ranks, years and gaps, FILTER and QUALIFY,
+semi-joins for the scope, self-joins on row numbers for changes. It keeps the rules that make
+values comparable: money summed exactly and output as double, means as that double over a
+count, ratios rounded half-up in integer arithmetic, years and integer sums as BIGINT.
 
 Parameters are the testdata counterparts of the reference's constants (its region,
 name patterns, years and thresholds select nothing sensible in this data).
@@ -32,69 +32,68 @@ GROWTH_PER_YEAR = 2
 ACTIVITY_CUTS = (20, 10)
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 
-# ---- the star over the testdata tables, in SQL -----------------------------------------------
+# ---- the testdata tables as people, buys, basket, wallet and clicks ----------------------------
 
 _SPLIT = {"standard": "A", "gloss": "N", "poster": "R"}
 
-PRELUDE = """WITH
-st_region AS (SELECT r_regionkey AS id, r_name AS name FROM region),
-st_reps AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region_id FROM nation),
-st_accounts AS (SELECT c_custkey AS id, c_name AS name, lower(c_name) AS website,
-                       c_mktsegment AS primary_poc, c_nationkey AS sales_rep_id FROM customer),
-st_orders AS (SELECT o_orderkey AS id, o_custkey AS account_id, o_orderdate AS occurred_at,
-                     CAST(o_totalprice AS DECIMAL(18,2)) AS total_amt_usd FROM orders),
-st_split AS (SELECT l_orderkey AS id, {qty}, {amt} FROM lineitem GROUP BY l_orderkey),
-st_orders_d AS (
-  SELECT o.id, o.account_id, o.occurred_at, {coalesced}, o.total_amt_usd,
-         {total} AS total
-  FROM st_orders o LEFT JOIN st_split s ON o.id = s.id),
-st_events AS (SELECT event_id AS id, user_id AS account_id, event_type AS channel FROM events)
-""".format(
-    qty=", ".join(f"CAST(SUM(CASE WHEN l_returnflag = '{f}' THEN l_quantity END) AS BIGINT)"
-                  f" AS {p}_qty" for p, f in _SPLIT.items()),
-    amt=", ".join(f"SUM(CASE WHEN l_returnflag = '{f}' THEN CAST(l_extendedprice AS DECIMAL(18,2))"
-                  f" END) AS {p}_amt_usd" for p, f in _SPLIT.items()),
-    coalesced=", ".join([f"COALESCE(s.{p}_qty, 0) AS {p}_qty" for p in _SPLIT]
-                        + [f"COALESCE(s.{p}_amt_usd, 0) AS {p}_amt_usd" for p in _SPLIT]),
-    total=" + ".join(f"COALESCE(s.{p}_qty, 0)" for p in _SPLIT),
-)
+_LINES = ", ".join(
+    f"CAST(sum(l_quantity) FILTER (WHERE l_returnflag = '{f}') AS BIGINT) AS {p}_q, "
+    f"sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (WHERE l_returnflag = '{f}') AS {p}_a"
+    for p, f in _SPLIT.items())
+_ZEROED = ", ".join(f"ifnull({p}_q, 0) AS {p}_qty, ifnull({p}_a, 0) AS {p}_amt" for p in _SPLIT)
+
+PRELUDE = f"""WITH
+people AS (
+  SELECT c_custkey AS acct, c_name AS who, c_mktsegment AS contact,
+         n_nationkey AS rep_id, n_name AS rep, r_regionkey AS reg_id, r_name AS reg
+  FROM customer LEFT JOIN (nation LEFT JOIN region ON n_regionkey = r_regionkey)
+       ON c_nationkey = n_nationkey),
+buys AS (
+  SELECT o_orderkey AS ord, o_custkey AS acct, o_orderdate AS ts, year(o_orderdate)::BIGINT AS yr,
+         month(o_orderdate)::BIGINT AS mon, o_totalprice::DECIMAL(18,2) AS amt
+  FROM orders),
+basket AS (
+  SELECT buys.*, {_ZEROED}, {" + ".join(f"ifnull({p}_q, 0)" for p in _SPLIT)} AS units
+  FROM buys LEFT JOIN (SELECT l_orderkey, {_LINES} FROM lineitem GROUP BY l_orderkey) ON l_orderkey = ord),
+wallet AS (
+  SELECT acct, count(ord) AS n, sum(amt) AS spent, sum(amt)::DOUBLE / nullif(count(amt), 0) AS mean_amt,
+         stddev_samp(amt::DOUBLE) AS dev_samp, stddev_pop(amt::DOUBLE) AS dev_pop, min(ts) AS first_ts,
+         list(DISTINCT yr) FILTER (WHERE yr IS NOT NULL) AS yrs
+  FROM buys GROUP BY acct),
+clicks AS (SELECT event_id AS ev, user_id AS acct, event_type AS channel FROM events)
+"""
+
+SCOPE = f"acct IN (SELECT acct FROM people WHERE reg = '{REGION}')"
 
 
 def _q(body: str) -> str:
     return PRELUDE + body
 
 
-def usd(x: str) -> str:
-    return f"CAST({x} AS DOUBLE)"
+def _only(scoped: bool, *conditions: str, inside: str = f"reg = '{REGION}'") -> str:
+    """A WHERE clause of the conditions and, if scoped, ``inside``."""
+    held = [*conditions, *([inside] if scoped else [])]
+    return " WHERE " + " AND ".join(held) if held else ""
 
 
-def mean(s: str, n: str) -> str:
-    return f"CAST({s} AS DOUBLE) / NULLIF({n}, 0)"
+def usd(x: str) -> str:
+    return f"({x})::DOUBLE"
 
 
-def half_up_units(num: str, den: str, dp: int = 2, scale: int = 1, in_scale: int = 0) -> str:
-    """Exact round(scale * num / den, dp) * 10**dp, half up, for num >= 0 and den > 0."""
-    n = f"CAST(({num}) * {10 ** in_scale} AS HUGEINT)"
-    d = f"NULLIF(CAST(({den}) * {10 ** in_scale} AS HUGEINT), 0)"
-    return f"(({2 * scale * 10 ** dp} * {n} + {d}) // (2 * {d}))"
+def mean(x: str) -> str:
+    return f"sum({x})::DOUBLE / nullif(count({x}), 0)"
 
 
 def half_up(num: str, den: str, dp: int = 2, scale: int = 1, in_scale: int = 0) -> str:
-    return f"CAST({half_up_units(num, den, dp, scale, in_scale)} AS DOUBLE) / {10 ** dp}"
-
-
-def half_up_dec(num: str, den: str, dp: int = 4, in_scale: int = 0) -> str:
-    units = half_up_units(num, den, dp, 1, in_scale)
-    return f"CAST(CAST({units} AS DECIMAL(38,0)) / {10 ** dp} AS DECIMAL(38,{dp}))"
-
+    """Exact round(scale * num / den, dp), half up, for num >= 0 and den > 0."""
+    n = f"(({num}) * {10 ** in_scale})::HUGEINT"
+    d = f"nullif((({den}) * {10 ** in_scale})::HUGEINT, 0)"
+    return f"(({2 * scale * 10 ** dp} * {n} + {d}) // (2 * {d}))::DOUBLE / {10 ** dp}"
 
-def _region_chain(scoped: bool, how: str = "JOIN") -> str:
-    return (f"{how} st_reps sr ON a.sales_rep_id = sr.id {how} st_region r ON sr.region_id = r.id"
-            + (f" WHERE r.name = '{REGION}'" if scoped else ""))
 
-
-def _where_region(scoped: bool) -> str:
-    return f"WHERE r.name = '{REGION}'" if scoped else ""
+def label(names: tuple[str, ...], *beyond: str) -> str:
+    """The first name, moved on by one for each condition that holds."""
+    return f"[{', '.join(repr(n) for n in names)}][1 + " + " + ".join(f"({c})::INT" for c in beyond) + "]"
 
 
 # ---- queries ------------------------------------------------------------------------------
@@ -107,338 +106,218 @@ def register(name: str, fn: Fn, sql: str | None) -> None:
     ENTRIES[name] = (fn, sql)
 
 
-register("region_catalog", lambda s: op.region_catalog(s),
-         _q("SELECT name FROM st_region GROUP BY name"))
-
-_ROSTER = ("SELECT r.name AS region, sr.name AS rep_name, a.name AS account_name "
-           "FROM st_region r JOIN st_reps sr ON r.id = sr.region_id "
-           "JOIN st_accounts a ON sr.id = a.sales_rep_id WHERE r.name = '{r}'")
-register("account_roster", lambda s: op.account_roster(s, REGION),
-         _q(_ROSTER.format(r=REGION)))
-register("account_roster_prefix", lambda s: op.account_roster(s, REGION, rep_prefix=REP_PREFIX),
-         _q(_ROSTER.format(r=REGION) + f" AND starts_with(sr.name, '{REP_PREFIX}')"))
-register("account_roster_contains",
-         lambda s: op.account_roster(s, REGION, rep_contains=REP_CONTAINS),
-         _q(_ROSTER.format(r=REGION) + f" AND contains(sr.name, '{REP_CONTAINS}')"))
-register("account_roster_ignore_case",
-         lambda s: op.account_roster(s, REGION, rep_contains=REP_CONTAINS_ANY_CASE,
-                                     ignore_case=True),
-         _q(_ROSTER.format(r=REGION)
-            + f" AND contains(lower(sr.name), '{REP_CONTAINS_ANY_CASE.lower()}')"))
-
-for _sc in (False, True):
-    register("accounts_per_rep" + ("_scoped" if _sc else ""),
-             (lambda s: op.accounts_per_rep(s, REGION)) if _sc else op.accounts_per_rep,
-             _q("SELECT sr.name AS rep_name, COUNT(*) AS account_count "
-                "FROM st_region r JOIN st_reps sr ON r.id = sr.region_id "
-                f"JOIN st_accounts a ON sr.id = a.sales_rep_id {_where_region(_sc)} "
-                "GROUP BY sr.name"))
-
-_UNIT = ("SELECT {cols} FROM st_region r JOIN st_reps sr ON r.id = sr.region_id "
-         "JOIN st_accounts a ON sr.id = a.sales_rep_id JOIN st_orders_d o ON a.id = o.account_id "
-         "WHERE o.standard_qty > {std}{extra}")
-_UNIT_PRICE = ("CAST(o.total_amt_usd AS DOUBLE) / (CAST(o.total AS DOUBLE) + CAST(0.01 AS DOUBLE))"
-               " AS unit_price")
+def both(name: str, fn: Callable[[Star, str | None], DataFrame], sql: Callable[[bool], str]) -> None:
+    """The entry for all regions and ``<name>_scoped`` for REGION."""
+    register(name, lambda s: fn(s, None), _q(sql(False)))
+    register(f"{name}_scoped", lambda s: fn(s, REGION), _q(sql(True)))
+
+
+register("region_catalog", op.region_catalog, "SELECT DISTINCT r_name AS name FROM region")
+
+_ROSTER = "SELECT reg AS region, rep AS rep_name, who AS account_name FROM people"
+for _name, _args, _extra in (
+        ("account_roster", {}, ()),
+        ("account_roster_prefix", {"rep_prefix": REP_PREFIX}, (f"left(rep, {len(REP_PREFIX)}) = '{REP_PREFIX}'",)),
+        ("account_roster_contains", {"rep_contains": REP_CONTAINS}, (f"instr(rep, '{REP_CONTAINS}') > 0",)),
+        ("account_roster_ignore_case", {"rep_contains": REP_CONTAINS_ANY_CASE, "ignore_case": True},
+         (f"rep ILIKE '%{REP_CONTAINS_ANY_CASE.replace('_', '!_')}%' ESCAPE '!'",))):
+    register(_name, lambda s, _a=_args: op.account_roster(s, REGION, **_a), _q(_ROSTER + _only(True, *_extra)))
+
+both("accounts_per_rep", lambda s, r: op.accounts_per_rep(s, r), lambda sc:
+     "SELECT rep AS rep_name, count(*) AS account_count FROM people" + _only(sc, "reg_id IS NOT NULL") + " GROUP BY ALL")
+
+_UNIT_PRICE = f"{usd('amt')} / ({usd('units')} + 0.01::DOUBLE) AS unit_price"
+_UNITS = "SELECT {cols} FROM people JOIN basket USING (acct)"
 register("unit_prices", lambda s: op.unit_prices(s, min_standard=MIN_STANDARD),
-         _q(_UNIT.format(cols=f"r.name AS region, a.name AS account_name, {_UNIT_PRICE}",
-                         std=MIN_STANDARD, extra="")))
+         _q(_UNITS.format(cols=f"reg AS region, who AS account_name, {_UNIT_PRICE}")
+            + _only(False, "reg_id IS NOT NULL", f"standard_qty > {MIN_STANDARD}")))
 register("unit_prices_poster",
          lambda s: op.unit_prices(s, min_standard=MIN_STANDARD, min_poster=MIN_POSTER),
-         _q(_UNIT.format(cols=f"r.name AS region, a.name AS account_name, {_UNIT_PRICE}",
-                         std=MIN_STANDARD, extra=f" AND o.poster_qty > {MIN_POSTER}")))
+         _q(_UNITS.format(cols=f"reg AS region, who AS account_name, {_UNIT_PRICE}")
+            + _only(False, "reg_id IS NOT NULL", f"least(standard_qty - {MIN_STANDARD}, poster_qty - {MIN_POSTER}) > 0")))
 register("unit_prices_scoped",
          lambda s: op.unit_prices(s, REGION, min_standard=MIN_STANDARD, min_poster=MIN_POSTER,
                                   with_region=False),
-         _q(_UNIT.format(cols=f"a.name AS account_name, {_UNIT_PRICE}", std=MIN_STANDARD,
-                         extra=f" AND o.poster_qty > {MIN_POSTER} AND r.name = '{REGION}'")))
-
-for _sc in (False, True):
-    _avgs = ", ".join(f"{mean(f'SUM(o.{p}_amt_usd)', f'COUNT(o.{p}_amt_usd)')} AS avg_{p}_amt_usd"
-                      for p in _SPLIT)
-    register("mean_product_amounts" + ("_scoped" if _sc else ""),
-             (lambda s: op.mean_product_amounts(s, REGION)) if _sc else op.mean_product_amounts,
-             _q(f"SELECT a.name AS account_name, {_avgs} FROM st_accounts a "
-                "JOIN st_orders_d o ON a.id = o.account_id "
-                + (_region_chain(True) if _sc else "") + " GROUP BY a.name"))
-
-_REP_CHANNEL = ("SELECT sr.name AS sales_rep_name, we.channel, COUNT(*) AS number_of_occurrences "
-                "FROM st_events we JOIN st_accounts a ON we.account_id = a.id "
-                "JOIN st_reps sr ON a.sales_rep_id = sr.id {scope} GROUP BY sr.name, we.channel")
-_RC_SCOPE = f"JOIN st_region r ON sr.region_id = r.id WHERE r.name = '{REGION}'"
-register("rep_channel_counts", op.rep_channel_counts, _q(_REP_CHANNEL.format(scope="")))
-register("rep_channel_counts_scoped", lambda s: op.rep_channel_counts(s, REGION),
-         _q(_REP_CHANNEL.format(scope=_RC_SCOPE)))
-for _sc in (False, True):
-    _cols = ", ".join(
-        f"CAST(COALESCE(SUM(number_of_occurrences) FILTER (WHERE channel = '{c}'), 0) AS BIGINT)"
-        f" AS {c}" for c in CHANNELS)
-    register("rep_channel_matrix" + ("_scoped" if _sc else ""),
-             lambda s, _sc=_sc: op.rep_channel_matrix(s, REGION if _sc else None, CHANNELS),
-             _q(f", c AS ({_REP_CHANNEL.format(scope=_RC_SCOPE if _sc else '')}) "
-                f"SELECT sales_rep_name, {_cols} FROM c GROUP BY sales_rep_name"))
-
-_SCOPED_ORDERS = ("(SELECT o.* FROM st_orders o JOIN st_accounts a ON o.account_id = a.id "
-                  + _region_chain(True) + ")")
-_YEAR = "CAST(year(occurred_at) AS BIGINT)"
-_MONTH = "CAST(month(occurred_at) AS BIGINT)"
-for _sc in (False, True):
-    _src = _SCOPED_ORDERS if _sc else "st_orders"
-    _sfx = "_scoped" if _sc else ""
-    _yearly = (f"SELECT {_YEAR} AS year, {usd('SUM(total_amt_usd)')} AS total_usd "
-               f"FROM {_src} o GROUP BY 1")
-    register("sales_by_year" + _sfx,
-             (lambda s: op.sales_by_year(s, REGION)) if _sc else op.sales_by_year, _q(_yearly))
-    register("sales_year_extremes" + _sfx,
-             (lambda s: op.sales_year_extremes(s, REGION)) if _sc else op.sales_year_extremes,
-             _q(f", y AS ({_yearly}) "
-                "(SELECT 'lowest' AS kind, year, total_usd FROM y ORDER BY total_usd, year LIMIT 1)"
-                " UNION ALL "
-                "(SELECT 'highest' AS kind, year, total_usd FROM y "
-                "ORDER BY total_usd DESC, year LIMIT 1)"))
-    register("seasonality" + _sfx,
-             (lambda s: op.seasonality(s, REGION, names=True)) if _sc else op.seasonality,
-             _q(f"SELECT {_MONTH} AS month, {usd('SUM(total_amt_usd)')} AS total_sales"
-                + (", (['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August',"
-                   " 'September', 'October', 'November', 'December'])[month] AS month_name"
-                   if _sc else "")
-                + f" FROM {_src} o GROUP BY 1"))
-
-_YEAR_IN = f"{_YEAR} IN ({', '.join(map(str, YEARS))})"
+         _q(_UNITS.format(cols=f"who AS account_name, {_UNIT_PRICE}")
+            + _only(True, f"standard_qty > {MIN_STANDARD}", f"poster_qty > {MIN_POSTER}")))
+
+both("mean_product_amounts", lambda s, r: op.mean_product_amounts(s, r), lambda sc:
+     "SELECT who AS account_name, " + ", ".join(f"{mean(f'{p}_amt')} AS avg_{p}_amt_usd" for p in _SPLIT)
+     + " FROM basket JOIN people USING (acct)" + _only(sc) + " GROUP BY ALL")
+
+both("rep_channel_counts", lambda s, r: op.rep_channel_counts(s, r), lambda sc:
+     "SELECT rep AS sales_rep_name, channel, count(*) AS number_of_occurrences FROM people JOIN clicks USING (acct)"
+     + _only(sc, "rep_id IS NOT NULL") + " GROUP BY ALL")
+_LISTED = ", ".join(f"'{c}'" for c in CHANNELS[1:])
+both("rep_channel_matrix", lambda s, r: op.rep_channel_matrix(s, r, CHANNELS[1:]), lambda sc:
+     "SELECT rep AS sales_rep_name, " + ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in CHANNELS[1:])
+     + f", count(*) FILTER (WHERE ifnull(channel, '') NOT IN ({_LISTED})) AS other FROM people JOIN clicks USING (acct)"
+     + _only(sc, "rep_id IS NOT NULL") + " GROUP BY ALL")
+# the testdata's channels; the columns follow the data
+register("rep_channel_matrix_all", op.rep_channel_matrix,
+         _q("SELECT rep AS sales_rep_name, " + ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in CHANNELS)
+            + " FROM people JOIN clicks USING (acct) WHERE rep_id IS NOT NULL GROUP BY ALL"))
+
+_YEARLY = f"SELECT yr AS year, {usd('sum(amt)')} AS total_usd FROM buys"
+both("sales_by_year", lambda s, r: op.sales_by_year(s, r), lambda sc: _YEARLY + _only(sc, inside=SCOPE) + " GROUP BY ALL")
+both("sales_year_extremes", lambda s, r: op.sales_year_extremes(s, r), lambda sc:
+     f", y AS ({_YEARLY}{_only(sc, inside=SCOPE)} GROUP BY ALL HAVING count(amt) > 0) SELECT kind, year, total_usd FROM "
+     "(SELECT y.*, unnest([{'kind': 'lowest', 'place': total_usd}, {'kind': 'highest', 'place': -total_usd}], recursive := true) FROM y) "
+     "QUALIFY row_number() OVER (PARTITION BY kind ORDER BY place, year) = 1")
+both("seasonality", lambda s, r: op.seasonality(s, r, names=r is not None), lambda sc:
+     f"SELECT mon AS month, {usd('sum(amt)')} AS total_sales"
+     + (", monthname(make_date(2000, mon, 1)) AS month_name" if sc else "")
+     + " FROM buys" + _only(sc, inside=SCOPE) + " GROUP BY mon")
+
+_YEARS = f"yr BETWEEN {min(YEARS)} AND {max(YEARS)} AND list_contains({list(YEARS)}, yr)"
 register("sales_by_month", lambda s: op.sales_by_month(s, years=YEARS),
-         _q(f"SELECT {_YEAR} AS year, {_MONTH} AS month, {usd('SUM(total_amt_usd)')} AS total_usd "
-            f"FROM st_orders WHERE {_YEAR_IN} GROUP BY 1, 2"))
-for _sc in (False, True):
-    register("sales_by_month_detail" + ("_scoped" if _sc else ""),
-             lambda s, _sc=_sc: op.sales_by_month(s, REGION if _sc else None, years=YEARS,
-                                                  detail=True),
-             _q(f"SELECT {_YEAR} AS year, {_MONTH} AS month, {usd('SUM(total_amt_usd)')} AS total_usd,"
-                f" {mean('SUM(total_amt_usd)', 'COUNT(total_amt_usd)')} AS avg_order_amt,"
-                f" COUNT(id) AS total_orders, {usd('MAX(total_amt_usd)')} AS max_order_amt,"
-                f" printf('%d-%02d', {_YEAR}, {_MONTH}) AS year_month"
-                f" FROM {_SCOPED_ORDERS if _sc else 'st_orders'} o WHERE {_YEAR_IN} GROUP BY 1, 2"))
-
-register("sales_on_day", lambda s: op.sales_on_day(s, month=1, day=1),
-         _q(f"SELECT {_YEAR} AS year, {_MONTH} AS month, CAST(day(occurred_at) AS BIGINT) AS day, "
-            f"{usd('SUM(total_amt_usd)')} AS total_usd FROM st_orders "
-            "WHERE month(occurred_at) = 1 AND day(occurred_at) = 1 GROUP BY 1, 2, 3"))
-
-for _product, _name in (("gloss", "best_month"), ("standard", "best_month_standard")):
-    register(_name,
-             lambda s, _p=_product: op.best_month(s, BEST_MONTH_ACCOUNT, f"{_p}_amt_usd"),
-             _q(f"SELECT a.name AS account_name, {_YEAR} AS year, {_MONTH} AS month, "
-                f"{usd(f'SUM(o.{_product}_amt_usd)')} AS {_product}_total_usd FROM st_accounts a "
-                f"JOIN st_orders_d o ON a.id = o.account_id WHERE a.name = '{BEST_MONTH_ACCOUNT}' "
-                f"GROUP BY 1, 2, 3 ORDER BY {_product}_total_usd DESC, year, month LIMIT 1"))
-
-_BY_REGION = ("SELECT r.name AS region_name, {aggs} FROM st_orders o "
-              "JOIN st_accounts a ON o.account_id = a.id "
-              "JOIN st_reps sr ON a.sales_rep_id = sr.id JOIN st_region r ON sr.region_id = r.id "
-              "{where} GROUP BY r.name")
-for _sc in (False, True):
-    _sfx, _w = ("_scoped" if _sc else ""), _where_region(_sc)
-    register("sales_by_region" + _sfx,
-             (lambda s: op.sales_by_region(s, REGION)) if _sc else op.sales_by_region,
-             _q(_BY_REGION.format(aggs=f"{usd('SUM(o.total_amt_usd)')} AS total_sales", where=_w)))
-    register("headline_sales" + _sfx,
-             (lambda s: op.headline_sales(s, REGION)) if _sc else op.headline_sales,
-             _q(f", t AS ({_BY_REGION.format(aggs='SUM(o.total_amt_usd) AS total', where=_w)}) "
-                "SELECT round_even(CAST(SUM(total) AS DOUBLE), 0) AS total_sales FROM t"))
-    _avg = f"{mean('SUM(o.total_amt_usd)', 'COUNT(o.total_amt_usd)')} AS avg_order_size"
-    register("mean_order_by_region" + _sfx,
-             (lambda s: op.mean_order_by_region(s, REGION, formatted=True)) if _sc
-             else op.mean_order_by_region,
-             _q(f", t AS ({_BY_REGION.format(aggs=_avg, where=_w)}) SELECT region_name, "
-                "avg_order_size" + (", '$' || format('{:,.2f}', avg_order_size) "
-                                    "AS avg_order_size_text" if _sc else "") + " FROM t"))
-
-for _sc in (False, True):
-    register("lifetime_value" + ("_scoped" if _sc else ""),
-             (lambda s: op.lifetime_value(s, REGION, marker=True)) if _sc else op.lifetime_value,
-             _q(", t AS (SELECT a.id AS account_id, a.name AS account_name, "
-                f"{usd('SUM(o.total_amt_usd)')} AS total_spent, COUNT(o.id) AS total_orders, "
-                f"{mean('SUM(o.total_amt_usd)', 'COUNT(o.total_amt_usd)')} AS average_order_amount "
-                "FROM st_accounts a LEFT JOIN st_orders o ON a.id = o.account_id "
-                + (_region_chain(True) if _sc else "") + " GROUP BY a.id, a.name) "
-                "SELECT *" + (", COALESCE(average_order_amount, 1.0) AS marker_size" if _sc else "")
-                + " FROM t"))
-
-for _sc in (False, True):
-    register("channel_effectiveness" + ("_scoped" if _sc else ""),
-             (lambda s: op.channel_effectiveness(s, REGION)) if _sc
-             else op.channel_effectiveness,
-             _q("SELECT we.channel, COUNT(we.id) AS total_events, "
-                "COUNT(DISTINCT we.account_id) AS unique_accounts, "
-                "COUNT(DISTINCT a.id) AS total_customers "
-                "FROM st_events we LEFT JOIN st_accounts a ON we.account_id = a.id "
-                + (_region_chain(True, "LEFT JOIN") if _sc else "") + " GROUP BY we.channel"))
-
-for _sc in (False, True):
-    register("rep_acquisition" + ("_scoped" if _sc else ""),
-             (lambda s: op.rep_acquisition(s, REGION)) if _sc else op.rep_acquisition,
-             _q("SELECT sr.name AS sales_representative, "
-                "COUNT(DISTINCT a.id) AS new_customers_acquired, "
-                "CAST(year(MIN(o.occurred_at)) AS BIGINT) AS first_order_year "
-                "FROM st_reps sr LEFT JOIN st_accounts a ON sr.id = a.sales_rep_id "
-                "LEFT JOIN st_orders o ON a.id = o.account_id "
-                + (f"LEFT JOIN st_region r ON sr.region_id = r.id WHERE r.name = '{REGION}' "
-                   if _sc else "") + "GROUP BY sr.name"))
-
-for _sc in (False, True):
-    register("churn" + ("_scoped" if _sc else ""),
-             (lambda s: op.churn(s, REGION)) if _sc else op.churn,
-             _q(", l AS (SELECT account_id, MAX(occurred_at) AS last_order_date FROM st_orders "
-                "GROUP BY account_id) SELECT COUNT(DISTINCT l.account_id) AS active_customers, "
-                "COUNT(DISTINCT a.id) - COUNT(DISTINCT l.account_id) AS churned_customers "
-                "FROM st_accounts a LEFT JOIN l ON a.id = l.account_id "
-                + (_region_chain(True, "LEFT JOIN") if _sc else "")))
-
-for _sc in (False, True):
-    register("region_channel" + ("_scoped" if _sc else ""),
-             (lambda s: op.region_channel(s, REGION)) if _sc else op.region_channel,
-             _q("SELECT r.name AS region_name, we.channel, COUNT(we.id) AS total_events, "
-                "COUNT(DISTINCT a.id) AS unique_accounts_impacted FROM st_events we "
-                "LEFT JOIN st_accounts a ON we.account_id = a.id "
-                + _region_chain(_sc, "LEFT JOIN") + " GROUP BY r.name, we.channel"))
-
-for _sc in (False, True):
-    register("rank_segments" + ("_scoped" if _sc else ""),
-             (lambda s: op.rank_segments(s, REGION)) if _sc else op.rank_segments,
-             _q(", cs AS (SELECT a.id, a.name AS account_name, COUNT(o.id) AS total_orders, "
-                "SUM(o.total_amt_usd) AS spend, "
-                "DENSE_RANK() OVER (ORDER BY COUNT(o.id) DESC) AS order_rank, "
-                "DENSE_RANK() OVER (ORDER BY SUM(o.total_amt_usd) DESC NULLS LAST) AS spend_rank "
-                "FROM st_accounts a LEFT JOIN st_orders o ON a.id = o.account_id "
-                + (_region_chain(True, "LEFT JOIN") if _sc else "") + " GROUP BY a.id, a.name) "
-                f"SELECT account_name, total_orders, {usd('spend')} AS total_spend, "
-                "CASE WHEN order_rank <= 3 THEN 'Highly Active' WHEN order_rank <= 10 "
-                "THEN 'Moderately Active' ELSE 'Less Active' END AS order_activity_segment, "
-                "CASE WHEN spend_rank <= 3 THEN 'High Spender' WHEN spend_rank <= 10 "
-                "THEN 'Moderate Spender' ELSE 'Low Spender' END AS spending_segment FROM cs"))
-
-register("cohort_retention", op.cohort_retention,
-         _q(", f AS (SELECT account_id, MIN(occurred_at) AS first_order_date FROM st_orders "
-            "GROUP BY account_id), c AS (SELECT CAST(year(f.first_order_date) AS BIGINT) "
-            "AS first_order_year, COUNT(DISTINCT o.account_id) AS total_customers, "
-            "COUNT(DISTINCT CASE WHEN year(o.occurred_at) > year(f.first_order_date) "
-            "THEN o.account_id END) AS retained_customers, "
-            "COUNT(DISTINCT CASE WHEN year(o.occurred_at) = year(f.first_order_date) "
-            "THEN o.account_id END) AS new_customers "
-            "FROM f LEFT JOIN st_orders o ON f.account_id = o.account_id GROUP BY 1) "
-            "SELECT *, " + half_up("retained_customers", "total_customers", scale=100)
-            + " AS retention_rate FROM c"))
-
-_STATS = ("SELECT a.id AS account_id, COUNT(o.id) AS total_orders, "
-          "SUM(o.total_amt_usd) AS spent, "
-          f"{mean('SUM(o.total_amt_usd)', 'COUNT(o.total_amt_usd)')} AS avg_amt, "
-          + half_up_dec("SUM(o.total_amt_usd)", "COUNT(o.total_amt_usd)", dp=4, in_scale=2)
-          + " AS avg4, "
-          "CAST(ROUND(STDDEV_SAMP(CAST(o.total_amt_usd AS DOUBLE)), 4) AS DECIMAL(38,4)) AS std4 "
-          "FROM st_accounts a LEFT JOIN st_orders o ON a.id = o.account_id {chain} GROUP BY a.id")
-_VOL = ("CASE WHEN total_orders > {hi} THEN 'High Volume' WHEN total_orders > {mid} "
-        "THEN 'Moderate Volume' ELSE 'Low Volume' END")
-_SEG_AGGS = (f"COUNT(account_id) AS num_accounts, {mean('SUM(avg4)', 'COUNT(avg4)')} "
-             f"AS avg_order_size_usd, {mean('SUM(std4)', 'COUNT(std4)')} AS avg_order_std_dev_usd")
-for _ddof, _name, _fn in ((1, "volume_segments", "STDDEV_SAMP"),
-                          (0, "volume_segments_population", "STDDEV_POP")):
-    register(_name, lambda s, _d=_ddof: op.volume_segments(s, cuts=VOLUME_CUTS, ddof=_d),
-             _q(f", st AS ({_STATS.format(chain='').replace('STDDEV_SAMP', _fn)}), "
-                f"seg AS (SELECT *, {_VOL.format(hi=VOLUME_CUTS[0], mid=VOLUME_CUTS[1])} "
-                f"AS order_volume_segment FROM st) "
-                f"SELECT order_volume_segment, {_SEG_AGGS} FROM seg GROUP BY 1"))
-for _sc in (False, True):
-    register("volume_value_segments" + ("_scoped" if _sc else ""),
-             lambda s, _sc=_sc: op.volume_value_segments(s, REGION if _sc else None,
-                                                         cuts=VOLUME_CUTS, value_cut=VALUE_CUT),
-             _q(f", st AS ({_STATS.format(chain=_region_chain(True, 'LEFT JOIN') if _sc else '')}"
-                f"), seg AS (SELECT *, {_VOL.format(hi=VOLUME_CUTS[0], mid=VOLUME_CUTS[1])} "
-                f"AS order_volume_segment, CASE WHEN avg_amt > {VALUE_CUT} THEN 'High Value' "
-                "ELSE 'Low Value' END AS order_value_segment FROM st) "
-                f"SELECT order_volume_segment, order_value_segment, {_SEG_AGGS}, "
-                f"{usd('SUM(spent)')} AS total_sales_in_segment FROM seg GROUP BY 1, 2"))
-
-register("high_growth", lambda s: op.high_growth(s, per_year=GROWTH_PER_YEAR),
-         _q(", g AS (SELECT account_id, MIN(year(occurred_at)) AS first_order_year, "
-            "MAX(year(occurred_at)) AS last_order_year, COUNT(DISTINCT id) AS total_orders, "
-            "COUNT(DISTINCT year(occurred_at)) AS order_years_count, "
-            f"{mean('SUM(total_amt_usd)', 'COUNT(total_amt_usd)')} AS avg_order_amt_usd "
-            "FROM st_orders GROUP BY account_id), h AS (SELECT *, CASE WHEN order_years_count > 1 "
-            f"AND total_orders / order_years_count > {GROWTH_PER_YEAR} THEN 'High Growth' "
-            "ELSE 'Low Growth' END AS growth_category FROM g) "
-            "SELECT a.name AS account_name, CAST(first_order_year AS BIGINT) AS first_order_year, "
-            "CAST(last_order_year AS BIGINT) AS last_order_year, total_orders, order_years_count, "
-            "avg_order_amt_usd, growth_category FROM h JOIN st_accounts a ON h.account_id = a.id "
-            "WHERE growth_category = 'High Growth'"))
-
-register("order_gaps", op.order_gaps,
-         _q(", d AS (SELECT account_id, occurred_at, LAG(occurred_at) OVER "
-            "(PARTITION BY account_id ORDER BY occurred_at) AS prev FROM st_orders "
-            "WHERE occurred_at IS NOT NULL), "
-            "g AS (SELECT account_id, SUM(date_diff('day', prev, occurred_at)) AS s, "
-            "COUNT(date_diff('day', prev, occurred_at)) AS n FROM d WHERE prev IS NOT NULL "
-            "GROUP BY account_id) "
-            "SELECT a.name AS account_name, a.website, a.primary_poc AS primary_contact, "
-            + half_up("s", "n") + " AS avg_days_between_orders "
-            "FROM g JOIN st_accounts a ON g.account_id = a.id"))
-
-for _sc in (False, True):
-    register("rep_contribution" + ("_scoped" if _sc else ""),
-             (lambda s: op.rep_contribution(s, REGION)) if _sc else op.rep_contribution,
-             _q(", sc AS (SELECT r.name AS region_name, sr.name AS sales_representative, "
-                "COUNT(o.id) AS num_orders, SUM(o.total_amt_usd) AS total "
-                "FROM st_reps sr JOIN st_accounts a ON sr.id = a.sales_rep_id "
-                "JOIN st_orders o ON a.id = o.account_id JOIN st_region r ON sr.region_id = r.id "
-                "GROUP BY 1, 2), rt AS (SELECT region_name, SUM(total) AS region_total FROM sc "
-                "GROUP BY 1) SELECT sc.region_name, sc.sales_representative, sc.num_orders, "
-                f"{usd('sc.total')} AS total_amt_usd, {usd('rt.region_total')} AS "
-                "region_total_amt_usd, "
-                + half_up("sc.total", "rt.region_total", scale=100, in_scale=2)
-                + " AS contribution_percent_of_region FROM sc JOIN rt "
-                "ON sc.region_name = rt.region_name"
-                + (f" WHERE sc.region_name = '{REGION}'" if _sc else "")))
-
-_QCOLS = ", ".join(f"CAST(SUM({p}_qty) AS BIGINT) AS {p}" for p in _SPLIT)
-_QLAG = ", ".join(
-    f"CASE WHEN LAG({p}) OVER w IS NULL THEN 0 ELSE {p} - LAG({p}) OVER w END "
-    f"AS quarterly_{p}_qty_growth" for p in _SPLIT)
-register("quarterly_change", op.quarterly_change,
-         _q(f", q AS (SELECT account_id, {_YEAR} AS order_year, "
-            f"CAST(quarter(occurred_at) AS BIGINT) AS order_quarter, {_QCOLS} FROM st_orders_d "
-            f"GROUP BY 1, 2, 3), g AS (SELECT account_id, order_year, order_quarter, {_QLAG} "
-            "FROM q WINDOW w AS (PARTITION BY account_id ORDER BY order_year NULLS FIRST, "
-            "order_quarter NULLS FIRST)) "
-            "SELECT a.name AS account_name, order_year, order_quarter, "
-            + ", ".join(f"quarterly_{p}_qty_growth" for p in _SPLIT)
-            + " FROM g JOIN st_accounts a ON g.account_id = a.id"))
-
-register("yearly_change", op.yearly_change,
-         _q(f", y AS (SELECT account_id, {_YEAR} AS order_year, SUM(total_amt_usd) AS total "
-            "FROM st_orders GROUP BY 1, 2), g AS (SELECT account_id, order_year, total, "
-            "LAG(total) OVER (PARTITION BY account_id ORDER BY order_year NULLS FIRST) AS prev FROM y) "
-            f"SELECT a.name AS account_name, order_year, {usd('total')} AS total_order_amount, "
-            f"CASE WHEN prev IS NULL THEN 0.0 ELSE {usd('total - prev')} END "
-            "AS year_over_year_order_amount_change FROM g JOIN st_accounts a "
-            "ON g.account_id = a.id"))
-
-register("top_mean_accounts", op.top_mean_accounts,
-         _q(", m AS (SELECT account_id, "
-            f"{mean('SUM(total_amt_usd)', 'COUNT(total_amt_usd)')} AS avg_order_amount "
-            "FROM st_orders GROUP BY account_id) SELECT a.name AS account_name, m.avg_order_amount "
-            "FROM m JOIN st_accounts a ON m.account_id = a.id "
-            "WHERE m.avg_order_amount = (SELECT MAX(avg_order_amount) FROM m)"))
-
-for _sc in (False, True):
-    register("activity_segments" + ("_scoped" if _sc else ""),
-             lambda s, _sc=_sc: op.activity_segments(s, REGION if _sc else None,
-                                                     cuts=ACTIVITY_CUTS),
-             _q(", ac AS (SELECT a.id, COUNT(o.id) AS order_count, SUM(o.total_amt_usd) AS sales, "
-                "r.name AS region_name FROM st_accounts a LEFT JOIN st_orders o "
-                "ON a.id = o.account_id " + _region_chain(_sc, "LEFT JOIN")
-                + " GROUP BY a.id, a.name, r.name), seg AS (SELECT *, CASE WHEN order_count > "
-                f"{ACTIVITY_CUTS[0]} THEN 'High Activity' WHEN order_count BETWEEN "
-                f"{ACTIVITY_CUTS[1]} AND {ACTIVITY_CUTS[0]} THEN 'Medium Activity' "
-                "ELSE 'Low Activity' END AS activity_segment FROM ac) "
-                f"SELECT region_name, activity_segment, {mean('SUM(sales)', 'COUNT(sales)')} "
-                "AS avg_sales FROM seg GROUP BY 1, 2"))
+         _q(f"SELECT yr AS year, mon AS month, {usd('sum(amt)')} AS total_usd FROM buys WHERE {_YEARS} GROUP BY ALL"))
+both("sales_by_month_detail", lambda s, r: op.sales_by_month(s, r, years=YEARS, detail=True), lambda sc:
+     f"SELECT yr AS year, mon AS month, {usd('sum(amt)')} AS total_usd, {mean('amt')} AS avg_order_amt, "
+     f"count(ord) AS total_orders, {usd('max(amt)')} AS max_order_amt, strftime(min(ts), '%Y-%m') AS year_month "
+     "FROM buys" + _only(sc, _YEARS, inside=SCOPE) + " GROUP BY yr, mon")
+
+both("sales_on_day", lambda s, r: op.sales_on_day(s, r, month=1, day=1), lambda sc:
+     f"SELECT yr AS year, mon AS month, day(ts)::BIGINT AS day, {usd('sum(amt)')} AS total_usd "
+     "FROM buys" + _only(sc, "strftime(ts, '%m%d') = '0101'", inside=SCOPE) + " GROUP BY ALL")
+register("sales_on_day_years", lambda s: op.sales_on_day(s, month=1, day=1, years=YEARS),
+         _q(f"SELECT yr AS year, mon AS month, day(ts)::BIGINT AS day, {usd('sum(amt)')} AS total_usd "
+            f"FROM buys WHERE strftime(ts, '%m%d') = '0101' AND {_YEARS} GROUP BY ALL"))
+
+
+def _best_month(product: str, scoped: bool = False) -> str:
+    return (f"SELECT who AS account_name, yr AS year, mon AS month, {usd(f'sum({product}_amt)')} AS {product}_total_usd "
+            "FROM basket JOIN people USING (acct)" + _only(scoped, f"who = '{BEST_MONTH_ACCOUNT}'") + " GROUP BY 1, 2, 3 "
+            f"QUALIFY row_number() OVER (ORDER BY sum({product}_amt) DESC, yr, mon) = 1")
+
+
+register("best_month", lambda s: op.best_month(s, BEST_MONTH_ACCOUNT), _q(_best_month("gloss")))
+register("best_month_standard", lambda s: op.best_month(s, BEST_MONTH_ACCOUNT, "standard_amt_usd"), _q(_best_month("standard")))
+register("best_month_scoped", lambda s: op.best_month(s, BEST_MONTH_ACCOUNT, region=REGION), _q(_best_month("gloss", True)))
+
+_SOLD = "FROM people JOIN buys USING (acct)"
+both("sales_by_region", lambda s, r: op.sales_by_region(s, r), lambda sc:
+     f"SELECT reg AS region_name, {usd('sum(amt)')} AS total_sales {_SOLD}" + _only(sc, "reg_id IS NOT NULL") + " GROUP BY reg")
+register("sales_by_region_years", lambda s: op.sales_by_region(s.in_years(YEARS)),
+         _q(f"SELECT reg AS region_name, {usd('sum(amt)')} AS total_sales {_SOLD} WHERE reg_id IS NOT NULL AND {_YEARS} GROUP BY reg"))
+both("headline_sales", lambda s, r: op.headline_sales(s, r), lambda sc:
+     f"SELECT round_even({usd('sum(amt)')}, 0) AS total_sales {_SOLD}" + _only(sc, "reg_id IS NOT NULL"))
+both("mean_order_by_region", lambda s, r: op.mean_order_by_region(s, r, formatted=r is not None), lambda sc:
+     f"SELECT reg AS region_name, {mean('amt')} AS avg_order_size"
+     + (f", concat('$', format('{{:,.2f}}', {mean('amt')})) AS avg_order_size_text" if sc else "")
+     + f" {_SOLD}" + _only(sc, "reg_id IS NOT NULL") + " GROUP BY reg")
+
+_OWNERS = "FROM people LEFT JOIN wallet USING (acct)"
+both("lifetime_value", lambda s, r: op.lifetime_value(s, r, marker=r is not None), lambda sc:
+     f"SELECT acct AS account_id, who AS account_name, {usd('spent')} AS total_spent, ifnull(n, 0) AS total_orders, "
+     "mean_amt AS average_order_amount" + (", ifnull(mean_amt, 1.0) AS marker_size" if sc else "") + f" {_OWNERS}" + _only(sc))
+
+both("channel_effectiveness", lambda s, r: op.channel_effectiveness(s, r), lambda sc:
+     "SELECT channel, sum(k)::BIGINT AS total_events, count(acct) AS unique_accounts, "
+     "count(acct) FILTER (WHERE acct IN (SELECT acct FROM people)) AS total_customers "
+     "FROM (SELECT channel, acct, count(ev) AS k FROM clicks" + _only(sc, inside=SCOPE) + " GROUP BY ALL) GROUP BY channel")
+both("rep_acquisition", lambda s, r: op.rep_acquisition(s, r), lambda sc:
+     "SELECT n_name AS sales_representative, count(DISTINCT acct) AS new_customers_acquired, "
+     "year(min(first_ts))::BIGINT AS first_order_year "
+     "FROM nation LEFT JOIN (SELECT rep_id, acct, first_ts " + _OWNERS + ") ON rep_id = n_nationkey"
+     + _only(sc, inside=f"n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = '{REGION}')") + " GROUP BY n_name")
+both("churn", lambda s, r: op.churn(s, r), lambda sc:
+     "SELECT count(buyer) AS active_customers, count(*) - count(buyer) AS churned_customers FROM (SELECT DISTINCT acct FROM people"
+     + _only(sc, "acct IS NOT NULL") + ") LEFT JOIN (SELECT DISTINCT acct AS buyer FROM buys) ON buyer = acct")
+both("region_channel", lambda s, r: op.region_channel(s, r), lambda sc:
+     "SELECT reg AS region_name, channel, count(ev) AS total_events, count(DISTINCT people.acct) AS unique_accounts_impacted "
+     "FROM clicks LEFT JOIN people ON people.acct = clicks.acct" + _only(sc) + " GROUP BY ALL")
+
+
+def _ranks(scoped: bool, cuts: tuple[int, int] = (3, 10)) -> str:
+    """A dense rank is a value's place in the sorted list of the values found; no value comes last."""
+    def place(found: str, value: str) -> str:
+        return f"ifnull(list_position((SELECT {found} FROM tops), {value}), (SELECT len({found}) + 1 FROM tops))"
+
+    return (f", own AS (SELECT who, ifnull(n, 0) AS n, spent {_OWNERS}{_only(scoped)}), "
+            "tops AS (SELECT list_reverse_sort(list(DISTINCT n)) AS ns, "
+            "ifnull(list_reverse_sort(list(DISTINCT spent) FILTER (WHERE spent IS NOT NULL)), []) AS ss FROM own), "
+            f"placed AS (SELECT *, {place('ns', 'n')} AS o, {place('ss', 'spent')} AS s FROM own) "
+            f"SELECT who AS account_name, n AS total_orders, {usd('spent')} AS total_spend, "
+            + label(("Highly Active", "Moderately Active", "Less Active"), f"o > {cuts[0]}", f"o > {cuts[1]}")
+            + " AS order_activity_segment, "
+            + label(("High Spender", "Moderate Spender", "Low Spender"), f"s > {cuts[0]}", f"s > {cuts[1]}")
+            + " AS spending_segment FROM placed")
+
+
+both("rank_segments", lambda s, r: op.rank_segments(s, r), _ranks)
+register("rank_segments_wide", lambda s: op.rank_segments(s, cuts=(3, 1001)), _q(_ranks(False, (3, 1001))))
+
+both("cohort_retention", lambda s, r: op.cohort_retention(s, r), lambda sc:
+     "SELECT list_min(yrs) AS first_order_year, count(acct) AS total_customers, "
+     "count(acct) FILTER (WHERE len(yrs) > 1) AS retained_customers, count(acct) FILTER (WHERE len(yrs) > 0) AS new_customers, "
+     + half_up("count(acct) FILTER (WHERE len(yrs) > 1)", "count(acct)", scale=100)
+     + " AS retention_rate FROM wallet" + _only(sc, inside=SCOPE) + " GROUP BY list_min(yrs)")
+
+_VOLUME = label(("High Volume", "Moderate Volume", "Low Volume"), f"ifnull(n, 0) <= {VOLUME_CUTS[0]}",
+                f"ifnull(n, 0) <= {VOLUME_CUTS[1]}") + " AS order_volume_segment"
+
+
+def _volumes(scoped: bool, dev: str = "dev_samp", value: bool = False) -> str:
+    high = f", if(ifnull(mean_amt, 0) > {VALUE_CUT}, 'High Value', 'Low Value') AS order_value_segment" if value else ""
+    return (f"SELECT {_VOLUME}{high}, count(acct) AS num_accounts, round(avg(mean_amt), 4) AS avg_order_size_usd, "
+            f"round(avg({dev}), 4) AS avg_order_std_dev_usd"
+            + (f", {usd('sum(spent)')} AS total_sales_in_segment" if value else "")
+            + f" {_OWNERS}{_only(scoped)} GROUP BY ALL")
+
+
+both("volume_segments", lambda s, r: op.volume_segments(s, r, cuts=VOLUME_CUTS), _volumes)
+register("volume_segments_population", lambda s: op.volume_segments(s, cuts=VOLUME_CUTS, ddof=0), _q(_volumes(False, "dev_pop")))
+both("volume_value_segments", lambda s, r: op.volume_value_segments(s, r, cuts=VOLUME_CUTS, value_cut=VALUE_CUT),
+     lambda sc: _volumes(sc, value=True))
+
+_NAMED = "JOIN (SELECT c_custkey, c_name AS account_name FROM customer) ON c_custkey = acct"
+both("high_growth", lambda s, r: op.high_growth(s, r, per_year=GROWTH_PER_YEAR), lambda sc:
+     "SELECT account_name, list_min(ys) AS first_order_year, list_max(ys) AS last_order_year, total_orders, "
+     "len(ys) AS order_years_count, avg_order_amt_usd, 'High Growth' AS growth_category FROM (SELECT acct, "
+     f"count(DISTINCT ord) AS total_orders, {mean('amt')} AS avg_order_amt_usd, list(DISTINCT yr) FILTER (WHERE yr IS NOT NULL) AS ys "
+     f"FROM buys{_only(sc, inside=SCOPE)} GROUP BY acct) {_NAMED} "
+     f"WHERE len(ys) > 1 AND total_orders > {GROWTH_PER_YEAR} * len(ys)")
+
+both("order_gaps", lambda s, r: op.order_gaps(s, r), lambda sc:
+     ", days AS (SELECT acct, list_sort(list(ts::DATE)) AS d FROM buys" + _only(sc, "ts IS NOT NULL", inside=SCOPE)
+     + " GROUP BY acct HAVING count(*) > 1) SELECT c_name AS account_name, lower(c_name) AS website, "
+     "c_mktsegment AS primary_contact, "
+     + half_up("list_sum(list_transform(range(2, len(d) + 1), lambda i: d[i] - d[i - 1]))", "len(d) - 1")
+     + " AS avg_days_between_orders FROM days JOIN customer ON c_custkey = acct")
+
+both("rep_contribution", lambda s, r: op.rep_contribution(s, r), lambda sc:
+     "SELECT reg AS region_name, rep AS sales_representative, count(ord) AS num_orders, "
+     f"{usd('sum(amt)')} AS total_amt_usd, {usd('sum(sum(amt)) OVER (PARTITION BY reg)')} AS region_total_amt_usd, "
+     + half_up("sum(amt)", "sum(sum(amt)) OVER (PARTITION BY reg)", scale=100, in_scale=2)
+     + f" AS contribution_percent_of_region {_SOLD}" + _only(sc, "reg_id IS NOT NULL") + " GROUP BY reg, rep")
+
+
+def _change(rows: str, order: str, cols: str) -> str:
+    """Each account's period beside the one before it, by number."""
+    return (f", numbered AS (SELECT *, row_number() OVER (PARTITION BY acct ORDER BY {order}) AS k FROM ({rows})) "
+            f"SELECT account_name, {cols} FROM numbered now LEFT JOIN numbered old "
+            f"ON old.acct = now.acct AND old.k = now.k - 1 {_NAMED.replace('= acct', '= now.acct')}")
+
+
+both("quarterly_change", lambda s, r: op.quarterly_change(s, r), lambda sc: _change(
+    "SELECT acct, yr, quarter(ts)::BIGINT AS qtr, " + ", ".join(f"sum({p}_qty)::BIGINT AS {p}" for p in _SPLIT)
+    + " FROM basket" + _only(sc, inside=SCOPE) + " GROUP BY ALL", "yr NULLS FIRST, qtr NULLS FIRST",
+    "now.yr AS order_year, now.qtr AS order_quarter, "
+    + ", ".join(f"ifnull(now.{p} - old.{p}, 0) AS quarterly_{p}_qty_growth" for p in _SPLIT)))
+both("yearly_change", lambda s, r: op.yearly_change(s, r), lambda sc: _change(
+    "SELECT acct, yr, sum(amt) AS total FROM buys" + _only(sc, inside=SCOPE) + " GROUP BY ALL", "yr NULLS FIRST",
+    f"now.yr AS order_year, {usd('now.total')} AS total_order_amount, "
+    f"if(old.total IS NULL, 0.0::DOUBLE, {usd('now.total - old.total')}) AS year_over_year_order_amount_change"))
+
+both("top_mean_accounts", lambda s, r: op.top_mean_accounts(s, r), lambda sc:
+     ", best AS (SELECT acct, mean_amt FROM wallet" + _only(sc, inside=SCOPE) + " QUALIFY mean_amt = max(mean_amt) OVER ()) "
+     f"SELECT account_name, mean_amt AS avg_order_amount FROM best {_NAMED}")
+
+both("activity_segments", lambda s, r: op.activity_segments(s, r, cuts=ACTIVITY_CUTS), lambda sc:
+     "SELECT reg AS region_name, " + label(("High Activity", "Medium Activity", "Low Activity"),
+                                           f"ifnull(n, 0) <= {ACTIVITY_CUTS[0]}", f"ifnull(n, 0) < {ACTIVITY_CUTS[1]}")
+     + f" AS activity_segment, {mean('spent')} AS avg_sales {_OWNERS}{_only(sc)} GROUP BY ALL")
 
 
 # ---- driver-facing views --------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from meridian.sources import schema as S
 
@@ -20,6 +22,24 @@ DIMS = ("region", "sales_reps", "accounts")
 ORDER_YEAR = "order_year"
 
 
+# Column of a CSV row's time as text.
+CSV_TIME = "_occurred_at_text"
+
+
+def _read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A CSV table with its fixed schema; ``orders`` with its time read from text, which may have a ``T`` and a
+    zone (the wall-clock time counts), and the text itself beside it."""
+    schema = S.TABLES[name]
+    if name == "orders":
+        schema = StructType([StructField(f.name, StringType()) if f.name == "occurred_at" else f for f in schema])
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(f"{path}/{name}.csv")
+    if name != "orders":
+        return rows
+    wall = F.regexp_replace(F.trim("occurred_at"), r"\s*(?:Z|[+-]\d{2}:?\d{2})$", "")
+    time = wall.try_cast("timestamp_ntz")
+    return rows.withColumn(CSV_TIME, F.col("occurred_at")).withColumn("occurred_at", time)
+
+
 @dataclass(frozen=True, eq=False)
 class Star:
     """region <- sales_reps <- accounts <- orders, accounts <- web_events.
@@ -41,6 +61,8 @@ class Star:
     web_events: DataFrame
     orders_detail: DataFrame | None = None
     scope: str | None = None
+    #: Orders (a subset of ``orders``) to the same with their product split, where that is derived.
+    detail_of: Callable[[DataFrame], DataFrame] | None = None
     broadcast_rows: int = 250_000
     _fits: dict = field(default_factory=dict, repr=False)
     _memo: dict = field(default_factory=dict, repr=False)  # frames derived once per star
@@ -55,6 +77,13 @@ class Star:
     def detailed_orders(self) -> DataFrame:
         return self.orders if self.orders_detail is None else self.orders_detail
 
+    def details(self, restrict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Orders with their product split, narrowed by ``restrict`` first: where the split comes from line items,
+        only those of the orders that are left are summed."""
+        if self.detail_of is None:
+            return restrict(self.detailed_orders)
+        return self.detail_of(restrict(self.orders))
+
     def fits(self, table: str) -> bool:
         """True when dimension table ``table`` (region, sales_reps or accounts) has at most
         ``broadcast_rows`` rows.
@@ -80,6 +109,18 @@ class Star:
         return replace(self, _fits={k: v for k, v in self._fits.items() if v}, _memo={},
                        **frames)
 
+    def in_years(self, years: Iterable[int]) -> "Star":
+        """Same star with the orders of these calendar years only, for any analysis of orders: half-open
+        ranges of the order time, and of the year partitions where they are stored."""
+        from meridian.functions.exprs import in_years
+
+        years = sorted(set(years))
+        narrow = lambda df: df.filter(in_years(df, "occurred_at", years))
+        split = self.detail_of
+        return self.narrowed(orders=narrow(self.orders),
+                             orders_detail=None if self.orders_detail is None else narrow(self.orders_detail),
+                             detail_of=split)
+
     def cache_dimensions(self) -> "Star":
         """Star whose dimension tables proven small are persisted (memory, spilling to disk),
         for a session that runs many analyses on one star, as a dashboard does on every view.
@@ -94,18 +135,24 @@ class Star:
 
     # ---- sink ----------------------------------------------------------------------------
 
-    def write_tables(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    def write_tables(self, path: str, fmt: str = "parquet", mode: str = "errorifexists",
+                     clustered: bool = False) -> None:
         """Write the five tables under ``path`` in the layout :meth:`from_tables` reads.
 
         Orders (with their product split) are partitioned by ``order_year``, so a year filter
         prunes whole directories. Each task sorts its rows by year before writing, so it writes
         one file per year it holds: no shuffle, and no task receives a whole (possibly huge)
-        year."""
+        year. Inside a file rows are in order of time, so a range of days skips row groups.
+
+        ``clustered`` shuffles orders by ranges of (year, time) first: as many files as shuffle
+        partitions, instead of one per task and year, and a year of any size is split."""
         for name in ("region", "sales_reps", "accounts", "web_events"):
             getattr(self, name).write.format(fmt).mode(mode).save(f"{path}/{name}.{fmt}")
         orders = self.detailed_orders.drop(ORDER_YEAR).withColumn(
             ORDER_YEAR, F.year("occurred_at"))
-        (orders.sortWithinPartitions(ORDER_YEAR).write.format(fmt).mode(mode)
+        if clustered:
+            orders = orders.repartitionByRange(ORDER_YEAR, "occurred_at", "id")
+        (orders.sortWithinPartitions(ORDER_YEAR, "occurred_at").write.format(fmt).mode(mode)
          .partitionBy(ORDER_YEAR).save(f"{path}/orders.{fmt}"))
 
     # ---- readers -------------------------------------------------------------------------
@@ -116,10 +163,9 @@ class Star:
         (one directory or file per table) with the fixed schemas. Orders written by
         :meth:`write_tables` come back with their ``order_year`` partition column."""
         def read(name: str) -> DataFrame:
-            reader = spark.read.schema(S.TABLES[name])
             if fmt == "csv":
-                reader = reader.option("header", True).option("mode", "FAILFAST")
-                return reader.csv(f"{path}/{name}.csv")
+                return _read_csv(spark, path, name).drop(CSV_TIME)
+            reader = spark.read.schema(S.TABLES[name])
             return reader.format(fmt).load(f"{path}/{name}.{fmt}")
 
         orders = read("orders")
@@ -132,13 +178,22 @@ class Star:
         their columns cast to the fixed schemas."""
         def read(name: str) -> DataFrame:
             df = spark.table(f"{database}.{name}" if database else name)
-            return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
-                               for f in S.TABLES[name].fields])
+            types = dict(df.dtypes)
+            cols = [F.col(f.name) if types[f.name] == f.dataType.simpleString()  # a cast blocks push-down
+                    else F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TABLES[name].fields]
+            return df.select(*cols, *[c for c in (ORDER_YEAR,) if name == "orders" and c in df.columns])
 
         orders = read("orders")
         return cls(read("region"), read("sales_reps"), read("accounts"), orders,
                    read("web_events"), orders_detail=orders, **kw)
 
+    @staticmethod
+    def rejected_times(spark: SparkSession, path: str) -> DataFrame:
+        """Orders of the CSV star under ``path`` whose time is given but can't be read: (id, text).
+        The readers keep such orders with a NULL time; this reports them."""
+        rows = _read_csv(spark, path, "orders")
+        return rows.filter(F.col("occurred_at").isNull() & (F.trim(CSV_TIME) != "")).select("id", F.col(CSV_TIME).alias("text"))
+
     def register_views(self, prefix: str = "") -> None:
         """Temporary views ``{prefix}region`` ... ``{prefix}web_events`` (orders with their
         product split), so existing SQL over these names runs on Spark unchanged."""
@@ -187,18 +242,27 @@ class Star:
 
         flags = dict(zip(PRODUCTS, ("A", "N", "R")))
         lines = read("lineitem")
-        split = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
-            *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).cast("long")
-              .alias(f"{p}_qty") for p, f in flags.items()],
-            *[F.sum(F.when(F.col("l_returnflag") == f,
-                           (F.col("l_extendedprice").cast(S.MONEY) * 100).cast("long")))
-              .alias(f"{p}_cents") for p, f in flags.items()])
-        detail = orders.join(split, "id", "left").select(
-            "id", "account_id", "occurred_at",
-            *[F.coalesce(f"{p}_qty", F.lit(0).cast("long")).alias(f"{p}_qty") for p in PRODUCTS],
-            *[(F.coalesce(f"{p}_cents", F.lit(0).cast("long")).cast("decimal(20,0)") / 100)
-              .cast(S.MONEY).alias(f"{p}_amt_usd") for p in PRODUCTS],
-            "total_amt_usd")
-        detail = detail.withColumn(
-            "total", F.col("standard_qty") + F.col("gloss_qty") + F.col("poster_qty"))
+
+        def detail_of(some: DataFrame, lines: DataFrame) -> DataFrame:
+            split = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+                *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).cast("long")
+                  .alias(f"{p}_qty") for p, f in flags.items()],
+                *[F.sum(F.when(F.col("l_returnflag") == f,
+                               (F.col("l_extendedprice").cast(S.MONEY) * 100).cast("long")))
+                  .alias(f"{p}_cents") for p, f in flags.items()])
+            detail = some.join(split, "id", "left").select(
+                "id", "account_id", "occurred_at",
+                *[F.coalesce(f"{p}_qty", F.lit(0).cast("long")).alias(f"{p}_qty") for p in PRODUCTS],
+                *[(F.coalesce(f"{p}_cents", F.lit(0).cast("long")).cast("decimal(20,0)") / 100)
+                  .cast(S.MONEY).alias(f"{p}_amt_usd") for p in PRODUCTS],
+                "total_amt_usd")
+            return detail.withColumn(
+                "total", F.col("standard_qty") + F.col("gloss_qty") + F.col("poster_qty"))
+
+        def narrowed(some: DataFrame) -> DataFrame:
+            # lines meet the ids that are left before they are summed
+            return detail_of(some, lines.join(some.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi"))
+
+        detail = detail_of(orders, lines)
+        kw = {"detail_of": narrowed, **kw}
         return cls(region, reps, accounts, orders, events, orders_detail=detail, **kw)
