@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import appended, kth_largest, sampled_labels, slices, stored, uniform
 
 BUCKETS, MOST_EXAMPLES, SMOOTHING = 1 << 14, 20_000, 1.0
-#: Weight of the corpus in both models, in n-grams a bucket: few examples don't speak for rare n-grams.
+#: Weight of the corpus in both models, in n-grams a bucket (less for few examples): rare n-grams say little.
 PRIOR = 8.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")  # case stays: shouting is a mark of quality too
 _CACHE_WORDS = 300_000
@@ -80,7 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     n1, n0 = (min(most, totals.get(y, 0)) for y in (1, 0))
     other *= totals.get(0, 0) / max(1, n0) * n1 / totals[1]  # as many as there would be beside the target's sample
     corpus = _counts(texts.select("text")) + SMOOTHING
-    prior = PRIOR * BUCKETS * corpus / corpus.sum()
+    most_prior, seen = PRIOR * BUCKETS, max(1.0, target.sum() + other.sum())
+    prior = most_prior * seen / (seen + most_prior) * corpus / corpus.sum()  # never outweighs the examples
     p, q = target + prior, target + other + prior
     return np.log(p / p.sum()) - np.log(q / q.sum()), totals[1] / sum(totals.values())
 
