@@ -4,9 +4,10 @@ Distinct words are encoded by Spark higher-order functions: a word is the array
 and a fold merges, step by step, the leftmost neighbouring pair whose joined bytes have the lowest
 rank, until no pair has one. The ranks are a literal in the plan, a flat perfect-hash map.
 
-Nothing is shuffled. Each task gathers documents up to a bound of text, sends their distinct words
-ahead of them through the fold, and puts the documents' ids together from the words' ids that
-come back. Words and documents stay in the order of their task; its memory is that of one batch.
+Documents are dealt into batches by a hash, compressed for their one shuffle, which is planned once and read
+twice (Spark reuses the exchange): for the distinct words of each batch, and beside the encoded
+words that come back to it. Words meet by a hash of their own in between, so each is folded
+once. No word table is broadcast, and a word travels once for each batch that holds it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from meridian.llm.common import slices
+from meridian.llm.common import shuffle_partitions, slices
 
 _NO_RANK = 2**31 - 1
 #: Cuts a text where no piece of the pattern can span: a word with at most one space before it, or
@@ -30,7 +32,7 @@ _NO_RANK = 2**31 - 1
 _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SHIFT, _PRIME = 17, 2**31 - 1
-_BATCH_CHARS = 24_000_000
+_BLOCK_BYTES = 48_000_000
 _WORDS_A_ROW = 5_000
 
 
@@ -123,82 +125,126 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kept, other columns are ignored. No special tokens. Texts are never cut; a word of any length
     is one fold. Every single byte must have a rank.
     """
+    n = shuffle_partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     byte_ids = [ranks[bytes([b])] for b in range(256)]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
 
-    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with their distinct words ahead: rows of (words, their bytes' ids), then of (id, text)."""
-        import regex
-
-        find, ids = regex.compile(pattern).findall, np.array(byte_ids, np.int32)
-        names, empty = ["id", "text", "words", "bytes"], pa.list_(pa.int32())
-        held, chars, seen = [], 0, set()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents as compressed blocks of a batch."""
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list({piece for chunk in seen for piece in find(chunk)})
-            for i in range(0, len(words), _WORDS_A_ROW):
-                raw = [w.encode() for w in words[i:i + _WORDS_A_ROW]]
-                ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
-                flat = ids[np.frombuffer(b"".join(raw), np.uint8)]
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                rows = pa.array([0, len(raw)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()),
-                     pa.ListArray.from_arrays(rows, pa.array(words[i:i + _WORDS_A_ROW], pa.string())),
-                     pa.ListArray.from_arrays(rows, lists)], names=names)
-            for batch in held:
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.list_(pa.string())),
-                                                  pa.nulls(n, pa.list_(empty))], names=names)
+            table = pa.Table.from_batches(held)
+            at = table.column("batch").to_numpy()
+            for b in np.unique(at):
+                mine = table.filter(pa.array(at == b)).select(["id", "text"])
+                yield _block_row(["batch"], [int(b)], mine)
 
         for batch in slices(batches):
             held.append(batch)
-            for text in batch.column(1).to_pylist():
-                chars += len(text)
-                seen.update(chunks(text))
-            if chars >= _BATCH_CHARS:
+            size += batch.nbytes
+            if size >= _BLOCK_BYTES:
                 yield from flush()
-                held, chars, seen = [], 0, set()
+                held, size = [], 0
         if held:
             yield from flush()
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = rows.mapInArrow(deal, "batch int, block binary").repartition(n, "batch")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each batch, by shard."""
         import regex
 
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            for b, block in zip(batch.column("batch").to_pylist(), batch.column("block")):
+                for text in _unblock(block.as_py()).column("text").to_pylist():
+                    seen.setdefault(b, set()).update(chunks(text))
         find = regex.compile(pattern).findall
+        for b, found in seen.items():
+            by: dict[int, list[str]] = {}
+            for piece in {piece for chunk in found for piece in find(chunk)}:
+                by.setdefault(zlib.crc32(piece.encode()) % n, []).append(piece)
+            for shard, pieces in by.items():
+                yield _block_row(["batch", "shard"], [b, shard], pa.table({"word": pa.array(sorted(pieces), pa.string())}))
+
+    asked = dealt.mapInArrow(words, "batch int, shard int, block binary").repartition(n, "shard")
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition's distinct words and their bytes' ids, then the blocks that ask for them."""
+        ids, names = np.array(byte_ids, np.int32), ["batch", "block", "words", "bytes"]
+        blocks = [(b, block) for batch in batches for b, block in zip(batch.column("batch").to_pylist(), batch.column("block").to_pylist())]
+        found = sorted({w for _, block in blocks for w in _unblock(block).column("word").to_pylist()})
+        for i in range(0, len(found), _WORDS_A_ROW):
+            some = found[i:i + _WORDS_A_ROW]
+            raw = [w.encode() for w in some]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, raw)], dtype=np.int32)),
+                                             pa.array(ids[np.frombuffer(b"".join(raw), np.uint8)]))
+            one = pa.array([0, len(raw)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(
+                one, pa.array(some, pa.string())), pa.ListArray.from_arrays(one, lists)], names=names)
+        for b, block in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, pa.list_(pa.string())),
+                                              pa.nulls(1, pa.list_(pa.list_(pa.int32())))], names=names)
+
+    sent = asked.mapInArrow(ahead, "batch int, block binary, words array<string>, bytes array<array<int>>")
+    table, look = rank_map(ranks)
+    folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of: dict[str, bytes] = {}
+        for batch in slices(batches, 1):
+            if (words := batch.column("words")[0]).is_valid:
+                coded = batch.column("ids")[0].values
+                flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                ends = np.cumsum([0, *coded.value_lengths().to_numpy(zero_copy_only=False)]) * 4
+                ids_of.update(zip(words.as_py(), [flat[a:b] for a, b in zip(ends, ends[1:])]))
+            else:
+                word = _unblock(batch.column("block")[0].as_py()).column("word")
+                ids = pa.array(map(ids_of.__getitem__, word.to_pylist()), pa.binary())
+                yield _block_row(["asker"], [batch.column("batch")[0].as_py()], pa.table({"word": word, "ids": ids}))
+
+    answers = sent.select("batch", "block", "words", folded.alias("ids")).mapInArrow(answer, "asker int, block binary")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        import regex
+
+        find = regex.compile(pattern).findall
+        ids_of: dict[str, bytes] = {}
+        for block in right.column("block").to_pylist():
+            got = _unblock(block)
+            ids_of.update(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()))
         cache: dict[str, bytes] = {}
-        after_text = True
 
         def of(chunk: str) -> bytes:
             if (got := cache.get(chunk)) is None:
                 cache[chunk] = got = b"".join([ids_of[piece] for piece in find(chunk)])
             return got
 
-        for batch in slices(batches, 64):
-            keys, out = [], []
-            for i, (text, words) in enumerate(zip(batch.column("text").to_pylist(), batch.column("words"))):
-                if text is None:
-                    if after_text:  # a new batch of documents begins
-                        ids_of.clear()
-                        cache.clear()
-                    coded = batch.column("ids")[i].values
-                    flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                    ends = np.cumsum([0, *coded.value_lengths().to_numpy(zero_copy_only=False)]) * 4
-                    ids_of.update(zip(words.as_py(), [flat[a:b] for a, b in zip(ends, ends[1:])]))
-                else:
-                    keys.append(i)
-                    out.append(b"".join(map(of, chunks(text))))
-                after_text = text is not None
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keys, pa.int64())), pa.array(out, pa.binary())],
-                                             names=["id", "ids"])
-
-    sent = rows.mapInArrow(ahead, f"id {kind}, text string, words array<string>, bytes array<array<int>>")
-    table, look = rank_map(ranks)
-    folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
-    coded = sent.select("id", "text", "words", folded.alias("ids"))
-    return coded.mapInArrow(assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+        done = []
+        for block in left.column("block").to_pylist():
+            some = _unblock(block)
+            out = [b"".join(map(of, chunks(text))) for text in some.column("text").to_pylist()]
+            done.append(pa.table({"id": some.column("id"), "ids": pa.array(out, pa.binary())}))
+        return pa.concat_tables(done)
+
+    return dealt.groupBy("batch").cogroup(answers.groupBy("asker")).applyInArrow(
+        assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+
+
+def _block_row(names: list[str], keys: list[int], table: pa.Table) -> pa.RecordBatch:
+    """One row: integer keys, and a table as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in keys), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                      names=[*names, "block"])
+
+
+def _unblock(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
