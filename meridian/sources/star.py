@@ -22,6 +22,15 @@ DIMS = ("region", "sales_reps", "accounts")
 ORDER_YEAR = "order_year"
 
 
+# Rows of the dimension tables by application and place.
+_COUNTS: dict[tuple, dict[str, int]] = {}
+
+
+def forget_sizes() -> None:
+    """Count the dimension tables again when they are next read from a path."""
+    _COUNTS.clear()
+
+
 # Column of a CSV row's time as text.
 CSV_TIME = "_occurred_at_text"
 
@@ -64,6 +73,8 @@ class Star:
     #: Orders (a subset of ``orders``) to the same with their product split, where that is derived.
     detail_of: Callable[[DataFrame], DataFrame] | None = None
     broadcast_rows: int = 250_000
+    #: Where the tables are read from; the size check is made once for a place and application.
+    place: tuple | None = None
     _fits: dict = field(default_factory=dict, repr=False)
     _memo: dict = field(default_factory=dict, repr=False)  # frames derived once per star
 
@@ -91,13 +102,20 @@ class Star:
         Every frame the analyses broadcast is a subset of one of these tables, or one of them
         joined to a parent on its primary key, so this bound is the bound of what is sent.
         The three are counted together in one job; the count projects no column, so on
-        Parquet it is answered from row-group metadata."""
+        Parquet it is answered from row-group metadata. Tables read from a path are counted once
+        for an application; :func:`forget_sizes` makes it count again after they have grown."""
         if table not in self._fits:
+            key = self.place and (self.region.sparkSession.sparkContext.applicationId, *self.place)
+            if key in _COUNTS:
+                self._fits.update({t: _COUNTS[key][t] <= self.broadcast_rows for t in DIMS})
+                return self._fits[table]
             parts = [getattr(self, t).select(F.lit(t).alias("t")) for t in DIMS]
             union = parts[0]
             for p in parts[1:]:
                 union = union.unionAll(p)
             counts = dict(union.groupBy("t").count().collect())  # three rows at most
+            if key:
+                _COUNTS[key] = {t: counts.get(t, 0) for t in DIMS}
             for t in DIMS:
                 self._fits.setdefault(t, counts.get(t, 0) <= self.broadcast_rows)
         return self._fits[table]
@@ -106,7 +124,7 @@ class Star:
         """Same star with some tables replaced by subsets of themselves. A table proven small
         stays proven; one that was too big is counted again, since its subset (one region's
         accounts, one account name) may well be small."""
-        return replace(self, _fits={k: v for k, v in self._fits.items() if v}, _memo={},
+        return replace(self, _fits={k: v for k, v in self._fits.items() if v}, _memo={}, place=None,
                        **frames)
 
     def in_years(self, years: Iterable[int]) -> "Star":
@@ -170,7 +188,7 @@ class Star:
 
         orders = read("orders")
         return cls(read("region"), read("sales_reps"), read("accounts"), orders,
-                   read("web_events"), orders_detail=orders, **kw)
+                   read("web_events"), orders_detail=orders, **{"place": (fmt, path), **kw})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str | None = None, **kw) -> "Star":
@@ -265,4 +283,4 @@ class Star:
 
         detail = detail_of(orders, lines)
         kw = {"detail_of": narrowed, **kw}
-        return cls(region, reps, accounts, orders, events, orders_detail=detail, **kw)
+        return cls(region, reps, accounts, orders, events, orders_detail=detail, **{"place": ("testdata", sf_dir), **kw})
