@@ -134,19 +134,24 @@ def in_years(df: DataFrame, name: str, years: Iterable[int],
     return cond
 
 
-def on_day(df: DataFrame, name: str, month: int, day: int, years: Iterable[int] | None = None) -> Column:
+def on_day(df: DataFrame, name: str, month: int, day: int, years: Iterable[int] | None = None,
+           partition_col: str = "order_year") -> Column:
     """``name`` lies on this calendar day, of any year or, as ranges, of the given years."""
     if years is None:
         return (F.month(name) == month) & (F.dayofmonth(name) == day)
-    kind, cond = df.schema[name].dataType, F.lit(False)
+    years = list(years)
+    kind, cond = df.schema[name].dataType, None
     for y in sorted(set(years)):
         try:
             start = datetime(y, month, day)
         except ValueError:  # no such day in that year
             continue
         lo, hi = (F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast(kind) for t in (start, start + timedelta(days=1)))
-        cond = cond | ((F.col(name) >= lo) & (F.col(name) < hi))
-    return in_years(df, name, years) & cond
+        part = (F.col(name) >= lo) & (F.col(name) < hi)
+        cond = part if cond is None else cond | part
+    if cond is None:
+        return F.lit(False)
+    return F.col(partition_col).isin(sorted(set(years))) & cond if partition_col in df.columns else cond
 
 
 def label_by_cuts(cuts: Sequence[tuple[Column, str]], default: str) -> Column:

@@ -47,7 +47,8 @@ def _top_ranks(df: DataFrame, cols: list[str], k: int) -> list[DataFrame]:
         for i, c in enumerate(cols)]))).distinct()
     order = F.col("_v").desc_nulls_last()
     return [pairs.filter(F.col("_m") == i).orderBy(order).limit(k)
-            .select(F.col("_v").alias(f"_v{i}"), F.row_number().over(Window.orderBy(order)).alias(f"_rank{i}"))
+            .select(F.col("_v").alias(f"_v{i}"),
+                    F.row_number().over(Window.partitionBy("_m").orderBy(order)).alias(f"_rank{i}"))
             for i in range(len(cols))]
 
 
