@@ -15,7 +15,7 @@ meet pair by pair, so no task holds more than two blocks, however many vectors s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +144,24 @@ def single_pair(single, p: np.ndarray, q: np.ndarray) -> None:
     single(q, p)
 
 
+def spanning(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of ``edges`` those that join what those before them leave apart."""
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    for x, y in edges:
+        p, q = root(x), root(y)
+        if p != q:
+            group[p] = q
+            out.append((x, y))
+    return out
+
+
 def _table_block(t: pa.Table) -> dict:
     raw = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
     return {"raw": raw, "unit": unit(raw), "cls": t.column("cls").to_numpy(), "weight": t.column("m").to_numpy(),
@@ -265,9 +283,10 @@ def _links(classes: DataFrame, n: int, cosine: float) -> DataFrame:
                 u += side["cls"][at].tolist()
                 v += [None] * len(at)
                 k += sums[at].tolist()
-            u += [int(a["cls"][i]) for i, _ in edges]
-            v += [int(b["cls"][j]) for _, j in edges]
-            k += [0] * len(edges)
+            joins = spanning((int(a["cls"][i]), int(b["cls"][j])) for i, j in edges)
+            u += [x for x, _ in joins]
+            v += [y for _, y in joins]
+            k += [0] * len(joins)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(k, pa.int64())})
 
     together = inner.unionByName(guests).unionByName(hosts)

@@ -244,12 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("cls <> center").where(_sized("n", "center_n"))
     links = stored(_confirmed(star.select(F.col("center").alias("u"), F.col("cls").alias("v")).distinct(), sets), "links")
     roots = stored(components(links), "roots")
+    def joined(new: DataFrame) -> DataFrame:  # a component so far is a star about its root
+        return stored(components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(new)), "roots")
+
     for turn in range(TURNS):
-        links = links.unionByName(stored(_confirmed(_star_again(_mixed(members, roots), turn), sets), "links"))
-        roots = stored(components(links), "roots")
+        again = stored(_confirmed(_star_again(_mixed(members, roots), turn), sets), "links")
+        if not again.isEmpty():
+            roots = joined(again)
     more = stored(_cross_links(_mixed(members, roots), classes, sets), "links")
     if not more.isEmpty():
-        roots = stored(components(links.unionByName(more)), "roots")
+        roots = joined(more)
 
     named = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
