@@ -53,10 +53,13 @@ def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Cal
     """``df`` with the columns of ``schema``, computed row by row from its columns ``inputs``.
 
     ``fn`` is called once a task and gives the function of one row's inputs; that one returns the new
-    columns' values. ``df``'s own columns pass through as Arrow data.
+    columns' values. ``df``'s own columns pass through as Arrow data, but for those that a new one
+    replaces because it has their name.
     """
     at = [df.columns.index(c) for c in inputs]
     new = StructType.fromDDL(schema)
+    taken = {name.lower() for name in new.names}
+    own = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,10 +68,11 @@ def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Cal
         for batch in slices(batches):
             made = [row(*v) for v in zip(*(batch.column(i).to_pylist() for i in at))]
             cols = zip(*made) if made else [[] for _ in new]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), f.type) for c, f in zip(cols, kinds))],
-                                             names=[*batch.schema.names, *kinds.names])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in own), *(pa.array(list(c), f.type) for c, f in zip(cols, kinds))],
+                names=[*(batch.schema.names[i] for i in own), *kinds.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(run, StructType([*(df.schema.fields[i] for i in own), *new.fields]))
 
 
 def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int, seed: int) -> DataFrame:

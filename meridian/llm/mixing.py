@@ -63,10 +63,10 @@ def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: in
         open_ = Window.partitionBy("parent")
         used = F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0)).over(open_)
         share = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(open_)
-        part = F.expr("cast(cast(spare as decimal(38,0)) * weight / share as decimal(38,6))")
+        part = F.expr("if(share > 0, (cast(spare as decimal(38,0)) * weight) div share, 0)")
         child = child.withColumn("spare", F.col("budget") - used).withColumn("share", share)
         given = child.select(F.col("path").alias("parent"), "tokens", F.when(F.col("full"), F.col("capacity")).otherwise(
-            F.floor(part)).cast("long").alias("budget"))
+            part).cast("long").alias("budget"))
     return given.select(F.col("parent").alias("leaf"), F.col("tokens").alias("available"), "budget")
 
 
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
     plan = plan.select("leaf", F.expr("if(available > 0, budget div available, 0)").alias("epochs"),
                        F.expr("if(available > 0, budget % available, 0)").alias("prefix"))
     # the order of a leaf's documents in its last, partial epoch
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.select("id", "leaf", "tokens").join(plan, "leaf").withColumn("key", key)
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = rows.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("n"), F.first("prefix").alias("prefix"))

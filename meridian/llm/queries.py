@@ -111,7 +111,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixture": op10_mixture,
 }
 
+def _mixture_sql() -> str:
+    """The mixture in SQL: the tree is filled level by level, then each leaf's order is cut."""
+    weights = ", ".join(f"({len(p)}, '{chr(31).join(p)}', {w})" for p, w in MIX_WEIGHTS.items())
+    levels, given = [], f"""given0 AS (
+        SELECT '' AS path, least(CAST(floor(sum(tokens) * {MIX_SHARE}) AS BIGINT), sum(tokens) * {MIX_EPOCHS})::HUGEINT AS budget FROM words)"""
+    for d in (1, 2, 3):
+        path = "concat_ws(chr(31), " + ", ".join(MIX_LEVELS[:d]) + ")"
+        up = "concat_ws(chr(31), " + ", ".join(MIX_LEVELS[:d - 1]) + ")" if d > 1 else "''"
+        levels.append(f"""child{d} AS (
+        SELECT path, any_value(up) AS up, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * {MIX_EPOCHS} AS capacity,
+               coalesce((SELECT weight FROM weights WHERE depth = {d} AND weights.path = c.path), 1) AS weight
+        FROM (SELECT {path} AS path, {up} AS up, tokens FROM words) c GROUP BY path),
+    told{d} AS (
+        SELECT c.*, g.budget,
+               (g.budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+               >= capacity * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled
+        FROM child{d} c JOIN given{d - 1} g ON g.path = c.up
+        WINDOW w AS (PARTITION BY c.up ORDER BY capacity::DOUBLE / weight, c.path)),
+    given{d} AS (
+        SELECT path, tokens, CASE WHEN filled THEN capacity ELSE
+               (budget - coalesce(sum(capacity) FILTER (WHERE filled) OVER (PARTITION BY up), 0)) * weight
+               // sum(weight) FILTER (WHERE NOT filled) OVER (PARTITION BY up) END AS budget
+        FROM told{d})""")
+    return f"""
+    WITH weights(depth, path, weight) AS (VALUES {weights}),
+    words AS (
+        SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'books' END AS domain,
+               coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens
+        FROM documents),
+    {given},
+    {", ".join(levels)},
+    told AS (
+        SELECT doc_id, path AS leaf, w.tokens, CASE WHEN g.tokens > 0 THEN budget // g.tokens ELSE 0 END AS epochs,
+               CASE WHEN g.tokens > 0 THEN budget % g.tokens ELSE 0 END AS prefix
+        FROM words w JOIN given3 g ON g.path = concat_ws(chr(31), domain, lang, source)),
+    keyed AS (SELECT *, md5(concat_ws(':', '17', epochs, coalesce(CAST(doc_id AS VARCHAR), ''))) AS key FROM told)
+    SELECT doc_id, leaf, tokens, CAST(epochs + CAST(
+           sum(tokens) OVER (PARTITION BY leaf ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           - sum(tokens) OVER (PARTITION BY leaf, key) < prefix AS INT) AS BIGINT) AS copies
+    FROM keyed
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_mixture": _mixture_sql(),
     "op1_near_duplicates": r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

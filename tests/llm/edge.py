@@ -10,7 +10,7 @@ TEXTS = [
 ]
 
 #: Columns that operators use inside or return, as input columns of the documents.
-CLASH = ["id", "n", "cls", "score", "tokens", "batch", "key", "label"]
+CLASH = ["id", "n", "cls", "score", "tokens", "batch", "key", "label", "toxicity_score", "quality_key", "quality_ngrams"]
 
 
 def docs(spark, rows=TEXTS):
