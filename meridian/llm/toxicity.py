@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples (operator 2).
 
-A text is a TF-IDF vector over the terms that tell the labels apart. Its score comes from the ``K``
+A text is a TF-IDF vector over all terms of the labelled examples; a term that tells the labels apart weighs
+more (by the root of 1 + its G2), and none is left out. Its score comes from the ``K``
 labelled examples of highest cosine, found exactly: examples lie in blocks, an inverted index keeps
 each term's highest weight in each block, the sums of these bound every cosine in a block, the block of
 the highest bound gives a K-th best cosine, and of the others those are opened whose bound reaches it.
@@ -12,11 +13,13 @@ Fitted on at most ``MOST_EXAMPLES`` examples of each label; document frequencies
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import appended, sampled_labels, slices, stored
 
-MOST_EXAMPLES, MOST_TERMS, LEAST_GAIN, LEAST_EXAMPLES = 4096, 8192, 15.0, 3
-K, BLOCK, FEW, EVIDENCE = 15, 128, 4, 3
+MOST_EXAMPLES = 4096
+K, BLOCK, EVIDENCE = 15, 128, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -34,60 +37,63 @@ def words(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges low .. high - 1 on end, and the length of each range."""
+    n = highs - lows
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lows - ends + n, n), n
+
+
 @dataclass
 class Index:
-    """Example vectors in blocks of BLOCK, as postings by term, with each term's maximum by block."""
+    """Example vectors in blocks of BLOCK, as postings by term, with each term's maximum in each block that has it."""
 
     ids: np.ndarray
     labels: np.ndarray
     rates: np.ndarray            # training rows that an example stands for
     terms: dict[str, int]
-    idf: np.ndarray
-    block_max: np.ndarray        # terms x blocks
-    starts: np.ndarray           # terms x (blocks + 1), into:
+    scale: np.ndarray            # of each term: idf, more for terms that tell the labels apart
+    prior: float
+    firsts: np.ndarray           # of each term and the end, into its blocks:
+    blocks: np.ndarray
+    tops: np.ndarray
+    starts: np.ndarray           # of each block of a term and the end, into:
     where: np.ndarray
     weights: np.ndarray
-    prior: float
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of term counts: sorted terms, weights."""
-        pairs = sorted((self.terms[t], c) for t, c in found.items() if t in self.terms)
-        at = np.array([p[0] for p in pairs], np.int64)
-        w = (1 + np.log(np.array([p[1] for p in pairs], float))) * self.idf[at]
-        return at, w / (np.sqrt((w * w).sum()) or 1.0)
+        at = np.fromiter(map(self.terms.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), float, len(found))
+        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        at = at[order]
+        return at, _unit(self.scale[at], counts[order])
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The K examples of highest positive cosine (ties: smaller place), but for example ``skip``."""
-        if not len(at):
+        entries, n = _ranges(self.firsts[at], self.firsts[at + 1])
+        if not len(entries):
             return []
-        bounds = w @ self.block_max[at]
-        first = int(bounds.argmax())
-        cos = self._cosines(at, w, first, first + 1)
-        if 0 <= skip - first * BLOCK < BLOCK:
-            cos[skip - first * BLOCK] = 0.0
-        least = max(0.0, np.partition(cos, -K)[-K] - 1e-9)  # the K-th best can't be worse than here
-        opened = np.flatnonzero((bounds >= least) & (bounds > 0))
-        if len(opened) <= FEW:
-            where = [b * BLOCK + np.arange(BLOCK) for b in opened]
-            parts = [self._cosines(at, w, b, b + 1) for b in opened]
-            where, cos = np.concatenate(where), np.concatenate(parts)
-        else:  # one sweep over the span of what is left costs less than many small ones
-            low, high = int(opened[0]), int(opened[-1]) + 1
-            where, cos = np.arange(low * BLOCK, high * BLOCK), self._cosines(at, w, low, high)
-        cos[where == skip] = 0.0
+        w, block = np.repeat(w, n), self.blocks[entries]
+        bounds = np.bincount(block, w * self.tops[entries])
+        cos = self._cosines(entries, w, block == bounds.argmax())
+        if skip >= 0:
+            cos[skip] = 0.0
+        least = max(0.0, np.partition(cos, -K)[-K] - 1e-9) if len(cos) > K else 0.0  # the K-th best can't be worse than here
+        cos = self._cosines(entries, w, ((bounds >= least) & (bounds > 0))[block])
+        if skip >= 0:
+            cos[skip] = 0.0
         near = np.flatnonzero((cos >= least) & (cos > 0))
-        cos, where = np.round(cos[near], 12), where[near]
-        order = np.lexsort((where, -cos))[:K]
-        return [(float(cos[i]), int(where[i])) for i in order]
-
-    def _cosines(self, at: np.ndarray, w: np.ndarray, low: int, high: int) -> np.ndarray:
-        """The cosines of the examples in the blocks low .. high - 1."""
-        cos = np.zeros((high - low) * BLOCK)
-        for x, lo, hi in zip(w, self.starts[at, low], self.starts[at, high]):
-            if hi > lo:
-                cos[self.where[lo:hi] - low * BLOCK] += x * self.weights[lo:hi]
-        return cos
+        cos = np.round(cos[near], 12)
+        order = np.lexsort((near, -cos))[:K]
+        return [(float(cos[i]), int(near[i])) for i in order]
+
+    def _cosines(self, entries: np.ndarray, w: np.ndarray, opened: np.ndarray) -> np.ndarray:
+        """The cosines of the examples in the opened blocks, 0 for the others."""
+        entries = entries[opened]
+        postings, n = _ranges(self.starts[entries], self.starts[entries + 1])
+        return np.bincount(self.where[postings], np.repeat(w[opened], n) * self.weights[postings], len(self.labels))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by nearness and rate, with the prior as one far neighbour."""
@@ -112,31 +118,48 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
+def _unit(scale: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * scale
+    return w / (np.sqrt((w * w).sum()) or 1.0)
+
+
+def _gain(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G2 of terms that a of n1 and b of n0 examples have: seen against expected, both ways, of both labels."""
+    total = np.zeros(len(a))
+    for seen, n in ((a, n1), (b, n0)):
+        expected = n * (a + b) / max(1, n1 + n0)
+        for x, e in ((seen, expected), (n - seen, n - expected)):
+            some = x > 0
+            total[some] += x[some] * np.log(x[some] / e[some])
+    return np.maximum(0.0, 2 * total)
+
+
 def build(examples: list[tuple[int, int, dict[str, int]]], frequency: dict[str, int], n_docs: int, totals: dict[int, int]) -> Index:
     """The index of (id, label, term counts) examples; ``totals``: training rows of each label."""
     terms = {t: i for i, t in enumerate(sorted(frequency))}
-    idf = np.array([math.log((1 + n_docs) / (1 + frequency[t])) + 1 for t in sorted(frequency)])
+    idf = np.log((1 + n_docs) / (1 + np.array([frequency[t] for t in terms], float))) + 1
+    found = [sorted((terms[t], c) for t, c in e[2].items() if t in terms) for e in examples]
+    found = [np.array(f, np.int64).reshape(-1, 2) for f in found]
     # like vectors side by side, so that few blocks have a high bound for a query
-    examples = sorted(examples, key=lambda e: (sorted(e[2], key=lambda t: (-idf[terms[t]], t)), e[0]))
+    rank = np.empty(len(terms), ">u4")
+    rank[np.argsort(-idf, kind="stable")] = np.arange(len(terms))
+    order = sorted(range(len(examples)), key=lambda i: (np.sort(rank[found[i][:, 0]]).tobytes(), examples[i][0]))
+    examples, found = [examples[i] for i in order], [found[i] for i in order]
     labels = np.array([e[1] for e in examples], float)
-    have = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
+    have = {y: int((labels == y).sum()) for y in (0, 1)}
     rates = np.array([totals[e[1]] / have[e[1]] for e in examples], float)
-    blocks = max(1, -(-len(examples) // BLOCK))
-    index = Index(np.array([e[0] for e in examples], np.int64), labels, rates, terms, idf, np.zeros((len(terms), blocks)),
-                  np.zeros((len(terms), blocks + 1), np.int64), np.empty(0, np.int64), np.empty(0),
-                  totals[1] / max(1, totals[0] + totals[1]))
-    vectors = [index.vector(e[2]) for e in examples]
-    if terms and examples:
-        t = np.concatenate([v[0] for v in vectors])
-        w = np.concatenate([v[1] for v in vectors])
-        e = np.repeat(np.arange(len(examples)), [len(v[0]) for v in vectors])
-        order = np.lexsort((e, t))
-        t, w, e = t[order], w[order], e[order]
-        np.maximum.at(index.block_max, (t, e // BLOCK), w)
-        key = t * blocks + e // BLOCK
-        ends = np.searchsorted(key, np.arange(len(terms) * blocks + 1))
-        index.starts = np.stack([ends[i:i + len(terms) * blocks:blocks] for i in range(blocks + 1)], axis=1) if blocks else index.starts
-        index.where, index.weights = e, w
+    t = np.concatenate([f[:, 0] for f in found] + [np.empty(0, np.int64)])
+    e = np.repeat(np.arange(len(examples)), [len(f) for f in found])
+    with_1 = np.bincount(t, labels[e], len(terms))
+    scale = idf * np.sqrt(1 + _gain(with_1, np.bincount(t, minlength=len(terms)) - with_1, have[1], have[0]))
+    vectors = [(f[:, 0], _unit(scale[f[:, 0]], f[:, 1].astype(float))) for f in found]
+    w = np.concatenate([v[1] for v in vectors] + [np.empty(0)])
+    order = np.lexsort((e, t))
+    t, w, e = t[order], w[order], e[order]
+    starts = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(e // BLOCK, prepend=-1))
+    index = Index(np.array([x[0] for x in examples], np.int64), labels, rates, terms, scale, totals[1] / max(1, totals[0] + totals[1]),
+                  np.searchsorted(t[starts], np.arange(len(terms) + 1)), e[starts] // BLOCK,
+                  np.maximum.reduceat(w, starts) if len(w) else w, np.append(starts, len(t)), e, w)
     votes = np.array([index.vote(index.nearest(*v, skip=i)) for i, v in enumerate(vectors)])
     if len(votes):
         index.curve = _isotonic(votes, labels, rates)
@@ -157,20 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
 
     known = stored(appended(known, "counts array<struct<term:string,n:int>>", ["text"], lambda: count)
                    .select("id", "label", "counts"), "examples")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    by = known.select("label", F.explode("counts.term").alias("term")).groupBy("term").agg(
-        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-
-    def part(seen: str, total: int):  # expected against seen, both ways, of one label
-        expected = F.lit(float(total)) * (F.col("a") + F.col("b")) / float(max(1, n0 + n1))
-        rest, other = F.lit(float(total)) - F.col(seen), F.lit(float(total)) - expected
-        log = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-        return log(F.col(seen).cast("double"), expected) + log(rest, other)
-
-    gain = by.where(F.col("a") + F.col("b") >= LEAST_EXAMPLES).withColumn("gain", 2 * (part("a", n1) + part("b", n0)))
-    chosen = [r["term"] for r in gain.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(MOST_TERMS).collect()]
-    vocabulary = spark.sparkContext.broadcast(set(chosen))  # at most MOST_TERMS
+    rows = known.select("id", "label", "counts.term", "counts.n").toArrow()  # at most 2 * most
+    examples = [(i, y, {sys.intern(t): c for t, c in zip(ts.as_py(), ns.as_py())})
+                for i, y, ts, ns in zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["term"], rows["n"])]
+    vocabulary = spark.sparkContext.broadcast(set().union(*(e[2] for e in examples)))  # the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = Counter(), 0
@@ -182,17 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
                                          names=["term", "n"])
 
     counted = texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r["term"]: r["n"] for r in counted.collect()}  # at most MOST_TERMS + 1 rows
+    counted = counted.toArrow()  # the examples' terms and the count of documents
+    frequency = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
     n_docs = frequency.pop(None, 0)
     totals = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     totals = {int(r["y"]): r["count"] for r in totals.groupBy("y").count().collect()}
-    frequency = {t: frequency.get(t, 0) for t in chosen}
-
-    def known_terms(counts: list) -> list:
-        return [[(c["term"], c["n"]) for c in counts if c["term"] in vocabulary.value]]
-
-    rows = appended(known, "kept array<struct<term:string,n:int>>", ["counts"], lambda: known_terms)
-    examples = [(r["id"], r["label"], dict(r["kept"])) for r in rows.select("id", "label", "kept").collect()]  # at most 2 * most
     return build(examples, frequency, n_docs, {y: totals.get(y, 0) for y in (0, 1)})
 
 
@@ -201,18 +208,17 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", prefix: str = "
     examples as (id, similarity, label). Null and empty texts, and texts without a known term, have no
     neighbours and the score of the prior; with no examples at all every score is that of an
     empty vote. Only the text is looked at; every row gets a score of its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples and terms
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
 
     def start():
         index, known = shared.value, {}
 
         def one(text: str | None) -> list:
-            found = {t: c for t, c in words(text).items() if t in index.terms}
-            key = tuple(sorted(found.items()))
+            key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()  # copies are looked up once
             if key not in known:
                 if len(known) >= 50_000:
                     known.clear()
-                near = index.nearest(*index.vector(found))
+                near = index.nearest(*index.vector(words(text)))
                 known[key] = [index.score(index.vote(near)),
                               [{"id": int(index.ids[i]), "similarity": c, "label": int(index.labels[i])} for c, i in near[:EVIDENCE]]]
             return known[key]

@@ -311,3 +311,13 @@ def test_mixture_budgets_and_prefixes(spark):
         for k, budget in water(leaves, {k: weights.get(k, 1) for k in leaves}, given[d]).items():
             assert budget <= taken[k] < budget + 60 or taken[k] == 2 * tokens[k]  # a prefix ends with a whole document
     assert mixing.mix(df.where("false"), ["domain", "lang"], table).collect() == []
+
+
+def test_every_term_of_the_examples_is_in_their_vectors(spark):
+    rows = [(i, f"calm{'abcdefghi'[i % 9]} talk{'abcdefg'[i % 7]} word{'x' * i}") for i in range(60)]
+    rows += [(100, "frimp calmb talkb"), (101, "frimp calmc talkc"), (200, "so frimp indeed"), (201, "wordxxxxxxx unheard")]
+    labels = spark.createDataFrame([(k, int(k >= 100)) for k, _ in rows if k < 200], "doc_id long, toxic int")
+    index = toxicity.fit(docs(spark, rows), labels, "toxic")
+    assert set(index.terms) == {w for k, t in rows if k < 200 for w in t.split()}
+    got = {r["doc_id"]: [e["id"] for e in r["toxicity_evidence"]] for r in toxicity.score(docs(spark, rows), index).collect()}
+    assert sorted(got[200]) == [100, 101] and got[201] == [7]
