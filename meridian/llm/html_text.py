@@ -2,9 +2,9 @@
 
 A page's text nodes are grouped by the root-to-leaf path of block tags (with class and id) they lie on.
 Each path has two ratios, text length and punctuation by node; both are smoothed over the
-paths in page order and multiplied, and links in the text count against it. Paths whose fused ratio
-reaches a threshold, a share of the spread over the page, are content; so are the other paths of an
-``article`` or ``main`` element and headings beside content. Paths through an element that by its tag,
+paths in page order and multiplied, and links in the text count against it; in an ``article`` or ``main``
+element the ratio counts ``_LANDMARK`` times. Paths whose fused ratio reaches a threshold, a share of the
+spread over the page, are content; so are headings beside content. Paths through an element that by its tag,
 role, class or id is a menu, header, footer, sidebar, notice, advert, form, share bar or comment
 list are never content. A path is kept or dropped whole, so a short paragraph stays with
 the long ones.
@@ -47,7 +47,7 @@ _BOILERPLATE_NAMES = frozenset("""ad ads adbox adsense advert adverts advertisem
     menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted
     promotion related replies respond responses share sharing sidebar sidebars signup skip social sponsor sponsored subscribe
     subscription toolbar topbar widget widgets""".split())
-_LEAST, _SMOOTH = 0.2, np.array([0.25, 0.5, 0.25])
+_LEAST, _LANDMARK, _SMOOTH = 0.2, 4.0, np.array([0.25, 0.5, 0.25])
 
 
 @dataclass
@@ -153,16 +153,15 @@ def main_text(page: str | None) -> str:
     nodes, chars, marks, linked = stats
     plain = 1 - linked / np.maximum(chars, 1)
     smooth = [np.convolve(np.pad(x / nodes, 1, mode="edge"), _SMOOTH, "valid") for x in (chars * plain, marks + 0.5)]
-    fused = np.sqrt(smooth[0] * smooth[1]) * plain
-    chosen = fused >= _LEAST * max(fused.std(), fused.max() / 2)
-    landmark = any(b.inside for b, _ in free)
-    keep = []
+    prior = np.ones(len(paths))
     for b, _ in free:
-        i = paths[b.path]
-        keep.append(plain[i] > 0.3 if b.inside else chosen[i] and not landmark)
-    if not landmark:  # a heading stays with the content that follows it
-        for k in range(len(free) - 2, -1, -1):
-            keep[k] = keep[k] or free[k][0].heading and keep[k + 1]
+        if b.inside:
+            prior[paths[b.path]] = _LANDMARK
+    fused = np.sqrt(smooth[0] * smooth[1]) * plain * prior
+    chosen = fused >= _LEAST * max(fused.std(), fused.max() / 2)
+    keep = [chosen[paths[b.path]] for b, _ in free]
+    for k in range(len(free) - 2, -1, -1):  # a heading stays with the content that follows it
+        keep[k] = keep[k] or free[k][0].heading and keep[k + 1]
     return "\n".join(t for (_, t), k in zip(free, keep) if k)
 
 

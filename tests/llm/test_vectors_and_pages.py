@@ -90,6 +90,22 @@ def test_page_text(spark):
     assert html_text.extract(df.where("false")).collect() == []
 
 
+CARD = "<article class=card><h3><a href=x>Other story</a></h3><p>A small teaser.</p></article>"
+BODY = "".join(f"<p>Sentence {i} of the body, with words; and quite long, as bodies are. It goes on, and on.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("page", [f"<div class=body>{BODY}</div>{CARD * 3}", f"{CARD}<div class=body>{BODY}</div>",
+                                  f"<div class=body>{BODY}{CARD}</div>"])
+def test_a_body_beside_card_articles_is_kept(page):
+    assert html_text.main_text(page).count("of the body") == 8
+
+
+def test_ratios_choose_inside_main():
+    page = f"<main><div class=text>{BODY}</div><div class=after>{BODY}</div><div class=x><i>and</i></div><div class=y>ok</div><div class=z>go</div></main>"
+    found = html_text.main_text(page)
+    assert found.count("of the body") == 16 and not found.endswith("go")
+
+
 def test_long_page_is_read_whole():
     page = "<body>" + "<div><p>" * 500 + "<article>" + "<p>A sentence, of words.</p>" * 20_000 + "</article>"
     assert html_text.main_text(page).count("\n") == 19_999
