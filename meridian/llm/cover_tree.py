@@ -5,8 +5,8 @@ level of the tree are far-apart centres of a bounded sample; each vector lies in
 one, and visits the later shards whose covering radius its distance allows. Below, each block of a shard has
 two nested levels of halving radii. Two blocks are traversed together: a pair of nodes is
 pruned if its centres are farther apart than both covering radii and the threshold, taken whole if
-even the farthest descendants link, and opened otherwise; pairs of vectors left over are decided by their
-cosine in doubles.
+even the farthest descendants link (a node with itself, too), and opened otherwise; pairs of vectors left
+over are counted from strips of cosines, those within rounding of the threshold decided by the vectors as given.
 
 Equal vectors are one class with a count. A shard beyond BLOCK vectors is cut into blocks that
 meet pair by pair, so no task holds more than two blocks, however many vectors share a place.
@@ -27,6 +27,8 @@ from meridian.llm.components import components
 
 BLOCK, SAMPLE, MOST_SHARDS = 4096, 4096, 1024
 LEVELS = (0.5, 0.25)  # radii of the nested levels inside a block
+STRIP = 256           # rows whose cosines with a node are held at a time
+_CLOSE = 65_536       # pairs whose cosines are decided exactly at a time
 _SLACK = 1e-6         # beyond the rounding of distances; what it leaves open is decided exactly
 
 
@@ -80,28 +82,50 @@ class _Nodes:
 
 def traverse(a: dict, b: dict, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links between two blocks (or inside one, if ``same``): the links' weight at each row of a
-    and of b, and links that join what they join. A block has raw, unit, weight, coarse and fine."""
+    and of b, and of the links those that span what they join, fewer than there are rows. A block has raw, unit, weight, coarse and fine."""
     t = math.sqrt(2 - 2 * cosine)
-    na, nb, edges = np.zeros(len(a["unit"]), np.int64), np.zeros(len(b["unit"]), np.int64), []
+    na, nb = np.zeros(len(a["unit"]), np.int64), np.zeros(len(b["unit"]), np.int64)
+    edges, shift = [], 0 if same else len(a["unit"])
+    group = np.arange(len(a["unit"]) + (0 if same else len(b["unit"])))  # of rows of a, then of b: joined so far
+
+    def star(i: int, js: np.ndarray) -> None:
+        """Row i of a links with rows js of b: edges to one row of each group that is not yet i's."""
+        found, first = np.unique(group[js + shift], return_index=True)
+        other = found != group[i]
+        if other.any():
+            edges.extend((i, int(j)) for j in js[first[other]])
+            group[np.isin(group, found[other])] = group[i]
 
     def whole(x: np.ndarray, y: np.ndarray) -> None:
         na[x] += b["weight"][y].sum()
         nb[y] += a["weight"][x].sum()
-        edges.extend((int(x[0]), int(j)) for j in y)
-        edges.extend((int(i), int(y[0])) for i in x[1:])
-
-    def single(x: np.ndarray, y: np.ndarray) -> None:
-        gram = a["unit"][x] @ b["unit"][y].T
-        i, j = np.nonzero(gram >= cosine - 1e-9)
-        i, j = x[i], y[j]
-        if same:
-            i, j = i[i < j], j[i < j]
-        p, q = a["raw"][i], b["raw"][j]
-        exact = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
-        i, j = i[exact >= cosine], j[exact >= cosine]
-        np.add.at(na, i, b["weight"][j])
-        np.add.at(nb, j, a["weight"][i])
-        edges.extend(zip(i.tolist(), j.tolist()))
+        star(int(x[0]), y)
+        for i in x[group[x] != group[y[0] + shift]]:
+            star(int(i), y[:1])
+
+    def whole_itself(x: np.ndarray) -> None:
+        na[x] += a["weight"][x].sum() - a["weight"][x]
+        star(int(x[0]), x[1:])
+
+    def single(x: np.ndarray, y: np.ndarray, itself: bool = False) -> None:
+        """Pairs of rows x of a and y of b, a strip of rows at a time; ``itself``: x is y, each pair once."""
+        for at in range(0, len(x), STRIP):
+            rows, cols = x[at:at + STRIP], y[at:] if itself else y
+            gram = a["unit"][rows] @ b["unit"][cols].T
+            link = gram >= cosine + 1e-9
+            i, j = np.nonzero((gram >= cosine - 1e-9) & ~link)  # within rounding of the threshold
+            for k in range(0, len(i), _CLOSE):
+                u, v = i[k:k + _CLOSE], j[k:k + _CLOSE]
+                p, q = a["raw"][rows[u]], b["raw"][cols[v]]
+                exact = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+                link[u, v] = exact >= cosine
+            if itself:
+                link = np.triu(link, 1)
+            na[rows] += (link * b["weight"][cols]).sum(axis=1)
+            nb[cols] += (a["weight"][rows] @ link)
+            apart = link & (group[rows][:, None] != group[cols + shift][None, :])
+            for k in np.flatnonzero(apart.any(axis=1)):
+                star(int(rows[k]), cols[apart[k]])
 
     def pairs(x: _Nodes, y: _Nodes, itself: bool) -> Iterator[tuple[int, int, float]]:
         d = np.sqrt(np.maximum(0, 2 - 2 * (x.centers.astype(np.float32) @ y.centers.T.astype(np.float32))))
@@ -126,24 +150,17 @@ def traverse(a: dict, b: dict, same: bool, cosine: float) -> tuple[np.ndarray, n
         for k, m, d in pairs(x, y, itself):
             p, q = x.members[k], y.members[m]
             if itself and k == m:
-                if len(p) > 1:
-                    single(p, q)
+                if len(p) > 1 and 2 * x.radius[k] <= t - _SLACK:
+                    whole_itself(p)
+                elif len(p) > 1:
+                    single(p, p, True)
             elif d + x.radius[k] + y.radius[m] <= t - _SLACK:
                 whole(p, q)
             else:
-                if same and len(p) and len(q):  # rows count once, whichever is first
-                    single_pair(single, p, q)
-                else:
-                    single(p, q)
+                single(p, q)
     return na, nb, edges
 
 
-def single_pair(single, p: np.ndarray, q: np.ndarray) -> None:
-    """Both orders of two disjoint sets of rows of one block; ``single`` keeps the rising one."""
-    single(p, q)
-    single(q, p)
-
-
 def spanning(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of ``edges`` those that join what those before them leave apart."""
     group: dict[int, int] = {}

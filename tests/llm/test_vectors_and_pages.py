@@ -46,6 +46,36 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch, block):
     assert got == {k: (links[k], low[k], low[k] == k) for k, _ in rows}
 
 
+@pytest.mark.parametrize("noise", [0.005, 0.08, 0.14])
+@pytest.mark.parametrize("same", [True, False])
+def test_near_copies_of_one_node_need_no_list_of_pairs(noise, same):
+    rng = np.random.RandomState(11)
+
+    def block(n):
+        raw = np.ones(8) + noise * 2 * rng.randn(n, 8)
+        return {"raw": raw, "unit": cover_tree.unit(raw), "weight": rng.randint(1, 4, n), "coarse": np.zeros(n, int), "fine": np.zeros(n, int)}
+
+    a = block(700)
+    b = a if same else block(300)
+    link = a["unit"] @ b["unit"].T >= 0.9
+    if same:
+        np.fill_diagonal(link, False)
+    na, nb, edges = cover_tree.traverse(a, b, same, 0.9)
+    if same:
+        assert ((na + nb) == link @ a["weight"]).all()
+    else:
+        assert (na == link @ b["weight"]).all() and (nb == a["weight"] @ link).all()
+    assert len(edges) < len(na) + len(nb) and all(link[i, j] for i, j in edges)
+    shift = 0 if same else len(a["unit"])
+    for i in range(len(link)):  # what links is joined by the edges
+        edges_of = cover_tree.spanning([*edges_at(edges, shift), *((i, int(j) + shift) for j in np.flatnonzero(link[i]))])
+        assert len(edges_of) == len(edges)
+
+
+def edges_at(edges, shift):
+    return [(i, j + shift) for i, j in edges]
+
+
 def test_near_vectors_without_ids_or_rows(spark):
     got = cover_tree.near_duplicates(frame(spark, [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [1.0, 0.0])])).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [
