@@ -1,7 +1,7 @@
 """Quality by importance resampling (operator 7).
 
-Two generative models over hashed word 1- and 2-grams, smoothed by the counts of the whole corpus: one
-of the target (texts labelled 1), one of raw text as it comes (labelled 1 or 0). A document's importance is the product over its n-grams of the
+Two generative models over hashed word 1- and 2-grams: one of raw text as it comes, counted over the whole
+corpus, and one of the target (texts labelled 1), smoothed by the raw one. A document's importance is the product over its n-grams of the
 ratio of the two. Documents are resampled without replacement by Gumbel top-k: those with the k
 largest sums of log importance and a seeded Gumbel number stay. k is the number of documents that
 are target-like by the ratio: those whose share of label 1 * importance is a half or more.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import appended, kth_largest, sampled_labels, slices, stored, uniform
 
 BUCKETS, MOST_EXAMPLES, SMOOTHING = 1 << 14, 20_000, 1.0
-#: Weight of the corpus in both models, in n-grams a bucket (less for few examples): rare n-grams say little.
+#: Weight of the corpus in the target's model, in n-grams a bucket (less for few examples): rare n-grams say little.
 PRIOR = 8.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")  # case stays: shouting is a mark of quality too
 _CACHE_WORDS = 300_000
@@ -65,25 +65,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         text_col: str = "text", most: int = MOST_EXAMPLES, seed: int = 11) -> tuple[np.ndarray, float]:
     """(log ratio by bucket, share of label 1).
 
-    The target model counts at most ``most`` texts of label 1; the raw model these and at most ``most`` of
-    label 0, at the labels' own proportion; both have the counts of all of ``docs`` as their
-    Dirichlet prior. Without a text of label 1 the ratio is 1 and the share 1: all stays.
+    The target model counts at most ``most`` texts of label 1, with the raw model as its Dirichlet prior; the
+    raw model counts all of ``docs``. Without a text of label 1 the ratio is 1 and the share 1: all stays.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     totals = {int(r["y"]): r["count"] for r in usable.groupBy("y").count().collect()}
     if not totals.get(1):
         return np.zeros(BUCKETS), 1.0
-    picked = sampled_labels(labels, id_col, label_col, most, seed)  # at most 2 * most ids
-    known = texts.join(F.broadcast(picked), "id")
-    target, other = (_counts(known.where(F.col("label") == y).select("text")) for y in (1, 0))
-    n1, n0 = (min(most, totals.get(y, 0)) for y in (1, 0))
-    other *= totals.get(0, 0) / max(1, n0) * n1 / totals[1]  # as many as there would be beside the target's sample
+    picked = sampled_labels(labels, id_col, label_col, most, seed).where("label = 1")  # at most ``most`` ids
+    target = _counts(texts.join(F.broadcast(picked), "id").select("text"))
     corpus = _counts(texts.select("text")) + SMOOTHING
-    most_prior, seen = PRIOR * BUCKETS, max(1.0, target.sum() + other.sum())
-    prior = most_prior * seen / (seen + most_prior) * corpus / corpus.sum()  # never outweighs the examples
-    p, q = target + prior, target + other + prior
-    return np.log(p / p.sum()) - np.log(q / q.sum()), totals[1] / sum(totals.values())
+    raw = corpus / corpus.sum()
+    most_prior, seen = PRIOR * BUCKETS, max(1.0, target.sum())
+    p = target + most_prior * seen / (seen + most_prior) * raw  # the prior never outweighs the examples
+    return np.log(p / p.sum()) - np.log(raw), totals[1] / sum(totals.values())
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", prefix: str = "quality") -> DataFrame:

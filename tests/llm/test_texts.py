@@ -321,3 +321,20 @@ def test_every_term_of_the_examples_is_in_their_vectors(spark):
     assert set(index.terms) == {w for k, t in rows if k < 200 for w in t.split()}
     got = {r["doc_id"]: [e["id"] for e in r["toxicity_evidence"]] for r in toxicity.score(docs(spark, rows), index).collect()}
     assert sorted(got[200]) == [100, 101] and got[201] == [7]
+
+
+def test_raw_model_counts_documents_without_labels(spark):
+    rows = [(i, f"good words here {'abc'[i % 3]}") for i in range(30)] + [(100 + i, "bad junk there") for i in range(10)]
+    rows += [(1000 + i, "strange tongue spoken") for i in range(200)]
+    df = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i < 1000], "doc_id long, quality int")
+    ratio, share = importance.fit(df, labels)
+    assert share == 0.75
+    hashes = importance._Hashes()
+    total = np.zeros(importance.BUCKETS)
+    for _, t in rows:
+        np.add.at(total, importance.ngrams(t, hashes), 1)
+    raw = (total + importance.SMOOTHING) / (total + importance.SMOOTHING).sum()
+    assert np.isclose((raw * np.exp(ratio)).sum(), 1)  # a model over the raw one
+    weight = {t: ratio[importance.ngrams(t, hashes)].sum() for t in ("good words here", "bad junk there", "strange tongue spoken")}
+    assert weight["good words here"] > 1 and max(weight["bad junk there"], weight["strange tongue spoken"]) < -1
