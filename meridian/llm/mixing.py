@@ -38,6 +38,7 @@ def _path(levels: list[str], depth: int) -> Column:
 
 def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: int, max_epochs: int) -> DataFrame:
     """(leaf path, available, budget) from (levels..., tokens): integer budgets by water-filling.
+    Leaves under a node of weight 0 have no budget and no row.
 
     A path without a weight has weight 1, so children are equal unless told otherwise. With children in the
     order of capacity over weight, a child is full if the parent's budget reaches it: those
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
     The budget is ``budget_share`` of all tokens. Null levels are children named ``MISSING``, null ids
     and texts are allowed; documents without words are taken if the prefix passes them. Rows
     of one id and text tie in the order and are told apart by nothing: they are taken or left
-    together. A leaf without a budget takes nothing; an empty input gives no rows.
+    together. A leaf without a budget, as under a node of weight 0, takes nothing; an empty input gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), _path(levels, len(levels)).alias("leaf"), tokens_of(text_col).alias("tokens"), *levels)
     leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
                        F.expr("if(available > 0, budget % available, 0)").alias("prefix"))
     # the order of a leaf's documents in its last, partial epoch
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.select("id", "leaf", "tokens").join(plan, "leaf").withColumn("key", key)
+    rows = rows.select("id", "leaf", "tokens").join(plan, "leaf", "left").fillna(0, ["epochs", "prefix"]).withColumn("key", key)
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = rows.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("n"), F.first("prefix").alias("prefix"))
     upto = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

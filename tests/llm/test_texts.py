@@ -338,3 +338,11 @@ def test_raw_model_counts_documents_without_labels(spark):
     assert np.isclose((raw * np.exp(ratio)).sum(), 1)  # a model over the raw one
     weight = {t: ratio[importance.ngrams(t, hashes)].sum() for t in ("good words here", "bad junk there", "strange tongue spoken")}
     assert weight["good words here"] > 1 and max(weight["bad junk there"], weight["strange tongue spoken"]) < -1
+
+
+def test_mixture_keeps_rows_under_a_weight_of_zero(spark):
+    rows = [(i, "t t t", f"d{i % 2}", f"l{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string")
+    table = mixing.weights_table(spark, ["domain", "lang"], {("d0",): 0, ("d1", "l1"): 0})
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(df, ["domain", "lang"], table, 1.0, 2).collect()}
+    assert got == {i: 2 if d == "d1" and l != "l1" else 0 for i, _, d, l in rows}
