@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, cover_tree, ctw, html_text, importance, kdtree, minhash, mixing, packing, toxicity
+from meridian.llm import bpe, cover_tree, ctw, decontaminate, html_text, importance, kdtree, merkle, minhash, mixing, packing, pq, toxicity
 from meridian.llm.common import new_path
 
 #: From this toxicity score on a document counts as toxic.
@@ -98,6 +98,24 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_LEVELS, weights, MIX_SHARE, MIX_EPOCHS).select("doc_id", "leaf", "tokens", "copies")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"],
+                           tampered={"text": merkle.lower_ascii("text")}, where=_crc_of_id(5) == 0)
+    return made.drop("proof")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = pq.compress(_table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(books.sha256() if books else ""))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -109,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_code_length": op8_code_length,
     "op9_near_vectors": op9_near_vectors,
     "op10_mixture": op10_mixture,
+    "op11_manifest": op11_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_decontamination": op13_decontamination,
 }
 
 def _mixture_sql() -> str:
@@ -155,7 +176,135 @@ def _mixture_sql() -> str:
     """
 
 
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Tables {name}1 to {name}<levels>: the nodes above those of {name}0 (tree, r, h), and with {name}side the
+    digests left and right of each node in its run; a tree's only node stays as it is."""
+    made = []
+    for k in range(levels):
+        made.append(f"""{name}side{k} AS MATERIALIZED (
+        SELECT tree, r, h, count(*) OVER (PARTITION BY tree) > 1 AS many,
+               coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+               coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+        FROM {name}{k} WINDOW run AS (PARTITION BY tree, r // 16 ORDER BY r)),
+    {name}{k + 1} AS MATERIALIZED (
+        SELECT tree, r // 16 AS r, CASE WHEN bool_or(many) THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h
+        FROM {name}side{k} GROUP BY tree, r // 16)""")
+    return ",\n    ".join(made)
+
+
+def _manifest_sql(levels: int = 6, above: int = 3) -> str:
+    """The manifest in SQL, each level written out: 16 ** levels rows a source, 16 ** above sources."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return "sha256(" + " || ".join(parts) + ")"
+
+    joins, sides = [], []
+    for k in range(levels):
+        joins.append(f"JOIN bside{k} AS s{k} ON s{k}.tree IS NOT DISTINCT FROM d.tree AND s{k}.r = d.r // {16 ** k}")
+        sides.append(f"s{k}")
+    for k in range(above):
+        joins.append(f"JOIN fside{k} AS g{k} ON g{k}.r = t.r // {16 ** k}")
+        sides.append(f"g{k}")
+    steps = []  # one level at a time, which keeps the text short
+    for i in range(len(sides)):
+        was = f"f{i - 1}" if i else "other"
+        steps.append(f"CASE WHEN m[{i + 1}] THEN sha256(l[{i + 1}] || {was} || r[{i + 1}]) ELSE {was} END AS f{i}")
+    chain = "\n".join(f"    , fold{i} AS (SELECT *, {step} FROM {f'fold{i - 1}' if i else 'paths'})" for i, step in enumerate(steps))
+    crc = ("list_reduce(flatten([[4294967295], flatten(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: "
+           "[ascii(substr(CAST(doc_id AS VARCHAR), i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))]), "
+           "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)")
+    return f"""
+    WITH leaves AS MATERIALIZED (
+        SELECT doc_id, source AS tree, {leaf("text")} AS h,
+               CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(_LOWERED)} END AS other
+        FROM documents),
+    b0 AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS r FROM leaves),
+    {_tree_sql("b", levels)},
+    f0 AS MATERIALIZED (
+        SELECT 0 AS tree, b.tree AS source, h, row_number() OVER (ORDER BY b.tree NULLS FIRST) - 1 AS r FROM b{levels} b),
+    {_tree_sql("f", above)},
+    paths AS (
+        SELECT d.doc_id, d.h AS leaf, coalesce(d.other, d.h) AS other, t.h AS subroot, (SELECT h FROM f{above}) AS root,
+               [{", ".join(f"{s}.many" for s in sides)}] AS m, [{", ".join(f"{s}.lft" for s in sides)}] AS l, [{", ".join(f"{s}.rgt" for s in sides)}] AS r
+        FROM b0 d JOIN f0 t ON t.source IS NOT DISTINCT FROM d.tree
+             {" ".join(joins)})
+{chain}
+    SELECT doc_id, leaf, subroot, root,
+           sha256(array_to_string(flatten(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN m[i] THEN [l[i], r[i]] ELSE [] END)), '')) AS proof_sha256,
+           f{len(sides) - 1} AS folded_root, f{len(sides) - 1} = root AS verified
+    FROM fold{len(sides) - 1}
+    """
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Product quantisation in SQL: a table of assignments and one of moved entries for each round."""
+    def assigned(k: int) -> str:
+        return f"""assigned{k} AS MATERIALIZED (
+        SELECT rid, part, any_value(p) AS p, arg_min(entry, far * 256 + entry) AS entry, min(far) AS far
+        FROM (SELECT rid, part, p, entry, list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i]))) AS far
+              FROM cut JOIN book{k} USING (part)) GROUP BY rid, part)"""
+
+    steps = []
+    for k in range(rounds):
+        steps.append(assigned(k))
+        steps.append(f"""book{k + 1} AS MATERIALIZED (
+        SELECT part, entry, coalesce(moved, c) AS c FROM book{k} LEFT JOIN (
+            SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS moved
+            FROM (SELECT part, entry, pos, CAST(sum(p[pos]) AS BIGINT) AS s, count(*) AS n
+                  FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS pos FROM assigned{k}) GROUP BY ALL)
+            GROUP BY part, entry) USING (part, entry))""")
+    steps.append(assigned(rounds))
+    return f"""
+    WITH usable AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid FROM usable
+                          QUALIFY len(v) = first_value(len(v)) OVER (ORDER BY vec_id NULLS LAST, v)),
+    cut AS MATERIALIZED (
+        SELECT rid, part, v[len(v) * part // {parts} + 1:len(v) * (part + 1) // {parts}] AS p
+        FROM (SELECT rid, v, unnest(range(0, {parts})) AS part FROM kept)),
+    book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY rid) - 1 AS entry, p AS c FROM cut
+                           QUALIFY row_number() OVER (PARTITION BY part ORDER BY rid) <= {entries}),
+    {", ".join(steps)},
+    coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+              FROM assigned{rounds} GROUP BY rid)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+    FROM kept JOIN coded USING (rid)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_manifest": _manifest_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_decontamination": r"""
+        WITH worded AS MATERIALIZED (
+            SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(""" + _LOWERED.replace("text,", "coalesce(text, ''),") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(""" + _LOWERED.replace("text,", "coalesce(text, ''),") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        windows AS MATERIALIZED (
+            SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS win
+            FROM items WHERE len(w) > 0),
+        places AS (
+            SELECT rid, pos, w[pos:pos + size - 1] AS win
+            FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS pos
+                  FROM worded, (SELECT DISTINCT len(win) AS size FROM windows))),
+        met AS MATERIALIZED (SELECT rid, pos, len(win) AS size, item FROM places JOIN windows USING (win)),
+        hit AS (
+            SELECT rid, count(DISTINCT place) AS n_hit
+            FROM (SELECT rid, unnest(range(pos, pos + size)) AS place FROM met) GROUP BY rid),
+        named AS (SELECT rid, list_sort(list(DISTINCT item)) AS found FROM met GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(found), 0)::BIGINT AS n_items,
+               sha256(coalesce(array_to_string(found, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM worded LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+    """,
     "op10_mixture": _mixture_sql(),
     "op1_near_duplicates": r"""
         WITH RECURSIVE worded AS (
