@@ -53,6 +53,32 @@ def money_sum(c: str | Column) -> Column:
     return sum_cents(cents(c))
 
 
+def square_sum(c: str | Column) -> Column:
+    """Exact sum of the squares of a money column, in cents."""
+    x = cents(c).cast("decimal(18,0)")
+    return F.sum((x * x).cast("decimal(37,0)")).cast("decimal(38,0)")
+
+
+def deviation(n: str, sum_cents: str, squares: str, ddof: int = 1) -> Column:
+    """Standard deviation in USD from a count, an exact sum and an exact sum of squares in cents.
+
+    About the whole part q of the mean: sum (x - q)^2 is exact in integers, and what is left of
+    the mean, below one cent, is taken off in one step. Nothing depends on the order of addition, and
+    equal values give 0. NULL where ``n - ddof`` is not positive."""
+    k, s, sq = (f"CAST({c} AS DECIMAL(38,0))" for c in (n, sum_cents, squares))
+    q = f"CAST({s} div nullif({n}, 0) AS DECIMAL(38,0))"
+    about = f"CAST({sq} - 2 * {q} * {s} + {k} * {q} * {q} AS DOUBLE)"
+    rest = f"CAST({s} - {k} * {q} AS DOUBLE)"
+    left = F.expr(f"{about} - {rest} * {rest} / nullif(CAST({n} AS DOUBLE), 0D)")
+    return F.when(F.col(n) > ddof, F.sqrt(F.greatest(left, F.lit(0.0)) / (F.col(n) - ddof)) / 100)
+
+
+def exact_mean(c: str | Column, dp: int = 4) -> Column:
+    """Mean of doubles rounded to ``dp``, from an exact sum of decimals: free of the order of addition."""
+    x = col(c).cast("decimal(28,8)")
+    return F.round(F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double")), dp)
+
+
 def usd(cents_col: str | Column) -> Column:
     """Cents -> USD as double, for output (one correctly rounded division)."""
     return col(cents_col).cast("double") / 100

@@ -12,6 +12,8 @@ from meridian.operators.sales import (best_month, headline_sales, mean_order_by_
                                       unit_prices, yearly_change)
 from meridian.operators.segments import (activity_segments, cohort_retention, rank_segments,
                                          volume_segments, volume_value_segments)
+from meridian.operators.sequences import (account_ranks, active_accounts, channel_reach,
+                                          order_intervals)
 
 __all__ = [
     "region_catalog", "account_roster", "accounts_per_rep", "unit_prices",
@@ -21,5 +23,6 @@ __all__ = [
     "seasonality", "mean_order_by_region", "region_channel", "rank_segments",
     "cohort_retention", "volume_segments", "volume_value_segments", "high_growth",
     "order_gaps", "rep_contribution", "quarterly_change", "yearly_change",
-    "top_mean_accounts", "activity_segments",
+    "top_mean_accounts", "activity_segments", "account_ranks", "active_accounts", "channel_reach",
+    "order_intervals",
 ]

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import exprs as E
-from meridian.plans.scope import (accounts_fit, early_scope, per_account, rep_dim,
-                                  scope_region, small)
-from meridian.sources.star import Star
+from meridian.plans.scope import accounts_fit, early_scope, rep_dim, scope_region, small
+from meridian.plans.states import account_totals
+from meridian.sources.star import ORDER_YEAR, Star
 
 
 def region_catalog(star: Star) -> DataFrame:
@@ -48,24 +48,17 @@ def accounts_per_rep(star: Star, region: str | None = None) -> DataFrame:
             .orderBy("rep_name"))
 
 
-def _per_account(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("account_id").agg(
-        E.money_sum("total_amt_usd").alias("spent"),
-        F.count("id").alias("n_orders"),
-        F.count("total_amt_usd").alias("n_amt"))
-
-
 def lifetime_value(star: Star, region: str | None = None, marker: bool = False) -> DataFrame:
     """Every account (of the scope) with total spent, number of orders and mean order;
     accounts without orders get 0 orders and NULL amounts. ``marker`` adds marker_size =
     mean order, or 1 where there is none (the metric itself stays NULL)."""
     s = scope_region(star, region)
-    per = _per_account(early_scope(s, s.orders))  # the left join below restricts the rest
+    per = account_totals(s)  # the left join below restricts it to the scope
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     out = acc.join(per, "account_id", "left").select(
-        "account_id", "account_name", E.usd("spent").alias("total_spent"),
-        F.coalesce("n_orders", F.lit(0)).alias("total_orders"),
-        E.mean("spent", "n_amt").alias("average_order_amount"))
+        "account_id", "account_name", E.usd("cents").alias("total_spent"),
+        F.coalesce("n", F.lit(0)).alias("total_orders"),
+        E.mean("cents", "n_amt").alias("average_order_amount"))
     if marker:
         out = out.withColumn("marker_size", F.coalesce("average_order_amount", F.lit(1.0)))
     return out.orderBy(F.col("total_spent").desc_nulls_last(), "account_id")
@@ -75,8 +68,7 @@ def rep_acquisition(star: Star, region: str | None = None) -> DataFrame:
     """Per rep name: accounts held and the year of their earliest order. Reps without
     accounts stay, with 0 and NULL."""
     s = scope_region(star, region)
-    first = early_scope(s, s.orders).groupBy("account_id").agg(
-        F.min("occurred_at").alias("first_ts"))
+    first = account_totals(s).select("account_id", F.col("first_at").alias("first_ts"))
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("sales_rep_id").alias("rep_id"))
     held = acc.join(first, "account_id", "left")
     reps = s.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("rep_name"))
@@ -94,8 +86,7 @@ def churn(star: Star, region: str | None = None) -> DataFrame:
     s = scope_region(star, region)
     ids = s.accounts.select(F.col("id").alias("account_id")).filter(
         F.col("account_id").isNotNull()).distinct()
-    ordering = (early_scope(s, s.orders).select("account_id").distinct()
-                .withColumn("active", F.lit(1)))
+    ordering = account_totals(s).select("account_id", F.lit(1).alias("active"))
     j = ids.join(ordering, "account_id", "left")
     return j.agg(F.count("active").alias("active_customers"),
                  (F.count(F.lit(1)) - F.count("active")).alias("churned_customers"))
@@ -108,15 +99,13 @@ def order_gaps(star: Star, region: str | None = None) -> DataFrame:
     Consecutive gaps telescope: their sum is last date - first date, so the mean is
     datediff(max, min) / (n - 1) and needs only a hash aggregate, no sort and no window."""
     s = scope_region(star, region)
-    per = (early_scope(s, s.orders).groupBy("account_id")
-           .agg(F.count("occurred_at").alias("n"), F.min("occurred_at").alias("lo"),
-                F.max("occurred_at").alias("hi"))
-           .filter(F.col("n") >= 2)
-           .select("account_id", E.half_up_ratio("datediff(hi, lo)", "n - 1", dp=2)
+    per = (account_totals(s).filter(F.col("n_timed") >= 2)
+           .select("account_id", E.half_up_ratio("datediff(last_at, first_at)", "n_timed - 1", dp=2)
                    .alias("avg_days_between_orders")))
+    # one row an account on both sides; the texts are as long as they are, so no bound on rows bounds them
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"),
                             "website", F.col("primary_poc").alias("primary_contact"))
-    return (per.join(F.broadcast(acc) if accounts_fit(s) else acc, "account_id")
+    return (per.join(acc, "account_id")
             .select("account_name", "website", "primary_contact", "avg_days_between_orders",
                     "account_id")
             .orderBy(F.col("avg_days_between_orders").desc_nulls_last(), "account_name",
@@ -130,15 +119,20 @@ HIGH_GROWTH, LOW_GROWTH = "High Growth", "Low Growth"
 
 def high_growth(star: Star, region: str | None = None, per_year: float = 10) -> DataFrame:
     """Accounts active in more than one year with more than ``per_year`` orders per active
-    year, most orders first."""
+    year, most orders first. Orders are counted as distinct ids, unless the star knows these to be unique."""
     s = scope_region(star, region)
-    o = early_scope(s, s.orders)  # the join with the scope's accounts restricts the rest
-    y = E.year("occurred_at")
-    per = o.groupBy("account_id").agg(  # the set of years is bounded by the time span
-        F.min(y).alias("first_order_year"), F.max(y).alias("last_order_year"),
-        F.count_distinct("id").alias("total_orders"),
-        F.size(F.collect_set(y)).cast("long").alias("order_years_count"),
-        E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amt_usd"))
+    if s.order_states is not None and s.unique_orders:
+        rows, orders = s.order_states, F.sum("n")
+        amounts, cents = F.sum("n_amt"), E.merge_cents("cents")
+    else:
+        rows = early_scope(s, s.orders).drop(ORDER_YEAR).withColumn(ORDER_YEAR, E.year("occurred_at"))
+        # ids that need no comparing stay in their tasks: only counts are shuffled
+        orders = F.count("id") if s.unique_orders else F.count_distinct("id")
+        amounts, cents = F.count("total_amt_usd"), E.money_sum("total_amt_usd")
+    per = rows.groupBy("account_id").agg(  # the set of years is bounded by the time span
+        F.min(ORDER_YEAR).alias("first_order_year"), F.max(ORDER_YEAR).alias("last_order_year"),
+        orders.alias("total_orders"), F.size(F.collect_set(ORDER_YEAR)).cast("long").alias("order_years_count"),
+        E.mean(cents, amounts).alias("avg_order_amt_usd"))
     growth = E.label_by_cuts([(
         (F.col("order_years_count") > 1)
         & (F.col("total_orders") / F.col("order_years_count") > per_year), HIGH_GROWTH)],
@@ -160,8 +154,7 @@ def top_mean_accounts(star: Star, region: str | None = None) -> DataFrame:
     many, stay spread over the tasks. The mean is computed from an exact cents sum, so the
     two uses of it agree bit for bit."""
     s = scope_region(star, region)
-    per = per_account(s, s.orders, [], [
-        E.mean(E.money_sum("total_amt_usd"), F.count("total_amt_usd")).alias("avg_order_amount")])
+    per = account_totals(s, restrict=True).select("account_id", E.mean("cents", "n_amt").alias("avg_order_amount"))
     best = per.agg(F.max("avg_order_amount").alias("avg_order_amount"))  # one row
     top = per.join(F.broadcast(best), "avg_order_amount")
     # The maximum includes orders without an account, as the reference's does. A plain

@@ -12,12 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.plans.scope import account_dim, account_ids, rollup, scope_region, small
+from meridian.plans.scope import account_dim, account_ids, scope_region, small
+from meridian.plans.states import event_totals
 from meridian.sources.star import Star
 
-def _events(star: Star) -> DataFrame:
-    return star.web_events.select("id", "account_id", "channel", F.lit(1).alias("one"))
-
 
 def rep_channel_counts(star: Star, region: str | None = None) -> DataFrame:
     """Events per (rep name, channel), for events whose account has a rep; most first."""
@@ -25,7 +23,7 @@ def rep_channel_counts(star: Star, region: str | None = None) -> DataFrame:
     acc = s.accounts.select(F.col("id").alias("account_id"), F.col("sales_rep_id").alias("rep_id"))
     reps = s.sales_reps.select(F.col("id").alias("rep_id"), F.col("name").alias("sales_rep_name"))
     dim = acc.join(small(s, "sales_reps", reps), "rep_id").drop("rep_id")
-    out = rollup(s, _events(s), dim, ["sales_rep_name", "channel"],
+    out = event_totals(s, dim, ["sales_rep_name", "channel"],
                  {"number_of_occurrences": ("count", "one")})
     return out.orderBy(F.col("number_of_occurrences").desc(), "sales_rep_name", "channel")
 
@@ -34,17 +32,32 @@ def rep_channel_matrix(star: Star, region: str | None = None,
                        channels: Sequence[str] | None = None, other: str = "other") -> DataFrame:
     """Rep name x channel event counts as a wide table, absent pairs 0.
 
-    Without ``channels`` every channel found is a column (events without one under ``null``); its
-    names are read from the counts, one row per rep and channel. With a list the
-    columns are fixed and all other events are counted under ``other``, so that a row always
-    sums to the rep's events."""
+    Without ``channels`` every channel found is a column, whatever its name: the distinct names are read
+    first, in a job of its own whose result is one row a channel. Events without a channel come under ``null``;
+    a name that is taken already (names differing in case only are one to Spark, ``sales_rep_name`` is the
+    first column) gets ``_2``, ``_3`` and so on behind it. With a list the columns are fixed and all
+    other events are counted under ``other``, so that a row always sums to the rep's events."""
     counts = rep_channel_counts(star, region)
     if channels is not None:
         listed = F.col("channel").isin(*channels) if channels else F.lit(False)
         counts = counts.withColumn("channel", F.when(listed, F.col("channel")).otherwise(F.lit(other)))
-        channels = [*channels, *([] if other in channels else [other])]
-    wide = counts.groupBy("sales_rep_name").pivot("channel", channels).agg(F.sum("number_of_occurrences"))
-    return wide.na.fill(0, subset=[c for c in wide.columns if c != "sales_rep_name"]).orderBy("sales_rep_name")
+        found = [*channels, *([] if other in channels else [other])]
+    else:
+        found = [r[0] for r in counts.select("channel").distinct().collect()]  # one row a channel
+        found = sorted(found, key=lambda c: (c is None, c))
+    taken, columns = {"sales_rep_name"}, []
+    for c in found:
+        base = name = "null" if c is None else c
+        k = 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{base}_{k}"
+        taken.add(name.lower())
+        one = F.when(F.col("channel").eqNullSafe(F.lit(c)), F.col("number_of_occurrences"))
+        columns.append(F.coalesce(F.sum(one), F.lit(0)).alias(name))
+    # without any event there is no channel and no row
+    wide = counts.groupBy("sales_rep_name")
+    return (wide.agg(*columns) if columns else wide.agg(F.lit(0)).select("sales_rep_name")).orderBy("sales_rep_name")
 
 
 def channel_effectiveness(star: Star, region: str | None = None) -> DataFrame:
@@ -54,7 +67,7 @@ def channel_effectiveness(star: Star, region: str | None = None) -> DataFrame:
     events of the region's accounts count."""
     s = scope_region(star, region)
     how = "left" if s.scope is None else "inner"
-    out = rollup(s, _events(s), account_ids(s), ["channel"],
+    out = event_totals(s, account_ids(s), ["channel"],
                  {"total_events": ("count", "id")}, how=how,
                  accounts_as="total_customers", fact_accounts_as="unique_accounts")
     return (out.select("channel", "total_events", "unique_accounts", "total_customers")
@@ -67,7 +80,7 @@ def region_channel(star: Star, region: str | None = None) -> DataFrame:
     s = scope_region(star, region)
     how = "left" if s.scope is None else "inner"
     dim = account_dim(s, how).select("account_id", "region_name")
-    out = rollup(s, _events(s), dim, ["region_name", "channel"],
+    out = event_totals(s, dim, ["region_name", "channel"],
                  {"total_events": ("count", "id")}, how=how,
                  accounts_as="unique_accounts_impacted")
     return out.orderBy(F.col("region_name").asc_nulls_last(), F.col("total_events").desc(),

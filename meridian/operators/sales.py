@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from meridian.functions import exprs as E
 from meridian.plans.scope import (account_dim, account_ids, accounts_fit, aggregate,
                                   early_scope, rollup, scope_region, small)
-from meridian.sources.star import PRODUCTS, Star
+from meridian.plans.skew import split_join
+from meridian.plans.states import (MONTH, REGION, REP, YEAR, YEAR_MONTH, account_totals, period_totals,
+                                   territory_totals)
+from meridian.sources.star import ORDER_YEAR, PRODUCTS, Star
 
 
 def _amounts(orders: DataFrame) -> DataFrame:
@@ -24,6 +27,8 @@ def _amounts(orders: DataFrame) -> DataFrame:
 def _region_totals(s: Star) -> DataFrame:
     """(region_name, total cents, number of amounts) over orders whose account has a rep in a
     region."""
+    if s.order_states is not None:
+        return territory_totals(s).filter(F.col("level") == REGION).select("region_name", F.col("cents").alias("total"), "n_amt")
     dim = account_dim(s, "inner").select("account_id", "region_name")
     return rollup(s, _amounts(s.orders), dim, ["region_name"],
                   {"total": ("sum", "amt"), "n_amt": ("count", "amt")})
@@ -56,11 +61,21 @@ def mean_order_by_region(star: Star, region: str | None = None,
 
 
 def _by_period(star: Star, region: str | None, keys: dict, measures: dict,
-               where=None) -> DataFrame:
+               where=None, years: Iterable[int] | None = None) -> DataFrame:
     """Orders aggregated per calendar period ``keys`` (name -> expression). Unscoped it counts
     every order, also those without an account; scoped, it rolls up through the scope's
-    accounts (map-side when they are proven few, else pre-aggregated per account first)."""
+    accounts (map-side when they are proven few, else pre-aggregated per account first). ``years``
+    limits it to these. A star with states has the periods from one pass over them."""
     s = scope_region(star, region)
+    level = {("year", "month"): YEAR_MONTH, ("year",): YEAR, ("month",): MONTH}.get(tuple(keys))
+    if s.order_states is not None and level is not None and where is None:
+        per = period_totals(s).filter(F.col("level") == level)
+        if years is not None:
+            per = per.filter(F.col("year").isin(list(years)))
+        names = {"total": "cents", "n_amt": "n_amt", "n": "n", "mx": "max_cents"}
+        return per.select(*keys, *[F.col(names[m]).alias(m) for m in measures])
+    if years is not None:
+        where = lambda o: E.in_years(o, "occurred_at", years)
     o = s.orders if where is None else s.orders.filter(where(s.orders))
     o = _amounts(o).select("*", *[c.alias(k) for k, c in keys.items()])
     if s.scope is None:
@@ -96,8 +111,7 @@ def sales_by_month(star: Star, region: str | None = None,
     measures = {"total": ("sum", "amt"), "n_amt": ("count", "amt"), "n": ("count", "id"),
                 "mx": ("max", "amt")}
     per = _by_period(star, region, {"year": E.year("occurred_at"),
-                                    "month": E.month("occurred_at")}, measures,
-                     where=lambda o: E.in_years(o, "occurred_at", years))
+                                    "month": E.month("occurred_at")}, measures, years=list(years))
     cols = ["year", "month", E.usd("total").alias("total_usd")]
     if detail:
         cols += [E.mean("total", "n_amt").alias("avg_order_amt"), F.col("n").alias("total_orders"),
@@ -152,9 +166,13 @@ def rep_contribution(star: Star, region: str | None = None) -> DataFrame:
     """Per (region, rep name): orders, USD, the region's USD and the rep's share in percent
     (2 dp, exact). Shares of a region are the same whether or not the region is scoped."""
     s = scope_region(star, region)
-    dim = account_dim(s, "inner").select("account_id", "region_name", "rep_name")
-    per_rep = rollup(s, _amounts(s.orders), dim, ["region_name", "rep_name"],
-                     {"num_orders": ("count", "id"), "total": ("sum", "amt")})
+    if s.order_states is not None:
+        per_rep = territory_totals(s).filter(F.col("level") == REP).select(
+            "region_name", "rep_name", F.col("n").alias("num_orders"), F.col("cents").alias("total"))
+    else:
+        dim = account_dim(s, "inner").select("account_id", "region_name", "rep_name")
+        per_rep = rollup(s, _amounts(s.orders), dim, ["region_name", "rep_name"],
+                         {"num_orders": ("count", "id"), "total": ("sum", "amt")})
     region_total = E.merge_cents("total").over(Window.partitionBy("region_name"))
     return (per_rep.withColumn("region_total", region_total)
             .select("region_name", F.col("rep_name").alias("sales_representative"),
@@ -179,10 +197,8 @@ def quarterly_change(star: Star, region: str | None = None) -> DataFrame:
     """Per account and (year, quarter): change of each product quantity against the account's
     previous quarter *with orders* (gaps are not filled); 0 for its first quarter."""
     s = scope_region(star, region)
-    o = early_scope(s, s.detailed_orders)  # the join with the scope's names restricts the rest
-    q = o.groupBy("account_id", E.year("occurred_at").alias("order_year"),
-                  E.quarter("occurred_at").alias("order_quarter")).agg(
-        *[F.sum(f"{p}_qty").cast("long").alias(p) for p in PRODUCTS])
+    q = account_totals(s, ORDER_YEAR, "order_quarter", products=True)  # the join with the scope's names restricts it
+    q = q.select("account_id", ORDER_YEAR, "order_quarter", *[F.col(f"{p}_qty").alias(p) for p in PRODUCTS])
     # an order without a time forms a NULL period, placed first
     w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first(),
                                                  F.col("order_quarter").asc_nulls_first())
@@ -201,9 +217,7 @@ def yearly_change(star: Star, region: str | None = None) -> DataFrame:
     """Per account and year: order USD and its change against the account's previous year
     *with orders*; 0 for its first year."""
     s = scope_region(star, region)
-    o = _amounts(early_scope(s, s.orders))  # the join with the scope's names restricts the rest
-    y = o.groupBy("account_id", E.year("occurred_at").alias("order_year")).agg(
-        E.sum_cents("amt").alias("total"))
+    y = account_totals(s, ORDER_YEAR).select("account_id", ORDER_YEAR, F.col("cents").alias("total"))
     w = Window.partitionBy("account_id").orderBy(F.col("order_year").asc_nulls_first())
     prev = F.lag("total").over(w)
     y = y.select("account_id", "order_year", E.usd("total").alias("total_order_amount"),
@@ -241,7 +255,8 @@ def unit_prices(star: Star, region: str | None = None, min_standard: float = 100
                  .alias("unit_price"))
     dim = account_dim(s, "inner").select("account_id", "account_name",
                                          F.col("region_name").alias("region"))
-    j = o.join(F.broadcast(dim) if accounts_fit(s) else dim, "account_id")
+    # an order is a row of the result, so a hot account's orders meet the accounts in many tasks
+    j = o.join(F.broadcast(dim), "account_id") if accounts_fit(s) else split_join(o, dim, "account_id", ["id"])
     cols = (["region"] if with_region else []) + ["account_name", "unit_price"]
     if min_poster is None:
         return j.select(*cols)
@@ -253,13 +268,17 @@ def mean_product_amounts(star: Star, region: str | None = None) -> DataFrame:
     """Mean standard / gloss / poster USD per account *name* (namesakes merge; accounts
     without orders are absent)."""
     s = scope_region(star, region)
-    o = _scoped_details(s).select("account_id", *[E.cents(f"{p}_amt_usd").alias(p)
-                                                 for p in PRODUCTS])
+    if s.order_states is not None:
+        o = account_totals(s, products=True).select("account_id", *[F.col(f"{p}_{k}") for p in PRODUCTS for k in ("cents", "n")])
+        fields = {p: (f"{p}_cents", f"{p}_n") for p in PRODUCTS}
+    else:
+        o = _scoped_details(s).select("account_id", *[E.cents(f"{p}_amt_usd").alias(p) for p in PRODUCTS])
+        fields = {p: (p, p) for p in PRODUCTS}
     dim = s.accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name"))
     measures = {}
     for p in PRODUCTS:
-        measures[f"{p}_sum"] = ("sum", p)
-        measures[f"{p}_n"] = ("count", p)
-    per_name = rollup(s, o, dim, ["account_name"], measures)
+        measures[f"{p}_sum"] = ("sum", fields[p][0])
+        measures[f"{p}_n"] = ("count", fields[p][1])
+    per_name = rollup(s, o, dim, ["account_name"], measures, states=s.order_states is not None)
     return per_name.select("account_name", *[E.mean(f"{p}_sum", f"{p}_n")
                                              .alias(f"avg_{p}_amt_usd") for p in PRODUCTS])

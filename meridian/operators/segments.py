@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import exprs as E
-from meridian.plans.scope import account_dim, early_scope, per_account, scope_region
+from meridian.plans.scope import account_dim, scope_region
+from meridian.plans.states import account_totals
 from meridian.sources.star import Star
 
 # Segment labels.
@@ -24,9 +25,8 @@ ACTIVITY = ("High Activity", "Medium Activity", "Low Activity")
 def _accounts_with_orders(s: Star, dim: DataFrame, **extra: Column) -> DataFrame:
     """Every account of ``dim`` LEFT JOIN its per-account order aggregate (the left join
     restricts to the scope; orders are filtered earlier only where that is map-side)."""
-    per = early_scope(s, s.orders).groupBy("account_id").agg(
-        F.count("id").alias("n"), E.money_sum("total_amt_usd").alias("spent"),
-        F.count("total_amt_usd").alias("n_amt"), *[v.alias(k) for k, v in extra.items()])
+    per = account_totals(s).select("account_id", "n", F.col("cents").alias("spent"), "n_amt",
+                                   *[v.alias(k) for k, v in extra.items()])
     return dim.join(per, "account_id", "left").withColumn(
         "total_orders", F.coalesce("n", F.lit(0).cast("long")))
 
@@ -96,8 +96,7 @@ def cohort_retention(star: Star, region: str | None = None) -> DataFrame:
     An account is retained iff the year of its last order is after that of its first, so one
     min/max aggregate per account replaces the join of first orders back to all orders."""
     s = scope_region(star, region)
-    per = per_account(s, s.orders, [], [F.min("occurred_at").alias("lo"),
-                                        F.max("occurred_at").alias("hi")])
+    per = account_totals(s, restrict=True).select("account_id", F.col("first_at").alias("lo"), F.col("last_at").alias("hi"))
     out = per.groupBy(E.year("lo").alias("first_order_year")).agg(
         F.count("account_id").alias("total_customers"),
         F.count(F.when(E.year("hi") > E.year("lo"), F.col("account_id")))
@@ -109,9 +108,7 @@ def cohort_retention(star: Star, region: str | None = None) -> DataFrame:
 
 
 def _stats(s: Star, ddof: int) -> DataFrame:
-    std = F.stddev_samp if ddof == 1 else F.stddev_pop
-    base = _accounts_with_orders(s, _plain_accounts(s),
-                                 std=std(F.col("total_amt_usd").cast("double")))
+    base = _accounts_with_orders(s, _plain_accounts(s), std=E.deviation("n_amt", "cents", "squares", ddof))
     return base.select("account_id", "total_orders", "spent", E.mean("spent", "n_amt").alias("avg_amt"), "std")
 
 
@@ -121,11 +118,10 @@ def _volume(cuts: tuple[int, int]) -> Column:
 
 
 def _segment_aggs() -> list[Column]:
-    # Means of the accounts' unrounded means and deviations; rounded to 4 dp at the end, which
-    # hides the order in which doubles were added.
+    # Means of the accounts' means and deviations, added exactly; rounded to 4 dp at the end.
     return [F.count("account_id").alias("num_accounts"),
-            F.round(F.avg("avg_amt"), 4).alias("avg_order_size_usd"),
-            F.round(F.avg("std"), 4).alias("avg_order_std_dev_usd")]
+            E.exact_mean("avg_amt").alias("avg_order_size_usd"),
+            E.exact_mean("std").alias("avg_order_std_dev_usd")]
 
 
 def volume_segments(star: Star, region: str | None = None, cuts: tuple[int, int] = (50, 10),

@@ -116,7 +116,8 @@ def accounts_fit(star: Star) -> bool:
 
 def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
            measures: dict[str, tuple[str, str]], how: str = "inner",
-           accounts_as: str | None = None, fact_accounts_as: str | None = None) -> DataFrame:
+           accounts_as: str | None = None, fact_accounts_as: str | None = None,
+           states: bool = False) -> DataFrame:
     """Aggregate fact rows to the grain ``by`` through an account-keyed dimension.
 
     ``measures`` maps an output name to ``(kind, fact column)``; kinds are re-aggregable:
@@ -130,6 +131,8 @@ def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
     * otherwise: pre-aggregate the facts per account (partial + final hash aggregate, so a hot
       account collapses map-side), and join the per-account rows to the dimension.
 
+    ``states`` says that ``facts`` hold partial aggregates already, under the fact columns' names.
+
     Accounts are counted as groups: one aggregate to (grain, account), one from there to the
     grain, so distinct counts need no row per distinct column.
     """
@@ -137,16 +140,16 @@ def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
     counted = accounts_as or fact_accounts_as
     if counted:
         dim = dim.withColumn("_matched", F.lit(1))
-    few = accounts_fit(star)
+    few, first = accounts_fit(star), _MERGE if states else _FIRST
     if few:
         rows = facts.join(F.broadcast(dim), "account_id", how)
     else:
-        rows = facts.groupBy("account_id", *fact_keys).agg(*_aggs(_FIRST, measures))
+        rows = facts.groupBy("account_id", *fact_keys).agg(*_aggs(first, measures))
         rows = rows.join(dim, "account_id", how)
     if not counted:
-        return rows.groupBy(*by).agg(*_aggs(_FIRST if few else _MERGE, measures, merged=not few))
+        return rows.groupBy(*by).agg(*_aggs(first if few else _MERGE, measures, merged=not few))
     per = rows.groupBy(*by, "account_id").agg(
-        *_aggs(_FIRST if few else _MERGE, measures, merged=not few), F.max("_matched").alias("_matched"))
+        *_aggs(first if few else _MERGE, measures, merged=not few), F.max("_matched").alias("_matched"))
     accounts = [(accounts_as, F.when(F.col("_matched").isNotNull(), F.col("account_id"))),
                 (fact_accounts_as, F.col("account_id"))]
     return per.groupBy(*by).agg(*_aggs(_MERGE, measures, merged=True),

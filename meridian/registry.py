@@ -16,8 +16,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meridian import operators as op
+from meridian.functions import exprs as E
+from meridian.plans import states
+from meridian.plans.scope import scope_region
+from meridian.plans.scratch import new_path
 from meridian.sources.star import Star
 
 REGION = "ASIA"
@@ -153,10 +158,10 @@ both("rep_channel_matrix", lambda s, r: op.rep_channel_matrix(s, r, CHANNELS[1:]
      "SELECT rep AS sales_rep_name, " + ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in CHANNELS[1:])
      + f", count(*) FILTER (WHERE ifnull(channel, '') NOT IN ({_LISTED})) AS other FROM people JOIN clicks USING (acct)"
      + _only(sc, "rep_id IS NOT NULL") + " GROUP BY ALL")
-# the testdata's channels; the columns follow the data
+# the columns follow the data
 register("rep_channel_matrix_all", op.rep_channel_matrix,
-         _q("SELECT rep AS sales_rep_name, " + ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in CHANNELS)
-            + " FROM people JOIN clicks USING (acct) WHERE rep_id IS NOT NULL GROUP BY ALL"))
+         PRELUDE + ", met AS (SELECT rep AS sales_rep_name, ifnull(channel, 'null') AS channel FROM people JOIN clicks USING (acct) "
+         "WHERE rep_id IS NOT NULL) SELECT * FROM (PIVOT met ON channel USING count(*) GROUP BY sales_rep_name)")
 
 _YEARLY = f"SELECT yr AS year, {usd('sum(amt)')} AS total_usd FROM buys"
 both("sales_by_year", lambda s, r: op.sales_by_year(s, r), lambda sc: _YEARLY + _only(sc, inside=SCOPE) + " GROUP BY ALL")
@@ -320,6 +325,90 @@ both("activity_segments", lambda s, r: op.activity_segments(s, r, cuts=ACTIVITY_
      + f" AS activity_segment, {mean('spent')} AS avg_sales {_OWNERS}{_only(sc)} GROUP BY ALL")
 
 
+# ---- every row: all ranks, all gaps, distinct counts at every grain ----------------------------
+
+both("account_ranks", lambda s, r: op.account_ranks(s, r), lambda sc:
+     f"SELECT acct AS account_id, who AS account_name, ifnull(n, 0) AS total_orders, {usd('spent')} AS total_spend, "
+     "dense_rank() OVER (ORDER BY ifnull(n, 0) DESC) AS order_rank, "
+     f"dense_rank() OVER (ORDER BY spent DESC NULLS LAST) AS spend_rank {_OWNERS}{_only(sc)}")
+
+def _as_text(df: DataFrame, *times: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
+
+
+def _text(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+both("order_intervals", lambda s, r: _as_text(op.order_intervals(s, r), "occurred_at", "previous_at"), lambda sc:
+     f"SELECT acct AS account_id, ord AS order_id, {_text('ts')} AS occurred_at, {_text('lag(ts) OVER w')} AS previous_at, "
+     "date_diff('day', lag(ts) OVER w, ts) AS days FROM buys"
+     + _only(sc, "ts IS NOT NULL", "acct IN (SELECT acct FROM people)", inside=SCOPE)
+     + " WINDOW w AS (PARTITION BY acct ORDER BY ts, ord)")
+both("channel_reach", lambda s, r: op.channel_reach(s, r), lambda sc:
+     "SELECT grouping(reg, channel) AS level, reg AS region_name, channel, count(DISTINCT acct) AS accounts "
+     "FROM people JOIN clicks USING (acct)" + _only(sc, "reg_id IS NOT NULL")
+     + " GROUP BY GROUPING SETS ((reg, channel), (reg), (channel), ())")
+both("active_accounts", lambda s, r: op.active_accounts(s, r), lambda sc:
+     "SELECT grouping(yr, mon) AS level, yr AS year, mon AS month, count(DISTINCT acct) AS accounts FROM buys"
+     + _only(sc, "acct IS NOT NULL", inside=SCOPE) + " GROUP BY GROUPING SETS ((yr, mon), (yr), ())")
+
+# ---- states by account and month, and what is rolled up from them -------------------------------
+
+_STATE_SUMS = ", ".join(
+    [f"CAST(sum({p}_qty) AS BIGINT) AS {p}_qty, {usd(f'sum({p}_amt)')} AS {p}_usd" for p in _SPLIT])
+
+
+def _monthly(star: Star) -> DataFrame:
+    made = states.order_states(star)
+    return _as_text(made, "first_at", "last_at").select(
+        "account_id", "order_year", "order_month", "n", "n_amt", E.usd("cents").alias("total_usd"), E.usd("max_cents").alias("max_usd"),
+        F.round(E.deviation("n_amt", "cents", "squares"), 4).alias("std_dev_usd"), "first_at", "last_at",
+        *[c for p in _SPLIT for c in (F.col(f"{p}_qty"), E.usd(f"{p}_cents").alias(f"{p}_usd"))])
+
+
+def _served(star: Star) -> Star:
+    return states.with_states(star, states.order_states(star), states.event_states(star))
+
+
+def _maintained(star: Star) -> Star:
+    """The star served from a stored roll-up that was made without the last year and then refreshed with it."""
+    spark = star.orders.sparkSession
+    path = new_path(spark, "roll-up")
+    last = star.orders.agg(F.max(F.year("occurred_at"))).first()[0]
+    states.write_states(star.with_orders(lambda o: o.filter((F.col("occurred_at") < F.lit(f"{last}-01-01").cast("timestamp_ntz"))
+                                                            | F.col("occurred_at").isNull())) if last else star, path)
+    for year in [last] if last else []:
+        states.refresh_states(star, path, [year])
+    return states.with_states(star, states.read_states(spark, path))
+
+
+register("monthly_states", _monthly, _q(
+    f"SELECT acct AS account_id, yr AS order_year, mon AS order_month, count(ord) AS n, count(amt) AS n_amt, {usd('sum(amt)')} AS total_usd, "
+    f"{usd('max(amt)')} AS max_usd, round(stddev_samp(amt::DOUBLE), 4) AS std_dev_usd, {_text('min(ts)')} AS first_at, {_text('max(ts)')} AS last_at, {_STATE_SUMS} "
+    "FROM basket GROUP BY acct, yr, mon"))
+
+
+def _level_totals(star: Star, region: str | None) -> DataFrame:
+    s = scope_region(_served(star), region)
+    by_period = states.period_totals(s).select(
+        F.lit("period").alias("kind"), "level", F.lit(None).cast("string").alias("region_name"), F.lit(None).cast("string").alias("rep_name"),
+        "year", "month", "n", "cents")
+    none = F.lit(None).cast("long")
+    by_territory = states.territory_totals(s).select(F.lit("territory").alias("kind"), "level", "region_name", "rep_name",
+                                                     none.alias("year"), none.alias("month"), "n", "cents")
+    return by_period.unionAll(by_territory).select("kind", F.col("level").cast("long").alias("level"), "region_name", "rep_name", "year", "month",
+                                                   F.col("n").alias("orders"), E.usd("cents").alias("total_usd"))
+
+
+both("rolled_up_totals", _level_totals, lambda sc:
+     f"SELECT 'period' AS kind, grouping(yr, mon) AS level, NULL::VARCHAR AS region_name, NULL::VARCHAR AS rep_name, yr AS year, mon AS month, "
+     f"count(ord) AS orders, {usd('sum(amt)')} AS total_usd FROM buys" + _only(sc, inside=SCOPE) + " GROUP BY GROUPING SETS ((yr, mon), (yr), (mon)) "
+     f"UNION ALL SELECT 'territory', grouping(reg, rep), reg, rep, NULL, NULL, count(ord), {usd('sum(amt)')} {_SOLD}"
+     + _only(sc, "reg_id IS NOT NULL") + " GROUP BY GROUPING SETS ((reg, rep), (reg))")
+register("maintained_sales_by_year", lambda s: op.sales_by_year(_maintained(s)), ENTRIES["sales_by_year"][1])
+register("maintained_lifetime_value", lambda s: op.lifetime_value(_maintained(s)), ENTRIES["lifetime_value"][1])
+
 # ---- driver-facing views --------------------------------------------------------------------
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

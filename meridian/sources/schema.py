@@ -1,6 +1,6 @@
 """Fixed schemas of the five star tables. Readers never infer types."""
 
-from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (DecimalType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType, TimestampNTZType)
 
 MONEY = DecimalType(18, 2)
@@ -32,3 +32,16 @@ TABLES = {
     "orders": ORDERS,
     "web_events": WEB_EVENTS,
 }
+
+# The columns that the testdata adapter reads of the driver's tables.
+TESTDATA = {
+    "region": _s(("r_regionkey", IntegerType()), ("r_name", StringType())),
+    "nation": _s(("n_nationkey", IntegerType()), ("n_name", StringType()), ("n_regionkey", IntegerType())),
+    "customer": _s(("c_custkey", LongType()), ("c_name", StringType()), ("c_nationkey", IntegerType()),
+                   ("c_mktsegment", StringType())),
+    "orders": _s(("o_orderkey", LongType()), ("o_custkey", LongType()), ("o_totalprice", DoubleType()),
+                 ("o_orderdate", TimestampNTZType())),
+    "lineitem": _s(("l_orderkey", LongType()), ("l_quantity", DoubleType()), ("l_extendedprice", DoubleType()),
+                   ("l_returnflag", StringType())),
+    "events": _s(("event_id", LongType()), ("user_id", LongType()), ("event_type", StringType())),
+}

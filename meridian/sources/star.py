@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -22,7 +22,7 @@ DIMS = ("region", "sales_reps", "accounts")
 ORDER_YEAR = "order_year"
 
 
-# Rows of the dimension tables by application and place.
+# Rows of the dimension tables by application, place and state of their files.
 _COUNTS: dict[tuple, dict[str, int]] = {}
 
 
@@ -31,17 +31,48 @@ def forget_sizes() -> None:
     _COUNTS.clear()
 
 
-# Column of a CSV row's time as text.
+def _files(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
+    """(bytes, files, time of change) under each path: what tells a table that has changed under its path."""
+    conf, kind = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for p in paths:
+        at = kind(p)
+        fs = at.getFileSystem(conf)
+        held = fs.getContentSummary(at)
+        found.append((held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime()))
+    return tuple(found)
+
+
+# Column of a CSV row's time as text, and of a row that doesn't fit the schema as a whole.
 CSV_TIME = "_occurred_at_text"
+CSV_ROW = "_row_text"
 
 
-def _read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A CSV table with its fixed schema; ``orders`` with its time read from text, which may have a ``T`` and a
-    zone (the wall-clock time counts), and the text itself beside it."""
+def _csv_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """All rows of a CSV table; one that doesn't fit the schema has its text in CSV_ROW, others have NULL there."""
     schema = S.TABLES[name]
     if name == "orders":
         schema = StructType([StructField(f.name, StringType()) if f.name == "occurred_at" else f for f in schema])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(f"{path}/{name}.csv")
+    schema = StructType([*schema.fields, StructField(CSV_ROW, StringType())])
+    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+    return reader.option("columnNameOfCorruptRecord", CSV_ROW).csv(f"{path}/{name}.csv")
+
+
+def _length(rows: DataFrame) -> Column:
+    return F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c != CSV_ROW]))
+
+
+def _read_csv(spark: SparkSession, path: str, name: str, bad_rows: str = "leave") -> DataFrame:
+    """A CSV table with its fixed schema; ``orders`` with its time read from text, which may have a ``T`` and a
+    zone (the wall-clock time counts), and the text itself beside it. Rows that don't fit the schema (a
+    letter in a number, too few or too many fields) are left out, or end the read with ``bad_rows="fail"``."""
+    rows = _csv_rows(spark, path, name)
+    # only columns that are asked for are checked, so the test asks for all (no length is negative): whatever is
+    # read afterwards, the same rows count
+    fits = F.when(F.col(CSV_ROW).isNull(), True).otherwise(_length(rows) < 0)
+    if bad_rows == "fail":
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit(f"a row of {name} does not fit its schema: "), CSV_ROW)).cast("boolean"))
+    rows = rows.filter(fits).drop(CSV_ROW)
     if name != "orders":
         return rows
     wall = F.regexp_replace(F.trim("occurred_at"), r"\s*(?:Z|[+-]\d{2}:?\d{2})$", "")
@@ -73,8 +104,13 @@ class Star:
     #: Orders (a subset of ``orders``) to the same with their product split, where that is derived.
     detail_of: Callable[[DataFrame], DataFrame] | None = None
     broadcast_rows: int = 250_000
-    #: Where the tables are read from; the size check is made once for a place and application.
+    #: Paths of the tables region, sales_reps and accounts; their size check is made once for a state of the files.
     place: tuple | None = None
+    #: Whether the id is known to tell the orders apart, as that of a primary key; counts of distinct orders then need no shuffle of ids.
+    unique_orders: bool = False
+    #: States that stand for the orders and events (see meridian.plans.states).
+    order_states: DataFrame | None = None
+    event_states: DataFrame | None = None
     _fits: dict = field(default_factory=dict, repr=False)
     _memo: dict = field(default_factory=dict, repr=False)  # frames derived once per star
 
@@ -102,10 +138,11 @@ class Star:
         Every frame the analyses broadcast is a subset of one of these tables, or one of them
         joined to a parent on its primary key, so this bound is the bound of what is sent.
         The three are counted together in one job; the count projects no column, so on
-        Parquet it is answered from row-group metadata. Tables read from a path are counted once
-        for an application; :func:`forget_sizes` makes it count again after they have grown."""
+        Parquet it is answered from row-group metadata. Tables read from paths are counted once for an application and state of
+        their files, so a table that has grown is counted again by the next star."""
         if table not in self._fits:
-            key = self.place and (self.region.sparkSession.sparkContext.applicationId, *self.place)
+            spark = self.region.sparkSession
+            key = self.place and (spark.sparkContext.applicationId, self.place, _files(spark, self.place))
             if key in _COUNTS:
                 self._fits.update({t: _COUNTS[key][t] <= self.broadcast_rows for t in DIMS})
                 return self._fits[table]
@@ -133,11 +170,13 @@ class Star:
         from meridian.functions.exprs import in_years
 
         years = sorted(set(years))
-        narrow = lambda df: df.filter(in_years(df, "occurred_at", years))
-        split = self.detail_of
+        out = self.with_orders(lambda df: df.filter(in_years(df, "occurred_at", years)))
+        return out if self.order_states is None else replace(out, order_states=self.order_states.filter(F.col(ORDER_YEAR).isin(years)))
+
+    def with_orders(self, narrow: Callable[[DataFrame], DataFrame]) -> "Star":
+        """Same star with some of its orders, with and without the product split."""
         return self.narrowed(orders=narrow(self.orders),
-                             orders_detail=None if self.orders_detail is None else narrow(self.orders_detail),
-                             detail_of=split)
+                             orders_detail=None if self.orders_detail is None else narrow(self.orders_detail))
 
     def cache_dimensions(self) -> "Star":
         """Star whose dimension tables proven small are persisted (memory, spilling to disk),
@@ -176,19 +215,20 @@ class Star:
     # ---- readers -------------------------------------------------------------------------
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, path: str, fmt: str = "parquet", **kw) -> "Star":
+    def from_tables(cls, spark: SparkSession, path: str, fmt: str = "parquet", bad_rows: str = "leave", **kw) -> "Star":
         """Read ``region``, ``sales_reps``, ``accounts``, ``orders``, ``web_events`` under ``path``
         (one directory or file per table) with the fixed schemas. Orders written by
-        :meth:`write_tables` come back with their ``order_year`` partition column."""
+        :meth:`write_tables` come back with their ``order_year`` partition column. CSV rows that don't fit
+        the schema are left out and listed by :meth:`rejected_rows`; ``bad_rows="fail"`` ends the read at one."""
         def read(name: str) -> DataFrame:
             if fmt == "csv":
-                return _read_csv(spark, path, name).drop(CSV_TIME)
+                return _read_csv(spark, path, name, bad_rows).drop(CSV_TIME)
             reader = spark.read.schema(S.TABLES[name])
             return reader.format(fmt).load(f"{path}/{name}.{fmt}")
 
         orders = read("orders")
         return cls(read("region"), read("sales_reps"), read("accounts"), orders,
-                   read("web_events"), orders_detail=orders, **{"place": (fmt, path), **kw})
+                   read("web_events"), orders_detail=orders, **{"place": tuple(f"{path}/{t}.{fmt}" for t in DIMS), **kw})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str | None = None, **kw) -> "Star":
@@ -212,6 +252,17 @@ class Star:
         rows = _read_csv(spark, path, "orders")
         return rows.filter(F.col("occurred_at").isNull() & (F.trim(CSV_TIME) != "")).select("id", F.col(CSV_TIME).alias("text"))
 
+    @staticmethod
+    def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
+        """(table, text) of the rows of the CSV star under ``path`` that don't fit their table's schema."""
+        found = None
+        for name in S.TABLES:
+            rows = _csv_rows(spark, path, name)
+            rows = rows.filter(F.col(CSV_ROW).isNotNull() & (_length(rows) >= 0))  # all columns are checked
+            rows = rows.select(F.lit(name).alias("table"), F.col(CSV_ROW).alias("text"))
+            found = rows if found is None else found.unionAll(rows)
+        return found
+
     def register_views(self, prefix: str = "") -> None:
         """Temporary views ``{prefix}region`` ... ``{prefix}web_events`` (orders with their
         product split), so existing SQL over these names runs on Spark unchanged."""
@@ -239,7 +290,7 @@ class Star:
         get zeros, and ``total`` is the sum of the three quantities.
         """
         def read(name: str) -> DataFrame:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return spark.read.schema(S.TESTDATA[name]).parquet(f"{sf_dir}/{name}.parquet")  # no job for its footers
 
         region = read("region").select(F.col("r_regionkey").alias("id"),
                                        F.col("r_name").alias("name"))
@@ -282,5 +333,5 @@ class Star:
             return detail_of(some, lines.join(some.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi"))
 
         detail = detail_of(orders, lines)
-        kw = {"detail_of": narrowed, **kw}
-        return cls(region, reps, accounts, orders, events, orders_detail=detail, **{"place": ("testdata", sf_dir), **kw})
+        kw = {"detail_of": narrowed, "unique_orders": True, **kw}
+        return cls(region, reps, accounts, orders, events, orders_detail=detail, **{"place": tuple(f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "customer")), **kw})

@@ -109,3 +109,47 @@ def test_star_from_frames(spark):
     star = Star.from_frames(region, reps, accounts, orders, events)
     assert [tuple(r) for r in op.sales_by_region(star).collect()] == [("North", 2.5)]
     assert [tuple(r) for r in op.rep_channel_counts(star).collect()] == [("Ann", "direct", 1)]
+
+
+def test_csv_rows_that_do_not_fit_are_left_out_and_listed(spark, tmp_path):
+    bad = {"region.csv": '"x","Nowhere"', "sales_reps.csv": '"13","Half a r', "accounts.csv": '"1031","Short"',
+           "orders.csv": '"4","1001","2015-11-05 03:34:33","many","41","57","288","948.10","307.09","462.84","1718.03"',
+           "web_events.csv": '"9999999999999999999999","1001","direct"'}
+    for name, lines in FILES.items():
+        lines = [*lines[:2], *([bad[name]] if name != "sales_reps.csv" else []), *lines[2:], *([bad[name]] if name == "sales_reps.csv" else [])]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    star = Star.from_csv(spark, str(tmp_path))
+    for name, lines in FILES.items():
+        table = getattr(star, name[:-4])
+        # whatever is read of a row, the same rows count
+        assert table.count() == len(table.collect()) == len(table.select("id").collect()), name
+        if name != "sales_reps.csv":
+            assert table.count() == len(lines) - 1, name
+    got = {r["region_name"]: r["total_sales"] for r in op.sales_by_region(star).collect()}
+    assert got == {"Northeast": 2691.46, "Midwest": 776.18}
+    listed = {r["table"]: r["text"] for r in Star.rejected_rows(spark, str(tmp_path)).collect()}
+    for name in ("region", "accounts", "orders", "web_events"):
+        assert listed[name] == bad[f"{name}.csv"]
+    assert Star.rejected_rows(spark, str(tmp_path)).count() == len(listed)
+    import pytest
+    with pytest.raises(Exception, match="does not fit its schema"):
+        Star.from_csv(spark, str(tmp_path), bad_rows="fail").orders.collect()
+
+
+def test_a_table_that_grows_is_counted_again(spark, tmp_path):
+    for name, lines in FILES.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "star")
+    Star.from_csv(spark, str(tmp_path)).write_tables(path)
+    assert Star.from_tables(spark, path, broadcast_rows=5).fits("accounts")
+    more = spark.range(2000, 2010).selectExpr("id", "'n' name", "'w' website", "'p' primary_poc", "10 sales_rep_id")
+    more.write.mode("append").parquet(f"{path}/accounts.parquet")
+    assert not Star.from_tables(spark, path, broadcast_rows=5).fits("accounts")
+
+
+def test_reading_the_testdata_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("reading", "reading the star")
+    Star.from_testdata(spark, "/root/testdata/sf0.001")
+    assert list(tracker.getJobIdsForGroup("reading")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
