@@ -89,17 +89,21 @@ def mean(sum_cents: str | Column, n: str | Column) -> Column:
     return F.try_divide(usd(sum_cents), col(n).cast("double"))
 
 
-def _half_up_units(num: str, den: str, dp: int, scale: int, in_scale: int) -> Column:
-    """round(scale * num / den, dp) * 10**dp as an exact integer, half away from zero;
+def half_up_units(num: str, den: str, dp: int, scale: int, in_scale: int) -> str:
+    """SQL text of round(scale * num / den, dp) * 10**dp as an exact integer, half away from zero;
     NULL when ``den`` is 0 or NULL. ``num`` and ``den`` are SQL expressions (a column name
     is one) of integers or decimals with at most ``in_scale`` fractional digits.
 
-    Built as one SQL expression: integral division (``div``) of non-negative decimals."""
+    One expression: integral division (``div``) of non-negative decimals."""
     lift = 10 ** in_scale
     n = f"CAST(({num}) * {lift} AS DECIMAL(38,0))"
     d = f"NULLIF(CAST(({den}) * {lift} AS DECIMAL(38,0)), 0)"
     k = f"((abs({n}) * {2 * scale * 10 ** dp} + abs({d})) div (abs({d}) * 2))"
-    return F.expr(f"CASE WHEN sign({n}) * sign({d}) < 0 THEN -{k} ELSE {k} END")
+    return f"CASE WHEN sign({n}) * sign({d}) < 0 THEN -{k} ELSE {k} END"
+
+
+def _half_up_units(num: str, den: str, dp: int, scale: int, in_scale: int) -> Column:
+    return F.expr(half_up_units(num, den, dp, scale, in_scale))
 
 
 def half_up_ratio(num: str, den: str, dp: int = 2, scale: int = 1, in_scale: int = 0) -> Column:
