@@ -73,26 +73,42 @@ def account_ids(star: Star) -> DataFrame:
     return star.accounts.select(F.col("id").alias("account_id"))
 
 
+#: Bits of the filter of a scope's accounts: 2 MB, whatever the number of accounts.
+SCOPE_BITS = 1 << 24
+
+
+def _places(bits: int) -> list:
+    """Two bits of the filter for an account id: (word, bit in the word)."""
+    hashes = [F.pmod(F.xxhash64("account_id", F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    return [(F.shiftright(h, 6).cast("int"), F.pmod(h, F.lit(64)).cast("int")) for h in hashes]
+
+
+def might_be_scoped(star: Star, facts: DataFrame, bits: int = SCOPE_BITS) -> DataFrame:
+    """Facts whose account may be one of the scope's: a Bloom filter of the scope's account ids, which is one value of
+    ``bits`` bits however many they are, is built once and tested in the scan's tasks. All facts of the scope
+    are kept, and the fewer others the fewer accounts it has for its bits (two million: one in twenty)."""
+    words = bits // 64
+    marks = F.inline(F.array(*[F.struct(w.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), b).alias("mask")) for w, b in _places(bits)]))
+    marked = account_ids(star).filter("account_id is not null").select(marks)
+    every = star.accounts.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
+    whole = marked.unionAll(every).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    filled = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")).scalar()
+    (w1, b1), (w2, b2) = _places(bits)
+    return facts.filter((F.getbit(F.get(filled, w1), b1) == 1) & (F.getbit(F.get(filled, w2), b2) == 1))
+
+
 def early_scope(star: Star, facts: DataFrame) -> DataFrame:
-    """Drop facts outside the scope before aggregating them, when that is a map-side filter
-    (the scope's accounts are proven small). Otherwise the facts are left whole: callers use
+    """Drop facts outside the scope before aggregating them: all, by a map-side semi-join, where the scope's
+    accounts are proven small, else most, by a filter of bounded size. Callers use
     this only where a later join with the scope's accounts restricts the per-account rows,
     so raw facts never meet the accounts in a shuffle join (where a hot account would skew)."""
-    if star.scope is None or not star.fits("accounts"):
+    if star.scope is None:
         return facts
+    if not star.fits("accounts"):
+        return might_be_scoped(star, facts)
     return facts.join(F.broadcast(account_ids(star)), "account_id", "left_semi")
 
 
-def per_account(star: Star, facts: DataFrame, keys: list, aggs: list) -> DataFrame:
-    """``facts`` aggregated per (account_id, *keys), restricted to the star's scope: filtered
-    map-side first when the scope's accounts are proven small, else aggregated first and the
-    per-account rows then semi-joined to the scope."""
-    if star.scope is None or star.fits("accounts"):
-        return early_scope(star, facts).groupBy("account_id", *keys).agg(*aggs)
-    return (facts.groupBy("account_id", *keys).agg(*aggs)
-            .join(account_ids(star), "account_id", "left_semi"))
-
-
 def aggregate(df: DataFrame, by: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
     """One-level aggregate of ``measures`` (same specification as :func:`rollup`)."""
     return df.groupBy(*by).agg(*_aggs(_FIRST, measures))
@@ -144,6 +160,8 @@ def rollup(star: Star, facts: DataFrame, dim: DataFrame, by: list[str],
     if few:
         rows = facts.join(F.broadcast(dim), "account_id", how)
     else:
+        # scoped, the join below is an inner one with the scope's accounts
+        facts = facts if states else early_scope(star, facts)
         rows = facts.groupBy("account_id", *fact_keys).agg(*_aggs(first, measures))
         rows = rows.join(dim, "account_id", how)
     if not counted:

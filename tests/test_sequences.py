@@ -137,6 +137,26 @@ def test_high_growth_shuffles_no_order_ids(spark, hot):
     assert rows(op.high_growth(replace(twice, unique_orders=False, _memo={}), per_year=1)) == rows(op.high_growth(star, per_year=1))
 
 
+def test_a_scope_too_big_to_broadcast_filters_the_facts(no_help, hot):
+    from meridian.plans import scope
+    star = Star.from_testdata(no_help, hot, broadcast_rows=0)
+    s = scope.scope_region(star, "ASIA")
+    ids = {r["id"] for r in s.accounts.collect()}
+    facts = star.orders.select("account_id", "id")
+    for bits in (1 << 20, 64):  # ample, and so few that most pass
+        kept = {r["id"] for r in scope.might_be_scoped(s, facts, bits).collect()}
+        inside = {r["id"] for r in facts.collect() if r["account_id"] in ids}
+        assert inside <= kept and (bits == 64 or kept == inside)
+    for name in ("lifetime_value", "sales_by_region", "sales_by_year", "rep_channel_counts", "churn", "cohort_retention"):
+        df = getattr(op, name)(star, "ASIA")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "getbit(" in plan, (name, plan)
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        # directly on the scan, so before any shuffle
+        assert re.search(r"\n([ :]*)\+- Filter [^\n]*getbit.*?\n\1   \+- Relation \[(o_orderkey|event_id)", tree, re.S), (name, tree)
+        assert rows(df) == rows(getattr(op, name)(Star.from_testdata(no_help, hot), "ASIA")), name
+
+
 def test_matrix_stands_any_channel_name(spark, hot):
     star = Star.from_testdata(spark, hot)
     odd = ["null", None, "X", "x", "a.b", "sales_rep_name", "`q`", "view"]
