@@ -23,11 +23,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Callable[..., list]]) -> DataFrame:
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` integers of which each is dealt to a partition of its own among ``n``: keys for batches of equal size,
+    which by their numbers alone would meet in some partitions and leave others empty."""
+    key = F.col("id").cast("int")
+    found = spark.range(60 * n).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("at")).agg(F.min(key).alias("key")).collect()
+    keys = {r["at"]: r["key"] for r in found}  # n rows
+    taken = iter(range(60 * n, 61 * n))
+    return [keys[i] if i in keys else next(taken) for i in range(n)]
+
+
+def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Callable[..., list]], together: bool = False) -> DataFrame:
     """``df`` with the columns of ``schema``, computed row by row from its columns ``inputs``.
 
     ``fn`` is called once a task and gives the function of one row's inputs; that one returns the new
-    columns' values. ``df``'s own columns pass through as Arrow data, but for those that a new one
+    columns' values. With ``together`` it gets the inputs of some rows, as lists, and returns as many rows' values. ``df``'s own columns pass through as Arrow data, but for those that a new one
     replaces because it has their name.
     """
     at = [df.columns.index(c) for c in inputs]
@@ -40,7 +50,8 @@ def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Cal
 
         row, kinds = fn(), to_arrow_schema(new)
         for batch in slices(batches):
-            made = [row(*v) for v in zip(*(batch.column(i).to_pylist() for i in at))]
+            given = [batch.column(i).to_pylist() for i in at]
+            made = row(*given) if together else [row(*v) for v in zip(*given)]
             cols = zip(*made) if made else [[] for _ in new]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in own), *(pa.array(list(c), f.type) for c, f in zip(cols, kinds))],

@@ -2,9 +2,11 @@
 
 A text is a TF-IDF vector over all terms of the labelled examples; a term that tells the labels apart weighs
 more (by the root of 1 + its G2), and none is left out. Its score comes from the ``K``
-labelled examples of highest cosine, found exactly: examples lie in blocks, an inverted index keeps
-each term's highest weight in each block, the sums of these bound every cosine in a block, the block of
-the highest bound gives a K-th best cosine, and of the others those are opened whose bound reaches it.
+labelled examples of highest cosine, found exactly: examples lie in blocks, and an inverted index keeps
+each term's highest weight in each block. The postings of common terms, which most examples have, are rows of a
+matrix; their part of a cosine is a product for many texts at once, and its K-th best a limit that the K-th best
+cosine can't be below. A block's best such part and the sum of its other terms' highest weights bound
+every cosine in it, and only blocks whose bound reaches the limit have their other postings read.
 Neighbours vote by distance; an isotonic fit of the examples' own leave-one-out votes makes the
 vote a probability. The nearest examples are returned as evidence.
 
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,13 +24,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import appended, sampled_labels, slices, stored
+from meridian.llm.common import appended, sampled_labels, shuffle_partitions, slices, stored
 
 MOST_EXAMPLES = 4096
 K, BLOCK, EVIDENCE = 15, 128, 3
+COMMON = 16   # a term that one example in so many has is common
+TEXTS = 128   # texts that are multiplied at once
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,6 +48,43 @@ def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lows - ends + n, n), n
 
 
+def _runs(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges low .. high - 1 on end, and which range each is of."""
+    n = highs - lows
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) + (lows - np.cumsum(n) + n)[which], which
+
+
+@dataclass
+class Examples:
+    """Labelled examples: the terms of example i, and how often it has them, at ends[i] .. ends[i + 1] - 1."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    ends: np.ndarray
+    terms: np.ndarray            # numbers of
+    names: list[str]
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> "Examples":
+        """Of a table (id, label, term: list of strings, n: list of integers)."""
+        term, n = (rows.column(c).combine_chunks() for c in ("term", "n"))
+        coded = term.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        return cls(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(float),
+                   np.concatenate([[0], np.cumsum(term.value_lengths().to_numpy())]).astype(np.int64),
+                   place[coded.indices.to_numpy()], [names[i] for i in order], n.flatten().to_numpy().astype(np.int32))
+
+    def ordered(self, order: np.ndarray) -> "Examples":
+        at, n = _ranges(self.ends[order], self.ends[order + 1])
+        return Examples(self.ids[order], self.labels[order], np.concatenate([[0], np.cumsum(n)]).astype(np.int64), self.terms[at], self.names,
+                        self.counts[at])
+
+
 @dataclass
 class Index:
     """Example vectors in blocks of BLOCK, as postings by term, with each term's maximum in each block that has it."""
@@ -52,7 +93,9 @@ class Index:
     labels: np.ndarray
     rates: np.ndarray            # training rows that an example stands for
     terms: dict[str, int]
-    scale: np.ndarray            # of each term: idf, more for terms that tell the labels apart
+    idf: np.ndarray              # of each term, and the examples of each label that have it:
+    with_1: np.ndarray
+    with_0: np.ndarray
     prior: float
     firsts: np.ndarray           # of each term and the end, into its blocks:
     blocks: np.ndarray
@@ -62,39 +105,79 @@ class Index:
     weights: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def vector(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of term counts: sorted terms, weights."""
+    def __post_init__(self):
+        self.have = (int((self.labels == 0).sum()), int((self.labels == 1).sum()))
+        self.scale = _scale(self.idf, self.with_1, self.with_0, self.have)
+
+    def vector(self, found: dict[str, int], label: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of term counts: sorted terms, weights. With the ``label`` of an example, its terms weigh
+        as if it had not been counted for them."""
         at = np.fromiter(map(self.terms.get, found, repeat(-1)), np.int64, len(found))
         counts = np.fromiter(found.values(), float, len(found))
-        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0):]
         at = at[order]
-        return at, _unit(self.scale[at], counts[order])
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The K examples of highest positive cosine (ties: smaller place), but for example ``skip``."""
-        entries, n = _ranges(self.firsts[at], self.firsts[at + 1])
-        if not len(entries):
-            return []
-        w, block = np.repeat(w, n), self.blocks[entries]
-        bounds = np.bincount(block, w * self.tops[entries])
-        cos = self._cosines(entries, w, block == bounds.argmax())
+        if label is None:
+            return at, _unit(self.scale[at], counts[order])
+        have = (self.have[0] - (label == 0), self.have[1] - (label == 1))
+        scale = _scale(self.idf[at], self.with_1[at] - (label == 1), self.with_0[at] - (label == 0), have)
+        return at, _unit(scale, counts[order])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot", "rows")}
+
+    def _common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of common terms' weights by example (-1: it has none), and the matrix."""
+        if "rows" not in self.__dict__:
+            n = len(self.labels)
+            ends = self.starts[self.firsts]
+            common = np.flatnonzero(np.diff(ends) * COMMON >= n) if n else np.empty(0, np.int64)
+            self.slot = np.full(len(self.terms), -1)
+            self.slot[common] = np.arange(len(common))
+            self.rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK))
+            for i, t in enumerate(common):
+                self.rows[i, self.where[ends[t]:ends[t + 1]]] = self.weights[ends[t]:ends[t + 1]]
+        return self.slot, self.rows
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each vector the K examples of highest positive cosine (ties: smaller place), but for its example in ``skip``."""
+        found, n = [], len(self.labels)
+        if not n:
+            return [[] for _ in vectors]
+        slot, rows = self._common()
+        for low in range(0, len(vectors), TEXTS):
+            some = vectors[low:low + TEXTS]
+            queries = np.zeros((len(some), len(rows)))
+            for q, (at, w) in zip(queries, some):
+                is_common = slot[at] >= 0
+                q[slot[at[is_common]]] = w[is_common]
+            parts = queries @ rows
+            for i, (at, w) in enumerate(some):
+                rare = slot[at] < 0
+                found.append(self._best(parts[i], at[rare], w[rare], -1 if skip is None else skip[low + i]))
+        return found
+
+    def _best(self, part: np.ndarray, at: np.ndarray, w: np.ndarray, skip: int) -> list[tuple[float, int]]:
+        """The K best of one text, given its common terms' part of the cosines and its other terms."""
         if skip >= 0:
-            cos[skip] = 0.0
-        least = max(0.0, np.partition(cos, -K)[-K] - 1e-9) if len(cos) > K else 0.0  # the K-th best can't be worse than here
-        cos = self._cosines(entries, w, ((bounds >= least) & (bounds > 0))[block])
+            part[skip] = 0.0
+        least = max(0.0, np.partition(part, -K)[-K] - 1e-9) if len(part) > K else 0.0  # the K-th best can't be worse
+        tops = part.reshape(-1, BLOCK).max(axis=1)
+        entries, term = _runs(self.firsts[at], self.firsts[at + 1])
+        each, block = w[term], self.blocks[entries]
+        opened = (tops + np.bincount(block, each * self.tops[entries], len(tops)) >= least)[block]
+        entries, each = entries[opened], each[opened]
+        postings, entry = _runs(self.starts[entries], self.starts[entries + 1])
+        cos = part + np.bincount(self.where[postings], each[entry] * self.weights[postings], len(part))
         if skip >= 0:
             cos[skip] = 0.0
         near = np.flatnonzero((cos >= least) & (cos > 0))
+        if len(near) > K:
+            least = np.partition(cos[near], -K)[-K] - 1e-9
+            near = near[cos[near] >= least]
         cos = np.round(cos[near], 12)
         order = np.lexsort((near, -cos))[:K]
         return [(float(cos[i]), int(near[i])) for i in order]
 
-    def _cosines(self, entries: np.ndarray, w: np.ndarray, opened: np.ndarray) -> np.ndarray:
-        """The cosines of the examples in the opened blocks, 0 for the others."""
-        entries = entries[opened]
-        postings, n = _ranges(self.starts[entries], self.starts[entries + 1])
-        return np.bincount(self.where[postings], np.repeat(w[opened], n) * self.weights[postings], len(self.labels))
-
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by nearness and rate, with the prior as one far neighbour."""
         i = np.array([p[1] for p in near], np.int64)
@@ -134,36 +217,35 @@ def _gain(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.maximum(0.0, 2 * total)
 
 
-def build(examples: list[tuple[int, int, dict[str, int]]], frequency: dict[str, int], n_docs: int, totals: dict[int, int]) -> Index:
-    """The index of (id, label, term counts) examples; ``totals``: training rows of each label."""
-    terms = {t: i for i, t in enumerate(sorted(frequency))}
-    idf = np.log((1 + n_docs) / (1 + np.array([frequency[t] for t in terms], float))) + 1
-    found = [sorted((terms[t], c) for t, c in e[2].items() if t in terms) for e in examples]
-    found = [np.array(f, np.int64).reshape(-1, 2) for f in found]
+def _scale(idf: np.ndarray, with_1: np.ndarray, with_0: np.ndarray, have: tuple[int, int]) -> np.ndarray:
+    return idf * np.sqrt(1 + _gain(with_1, with_0, have[1], have[0]))
+
+
+def build(examples: Examples, frequency: np.ndarray, n_docs: int, totals: dict[int, int]) -> Index:
+    """The index of examples; ``frequency``: documents that have each term; ``totals``: training rows of each label."""
+    idf = np.log((1 + n_docs) / (1 + frequency.astype(float))) + 1
     # like vectors side by side, so that few blocks have a high bound for a query
-    rank = np.empty(len(terms), ">u4")
-    rank[np.argsort(-idf, kind="stable")] = np.arange(len(terms))
-    order = sorted(range(len(examples)), key=lambda i: (np.sort(rank[found[i][:, 0]]).tobytes(), examples[i][0]))
-    examples, found = [examples[i] for i in order], [found[i] for i in order]
-    labels = np.array([e[1] for e in examples], float)
+    rank = np.empty(len(idf), ">u4")
+    rank[np.argsort(-idf, kind="stable")] = np.arange(len(idf))
+    keys = [np.sort(rank[examples.terms[a:b]]).tobytes() for a, b in zip(examples.ends, examples.ends[1:])]
+    examples = examples.ordered(np.array(sorted(range(len(keys)), key=lambda i: (keys[i], examples.ids[i])), np.int64))
+    labels, t, n = examples.labels, examples.terms, len(examples.ids)
     have = {y: int((labels == y).sum()) for y in (0, 1)}
-    rates = np.array([totals[e[1]] / have[e[1]] for e in examples], float)
-    t = np.concatenate([f[:, 0] for f in found] + [np.empty(0, np.int64)])
-    e = np.repeat(np.arange(len(examples)), [len(f) for f in found])
-    with_1 = np.bincount(t, labels[e], len(terms))
-    scale = idf * np.sqrt(1 + _gain(with_1, np.bincount(t, minlength=len(terms)) - with_1, have[1], have[0]))
-    vectors = [(f[:, 0], _unit(scale[f[:, 0]], f[:, 1].astype(float))) for f in found]
-    w = np.concatenate([v[1] for v in vectors] + [np.empty(0)])
+    rates = np.array([totals[int(y)] / have[int(y)] for y in labels], float)
+    e = np.repeat(np.arange(n, dtype=np.int32), np.diff(examples.ends))
+    with_1 = np.bincount(t, labels[e], len(idf))
+    with_0 = np.bincount(t, minlength=len(idf)) - with_1
+    w = (1 + np.log(examples.counts)) * _scale(idf, with_1, with_0, (have[0], have[1]))[t]
+    norm = np.sqrt(np.bincount(e, w * w, n))
+    w = w / np.where(norm > 0, norm, 1.0)[e]
     order = np.lexsort((e, t))
-    t, w, e = t[order], w[order], e[order]
-    starts = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(e // BLOCK, prepend=-1))
-    index = Index(np.array([x[0] for x in examples], np.int64), labels, rates, terms, scale, totals[1] / max(1, totals[0] + totals[1]),
-                  np.searchsorted(t[starts], np.arange(len(terms) + 1)), e[starts] // BLOCK,
-                  np.maximum.reduceat(w, starts) if len(w) else w, np.append(starts, len(t)), e, w)
-    votes = np.array([index.vote(index.nearest(*v, skip=i)) for i, v in enumerate(vectors)])
-    if len(votes):
-        index.curve = _isotonic(votes, labels, rates)
-    return index
+    by_term, by_example, by_weight = t[order], e[order], w[order]
+    starts = np.flatnonzero(np.diff(by_term, prepend=-1) | np.diff(by_example // BLOCK, prepend=-1))
+    tops = np.maximum.reduceat(by_weight, starts) if len(w) else w
+    firsts = np.searchsorted(by_term[starts], np.arange(len(idf) + 1))
+    return Index(examples.ids, labels, rates, {name: i for i, name in enumerate(examples.names)}, idf, with_1, with_0,
+                 totals[1] / max(1, totals[0] + totals[1]), firsts, by_example[starts] // BLOCK, tops, np.append(starts, len(t)),
+                 by_example.astype(np.int64), by_weight)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
@@ -179,11 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         return [list(words(text).items())]
 
     known = stored(appended(known, "counts array<struct<term:string,n:int>>", ["text"], lambda: count)
-                   .select("id", "label", "counts"), "examples")
-    rows = known.select("id", "label", "counts.term", "counts.n").toArrow()  # at most 2 * most
-    examples = [(i, y, {sys.intern(t): c for t, c in zip(ts.as_py(), ns.as_py())})
-                for i, y, ts, ns in zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["term"], rows["n"])]
-    vocabulary = spark.sparkContext.broadcast(set().union(*(e[2] for e in examples)))  # the examples' terms
+                   .select("id", "label", "counts.term", "counts.n"), "examples")
+    examples = Examples.of(known.toArrow())  # at most 2 * most
+    vocabulary = spark.sparkContext.broadcast(frozenset(examples.names))  # the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = Counter(), 0
@@ -195,12 +275,37 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
                                          names=["term", "n"])
 
     counted = texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counted = counted.toArrow()  # the examples' terms and the count of documents
-    frequency = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
-    n_docs = frequency.pop(None, 0)
+    counted = counted.orderBy(F.col("term").asc_nulls_first()).toArrow()  # the examples' terms and, first, the count of documents
+    vocabulary.destroy()
+    n_docs = (counted.column("n")[0].as_py() or 0) if counted.num_rows else 0
+    at = pa.compute.index_in(pa.array(examples.names, pa.string()), counted.column("term").combine_chunks()).to_numpy(zero_copy_only=False)
+    frequency = counted.column("n").to_numpy()[at.astype(np.int64)] if len(at) else np.empty(0)
     totals = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     totals = {int(r["y"]): r["count"] for r in totals.groupBy("y").count().collect()}
-    return build(examples, frequency, n_docs, {y: totals.get(y, 0) for y in (0, 1)})
+    index = build(examples, frequency, n_docs, {y: totals.get(y, 0) for y in (0, 1)})
+    if len(index.ids):
+        index.curve = _calibrated(known, index)
+    return index
+
+
+def _calibrated(known: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The curve from votes to shares of label 1: each example's vote by the others, its own label uncounted."""
+    shared = known.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        place = {int(k): i for i, k in enumerate(index.ids)}
+        for batch in batches:
+            at = [place[k] for k in batch.column("id").to_pylist()]
+            found = [dict(zip(t, n)) for t, n in zip(batch.column("term").to_pylist(), batch.column("n").to_pylist())]
+            got = list(map(index.vote, index.nearest([index.vector(f, int(index.labels[i])) for i, f in zip(at, found)], skip=at)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got, pa.float64())], names=["place", "vote"])
+
+    # the examples are few, and dealt anew so that all tasks have some
+    dealt = known.select("id", "term", "n").repartition(shuffle_partitions(known.sparkSession), "id")
+    found = dealt.mapInArrow(votes, "place long, vote double").toArrow().sort_by("place")
+    shared.destroy()
+    return _isotonic(found.column("vote").to_numpy(), index.labels, index.rates)
 
 
 def score(docs: DataFrame, index: Index, text_col: str = "text", prefix: str = "toxicity") -> DataFrame:
@@ -213,16 +318,16 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", prefix: str = "
     def start():
         index, known = shared.value, {}
 
-        def one(text: str | None) -> list:
-            key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()  # copies are looked up once
-            if key not in known:
-                if len(known) >= 50_000:
-                    known.clear()
-                near = index.nearest(*index.vector(words(text)))
-                known[key] = [index.score(index.vote(near)),
-                              [{"id": int(index.ids[i]), "similarity": c, "label": int(index.labels[i])} for c, i in near[:EVIDENCE]]]
-            return known[key]
-        return one
+        def some(texts: list[str | None]) -> list:
+            keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]  # copies are looked up once
+            if len(known) >= 50_000:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            for k, near in zip(new, index.nearest([index.vector(words(t)) for t in new.values()])):
+                known[k] = [index.score(index.vote(near)),
+                            [{"id": int(index.ids[i]), "similarity": c, "label": int(index.labels[i])} for c, i in near[:EVIDENCE]]]
+            return [known[k] for k in keys]
+        return some
 
     kinds = f"{prefix}_score double, {prefix}_evidence array<struct<id:long,similarity:double,label:int>>"
-    return appended(docs, kinds, [text_col], start)
+    return appended(docs, kinds, [text_col], start, together=True)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -212,7 +213,10 @@ def test_nearest_examples_equal_a_full_scan():
     terms = [f"t{i}" for i in range(50)]
     examples = [(i, int(rng.rand() < .4), {t: rng.randint(1, 4) for t in rng.choice(terms, rng.randint(0, 6), replace=False)})
                 for i in range(600)]
-    index = toxicity.build(examples, {t: rng.randint(1, 300) for t in terms}, 1000, {0: 500, 1: 200})
+    made = toxicity.Examples.of(pa.table({"id": [e[0] for e in examples], "label": [e[1] for e in examples],
+                                          "term": pa.array([list(e[2]) for e in examples], pa.list_(pa.string())),
+                                          "n": pa.array([list(e[2].values()) for e in examples], pa.list_(pa.int32()))}))
+    index = toxicity.build(made, rng.randint(1, 300, len(made.names)), 1000, {0: 500, 1: 200})
     counts = {e[0]: e[2] for e in examples}
 
     def dense(c):
@@ -226,7 +230,7 @@ def test_nearest_examples_equal_a_full_scan():
         query = {t: rng.randint(1, 4) for t in rng.choice(terms, rng.randint(0, 10), replace=False)}
         cos = np.round(table @ dense(query), 12)
         want = [i for i in np.lexsort((np.arange(len(cos)), -cos)) if cos[i] > 0][:toxicity.K]
-        assert [i for _, i in index.nearest(*index.vector(query))] == want
+        assert [i for _, i in index.nearest([index.vector(query)])[0]] == want
 
 
 def test_toxicity_edge_rows_and_held_out_accuracy(spark):
