@@ -5,8 +5,9 @@ Each path has two ratios, text length and punctuation by node; both are smoothed
 paths in page order and multiplied, and links in the text count against it; in an ``article`` or ``main``
 element the ratio counts ``_LANDMARK`` times. Paths whose fused ratio reaches a threshold, a share of the
 spread over the page, are content; so are headings beside content. Paths through an element that by its tag,
-role, class or id is a menu, header, footer, sidebar, notice, advert, form, share bar or comment
-list are never content. A path is kept or dropped whole, so a short paragraph stays with
+role, or the whole of a class or id is a menu, header, footer, sidebar, notice, advert, form, share bar or comment
+list are never content; where such a word is but a part of a longer name (``market-share``), it
+counts outside of ``article`` and ``main`` only, and an article within goes free. A path is kept or dropped whole, so a short paragraph stays with
 the long ones.
 """
 
@@ -47,6 +48,9 @@ _BOILERPLATE_NAMES = frozenset("""ad ads adbox adsense advert adverts advertisem
     menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted
     promotion related replies respond responses share sharing sidebar sidebars signup skip social sponsor sponsored subscribe
     subscription toolbar topbar widget widgets""".split())
+#: Words that add nothing to such a name: ``comment-list`` is a comment list, ``market-share`` is no share bar.
+_PLAIN_NAMES = frozenset("""area bar bottom box boxes button buttons container inner item items left link links list outer page
+    panel posts right section site slot top unit wrap wrapper""".split())
 _LEAST, _LANDMARK, _SMOOTH = 0.2, 4.0, np.array([0.25, 0.5, 0.25])
 
 
@@ -64,20 +68,32 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if "=" in raw else {}
 
 
-def _barred(tag: str, attrs: dict[str, str], raw: str, inside: bool) -> bool:
+_FREE, _DOUBTFUL, _BARRED = range(3)
+
+
+def _barred(tag: str, attrs: dict[str, str], raw: str, inside: bool) -> int:
+    """Whether an element is boilerplate by itself: surely, or, outside of the article, by a part of its name."""
     if tag in _BOILERPLATE_TAGS or tag == "header" and not inside or attrs.get("role", "").lower() in _BOILERPLATE_ROLES:
-        return True
+        return _BARRED
     if tag in ("html", "body", "main") or not raw.strip():
-        return False
-    names = {w.lower() for a in ("class", "id") for w in _SPLIT.split(attrs.get(a, "")) if w}
-    shown = attrs.get("style", "").replace(" ", "").lower()
-    return bool(names & _BOILERPLATE_NAMES) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", raw, re.I) is not None \
-        or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in shown
+        return _FREE
+    if "idden" in raw.lower() and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"""=\s*(?:"[^"]*"|'[^']*')""", " ", raw), re.I):
+        return _BARRED
+    if attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return _BARRED
+    doubt = _FREE
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()}
+        if words & _BOILERPLATE_NAMES:
+            if words <= _BOILERPLATE_NAMES | _PLAIN_NAMES:
+                return _BARRED
+            doubt = doubt if inside or tag == "article" else _DOUBTFUL
+    return doubt
 
 
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order: runs of text between the tags of block elements."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, inside, barred
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, _FREE)]  # tag, path, inside, barred
     found: list[_Block] = []
     now: _Block | None = None
     links, at = 0, 0
@@ -90,7 +106,7 @@ def blocks(page: str) -> list[_Block]:
             if raw.isspace():
                 return
             tag, path, inside, barred = next(e for e in reversed(stack) if e[0] in _BLOCK or not e[0])
-            now = _Block(path, inside, barred or stack[-1][3], bool(_HEADINGS & {e[0] for e in stack[-3:]}))
+            now = _Block(path, inside, max(barred, stack[-1][3]) > _FREE, bool(_HEADINGS & {e[0] for e in stack[-3:]}))
             found.append(now)
         now.parts.append(raw)
         if links:
@@ -128,7 +144,9 @@ def blocks(page: str) -> list[_Block]:
                 continue
             attrs = _attributes(m["attrs"])
             _, path, inside, barred = stack[-1]
-            barred = barred or _barred(tag, attrs, m["attrs"], inside)
+            if tag in ("article", "main") and barred == _DOUBTFUL:
+                barred = _FREE
+            barred = max(barred, _barred(tag, attrs, m["attrs"], inside))
             inside = inside or tag in ("article", "main")
             if tag in _BLOCK:
                 name = ".".join([tag, *attrs.get("class", "").split()])
@@ -167,7 +185,8 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``pages`` with the main text of each row and its code points. Null and empty pages, and
-    pages without content, have an empty text; broken markup is read as far as it goes."""
+    pages without content, have an empty text; broken markup is read as far as it goes. Rows that repeat
+    a page are extracted each; columns that have a new one's name are replaced, others pass through."""
     def start():
         def one(page: str | None) -> list:
             found = main_text(page)
