@@ -29,8 +29,6 @@ WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 44
 TURNS = 2     # further stars, about other centres, for buckets that still hold several components
 BLOCK = 1024  # classes of a bucket that are compared in one task
-#: Below this share of equal sketch cells a pair can't be expected to reach PERCENT; see _cross_links.
-LEAST_SHARE, LEAST_SHINGLES = 0.6, 48
 _CACHE_WORDS = 300_000
 
 _rng = np.random.RandomState(20260101)
@@ -165,9 +163,8 @@ def _cross_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
     """Links (u, v) that join components in buckets that still hold several: a spanning set of them.
 
     Members meet in tasks of at most two blocks of BLOCK classes, with their full sets. A pair is
-    looked at in the first bucket it shares; sizes must allow PERCENT, and sketches of sets of
-    LEAST_SHINGLES and more must have LEAST_SHARE of their cells equal (a pair of similarity 0.75
-    falls short by chance only, five deviations off). Pairs never leave a task; links that join do.
+    looked at in the first bucket it shares, and where its sizes allow PERCENT its full sets decide.
+    Pairs never leave a task; links that join do.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = mixed.select("key", "cls", "n", "label", blocks.alias("blocks"))
@@ -199,9 +196,7 @@ def _cross_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
             j = right[near & (cls[right] < cls[i])] if p == q else right[near]
             if not len(j):
                 continue
-            share = (cells[j] == cells[i]).mean(axis=1)
-            order = np.argsort(-share, kind="stable")
-            j = j[order][(share[order] >= LEAST_SHARE) | (n[j[order]] < LEAST_SHINGLES)]
+            j = j[np.argsort(-(cells[j] == cells[i]).mean(axis=1), kind="stable")]  # likely links first
             common = bands[j] == bands[i]
             j = j[np.where(common, bands[j], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == key]
             if not len(j):
