@@ -242,3 +242,30 @@ def test_words_of_bytes_equal_the_pattern():
     for w, h in zip(found.words(0, len(found.hash)), found.hash.tolist()):
         assert by_word.setdefault(w, h) == h
     assert len(set(by_word.values())) == len(by_word)
+
+
+def test_pipeline_stages_stand_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+    from meridian.llm.common import stored
+
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("alan", "erin", "oum", "ith")]
+    rows = edge.TEXTS + [(300 + i, " ".join(words[(i * k) % 20] for k in range(1, 30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({
+        "lang": F.when(F.col("doc_id") % 2 == 0, "en"), "source": F.concat(F.lit("src"), F.col("doc_id") % 3), "n_chars": F.length("text").cast("long")})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(300 + i, int(i % 2 == 0), int(i % 9 == 0)) for i in range(40)] + [(None, 1, 1), (1, None, None), (1, 1, 0), (1, 1, 0), (9999, 0, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, now, str(tmp_path)), name)
+        assert out.columns == df.columns and out.count() > 0, name
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in now.collect()}, name
+        now = out
+    # each stage on all odd rows
+    whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = [tuple(r)[:2] for r in corpus_pipeline.drop_near_duplicates(spark, whole, str(tmp_path)).collect()]
+    assert (1, edge.BASE) in kept and (2, edge.BASE) not in kept and (4, edge.BASE.upper()) not in kept
+    assert {(5, ""), (6, None), (7, "   \n\t "), (None, None), (None, edge.BASE)} <= set(kept) and kept.count((15, "only here")) == 2
+    last = corpus_pipeline.tokenize(spark, whole, str(tmp_path))
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in last.collect()), key=str)
+    assert len(got) == len(rows) and (5, 0) in got and (6, 0) in got and (None, 0) in got
