@@ -57,9 +57,8 @@ def with_dense_rank(rows: DataFrame, value: str, name: str, spread: list[str]) -
     very many have are dealt over the tasks by the columns ``spread``."""
     ranks = dense_ranks(rows, value, name)
     known = split_join(rows, ranks.where(F.col(value).isNotNull()), value, spread, "left")
-    last = ranks.where(F.col(value).isNull()).select(F.col(name).alias("_last"))  # one row, if any
-    out = known.join(F.broadcast(last), F.col(value).isNull(), "left")
-    return out.withColumn(name, F.coalesce(name, "_last")).drop("_last")
+    last = ranks.where(F.col(value).isNull()).agg(F.max(name).alias(name)).scalar()  # one value, if any
+    return known.withColumn(name, F.coalesce(name, last))
 
 
 def with_previous(rows: DataFrame, key: str, order: str, tie: str, name: str, share: float = 0.01) -> DataFrame:

