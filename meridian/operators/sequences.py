@@ -52,7 +52,7 @@ def channel_reach(star: Star, region: str | None = None) -> DataFrame:
     and channel, 1 for a region, 2 for a channel, 3 for all.
 
     The counts of a coarser level are no sums of the finer ones, since an account uses several channels;
-    they come from the union of the accounts' bitmaps."""
+    they come from the union of the accounts' bitmaps. An empty scope gives no rows."""
     s = scope_region(star, region)
     dim = account_dim(s, "inner").select("account_id", "region_name")
     pairs = s.web_events.select("account_id", "channel").distinct()
@@ -65,7 +65,7 @@ def channel_reach(star: Star, region: str | None = None) -> DataFrame:
 def active_accounts(star: Star, region: str | None = None) -> DataFrame:
     """Distinct ordering accounts by month, by year and in all: (level, year, month, accounts); ``level`` is 0 for a
     month, 1 for a year, 3 for all. Unscoped every account id of an order counts; orders without a time are in
-    the NULL year."""
+    the NULL year. An empty scope gives no rows."""
     s = scope_region(star, region)
     if s.order_states is not None:
         o = s.order_states.select("account_id", F.col("order_year").alias("year"), F.col("order_month").alias("month"))

@@ -348,10 +348,10 @@ both("order_intervals", lambda s, r: _as_text(op.order_intervals(s, r), "occurre
 both("channel_reach", lambda s, r: op.channel_reach(s, r), lambda sc:
      "SELECT grouping(reg, channel) AS level, reg AS region_name, channel, count(DISTINCT acct) AS accounts "
      "FROM people JOIN clicks USING (acct)" + _only(sc, "reg_id IS NOT NULL")
-     + " GROUP BY GROUPING SETS ((reg, channel), (reg), (channel), ())")
+     + " GROUP BY GROUPING SETS ((reg, channel), (reg), (channel), ()) HAVING count(*) > 0")
 both("active_accounts", lambda s, r: op.active_accounts(s, r), lambda sc:
      "SELECT grouping(yr, mon) AS level, yr AS year, mon AS month, count(DISTINCT acct) AS accounts FROM buys"
-     + _only(sc, "acct IS NOT NULL", inside=SCOPE) + " GROUP BY GROUPING SETS ((yr, mon), (yr), ())")
+     + _only(sc, "acct IS NOT NULL", inside=SCOPE) + " GROUP BY GROUPING SETS ((yr, mon), (yr), ()) HAVING count(*) > 0")
 
 # ---- states by account and month, and what is rolled up from them -------------------------------
 
