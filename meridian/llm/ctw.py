@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import shuffle_partitions, slices, stored
+from meridian.llm.common import shuffle_partitions, slices, spread_keys, stored
 
 DEPTH = 5
 END = 0xFF  # of a text; no UTF-8 text holds it
@@ -159,7 +159,9 @@ def _pack_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["batch", "shard", "kind", "keys", "n"])
 
 
-def _count_batch(shards: int):
+def _count_batch(to: list[int]):
+    shards = len(to)
+
     def count(table: pa.Table) -> pa.Table:
         """A batch's distinct grams and words by shard, with how often they are in training texts."""
         parts, held, size = [], [], 0
@@ -167,10 +169,12 @@ def _count_batch(shards: int):
 
         def flush() -> None:
             nonlocal held, size
-            if held:
-                keys = np.concatenate([g for g, _ in held])
-                n = np.concatenate([np.full(len(g), int(t), np.int64) for g, t in held])
-                parts.append(_merged(keys, n))
+            if held:  # a gram has 48 bits, which leaves one beside it for whether its text trains
+                both = np.concatenate([(g << np.uint64(1)) | np.uint64(bool(t)) for g, t in held])
+                both.sort()
+                keys = both >> np.uint64(1)
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                parts.append((keys[starts], np.add.reduceat((both & np.uint64(1)).astype(np.int64), starts)))
                 held, size = [], 0
             if len(parts) > 8:
                 parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts)))]
@@ -193,15 +197,15 @@ def _count_batch(shards: int):
         keys, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
         at = shard_of(keys, shards)
         for s in np.unique(at):
-            rows.append((me, int(s), "grams", _pack_keys(keys[at == s]), _squeeze(n[at == s])))
+            rows.append((me, to[int(s)], "grams", _pack_keys(keys[at == s]), _squeeze(n[at == s])))
         by: dict[int, list[bytes]] = {}
         for word in heard.keys() | others:
             by.setdefault(hash_of(word) % shards, []).append(word)
         for s, words in by.items():
             words.sort()
-            rows.append((me, s, "words", _squeeze(np.frombuffer(b"\n".join(words), np.uint8)),
+            rows.append((me, to[s], "words", _squeeze(np.frombuffer(b"\n".join(words), np.uint8)),
                          _squeeze(np.array([heard[w] for w in words], np.int64))))
-        rows.append((me, 0, "texts", b"", _squeeze(np.array([texts], np.int64))))
+        rows.append((me, to[0], "texts", b"", _squeeze(np.array([texts], np.int64))))
         return _pack_table(rows)
     return count
 
@@ -272,8 +276,9 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     n = shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "batch")
-    packs = stored(rows.groupBy("batch").applyInArrow(_count_batch(n), _PACK), "packs")
+    to = spread_keys(spark, n)
+    rows = rows.withColumn("batch", F.get(F.array(*map(F.lit, to)), F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))).repartition(n, "batch")
+    packs = stored(rows.groupBy("batch").applyInArrow(_count_batch(to), _PACK), "packs")
 
     sums = packs.groupBy("shard").applyInArrow(_tops, "kind string, key long, x double")
     total: dict[str, dict[int, float]] = {k: {} for k in ("words", "distinct", "texts", "count", "weighted")}
@@ -316,7 +321,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         for batch in slices(left.to_batches()):
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                g = grams(words)
+                g = np.sort(grams(words))  # in order they are found faster
                 seen = list(map(count.__getitem__, words))
                 out["n_tokens"].append(len(words) + 1)
                 out["n_known"].append(len(words) - seen.count(0) + (texts > 0))
