@@ -7,7 +7,7 @@ siblings first, and only what all of them can't give to the siblings of their pa
 filled with whole epochs and, of one more, the prefix of a seeded order that reaches the budget.
 
 All of it is joins and windows over the table of tree nodes; of the documents only
-(id, leaf, tokens, order) is shuffled, never texts. A leaf's prefix is found over sums of buckets of
+(id, leaf, tokens) is stored and shuffled, never texts. A leaf's prefix is found over sums of buckets of
 its order, and documents are ranked only inside the one bucket where the budget ends, so a
 leaf with most of the rows is not one task's work.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridian.llm.common import stored
+
 MISSING = ""          # name of a null level
 BUCKET_DIGITS = 3     # hex digits of the order's hash that name a bucket
 
@@ -80,12 +82,16 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
     of one id and text tie in the order and are told apart by nothing: they are taken or left
     together. A leaf without a budget, as under a node of weight 0, takes nothing; an empty input gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), _path(levels, len(levels)).alias("leaf"), tokens_of(text_col).alias("tokens"), *levels)
-    leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
+    # the texts are read once; the levels are renamed, so that they clash with no name in here
+    at = [f"level{i}" for i in range(len(levels))]
+    rows = docs.select(F.col(id_col).alias("id"), _path(levels, len(levels)).alias("leaf"), tokens_of(text_col).alias("tokens"),
+                       *[F.col(c).cast("string").alias(a) for c, a in zip(levels, at)])
+    rows = stored(rows, "mix-rows")
+    leaves = stored(rows.groupBy(*at).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plan = budgets(leaves, levels, weights, int(total * budget_share), max_epochs)
-    plan = plan.select("leaf", F.expr("if(available > 0, budget div available, 0)").alias("epochs"),
-                       F.expr("if(available > 0, budget % available, 0)").alias("prefix"))
+    plan = budgets(leaves, at, weights, int(total * budget_share), max_epochs)
+    plan = stored(plan.select("leaf", F.expr("if(available > 0, budget div available, 0)").alias("epochs"),
+                              F.expr("if(available > 0, budget % available, 0)").alias("prefix")), "mix-plan")
     # the order of a leaf's documents in its last, partial epoch
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.select("id", "leaf", "tokens").join(plan, "leaf", "left").fillna(0, ["epochs", "prefix"]).withColumn("key", key)
