@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from meridian.llm.common import shuffle_partitions, slices
+from meridian.llm.common import release_memory, shuffle_partitions, slices, spread_keys
 
 _NO_RANK = 2**31 - 1
 #: Cuts a text where no piece of the pattern can span: a word with at most one space before it, or
@@ -129,7 +129,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     byte_ids = [ranks[bytes([b])] for b in range(256)]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    to = spread_keys(docs.sparkSession, n)
+    rows = rows.withColumn("batch", F.get(F.array(*map(F.lit, to)), F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as compressed blocks of a batch."""
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for piece in {piece for chunk in found for piece in find(chunk)}:
                 by.setdefault(zlib.crc32(piece.encode()) % n, []).append(piece)
             for shard, pieces in by.items():
-                yield _block_row(["batch", "shard"], [b, shard], pa.table({"word": pa.array(sorted(pieces), pa.string())}))
+                yield _block_row(["batch", "shard"], [b, to[shard]], pa.table({"word": pa.array(sorted(pieces), pa.string())}))
 
     asked = dealt.mapInArrow(words, "batch int, shard int, block binary").repartition(n, "shard")
 
@@ -191,6 +192,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     sent = asked.mapInArrow(ahead, "batch int, block binary, words array<string>, bytes array<array<int>>")
     table, look = rank_map(ranks)
+    release_memory()  # of the pairs, which are in the plan now
     folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

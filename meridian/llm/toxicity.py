@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import appended, sampled_labels, shuffle_partitions, slices, stored
+from meridian.llm.common import appended, release_memory, sampled_labels, shuffle_partitions, slices, stored
 
 MOST_EXAMPLES = 4096
 K, BLOCK, EVIDENCE = 15, 128, 3
@@ -283,6 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     totals = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     totals = {int(r["y"]): r["count"] for r in totals.groupBy("y").count().collect()}
     index = build(examples, frequency, n_docs, {y: totals.get(y, 0) for y in (0, 1)})
+    del examples, counted, at, frequency
+    release_memory()
     if len(index.ids):
         index.curve = _calibrated(known, index)
     return index
@@ -305,6 +307,7 @@ def _calibrated(known: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]
     dealt = known.select("id", "term", "n").repartition(shuffle_partitions(known.sparkSession), "id")
     found = dealt.mapInArrow(votes, "place long, vote double").toArrow().sort_by("place")
     shared.destroy()
+    release_memory()
     return _isotonic(found.column("vote").to_numpy(), index.labels, index.rates)
 
 
