@@ -32,6 +32,16 @@ def release_memory() -> None:
         pass
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` on a task's batches, which at its end gives their memory back: the worker waits for other tasks, beside
+    those that work then."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,7 +80,7 @@ def appended(df: DataFrame, schema: str, inputs: list[str], fn: Callable[[], Cal
                 [*(batch.column(i) for i in own), *(pa.array(list(c), f.type) for c, f in zip(cols, kinds))],
                 names=[*(batch.schema.names[i] for i in own), *kinds.names])
 
-    return df.mapInArrow(run, StructType([*(df.schema.fields[i] for i in own), *new.fields]))
+    return df.mapInArrow(releasing(run), StructType([*(df.schema.fields[i] for i in own), *new.fields]))
 
 
 def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int, seed: int) -> DataFrame:

@@ -2,11 +2,9 @@
 
 A text is a TF-IDF vector over all terms of the labelled examples; a term that tells the labels apart weighs
 more (by the root of 1 + its G2), and none is left out. Its score comes from the ``K``
-labelled examples of highest cosine, found exactly: examples lie in blocks, and an inverted index keeps
-each term's highest weight in each block. The postings of common terms, which most examples have, are rows of a
-matrix; their part of a cosine is a product for many texts at once, and its K-th best a limit that the K-th best
-cosine can't be below. A block's best such part and the sum of its other terms' highest weights bound
-every cosine in it, and only blocks whose bound reaches the limit have their other postings read.
+labelled examples of highest cosine, found exactly by an inverted index. The postings of common terms, which
+many examples have, are rows of a matrix; their part of a cosine is a product for many texts at once. The other
+terms' postings are few, and all are added up.
 Neighbours vote by distance; an isotonic fit of the examples' own leave-one-out votes makes the
 vote a probability. The nearest examples are returned as evidence.
 
@@ -20,25 +18,43 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import appended, release_memory, sampled_labels, shuffle_partitions, slices, stored
+from meridian.llm.common import appended, release_memory, releasing, sampled_labels, shuffle_partitions, slices, stored
 
 MOST_EXAMPLES = 4096
-K, BLOCK, EVIDENCE = 15, 128, 3
+K, EVIDENCE = 15, 3
 COMMON = 16   # a term that one example in so many has is common
 TEXTS = 128   # texts that are multiplied at once
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))  # ASCII that no word has: a space
+
+
+def _words(text: str | None) -> list[str]:
+    """All matches of _WORD in the lower-cased text; where what stands between spaces is letters only, without ``re``."""
+    text = (text or "").lower().encode("utf-8", "surrogatepass").translate(_NO_LETTERS).decode("utf-8", "surrogatepass")
+    found = text.split()
+    return found if text.isascii() or all(map(str.isalpha, found)) else _WORD.findall(text)
 
 
 def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+    return Counter(_words(text))
+
+
+def _places(names: pa.Array, words: list[str]) -> np.ndarray:
+    """Each word's place among the distinct names, -1 if it is none. The names are looked up among the words: those are
+    fewer, and so no hash table of all names is held."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    at = pc.index_in(names, coded.dictionary)
+    place = np.full(len(coded.dictionary), -1)
+    place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return place[coded.indices.to_numpy()]
 
 
 def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,13 +64,6 @@ def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lows - ends + n, n), n
 
 
-def _runs(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges low .. high - 1 on end, and which range each is of."""
-    n = highs - lows
-    which = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(which)) + (lows - np.cumsum(n) + n)[which], which
-
-
 @dataclass
 class Examples:
     """Labelled examples: the terms of example i, and how often it has them, at ends[i] .. ends[i + 1] - 1."""
@@ -63,7 +72,7 @@ class Examples:
     labels: np.ndarray
     ends: np.ndarray
     terms: np.ndarray            # numbers of
-    names: list[str]
+    names: pa.Array              # strings, ascending
     counts: np.ndarray
 
     @classmethod
@@ -71,36 +80,33 @@ class Examples:
         """Of a table (id, label, term: list of strings, n: list of integers)."""
         term, n = (rows.column(c).combine_chunks() for c in ("term", "n"))
         coded = term.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        place = np.empty(len(names), np.int32)
-        place[order] = np.arange(len(names), dtype=np.int32)
+        order = pc.array_sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
         return cls(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(float),
                    np.concatenate([[0], np.cumsum(term.value_lengths().to_numpy())]).astype(np.int64),
-                   place[coded.indices.to_numpy()], [names[i] for i in order], n.flatten().to_numpy().astype(np.int32))
+                   place[coded.indices.to_numpy()], coded.dictionary.take(order), n.flatten().to_numpy().astype(np.int32))
 
     def ordered(self, order: np.ndarray) -> "Examples":
-        at, n = _ranges(self.ends[order], self.ends[order + 1])
-        return Examples(self.ids[order], self.labels[order], np.concatenate([[0], np.cumsum(n)]).astype(np.int64), self.terms[at], self.names,
-                        self.counts[at])
+        parts = [slice(a, b) for a, b in zip(self.ends[order], self.ends[order + 1])]
+        terms, counts = (np.concatenate([v[:0], *(v[part] for part in parts)]) for v in (self.terms, self.counts))
+        ends = np.concatenate([[0], np.cumsum(np.diff(self.ends)[order])]).astype(np.int64)
+        return Examples(self.ids[order], self.labels[order], ends, terms, self.names, counts)
 
 
 @dataclass
 class Index:
-    """Example vectors in blocks of BLOCK, as postings by term, with each term's maximum in each block that has it."""
+    """Example vectors as postings by term."""
 
     ids: np.ndarray
     labels: np.ndarray
     rates: np.ndarray            # training rows that an example stands for
-    terms: dict[str, int]
+    names: pa.Array              # of the terms
     idf: np.ndarray              # of each term, and the examples of each label that have it:
     with_1: np.ndarray
     with_0: np.ndarray
     prior: float
-    firsts: np.ndarray           # of each term and the end, into its blocks:
-    blocks: np.ndarray
-    tops: np.ndarray
-    starts: np.ndarray           # of each block of a term and the end, into:
+    starts: np.ndarray           # of each term and the end, into:
     where: np.ndarray
     weights: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -112,8 +118,15 @@ class Index:
     def vector(self, found: dict[str, int], label: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of term counts: sorted terms, weights. With the ``label`` of an example, its terms weigh
         as if it had not been counted for them."""
-        at = np.fromiter(map(self.terms.get, found, repeat(-1)), np.int64, len(found))
-        counts = np.fromiter(found.values(), float, len(found))
+        return self.vectors([found], [label])[0]
+
+    def vectors(self, found: list[dict[str, int]], labels: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        places = _places(self.names, list(chain.from_iterable(found)))
+        numbers = np.fromiter(chain.from_iterable(f.values() for f in found), float, len(places))
+        ends = np.cumsum([0, *map(len, found)])
+        return [self._vector(places[a:b], numbers[a:b], label) for a, b, label in zip(ends, ends[1:], labels or [None] * len(found))]
+
+    def _vector(self, at: np.ndarray, counts: np.ndarray, label: int | None) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0):]
         at = at[order]
         if label is None:
@@ -129,11 +142,11 @@ class Index:
         """Each term's row in the matrix of common terms' weights by example (-1: it has none), and the matrix."""
         if "rows" not in self.__dict__:
             n = len(self.labels)
-            ends = self.starts[self.firsts]
+            ends = self.starts
             common = np.flatnonzero(np.diff(ends) * COMMON >= n) if n else np.empty(0, np.int64)
-            self.slot = np.full(len(self.terms), -1)
+            self.slot = np.full(len(self.names), -1)
             self.slot[common] = np.arange(len(common))
-            self.rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK))
+            self.rows = np.zeros((len(common), n))
             for i, t in enumerate(common):
                 self.rows[i, self.where[ends[t]:ends[t + 1]]] = self.weights[ends[t]:ends[t + 1]]
         return self.slot, self.rows
@@ -158,22 +171,12 @@ class Index:
 
     def _best(self, part: np.ndarray, at: np.ndarray, w: np.ndarray, skip: int) -> list[tuple[float, int]]:
         """The K best of one text, given its common terms' part of the cosines and its other terms."""
-        if skip >= 0:
-            part[skip] = 0.0
-        least = max(0.0, np.partition(part, -K)[-K] - 1e-9) if len(part) > K else 0.0  # the K-th best can't be worse
-        tops = part.reshape(-1, BLOCK).max(axis=1)
-        entries, term = _runs(self.firsts[at], self.firsts[at + 1])
-        each, block = w[term], self.blocks[entries]
-        opened = (tops + np.bincount(block, each * self.tops[entries], len(tops)) >= least)[block]
-        entries, each = entries[opened], each[opened]
-        postings, entry = _runs(self.starts[entries], self.starts[entries + 1])
-        cos = part + np.bincount(self.where[postings], each[entry] * self.weights[postings], len(part))
+        postings, n = _ranges(self.starts[at], self.starts[at + 1])
+        cos = part + np.bincount(self.where[postings], np.repeat(w, n) * self.weights[postings], len(part))
         if skip >= 0:
             cos[skip] = 0.0
+        least = np.partition(cos, -K)[-K] - 1e-9 if len(cos) > K else 0.0
         near = np.flatnonzero((cos >= least) & (cos > 0))
-        if len(near) > K:
-            least = np.partition(cos[near], -K)[-K] - 1e-9
-            near = near[cos[near] >= least]
         cos = np.round(cos[near], 12)
         order = np.lexsort((near, -cos))[:K]
         return [(float(cos[i]), int(near[i])) for i in order]
@@ -224,28 +227,29 @@ def _scale(idf: np.ndarray, with_1: np.ndarray, with_0: np.ndarray, have: tuple[
 def build(examples: Examples, frequency: np.ndarray, n_docs: int, totals: dict[int, int]) -> Index:
     """The index of examples; ``frequency``: documents that have each term; ``totals``: training rows of each label."""
     idf = np.log((1 + n_docs) / (1 + frequency.astype(float))) + 1
-    # like vectors side by side, so that few blocks have a high bound for a query
+    # like vectors side by side; of equal cosines the first counts
     rank = np.empty(len(idf), ">u4")
     rank[np.argsort(-idf, kind="stable")] = np.arange(len(idf))
     keys = [np.sort(rank[examples.terms[a:b]]).tobytes() for a, b in zip(examples.ends, examples.ends[1:])]
     examples = examples.ordered(np.array(sorted(range(len(keys)), key=lambda i: (keys[i], examples.ids[i])), np.int64))
+    del keys
     labels, t, n = examples.labels, examples.terms, len(examples.ids)
     have = {y: int((labels == y).sum()) for y in (0, 1)}
     rates = np.array([totals[int(y)] / have[int(y)] for y in labels], float)
     e = np.repeat(np.arange(n, dtype=np.int32), np.diff(examples.ends))
     with_1 = np.bincount(t, labels[e], len(idf))
-    with_0 = np.bincount(t, minlength=len(idf)) - with_1
-    w = (1 + np.log(examples.counts)) * _scale(idf, with_1, with_0, (have[0], have[1]))[t]
+    found = np.bincount(t, minlength=len(idf))
+    with_0 = found - with_1
+    w = np.log(examples.counts)  # and on in place: the postings are the driver's largest arrays
+    w += 1
+    w *= _scale(idf, with_1, with_0, (have[0], have[1]))[t]
     norm = np.sqrt(np.bincount(e, w * w, n))
-    w = w / np.where(norm > 0, norm, 1.0)[e]
-    order = np.lexsort((e, t))
-    by_term, by_example, by_weight = t[order], e[order], w[order]
-    starts = np.flatnonzero(np.diff(by_term, prepend=-1) | np.diff(by_example // BLOCK, prepend=-1))
-    tops = np.maximum.reduceat(by_weight, starts) if len(w) else w
-    firsts = np.searchsorted(by_term[starts], np.arange(len(idf) + 1))
-    return Index(examples.ids, labels, rates, {name: i for i, name in enumerate(examples.names)}, idf, with_1, with_0,
-                 totals[1] / max(1, totals[0] + totals[1]), firsts, by_example[starts] // BLOCK, tops, np.append(starts, len(t)),
-                 by_example.astype(np.int64), by_weight)
+    w /= np.where(norm > 0, norm, 1.0)[e]
+    order = np.argsort(t, kind="stable")  # by example within a term, as they stand
+    by_example, by_weight = e[order], w[order]
+    starts = np.concatenate([[0], np.cumsum(found)])
+    return Index(examples.ids, labels, rates, examples.names, idf, with_1, with_0,
+                 totals[1] / max(1, totals[0] + totals[1]), starts, by_example, by_weight)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
@@ -263,27 +267,29 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     known = stored(appended(known, "counts array<struct<term:string,n:int>>", ["text"], lambda: count)
                    .select("id", "label", "counts.term", "counts.n"), "examples")
     examples = Examples.of(known.toArrow())  # at most 2 * most
-    vocabulary = spark.sparkContext.broadcast(frozenset(examples.names))  # the examples' terms
+    release_memory()
+    vocabulary = spark.sparkContext.broadcast(examples.names)  # the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = Counter(), 0
+        names, n = vocabulary.value, 0
+        found = np.zeros(len(names) + 1, np.int64)  # the last: words that are none
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                n += 1
-                found.update(vocabulary.value.intersection(_WORD.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n, *found.values()], pa.int64())],
-                                         names=["term", "n"])
-
-    counted = texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counted = counted.orderBy(F.col("term").asc_nulls_first()).toArrow()  # the examples' terms and, first, the count of documents
+            n += batch.num_rows
+            some = Counter(chain.from_iterable(set(_words(text)) for text in batch.column(0).to_pylist()))
+            found[_places(names, list(some))] += np.fromiter(some.values(), np.int64, len(some))  # one place, one word
+        at = np.flatnonzero(found[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n, found[at]))], names=["term", "n"])
+
+    counted = texts.select("text").mapInArrow(releasing(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = counted.orderBy("term").toArrow()  # the examples' terms and, first, the count of documents
     vocabulary.destroy()
     n_docs = (counted.column("n")[0].as_py() or 0) if counted.num_rows else 0
-    at = pa.compute.index_in(pa.array(examples.names, pa.string()), counted.column("term").combine_chunks()).to_numpy(zero_copy_only=False)
-    frequency = counted.column("n").to_numpy()[at.astype(np.int64)] if len(at) else np.empty(0)
+    frequency = np.zeros(len(examples.names))
+    frequency[counted.column("term").to_numpy()[1:]] = counted.column("n").to_numpy()[1:]
     totals = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     totals = {int(r["y"]): r["count"] for r in totals.groupBy("y").count().collect()}
     index = build(examples, frequency, n_docs, {y: totals.get(y, 0) for y in (0, 1)})
-    del examples, counted, at, frequency
+    del examples, counted, frequency
     release_memory()
     if len(index.ids):
         index.curve = _calibrated(known, index)
@@ -300,12 +306,12 @@ def _calibrated(known: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]
         for batch in batches:
             at = [place[k] for k in batch.column("id").to_pylist()]
             found = [dict(zip(t, n)) for t, n in zip(batch.column("term").to_pylist(), batch.column("n").to_pylist())]
-            got = list(map(index.vote, index.nearest([index.vector(f, int(index.labels[i])) for i, f in zip(at, found)], skip=at)))
+            got = list(map(index.vote, index.nearest(index.vectors(found, [int(index.labels[i]) for i in at]), skip=at)))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got, pa.float64())], names=["place", "vote"])
 
     # the examples are few, and dealt anew so that all tasks have some
     dealt = known.select("id", "term", "n").repartition(shuffle_partitions(known.sparkSession), "id")
-    found = dealt.mapInArrow(votes, "place long, vote double").toArrow().sort_by("place")
+    found = dealt.mapInArrow(releasing(votes), "place long, vote double").toArrow().sort_by("place")
     shared.destroy()
     release_memory()
     return _isotonic(found.column("vote").to_numpy(), index.labels, index.rates)
@@ -326,7 +332,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", prefix: str = "
             if len(known) >= 50_000:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts) if k not in known}
-            for k, near in zip(new, index.nearest([index.vector(words(t)) for t in new.values()])):
+            for k, near in zip(new, index.nearest(index.vectors([words(t) for t in new.values()]))):
                 known[k] = [index.score(index.vote(near)),
                             [{"id": int(index.ids[i]), "similarity": c, "label": int(index.labels[i])} for c, i in near[:EVIDENCE]]]
             return [known[k] for k in keys]
