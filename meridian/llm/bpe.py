@@ -20,17 +20,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from meridian.llm.common import release_memory, shuffle_partitions, slices, spread_keys
+from meridian.llm.common import release_memory, releasing, shuffle_partitions, slices, spread_keys
 
 _NO_RANK = 2**31 - 1
 #: Cuts a text where no piece of the pattern can span: a word with at most one space before it, or
 #: white space. ``re`` counts \x1c-\x1f as white space, the pattern does not; such texts stay whole.
 _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: (RE2) Texts that are not cut before every space: with white space before one, or odd spaces.
+_UNEVEN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x1c-\x1f]"
 _SHIFT, _PRIME = 17, 2**31 - 1
 _BLOCK_BYTES = 48_000_000
 _WORDS_A_ROW = 5_000
@@ -46,6 +49,27 @@ def chunks(text: str) -> list[str]:
     return [text] if _ODD_SPACE.search(text) else _COARSE.findall(text)
 
 
+def cut(texts: pa.Array) -> pa.Array:
+    """The chunks of each text, as lists. A space after another sign than white space begins a piece, so a text where
+    all are such is cut before each of them; others are cut by ``chunks``."""
+    uneven = pc.match_substring_regex(texts, _UNEVEN)
+    found = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), " ", "\x1c "), "\x1c")
+    if not (odd := uneven.to_numpy(zero_copy_only=False)).any():
+        return found
+    at = np.arange(len(texts))
+    at[odd] = len(texts) + np.arange(odd.sum())
+    return pa.concat_arrays([found, pa.array(map(chunks, texts.filter(uneven).to_pylist()), found.type)]).take(pa.array(at))
+
+
+def _joined(parts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Binary values on end: parts ends[i] .. ends[i + 1] - 1 are value i. Fails if a part is null."""
+    if parts.null_count:
+        raise ValueError("a piece without ids")
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(), dtype=np.int64)])[ends]
+    data = parts.buffers()[2] or b""  # all of them, as ``take`` gives them
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+
+
 def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Callable[[Column, Column, Column], Column]]:
     """The ranks as one literal in the plan, and the look-up in it.
 
@@ -152,88 +176,104 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         if held:
             yield from flush()
 
-    dealt = rows.mapInArrow(deal, "batch int, block binary").repartition(n, "batch")
+    dealt = rows.mapInArrow(releasing(deal), "batch int, block binary").repartition(n, "batch")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct words of each batch, by shard."""
         import regex
 
-        seen: dict[int, set[str]] = {}
+        seen: dict[int, list[pa.Array]] = {}
         for batch in batches:
             for b, block in zip(batch.column("batch").to_pylist(), batch.column("block")):
-                for text in _unblock(block.as_py()).column("text").to_pylist():
-                    seen.setdefault(b, set()).update(chunks(text))
+                for texts in _unblock(block.as_py()).column("text").chunks:
+                    seen.setdefault(b, []).append(cut(texts).flatten().unique())
         find = regex.compile(pattern).findall
         for b, found in seen.items():
             by: dict[int, list[str]] = {}
-            for piece in {piece for chunk in found for piece in find(chunk)}:
+            for piece in {piece for chunk in pa.chunked_array(found).unique().to_pylist() for piece in find(chunk)}:
                 by.setdefault(zlib.crc32(piece.encode()) % n, []).append(piece)
             for shard, pieces in by.items():
                 yield _block_row(["batch", "shard"], [b, to[shard]], pa.table({"word": pa.array(sorted(pieces), pa.string())}))
 
-    asked = dealt.mapInArrow(words, "batch int, shard int, block binary").repartition(n, "shard")
+    asked = dealt.mapInArrow(releasing(words), "batch int, shard int, block binary").repartition(n, "shard")
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition's distinct words and their bytes' ids, then the blocks that ask for them."""
         ids, names = np.array(byte_ids, np.int32), ["batch", "block", "words", "bytes"]
         blocks = [(b, block) for batch in batches for b, block in zip(batch.column("batch").to_pylist(), batch.column("block").to_pylist())]
-        found = sorted({w for _, block in blocks for w in _unblock(block).column("word").to_pylist()})
+        found = pa.chunked_array([_unblock(block).column("word").combine_chunks() for _, block in blocks], pa.string()).unique()
         for i in range(0, len(found), _WORDS_A_ROW):
-            some = found[i:i + _WORDS_A_ROW]
-            raw = [w.encode() for w in some]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, raw)], dtype=np.int32)),
-                                             pa.array(ids[np.frombuffer(b"".join(raw), np.uint8)]))
-            one = pa.array([0, len(raw)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(
-                one, pa.array(some, pa.string())), pa.ListArray.from_arrays(one, lists)], names=names)
+            some = found.slice(i, _WORDS_A_ROW).take(pa.array(range(min(_WORDS_A_ROW, len(found) - i))))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *pc.binary_length(some).to_pylist()], dtype=np.int32)),
+                                             pa.array(ids[np.frombuffer(some.buffers()[2], np.uint8)]))
+            one = pa.array([0, len(some)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(one, some),
+                                              pa.ListArray.from_arrays(one, lists)], names=names)
         for b, block in blocks:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, pa.list_(pa.string())),
                                               pa.nulls(1, pa.list_(pa.list_(pa.int32())))], names=names)
 
-    sent = asked.mapInArrow(ahead, "batch int, block binary, words array<string>, bytes array<array<int>>")
+    sent = asked.mapInArrow(releasing(ahead), "batch int, block binary, words array<string>, bytes array<array<int>>")
     table, look = rank_map(ranks)
     release_memory()  # of the pairs, which are in the plan now
     folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of: dict[str, bytes] = {}
+        found, ids, askers, asked = [], [], [], []
         for batch in slices(batches, 1):
             if (words := batch.column("words")[0]).is_valid:
                 coded = batch.column("ids")[0].values
-                flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                ends = np.cumsum([0, *coded.value_lengths().to_numpy(zero_copy_only=False)]) * 4
-                ids_of.update(zip(words.as_py(), [flat[a:b] for a, b in zip(ends, ends[1:])]))
+                data = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                ends = np.cumsum([0, *coded.value_lengths().to_pylist()], dtype=np.int32) * np.int32(4)
+                found.append(words.values)
+                ids.append(pa.Array.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]))
             else:
-                word = _unblock(batch.column("block")[0].as_py()).column("word")
-                ids = pa.array(map(ids_of.__getitem__, word.to_pylist()), pa.binary())
-                yield _block_row(["asker"], [batch.column("batch")[0].as_py()], pa.table({"word": word, "ids": ids}))
+                askers.append(batch.column("batch")[0].as_py())
+                asked.append(_unblock(batch.column("block")[0].as_py()).column("word").combine_chunks())
+        if not askers:
+            return
+        ids, at, end = pa.concat_arrays(ids), pc.index_in(pa.concat_arrays(asked), pa.concat_arrays(found)), 0
+        for asker, word in zip(askers, asked):
+            end += len(word)
+            yield _block_row(["asker"], [asker], pa.table({"word": word, "ids": ids.take(at.slice(end - len(word), len(word)))}))
 
-    answers = sent.select("batch", "block", "words", folded.alias("ids")).mapInArrow(answer, "asker int, block binary")
+    answers = sent.select("batch", "block", "words", folded.alias("ids")).mapInArrow(releasing(answer), "asker int, block binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         import regex
 
         find = regex.compile(pattern).findall
-        ids_of: dict[str, bytes] = {}
-        for block in right.column("block").to_pylist():
-            got = _unblock(block)
-            ids_of.update(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()))
-        cache: dict[str, bytes] = {}
-
-        def of(chunk: str) -> bytes:
-            if (got := cache.get(chunk)) is None:
-                cache[chunk] = got = b"".join([ids_of[piece] for piece in find(chunk)])
-            return got
-
-        done = []
-        for block in left.column("block").to_pylist():
-            some = _unblock(block)
-            out = [b"".join(map(of, chunks(text))) for text in some.column("text").to_pylist()]
-            done.append(pa.table({"id": some.column("id"), "ids": pa.array(out, pa.binary())}))
+        answered = [_unblock(block) for block in right.column("block").to_pylist()]
+        words = pa.concat_arrays([pa.array([], pa.string()), *(t.column("word").combine_chunks() for t in answered)])
+        ids = pa.concat_arrays([pa.array([], pa.binary()), *(t.column("ids").combine_chunks() for t in answered)]).cast(pa.large_binary())
+        blocks = [_unblock(block) for block in left.column("block").to_pylist()]
+        lists = [cut(t.column("text").combine_chunks()) for t in blocks]
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        names = coded.dictionary.cast(pa.string())
+        # a chunk that is a piece anywhere is cut no further, the others are
+        at = pc.index_in(names, words)
+        rest = [find(chunk) for chunk in names.filter(at.is_null()).to_pylist()]
+        parts = ids.take(pc.index_in(pa.array([piece for pieces in rest for piece in pieces], pa.string()), words))
+        ids = pa.concat_arrays([ids, _joined(parts, np.cumsum([0, *map(len, rest)]))])
+        whole = at.is_valid().to_numpy(zero_copy_only=False)
+        place = np.empty(len(names), np.int64)
+        place[whole] = at.drop_null().to_numpy()
+        place[~whole] = len(words) + np.arange(len(rest))
+        codes, done = coded.indices.to_numpy(), []
+        for t, some in zip(blocks, lists):
+            ends = some.offsets.to_numpy()
+            out = _joined(ids.take(pa.array(place[codes[:ends[-1]]])), ends)
+            codes = codes[ends[-1]:]
+            done.append(pa.table({"id": t.column("id"), "ids": out.cast(pa.binary())}))
         return pa.concat_tables(done)
 
+    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = assemble(left, right)
+        release_memory()
+        return made
+
     return dealt.groupBy("batch").cogroup(answers.groupBy("asker")).applyInArrow(
-        assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+        assembled, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def _block_row(names: list[str], keys: list[int], table: pa.Table) -> pa.RecordBatch:
@@ -259,11 +299,13 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
     schema = StructType([*tokens.schema.fields, StructField(out_col, BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
+        piece = np.empty(max(pieces.value, default=-1) + 1, object)
+        for i, p in pieces.value.items():
+            piece[i] = p
         for batch in slices(batches):
-            out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist()))
+            out = [None if x is None else b"".join(piece[np.frombuffer(x, "<u4")].tolist())
                    for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              names=[*batch.schema.names, out_col])
 
-    return tokens.mapInArrow(join, schema)
+    return tokens.mapInArrow(releasing(join), schema)
