@@ -2,7 +2,8 @@
 
 Distinct words are encoded by Spark higher-order functions: a word is the array of its bytes' ids,
 and a fold merges, step by step, the leftmost neighbouring pair whose joined bytes have the lowest
-rank, until no pair has one. The ranks are a literal in the plan, a flat perfect-hash map.
+rank, until no pair has one. The ranks are a flat perfect-hash map: one row that is broadcast to the words' rows,
+since Spark's driver prints every literal of a plan anew for each step of a job, and keeps the prints.
 
 Documents are dealt into batches by a hash, compressed for their one shuffle, which is planned once and read
 twice (Spark reuses the exchange): for the distinct words of each batch, and beside the encoded
@@ -13,7 +14,6 @@ once. No word table is broadcast, and a word travels once for each batch that ho
 from __future__ import annotations
 
 import base64
-import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -70,10 +70,10 @@ def _joined(parts: pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Callable[[Column, Column, Column], Column]]:
-    """The ranks as one literal in the plan, and the look-up in it.
+def rank_map(ranks: dict[bytes, int]) -> tuple[pa.Table, Callable[[Column, Column, Column], Column]]:
+    """The ranks as one row ``table``, and the look-up in it.
 
-    The literal is a struct of two flat arrays, a perfect hash of every pair of ids whose joined
+    ``table`` is a struct of two flat arrays, a perfect hash of every pair of ids whose joined
     bytes have a rank: a pair's key a * 2**17 + b picks a multiplier, which with the key picks the
     slot that holds key * 2**17 + rank. ``look(table, a, b)`` is the rank, or _NO_RANK.
     """
@@ -92,8 +92,8 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Callable[[Column, Column,
             raise ValueError("no multiplier found")
         multipliers[part[0] % groups] = m
         slots[at] = (part << _SHIFT) + [pairs[k] for k in part.tolist()]
-    flat = json.dumps({"m": multipliers.tolist(), "s": slots.tolist()}, separators=(",", ":"))
-    table = F.from_json(F.lit(flat), "m array<bigint>, s array<bigint>")
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in (multipliers, slots)]
+    table = pa.table({"table": pa.StructArray.from_arrays(lists, names=["m", "s"])})
 
     def look(t: Column, a: Column, b: Column) -> Column:
         key = F.shiftleft(a.cast("long"), _SHIFT) + b
@@ -215,8 +215,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     sent = asked.mapInArrow(releasing(ahead), "batch int, block binary, words array<string>, bytes array<array<int>>")
     table, look = rank_map(ranks)
-    release_memory()  # of the pairs, which are in the plan now
-    folded = _let(table, lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
+    sent = sent.crossJoin(F.broadcast(docs.sparkSession.createDataFrame(table)))  # one row, of the vocabulary's size
+    del table
+    release_memory()  # of the pairs as well
+    folded = _let(F.col("table"), lambda t: F.transform("bytes", lambda w: fold_merges(w, t, look)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ids, askers, asked = [], [], [], []

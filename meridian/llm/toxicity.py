@@ -47,10 +47,10 @@ def words(text: str | None) -> Counter:
     return Counter(_words(text))
 
 
-def _places(names: pa.Array, words: list[str]) -> np.ndarray:
+def _places(names: pa.Array, words: list[str] | pa.Array) -> np.ndarray:
     """Each word's place among the distinct names, -1 if it is none. The names are looked up among the words: those are
     fewer, and so no hash table of all names is held."""
-    coded = pa.array(words, pa.string()).dictionary_encode()
+    coded = (words if isinstance(words, pa.Array) else pa.array(words, pa.string())).dictionary_encode()
     at = pc.index_in(names, coded.dictionary)
     place = np.full(len(coded.dictionary), -1)
     place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
@@ -78,14 +78,21 @@ class Examples:
     @classmethod
     def of(cls, rows: pa.Table) -> "Examples":
         """Of a table (id, label, term: list of strings, n: list of integers)."""
-        term, n = (rows.column(c).combine_chunks() for c in ("term", "n"))
-        coded = term.flatten().dictionary_encode()
-        order = pc.array_sort_indices(coded.dictionary)
-        place = np.empty(len(order), np.int32)
-        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        term = rows.column("term").combine_chunks()
+        names = term.flatten().unique()
+        names = names.take(pc.array_sort_indices(names))
+        places = pa.ListArray.from_arrays(term.offsets, pa.array(_places(names, term.values), pa.int32()))
+        return cls.numbered(rows.set_column(rows.column_names.index("term"), "term", places), names)
+
+    @classmethod
+    def numbered(cls, rows: pa.Table, names: pa.Array) -> "Examples":
+        """Of a table (id, label, term: list of places among the ``names``, which ascend, n: list of integers)."""
+        term, n = ([chunk.flatten().to_numpy() for chunk in rows.column(c).chunks] for c in ("term", "n"))
+        sizes = pc.list_value_length(rows.column("term")).to_numpy()
+        none = np.empty(0, np.int32)
         return cls(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(float),
-                   np.concatenate([[0], np.cumsum(term.value_lengths().to_numpy())]).astype(np.int64),
-                   place[coded.indices.to_numpy()], coded.dictionary.take(order), n.flatten().to_numpy().astype(np.int32))
+                   np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
+                   np.concatenate([none, *term]).astype(np.int32), names, np.concatenate([none, *n]).astype(np.int32))
 
     def ordered(self, order: np.ndarray) -> "Examples":
         parts = [slice(a, b) for a, b in zip(self.ends[order], self.ends[order + 1])]
@@ -115,6 +122,10 @@ class Index:
         self.have = (int((self.labels == 0).sum()), int((self.labels == 1).sum()))
         self.scale = _scale(self.idf, self.with_1, self.with_0, self.have)
 
+    @property
+    def terms(self) -> list[str]:
+        return self.names.to_pylist()
+
     def vector(self, found: dict[str, int], label: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of term counts: sorted terms, weights. With the ``label`` of an example, its terms weigh
         as if it had not been counted for them."""
@@ -236,18 +247,28 @@ def build(examples: Examples, frequency: np.ndarray, n_docs: int, totals: dict[i
     labels, t, n = examples.labels, examples.terms, len(examples.ids)
     have = {y: int((labels == y).sum()) for y in (0, 1)}
     rates = np.array([totals[int(y)] / have[int(y)] for y in labels], float)
-    e = np.repeat(np.arange(n, dtype=np.int32), np.diff(examples.ends))
-    with_1 = np.bincount(t, labels[e], len(idf))
-    found = np.bincount(t, minlength=len(idf))
+    found, with_1 = np.zeros(len(idf), np.int64), np.zeros(len(idf))
+    # the postings are the driver's largest arrays: some examples at a time, so that few others are as long
+    some = [(low, min(low + TEXTS, n)) for low in range(0, n, TEXTS)]
+    for low, high in some:
+        part = t[examples.ends[low]:examples.ends[high]]
+        np.add.at(found, part, 1)
+        np.add.at(with_1, part, np.repeat(labels[low:high], np.diff(examples.ends[low:high + 1])))
     with_0 = found - with_1
-    w = np.log(examples.counts)  # and on in place: the postings are the driver's largest arrays
-    w += 1
-    w *= _scale(idf, with_1, with_0, (have[0], have[1]))[t]
-    norm = np.sqrt(np.bincount(e, w * w, n))
-    w /= np.where(norm > 0, norm, 1.0)[e]
-    order = np.argsort(t, kind="stable")  # by example within a term, as they stand
-    by_example, by_weight = e[order], w[order]
+    scale = _scale(idf, with_1, with_0, (have[0], have[1]))
     starts = np.concatenate([[0], np.cumsum(found)])
+    free, by_example, by_weight = starts[:-1].copy(), np.empty(len(t), np.int32), np.empty(len(t))
+    for low, high in some:
+        a, b = examples.ends[low], examples.ends[high]
+        e = np.repeat(np.arange(high - low), np.diff(examples.ends[low:high + 1]))
+        w = (np.log(examples.counts[a:b]) + 1) * scale[t[a:b]]
+        norm = np.sqrt(np.bincount(e, w * w, high - low))
+        w /= np.where(norm > 0, norm, 1.0)[e]
+        order = np.argsort(t[a:b], kind="stable")  # by example within a term, as they stand
+        terms, first, many = np.unique(t[a:b][order], return_index=True, return_counts=True)
+        to = np.repeat(free[terms] - first, many) + np.arange(b - a)
+        by_example[to], by_weight[to] = e[order] + low, w[order]
+        free[terms] += many
     return Index(examples.ids, labels, rates, examples.names, idf, with_1, with_0,
                  totals[1] / max(1, totals[0] + totals[1]), starts, by_example, by_weight)
 
@@ -266,9 +287,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
 
     known = stored(appended(known, "counts array<struct<term:string,n:int>>", ["text"], lambda: count)
                    .select("id", "label", "counts.term", "counts.n"), "examples")
-    examples = Examples.of(known.toArrow())  # at most 2 * most
+    names = known.select(F.explode("term").alias("term")).distinct().toArrow().column("term").combine_chunks()
+    names = names.take(pc.array_sort_indices(names))
+    vocabulary = spark.sparkContext.broadcast(names)  # the terms of at most 2 * most examples
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term = batch.column("term")
+            at = pa.array(_places(vocabulary.value, term.flatten()), pa.int32())
+            ends = np.cumsum([0, *term.value_lengths().to_pylist()], dtype=np.int32)
+            yield batch.set_column(2, "term", pa.ListArray.from_arrays(pa.array(ends), at))
+
+    # their terms as numbers: the driver holds each name once
+    examples = Examples.numbered(known.mapInArrow(releasing(number), "id long, label int, term array<int>, n array<int>").toArrow(), names)
+    del names
     release_memory()
-    vocabulary = spark.sparkContext.broadcast(examples.names)  # the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, n = vocabulary.value, 0
